@@ -467,3 +467,308 @@ ORACLE["anomaly_kpis"] = q(
 
 def all_oracles() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# --- raw extracts and cleansing rules in SQL ---------------------------------------
+import os as _os  # noqa: E402
+import sys as _sys  # noqa: E402
+
+_sys.path.insert(0, _os.path.dirname(_os.path.abspath(__file__)))
+from settlekit import schema as _S  # noqa: E402
+
+RAW = r"""
+ob AS (SELECT o.*, CAST(o.o_orderkey AS VARCHAR) AS order_release_id, fl.l_partkey, p.p_brand,
+              lpad(CAST(o.o_custkey AS VARCHAR), 6, '0') AS pin,
+              lpad(CAST(o.o_custkey % 100 AS VARCHAR), 2, '0') || 'ABCDE1234F'
+                || lpad(CAST(o.o_custkey % 1000 AS VARCHAR), 3, '0') AS gst
+       FROM orders o
+       LEFT JOIN (SELECT order_release_id, l_partkey FROM lines WHERE seq = 1) fl
+              ON fl.order_release_id = CAST(o.o_orderkey AS VARCHAR)
+       LEFT JOIN part p ON p.p_partkey = fl.l_partkey),
+raw_orders AS (
+  SELECT order_release_id AS "order release id", order_release_id || '-1' AS "order line id",
+         CASE WHEN o_orderstatus = 'F' THEN 'D' WHEN o_orderstatus = 'O' THEN 'C'
+              WHEN o_orderstatus = 'P' AND o_orderpriority < '4' THEN 'RTO' ELSE 'P' END AS "order status",
+         CASE WHEN o_orderpriority < '4' THEN '1' ELSE '0' END AS is_ship_rel,
+         CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+              WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 2 THEN strftime(o_orderdate, '%m/%d/%Y %H:%M')
+              WHEN 3 THEN strftime(o_orderdate, '%Y%m%d') WHEN 4 THEN strftime(o_orderdate, '%m/%d/%y %H:%M')
+              WHEN 5 THEN 'junk' WHEN 6 THEN '' END AS " created on ",
+         CASE o_orderkey % 5 WHEN 0 THEN '₹' || format('{:,.2f}', CAST(o_totalprice AS DECIMAL(18,2)))
+              WHEN 1 THEN CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)
+              WHEN 2 THEN CAST(o_custkey % 100 AS VARCHAR) || '%' WHEN 3 THEN 'abc' END AS "final amount",
+         p_brand AS brand,
+         CASE WHEN l_partkey IS NOT NULL THEN 'SKU-' || CAST(l_partkey AS VARCHAR) END AS "seller sku code",
+         CASE WHEN o_orderkey % 4 = 0 THEN substr(pin, 1, 5) ELSE pin END AS zipcode,
+         CASE WHEN o_orderkey % 3 = 0 THEN substr(gst, 1, 14) || 'Z' ELSE gst END AS gst_number,
+         CASE o_orderkey % 6 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'y' WHEN 2 THEN 'No' WHEN 3 THEN '0'
+              WHEN 4 THEN 'maybe' END AS flag
+  FROM ob)"""
+
+RAW_TS = "'%Y-%m-%d %H:%M:%S'"
+RAW_RETURNS = f"""
+raw_returns AS (SELECT order_release_id, order_line_id, return_type, strftime(return_date, {RAW_TS}) AS return_date,
+  CAST(customer_paid_amount AS VARCHAR) AS customer_paid_amount,
+  CAST(total_actual_settlement AS VARCHAR) AS total_actual_settlement,
+  strftime(upload_timestamp, {RAW_TS}) AS upload_timestamp FROM returns_v),
+raw_settlement AS (SELECT order_release_id, order_line_id, return_type, strftime(return_date, {RAW_TS}) AS return_date,
+  CAST(customer_paid_amount AS VARCHAR) AS customer_paid_amount,
+  CAST(total_actual_settlement AS VARCHAR) AS total_actual_settlement,
+  CAST(total_commission AS VARCHAR) AS total_commission,
+  CAST(total_logistics_deduction AS VARCHAR) AS total_logistics_deduction,
+  CAST(tcs_amount AS VARCHAR) AS tcs_amount, CAST(tds_amount AS VARCHAR) AS tds_amount,
+  strftime(upload_timestamp, {RAW_TS}) AS upload_timestamp FROM settlement_v)"""
+
+RAW_NAMES = {  # schema name -> raw header of raw_orders
+    "order_release_id": "order release id", "order_line_id": "order line id",
+    "order_status": "order status", "is_ship_rel": "is_ship_rel", "created_on": " created on ",
+    "final_amount": "final amount", "brand": "brand", "seller_sku_code": "seller sku code",
+    "zipcode": "zipcode",
+}
+RAW_RETURN_COLS = ["order_release_id", "order_line_id", "return_type", "return_date",
+                   "customer_paid_amount", "total_actual_settlement", "upload_timestamp"]
+RAW_SETTLEMENT_COLS = RAW_RETURN_COLS[:-1] + ["total_commission", "total_logistics_deduction",
+                                              "tcs_amount", "tds_amount", "upload_timestamp"]
+
+PY_DEFAULT_FORMATS = ["%Y-%m-%d", "%d-%m-%Y", "%Y/%m/%d", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S",
+                      "%d-%m-%Y %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%Y-%m-%d %H:%M",
+                      "%d-%m-%Y %H:%M", "%Y/%m/%d %H:%M", "%d/%m/%Y %H:%M", "%Y%m%d", "%d%m%Y",
+                      "%m/%d/%y %H:%M", "%m/%d/%Y %H:%M"]
+PY_NULL_FORMATS = ["%m/%d/%y %H:%M", "%m/%d/%Y %H:%M", "%Y-%m-%d %H:%M:%S"]
+
+
+def _fmt(t: str, f: str) -> str:
+    e = f"try_strptime({t}, '{f}')"
+    if "%Y" in f:  # DuckDB's %Y also takes two digits; Python's and Spark's do not
+        e = f"CASE WHEN regexp_matches({t}, '\\d{{4}}') THEN {e} END"
+    return e
+
+
+def _generic(t: str) -> str:
+    """Generic fallback parse: ISO date / date-time text only (Spark's cast)."""
+    return (f"CASE WHEN regexp_matches({t}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}([ T]\\d{{1,2}}:\\d{{1,2}}"
+            f"(:\\d{{1,2}}(\\.\\d+)?)?)?$') THEN TRY_CAST({t} AS TIMESTAMP) END")
+
+
+def _time_only(t: str) -> str:
+    m, sec = f"CAST(substr({t}, 1, 2) AS INTEGER)", f"CAST(substr({t}, 4, 2) AS INTEGER)"
+    return (f"CASE WHEN regexp_matches({t}, '^\\d{{2}}:\\d{{2}}\\.0$') AND floor({m} / 60) < 24 AND {sec} < 60 "
+            f"THEN make_timestamp(1998, 7, 1, CAST(floor({m} / 60) AS BIGINT), {m} % 60, {sec}) END")
+
+
+def sql_date_default(v: str, column: str) -> str:
+    t = f"trim({v})"
+    missing = RUN_TS if column in ("return_date", "created_on", "upload_timestamp") else "CAST(NULL AS TIMESTAMP)"
+    fmts = ", ".join(_fmt(t, f) for f in PY_DEFAULT_FORMATS)
+    return (f"CASE WHEN {v} IS NULL OR {v} = '' THEN {missing} WHEN {t} = '' THEN CAST(NULL AS TIMESTAMP) "
+            f"ELSE COALESCE({_time_only(t)}, {fmts}, {_generic(t)}, {RUN_TS}) END")
+
+
+def sql_date_null(v: str) -> str:
+    t = f"trim(regexp_replace({v}, '^\"+|\"+$', '', 'g'))"
+    fmts = ", ".join(_fmt(t, f) for f in PY_NULL_FORMATS)
+    return f"COALESCE({_time_only(t)}, {fmts}, {_generic(t)})"
+
+
+def _to_kind(x: str, kind: str) -> str:
+    return f"TRY_CAST(trunc({x}) AS BIGINT)" if kind == "integer" else f"TRY_CAST({x} AS DECIMAL(18,4))"
+
+
+def sql_number_default(v: str, kind: str, lo: float | None = None, hi: float | None = None) -> str:
+    b = f"trim(regexp_replace({v}, '[₹,]', '', 'g'))"
+    x = (f"(CASE WHEN ends_with({b}, '%') THEN TRY_CAST(regexp_replace({b}, '%$', '') AS DOUBLE) / 100 "
+         f"ELSE TRY_CAST({b} AS DOUBLE) END)")
+    if lo is not None:
+        x = f"(CASE WHEN {x} < {lo} THEN {lo} ELSE {x} END)"
+    if hi is not None:
+        x = f"(CASE WHEN {x} > {hi} THEN {hi} ELSE {x} END)"
+    zero = "CAST(0 AS BIGINT)" if kind == "integer" else "CAST(0 AS DECIMAL(18,4))"
+    return (f"CASE WHEN {v} IS NULL OR {v} = '' OR {b} = '' THEN {zero} "
+            f"ELSE COALESCE({_to_kind(x, kind)}, {zero}) END")
+
+
+def sql_number_null(v: str, kind: str) -> str:
+    t = f"trim(regexp_replace({v}, '^\"+|\"+$', '', 'g'))"
+    return _to_kind(f"(CASE WHEN {t} <> '' THEN TRY_CAST({t} AS DOUBLE) END)", kind)
+
+
+def sql_bool(v: str, policy: str) -> str:
+    if policy == "default":
+        return f"COALESCE(lower(trim({v})) IN ('true', '1', 'yes', 'y'), false)"
+    if policy == "null":
+        return f"COALESCE(upper(trim({v})) IN ('TRUE', '1', 'YES', 'Y'), false)"
+    return f"COALESCE({v} IN ('TRUE', 'True', '1'), false)"
+
+
+def sql_coerce(v: str, spec, policy: str) -> str:
+    if spec.kind == "date":
+        if policy == "default":
+            return sql_date_default(v, spec.name)
+        return sql_date_null(v) if policy == "null" else _generic(f"trim({v})")
+    if spec.kind in ("integer", "float"):
+        if policy == "default":
+            return sql_number_default(v, spec.kind)
+        if policy == "null":
+            return sql_number_null(v, spec.kind)
+        return _to_kind(f"TRY_CAST(trim({v}) AS DOUBLE)", spec.kind)
+    if spec.kind == "boolean":
+        return sql_bool(v, policy)
+    if policy == "repair":
+        return f"CASE WHEN {v} = 'nan' THEN '' ELSE COALESCE({v}, '') END"
+    keep = f"trim({v})" if policy == "default" else v
+    return f"CASE WHEN trim({v}) = 'nan' THEN NULL ELSE {keep} END"
+
+
+def sql_fill(spec, policy: str) -> str:
+    if spec.name == "upload_timestamp":
+        return RUN_TS
+    if spec.kind == "date":
+        return RUN_TS if policy == "repair" else "CAST(NULL AS TIMESTAMP)"
+    return {"integer": "CAST(0 AS BIGINT)", "float": "CAST(0 AS DECIMAL(18,4))",
+            "boolean": "false"}.get(spec.kind, "''")
+
+
+def _present_expr(expr: str, spec) -> str:
+    if spec.kind == "date":
+        return ts(expr)
+    if spec.kind == "float":
+        return f"CAST({expr} AS DOUBLE)"
+    return expr
+
+
+def clean_exprs(file_type: str, policy: str, raw_names: dict[str, str]) -> list[tuple]:
+    """(spec, sql expression or None when the column is left out)."""
+    out = []
+    for spec in _S.SPECS[file_type]:
+        if spec.name in raw_names:
+            out.append((spec, sql_coerce(f'"{raw_names[spec.name]}"', spec, policy)))
+        elif policy == "null":
+            continue
+        else:
+            out.append((spec, sql_fill(spec, policy)))
+    return out
+
+
+def clean_select(file_type: str, policy: str, raw_names: dict[str, str], src: str) -> str:
+    cols = [f"{_present_expr(e, s)} AS {s.name}" for s, e in clean_exprs(file_type, policy, raw_names)]
+    return f"SELECT {', '.join(cols)} FROM {src}"
+
+
+def _static_issues(file_type: str, policy: str, raw_names: dict[str, str]) -> list[tuple]:
+    out = []
+    if "upload_timestamp" not in raw_names and policy != "null":
+        out.append(("warning", "upload_timestamp", "Added missing upload_timestamp column with current timestamp"))
+    for spec in _S.SPECS[file_type]:
+        if spec.name in raw_names:
+            continue
+        if policy == "null":
+            if spec.required:
+                out.append(("error", spec.name, f"Missing required column: {spec.name}"))
+            continue
+        if spec.name != "upload_timestamp":
+            sev = "error" if spec.required and policy == "default" else "warning"
+            out.append((sev, spec.name, "Missing required column" if sev == "error"
+                        else "Added missing column with default value"))
+    return out
+
+
+def _null_counts(file_type: str, policy: str, raw_names: dict[str, str], src: str) -> str:
+    exprs = [(s, e) for s, e in clean_exprs(file_type, policy, raw_names) if s.required]
+    return " UNION ALL ".join(
+        f"SELECT '{s.name}' AS col, count(*) FILTER (WHERE ({e}) IS NULL) AS n FROM {src}" for s, e in exprs)
+
+
+def _valid_rows(file_type: str, policy: str, raw_names: dict[str, str], src: str) -> str:
+    exprs = [e for s, e in clean_exprs(file_type, policy, raw_names) if s.required]
+    cond = " AND ".join(f"({e}) IS NOT NULL" for e in exprs) or "true"
+    return (f"SELECT '{file_type}' AS file_type, count(*) AS total_rows, count(*) FILTER (WHERE {cond}) AS valid_rows, "
+            f"count(*) - count(*) FILTER (WHERE {cond}) AS invalid_rows FROM {src}")
+
+
+def _issues(file_type: str, policy: str, raw_names: dict[str, str], src: str) -> str:
+    static = " UNION ALL ".join(
+        f"SELECT '{file_type}' AS file_type, '{sev}' AS severity, CAST(0 AS BIGINT) AS row_index, '{col}' AS \"column\", "
+        f"'{msg}' AS message, CAST(NULL AS VARCHAR) AS value"
+        for sev, col, msg in _static_issues(file_type, policy, raw_names))
+    nulls = (f"SELECT '{file_type}' AS file_type, 'error' AS severity, CAST(0 AS BIGINT) AS row_index, "
+             f"col AS \"column\", 'Column ' || col || ' has ' || CAST(n AS VARCHAR) || ' null values but is required' "
+             f"AS message, CAST(NULL AS VARCHAR) AS value FROM ({_null_counts(file_type, policy, raw_names, src)}) "
+             f"WHERE n > 0")
+    return (static + " UNION ALL " if static else "") + nulls
+
+
+RAWQ = RAW + "," + RAW_RETURNS
+RET_NAMES = {c: c for c in RAW_RETURN_COLS}
+SET_NAMES = {c: c for c in RAW_SETTLEMENT_COLS}
+ALL_RAW = [("orders", RAW_NAMES, "raw_orders"), ("returns", RET_NAMES, "raw_returns"),
+           ("settlement", SET_NAMES, "raw_settlement")]
+
+
+def _qr(body: str) -> str:
+    return q(body, RAWQ)
+
+
+_SPEC = {s.name: s for s in _S.ORDERS}
+_ESSENTIAL_PRESENT = [s.name for s in _S.ORDERS if s.name in RAW_NAMES]
+
+ORACLE.update({
+    "rename_cols": _qr("SELECT " + ", ".join(f'"{r}" AS {n}' for n, r in RAW_NAMES.items())
+                       + ", gst_number, flag FROM raw_orders"),
+    "essential_projection": _qr("SELECT " + ", ".join(f'"{RAW_NAMES[n]}" AS {n}' for n in _ESSENTIAL_PRESENT)
+                                + " FROM raw_orders"),
+    "fill_missing": _qr("SELECT " + ", ".join(
+        [f'"{RAW_NAMES[n]}" AS {n}' for n in _ESSENTIAL_PRESENT]
+        + [f"{_present_expr(sql_fill(s, 'default'), s)} AS {s.name}" for s in _S.ORDERS
+           if s.name not in RAW_NAMES]) + " FROM raw_orders"),
+    "upload_stamp": _qr(f'SELECT "order release id" AS order_release_id, {ts(RUN_TS)} AS upload_timestamp '
+                        "FROM raw_orders"),
+    "drop_empty": _qr("SELECT * FROM raw_orders"),
+    "date_default": _qr(f'SELECT "order release id" AS order_release_id, " created on " AS raw, '
+                        f'{ts(sql_date_default(chr(34) + " created on " + chr(34), "created_on"))} AS created_on, '
+                        f'{ts(sql_date_default(chr(34) + " created on " + chr(34), "packed_on"))} AS packed_on '
+                        "FROM raw_orders"),
+    "date_null": _qr(f'SELECT "order release id" AS order_release_id, " created on " AS raw, '
+                     f'{ts(sql_date_null(chr(34) + " created on " + chr(34)))} AS created_on FROM raw_orders'),
+    "numeric_default": _qr(
+        f'SELECT "order release id" AS order_release_id, "final amount" AS raw, '
+        f'CAST({sql_number_default(chr(34) + "final amount" + chr(34), "float")} AS DOUBLE) AS amount, '
+        f'{sql_number_default(chr(34) + "final amount" + chr(34), "integer")} AS amount_int, '
+        f'CAST({sql_number_default(chr(34) + "final amount" + chr(34), "float", 0.0, 100000.0)} AS DOUBLE) '
+        "AS amount_clamped FROM raw_orders"),
+    "numeric_null": _qr(
+        f'SELECT "order release id" AS order_release_id, "final amount" AS raw, '
+        f'CAST({sql_number_null(chr(34) + "final amount" + chr(34), "float")} AS DOUBLE) AS amount, '
+        f'CAST({sql_number_null(chr(34) + "final amount" + chr(34), "integer")} AS DOUBLE) AS amount_int FROM raw_orders'),
+    "bool_clean": _qr(f'SELECT "order release id" AS order_release_id, flag AS raw, {sql_bool("flag", "default")} '
+                      f'AS flag_default, {sql_bool("flag", "null")} AS flag_reader, {sql_bool("flag", "repair")} '
+                      "AS flag_repair FROM raw_orders"),
+    "string_clean": _qr(
+        'SELECT "order release id" AS order_release_id, "seller sku code" AS raw, '
+        "CASE WHEN \"seller sku code\" IS NULL OR \"seller sku code\" = '' THEN '' "
+        "WHEN regexp_matches(substr(trim(\"seller sku code\"), 1, 7), '^(?:SKU-1)') "
+        "THEN substr(trim(\"seller sku code\"), 1, 7) ELSE '' END AS sku FROM raw_orders"),
+    "gst_check": _qr(
+        'SELECT "order release id" AS order_release_id, gst_number AS raw, CASE WHEN COALESCE('
+        "regexp_matches(trim(gst_number), '^[0-9]{2}[A-Za-z0-9]{10}[0-9]{3}$'), false) THEN trim(gst_number) "
+        "ELSE '' END AS gst_number FROM raw_orders"),
+    "pincode_check": _qr(
+        'SELECT "order release id" AS order_release_id, zipcode AS raw, CASE WHEN COALESCE('
+        "regexp_matches(trim(zipcode), '^[0-9]{6}$'), false) THEN trim(zipcode) ELSE '' END AS zipcode "
+        "FROM raw_orders"),
+    "validate_table": _qr(clean_select("orders", "default", RAW_NAMES, "raw_orders")),
+    "convert_table": _qr(clean_select("orders", "null", RAW_NAMES, "raw_orders")),
+    "repair_types": _qr(clean_select("orders", "repair", RAW_NAMES, "raw_orders")),
+    "required_nulls": _qr(
+        f"SELECT * FROM ({_issues('orders', 'default', RAW_NAMES, 'raw_orders')}) "
+        "WHERE contains(message, 'null values but is required')"),
+    "validation_stats": _qr(" UNION ALL ".join(_valid_rows(t, "default", n, s) for t, n, s in ALL_RAW)),
+    "issue_groups": _qr("SELECT file_type, severity, \"column\", count(*) AS count FROM ("
+                        + " UNION ALL ".join(_issues(t, "default", n, s) for t, n, s in ALL_RAW)
+                        + ") GROUP BY ALL"),
+    "money_text": q(
+        f"SELECT brand, '₹' || format('{{:,.2f}}', round(COALESCE(SUM(order_settlement), 0), 2)) "
+        "AS settlement_value_text, format('{:.2f}', round(CAST(" + pct(
+            f"count(*) FILTER (WHERE status = {SETTLED})", "count(*)")
+        + " AS DECIMAL(38,10)), 2)) || '%' AS settlement_rate_text "
+        "FROM analysis WHERE brand IS NOT NULL GROUP BY brand"),
+})

@@ -335,3 +335,161 @@ def q_anomaly_kpis(spark, sf):
 def all_queries() -> dict[str, Query]:
     """Every registered query (importing the modules that register more)."""
     return dict(QUERIES)
+
+
+# --- cleansing (P1-P18, A24, A29, A30) ---------------------------------------------------
+from settlekit.functions import dates as DT  # noqa: E402
+from settlekit.functions import numbers as NU  # noqa: E402
+from settlekit.functions import text as TX  # noqa: E402
+from settlekit.operators import cleanse as CL  # noqa: E402
+
+# --- fixed values: parameters of the registered string check ------------------------
+STRING_MAX_LENGTH, STRING_PATTERN = 7, "SKU-1"
+# --- end fixed values ------------------------------------------------------------------
+
+
+def _raw(spark, sf):
+    return tv.raw_orders_v(spark, sf)
+
+
+def _run_ts():
+    return DT.ts_lit(tv.RUN_TS)
+
+
+def _clean(spark, sf, file_type="orders", policy="default"):
+    raws = {"orders": _raw, "returns": tv.raw_returns_v, "settlement": tv.raw_settlement_v}
+    return CL.clean(raws[file_type](spark, sf), file_type, policy, tv.RUN_TS)
+
+
+@register("rename_cols")
+def q_rename_cols(spark, sf):
+    return CL.rename_columns(_raw(spark, sf), "orders")
+
+
+@register("essential_projection")
+def q_essential_projection(spark, sf):
+    return CL.essential_projection(CL.rename_columns(_raw(spark, sf), "orders"), "orders")
+
+
+@register("fill_missing")
+def q_fill_missing(spark, sf):
+    df = CL.essential_projection(CL.rename_columns(_raw(spark, sf), "orders"), "orders")
+    return present(CL.fill_missing(df, "orders", "validate", tv.RUN_TS))
+
+
+@register("upload_stamp")
+def q_upload_stamp(spark, sf):
+    df = CL.rename_columns(_raw(spark, sf), "orders")
+    return present(df.withColumn("upload_timestamp", _run_ts()).select("order_release_id", "upload_timestamp"))
+
+
+@register("drop_empty")
+def q_drop_empty(spark, sf):
+    return CL.drop_empty_rows(tv.raw_orders_with_blanks_v(spark, sf))
+
+
+@register("date_default")
+def q_date_default(spark, sf):
+    raw = _raw(spark, sf)
+    return present(raw.select(F.col("order release id").alias("order_release_id"),
+                              F.col(" created on ").alias("raw"),
+                              DT.parse_date_default(F.col(" created on "), "created_on", _run_ts())
+                              .alias("created_on"),
+                              DT.parse_date_default(F.col(" created on "), "packed_on", _run_ts())
+                              .alias("packed_on")))
+
+
+@register("date_null")
+def q_date_null(spark, sf):
+    raw = _raw(spark, sf)
+    return present(raw.select(F.col("order release id").alias("order_release_id"),
+                              F.col(" created on ").alias("raw"),
+                              DT.parse_date_null(F.col(" created on "), _run_ts()).alias("created_on")))
+
+
+@register("numeric_default")
+def q_numeric_default(spark, sf):
+    raw, v = _raw(spark, sf), F.col("final amount")
+    return present(raw.select(F.col("order release id").alias("order_release_id"), v.alias("raw"),
+                              NU.parse_number_default(v, S.FLOAT).alias("amount"),
+                              NU.parse_number_default(v, S.INTEGER).alias("amount_int"),
+                              NU.parse_number_default(v, S.FLOAT, 0.0, 100000.0).alias("amount_clamped")))
+
+
+@register("numeric_null")
+def q_numeric_null(spark, sf):
+    raw, v = _raw(spark, sf), F.col("final amount")
+    return present(raw.select(F.col("order release id").alias("order_release_id"), v.alias("raw"),
+                              NU.parse_number_null(v, S.FLOAT).alias("amount"),
+                              # nullable integer shown as double: pandas reads a
+                              # BIGINT with NULLs differently per engine
+                              NU.parse_number_null(v, S.INTEGER).cast("double").alias("amount_int")))
+
+
+@register("repair_types")
+def q_repair_types(spark, sf):
+    return present(_clean(spark, sf, "orders", "repair").df)
+
+
+@register("bool_clean")
+def q_bool_clean(spark, sf):
+    raw, v = _raw(spark, sf), F.col("flag")
+    return raw.select(F.col("order release id").alias("order_release_id"), v.alias("raw"),
+                      TX.bool_default(v).alias("flag_default"), TX.bool_utils(v).alias("flag_reader"),
+                      TX.bool_repair(v).alias("flag_repair"))
+
+
+@register("string_clean")
+def q_string_clean(spark, sf):
+    raw, v = _raw(spark, sf), F.col("seller sku code")
+    return raw.select(F.col("order release id").alias("order_release_id"), v.alias("raw"),
+                      TX.string_clean(v, STRING_MAX_LENGTH, STRING_PATTERN).alias("sku"))
+
+
+@register("gst_check")
+def q_gst_check(spark, sf):
+    raw, v = _raw(spark, sf), F.col("gst_number")
+    return raw.select(F.col("order release id").alias("order_release_id"), v.alias("raw"),
+                      TX.gst_check(v).alias("gst_number"))
+
+
+@register("pincode_check")
+def q_pincode_check(spark, sf):
+    raw, v = _raw(spark, sf), F.col("zipcode")
+    return raw.select(F.col("order release id").alias("order_release_id"), v.alias("raw"),
+                      TX.pincode_check(v).alias("zipcode"))
+
+
+@register("convert_table")
+def q_convert_table(spark, sf):
+    return present(_clean(spark, sf, "orders", "null").df)
+
+
+@register("validate_table")
+def q_validate_table(spark, sf):
+    return present(_clean(spark, sf, "orders", "default").df)
+
+
+@register("required_nulls")
+def q_required_nulls(spark, sf):
+    return CL.required_nulls(_clean(spark, sf, "orders", "default"))
+
+
+@register("validation_stats")
+def q_validation_stats(spark, sf):
+    return CL.validation_stats([_clean(spark, sf, t) for t in ("orders", "returns", "settlement")])
+
+
+@register("issue_groups")
+def q_issue_groups(spark, sf):
+    return CL.issue_groups([_clean(spark, sf, t) for t in ("orders", "returns", "settlement")])
+
+
+@register("money_text")
+def q_money_text(spark, sf):
+    a = _a(spark, sf)
+    by_brand = (a.where(F.col("brand").isNotNull()).groupBy("brand")
+                 .agg(M.money_sum(F.col("order_settlement")).alias("value"),
+                      M.pct(F.count_if(F.col("status") == S.DELIVERED_SETTLED), F.count("*")).alias("rate")))
+    return by_brand.select("brand", TX.currency_text(F.col("value")).alias("settlement_value_text"),
+                           TX.percent_text(F.col("rate")).alias("settlement_rate_text"))

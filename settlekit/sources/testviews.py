@@ -96,8 +96,8 @@ def settlement_v(spark: SparkSession, sf_dir: str, before: str | None = None) ->
     )
 
 
-def orders_v(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
-    """One order row per TPC-H order; brand / SKU from the part of its first line."""
+def _orders_base(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+    """orders + the part key and brand of each order's first line."""
     o = _read(spark, sf_dir, "orders")
     if before:
         o = o.where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
@@ -110,11 +110,17 @@ def orders_v(spark: SparkSession, sf_dir: str, before: str | None = None) -> Dat
                   .select("order_release_id", F.col("fl.pk").alias("l_partkey")))
     part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     line_part = first_line.join(part, first_line.l_partkey == part.p_partkey, "left")
+    return (o.withColumn("order_release_id", F.col("o_orderkey").cast("string"))
+             .join(line_part, "order_release_id", "left"))
+
+
+def orders_v(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+    """One order row per TPC-H order; brand / SKU from the part of its first line."""
     hi = F.col("o_orderpriority") < F.lit("4")
     created = F.col("o_orderdate").cast("timestamp")
-    orders = o.select(
-        F.col("o_orderkey").cast("string").alias("order_release_id"),
-        F.concat(F.col("o_orderkey").cast("string"), F.lit("-1")).alias("order_line_id"),
+    return _orders_base(spark, sf_dir, before).select(
+        "order_release_id",
+        F.concat(F.col("order_release_id"), F.lit("-1")).alias("order_line_id"),
         F.when(F.col("o_orderstatus") == "F", F.lit("D"))
          .when(F.col("o_orderstatus") == "O", F.lit("C"))
          .when((F.col("o_orderstatus") == "P") & hi, F.lit("RTO"))
@@ -123,15 +129,59 @@ def orders_v(spark: SparkSession, sf_dir: str, before: str | None = None) -> Dat
         created.alias("created_on"),
         F.date_format(created, "yyyy-MM").alias("settlement_month"),
         F.col("o_totalprice").cast("decimal(18,2)").cast(MONEY).alias("final_amount"),
+        F.col("p_brand").alias("brand"),
+        F.when(F.col("l_partkey").isNotNull(),
+               F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string"))).alias("seller_sku_code"),
         created.alias("upload_timestamp"),
     )
-    return (orders.join(line_part, "order_release_id", "left")
-            .select(*[F.col(c) for c in orders.columns if c != "upload_timestamp"],
-                    F.col("p_brand").alias("brand"),
-                    F.when(F.col("l_partkey").isNotNull(),
-                           F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")))
-                     .alias("seller_sku_code"),
-                    "upload_timestamp"))
+
+
+# --- raw text extracts for the cleansing operators ------------------------------
+# Each row gets one of several spellings, chosen by its key, so that every
+# branch of the coercion rules is exercised on every run over whole tables.
+# --- fixed values: raw spellings ---------------------------------------------------
+RAW_DATE_LAYOUTS = ["yyyy-MM-dd", "dd-MM-yyyy", "MM/dd/yyyy HH:mm", "yyyyMMdd", "MM/dd/yy HH:mm"]
+RAW_FLAGS = ["TRUE", "y", "No", "0", "maybe", None]
+GST_BODY = "ABCDE1234F"
+# --- end fixed values ----------------------------------------------------------------
+
+
+def _pick(key: F.Column, n: int, options: list) -> F.Column:
+    out = None
+    for i, opt in enumerate(options):
+        val = opt if isinstance(opt, F.Column) else F.lit(opt).cast("string")
+        out = F.when(key % n == i, val) if out is None else out.when(key % n == i, val)
+    return out
+
+
+def raw_orders_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders extract as text with raw header names (spaces, padding)."""
+    b = _orders_base(spark, sf_dir)
+    k = F.col("o_orderkey")
+    created = F.col("o_orderdate").cast("timestamp")
+    amount = F.col("o_totalprice").cast("decimal(18,2)")
+    hi = F.col("o_orderpriority") < F.lit("4")
+    dates = [F.date_format(created, f) for f in RAW_DATE_LAYOUTS] + ["junk", ""]
+    amounts = [F.concat(F.lit("₹"), F.format_number(amount, 2)), amount.cast("string"),
+               F.concat((F.col("o_custkey") % 100).cast("string"), F.lit("%")), "abc", None]
+    pin = F.lpad(F.col("o_custkey").cast("string"), 6, "0")
+    gst = F.concat(F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0"), F.lit(GST_BODY),
+                   F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"))
+    return b.select(
+        F.col("order_release_id").alias("order release id"),
+        F.concat(F.col("order_release_id"), F.lit("-1")).alias("order line id"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("D")).when(F.col("o_orderstatus") == "O", F.lit("C"))
+         .when((F.col("o_orderstatus") == "P") & hi, F.lit("RTO")).otherwise(F.lit("P")).alias("order status"),
+        F.when(hi, F.lit("1")).otherwise(F.lit("0")).alias("is_ship_rel"),
+        _pick(k, 7, dates).alias(" created on "),
+        _pick(k, 5, amounts).alias("final amount"),
+        F.col("p_brand").alias("brand"),
+        F.when(F.col("l_partkey").isNotNull(),
+               F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string"))).alias("seller sku code"),
+        F.when(k % 4 == 0, F.substring(pin, 1, 5)).otherwise(pin).alias("zipcode"),
+        F.when(k % 3 == 0, F.concat(F.substring(gst, 1, 14), F.lit("Z"))).otherwise(gst).alias("gst_number"),
+        _pick(k, 6, RAW_FLAGS).alias("flag"),
+    )
 
 
 def merge_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -171,3 +221,34 @@ def test_run(spark: SparkSession, sf_dir: str):
                        previous_run_ts=PREV_RUN_TS)
         _RUNS[key] = run
     return run
+
+
+def _as_text(df: DataFrame) -> DataFrame:
+    """Every column as text (timestamps ``yyyy-MM-dd HH:mm:ss``); lineage dropped."""
+    from pyspark.sql import types as T
+    cols = []
+    for f in df.schema.fields:
+        if f.name.startswith("_"):
+            continue
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        cols.append(c.cast("string").alias(f.name))
+    return df.select(*cols)
+
+
+def raw_returns_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_text(returns_v(spark, sf_dir))
+
+
+def raw_settlement_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_text(settlement_v(spark, sf_dir))
+
+
+def raw_orders_with_blanks_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw orders extract plus one all-NULL row for each order whose key
+    ends in 0 (the blank lines of a spreadsheet export)."""
+    raw = raw_orders_v(spark, sf_dir)
+    blanks = (raw.where(F.col("order release id").cast("long") % 10 == 0)
+              .select(*[F.lit(None).cast("string").alias(c) for c in raw.columns]))
+    return raw.unionByName(blanks)
