@@ -772,3 +772,116 @@ ORACLE.update({
         + " AS DECIMAL(38,10)), 2)) || '%' AS settlement_rate_text "
         "FROM analysis WHERE brand IS NOT NULL GROUP BY brand"),
 })
+
+
+# --- merge --------------------------------------------------------------------------------
+MERGE_IN = f"""
+mi AS (SELECT order_release_id, order_line_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag,
+              l_linestatus, price, disc, tax, ship_ts AS upload_timestamp,
+              CASE WHEN ship_ts < {CUT} THEN 0 ELSE 1 END AS src FROM lines),
+mm AS (SELECT * FROM mi WHERE src = 0), mn AS (SELECT * FROM mi WHERE src = 1)"""
+MERGE_COLS = ("order_release_id, order_line_id, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus, "
+              "CAST(price AS DOUBLE) AS price, CAST(disc AS DOUBLE) AS disc, CAST(tax AS DOUBLE) AS tax, "
+              "strftime(upload_timestamp, '%Y-%m-%d %H:%M:%S') AS upload_timestamp")
+_MERGE_ORDER = ", ".join(f"{c} DESC NULLS LAST" for c in [
+    "upload_timestamp", "src", "l_linenumber", "upload_timestamp", "l_partkey", "l_suppkey", "price",
+    "l_quantity", "disc", "tax", "l_returnflag", "l_linestatus"])
+
+
+def _qm(body: str) -> str:
+    return q(body, MERGE_IN)
+
+
+ORACLE.update({
+    "merge_latest": _qm(f"SELECT {MERGE_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY order_release_id, "
+                        f"order_line_id ORDER BY {_MERGE_ORDER}) AS rn FROM mi) WHERE rn = 1"),
+    "duplicate_keys": _qm(
+        "SELECT order_release_id, order_line_id, l_partkey, strftime(upload_timestamp, '%Y-%m-%d %H:%M:%S') "
+        "AS upload_timestamp, 'Duplicate key found: order_release_id=' || order_release_id || "
+        "', order_line_id=' || order_line_id AS message FROM (SELECT *, count(*) OVER (PARTITION BY "
+        "order_release_id, order_line_id) AS n FROM mn) WHERE n > 1"),
+    "merge_stats": _qm(
+        "SELECT count(*) AS total_rows, count(*) AS valid_rows, CAST(sum(n) AS BIGINT) AS new_records, "
+        "CAST(count(*) - sum(m) AS BIGINT) AS updated_records, count(*) FILTER (WHERE m = 0 AND n > 0) AS inserted_keys, "
+        "count(*) FILTER (WHERE m > 0 AND n > 0) AS updated_keys FROM (SELECT order_release_id, order_line_id, "
+        "count(*) FILTER (WHERE src = 0) AS m, count(*) FILTER (WHERE src = 1) AS n FROM mi GROUP BY 1, 2)"),
+    "remove_duplicates": _qm(f"SELECT {MERGE_COLS} FROM mn WHERE NOT EXISTS (SELECT 1 FROM mm "
+                             "WHERE mm.order_release_id IS NOT DISTINCT FROM mn.order_release_id)"),
+})
+
+# --- quality --------------------------------------------------------------------------------
+Q_TABLES = [
+    ("orders", "orders_v", ["order_release_id", "order_line_id", "order_status", "is_ship_rel", "created_on",
+                            "settlement_month", "final_amount", "brand", "seller_sku_code", "upload_timestamp"]),
+    ("returns", "returns_v", ["order_release_id", "order_line_id", "return_type", "return_date",
+                              "customer_paid_amount", "total_actual_settlement", "upload_timestamp"]),
+    ("settlements", "settlement_v", ["order_release_id", "order_line_id", "return_type", "return_date",
+                                     "customer_paid_amount", "total_actual_settlement", "total_commission",
+                                     "total_logistics_deduction", "tcs_amount", "tds_amount", "upload_timestamp"]),
+]
+COMPLETENESS = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", {i} AS position, '{c}' AS \"column\", {pct(f'count({c})', 'count(*)')} "
+    f"AS completeness FROM {v}" for t, v, cols in Q_TABLES for i, c in enumerate(cols))
+RAW_NUM = [("orders", "raw_orders", '"final amount"', "final_amount"),
+           ("returns", "raw_returns", "customer_paid_amount", "customer_paid_amount"),
+           ("returns", "raw_returns", "total_actual_settlement", "total_actual_settlement"),
+           ("settlements", "raw_settlement", "customer_paid_amount", "customer_paid_amount"),
+           ("settlements", "raw_settlement", "total_actual_settlement", "total_actual_settlement")]
+INVALID_NUM = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{f}' AS field, count(*) FILTER (WHERE {c} IS NOT NULL AND "
+    f"TRY_CAST({c} AS DOUBLE) IS NULL) AS invalid FROM {src}" for t, src, c, f in RAW_NUM)
+INVALID_IDS = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", 'order_release_id' AS field, count(*) FILTER (WHERE NOT COALESCE("
+    f"regexp_matches(order_release_id, '^[A-Z0-9]+$'), false)) AS invalid FROM {v}" for t, v, _ in Q_TABLES)
+ORPH = (f"orph_r AS (SELECT * FROM returns_v r WHERE NOT EXISTS (SELECT 1 FROM orders_p o "
+        f"WHERE o.order_release_id IS NOT DISTINCT FROM r.order_release_id)), "
+        f"orph_s AS (SELECT * FROM settlement_v s WHERE NOT EXISTS (SELECT 1 FROM orders_p o "
+        f"WHERE o.order_release_id IS NOT DISTINCT FROM s.order_release_id))")
+QUALITY = (RAWQ + ", comp AS (" + COMPLETENESS + "), errs AS (SELECT \"table\" AS file, field, "
+           "'Found ' || CAST(invalid AS VARCHAR) || ' invalid order IDs' AS message FROM (" + INVALID_IDS
+           + ") WHERE invalid > 0 UNION ALL SELECT \"table\" AS file, field, 'Found ' || CAST(invalid AS VARCHAR) "
+           "|| ' invalid numeric values' AS message FROM (" + INVALID_NUM + ") WHERE invalid > 0), " + ORPH)
+
+
+def _orph_cols(v: str) -> str:
+    cols = dict((t, c) for _, t, c in Q_TABLES)[v]
+    out = []
+    for c in cols:
+        if c in ("return_date", "upload_timestamp"):
+            out.append(f"{ts(c)} AS {c}")
+        elif c in ("order_release_id", "order_line_id", "return_type"):
+            out.append(c)
+        else:
+            out.append(f"CAST({c} AS DOUBLE) AS {c}")
+    return ", ".join(out)
+
+
+ORACLE.update({
+    "completeness": q(COMPLETENESS),
+    "orphan_returns": q(f"SELECT {_orph_cols('returns_v')} FROM orph_r", ORPH),
+    "orphan_settlements": q(f"SELECT {_orph_cols('settlement_v')} FROM orph_s", ORPH),
+    "invalid_ids": q(INVALID_IDS),
+    "invalid_numerics": q(INVALID_NUM, RAWQ),
+    "validation_errors": q("SELECT * FROM errs", QUALITY),
+    "quality_score": q(
+        "SELECT avg_completeness, validation_errors, orphaned_records, greatest(0.0, least(100.0, "
+        "avg_completeness - validation_errors * 5 - orphaned_records * 2)) AS quality_score FROM ("
+        "SELECT avg(c) AS avg_completeness, (SELECT count(*) FROM errs) AS validation_errors, "
+        "(SELECT count(*) FROM orph_r) + (SELECT count(*) FROM orph_s) AS orphaned_records "
+        "FROM (SELECT \"table\", avg(completeness) AS c FROM comp GROUP BY 1))", QUALITY),
+    "quality_recommendations": q(
+        "SELECT 1 AS ord, \"table\", 'Improve data completeness for ' || \"table\" || ' fields: ' || "
+        "string_agg(\"column\", ', ' ORDER BY position) AS recommendation FROM comp WHERE completeness < 90 "
+        "GROUP BY \"table\" UNION ALL SELECT * FROM (SELECT 2, 'returns', 'Investigate ' || CAST(count(*) AS VARCHAR) "
+        "|| ' orphaned returns' FROM orph_r HAVING count(*) > 0) UNION ALL SELECT * FROM (SELECT 3, 'settlements', "
+        "'Investigate ' || CAST(count(*) AS VARCHAR) || ' orphaned settlements' FROM orph_s HAVING count(*) > 0) "
+        "UNION ALL SELECT * FROM (SELECT 4, '', 'Address ' || CAST(count(*) AS VARCHAR) || ' validation errors' "
+        "FROM errs HAVING count(*) > 0)", QUALITY),
+    "existing_month": q(" UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{t}' AS \"table\", count(*) AS count, CAST({msum(v)} AS DOUBLE) AS total_value, "
+        f"{ts(f'max({d})')} AS last_updated FROM {src} WHERE {d} >= TIMESTAMP '1996-03-01' AND "
+        f"{d} < TIMESTAMP '1996-04-01' HAVING count(*) > 0)"
+        for t, src, d, v in [("orders", "orders_v", "created_on", "final_amount"),
+                             ("returns", "returns_v", "return_date", "total_actual_settlement"),
+                             ("settlement", "settlement_v", "return_date", "total_actual_settlement")])),
+})

@@ -493,3 +493,114 @@ def q_money_text(spark, sf):
                       M.pct(F.count_if(F.col("status") == S.DELIVERED_SETTLED), F.count("*")).alias("rate")))
     return by_brand.select("brand", TX.currency_text(F.col("value")).alias("settlement_value_text"),
                            TX.percent_text(F.col("rate")).alias("settlement_rate_text"))
+
+
+# --- merge (W1-W3, J8) ---------------------------------------------------------------
+from settlekit.operators import merge as MG  # noqa: E402
+from settlekit.operators import quality as QA  # noqa: E402
+
+MERGE_PAYLOAD = ["order_release_id", "order_line_id", "l_partkey", "l_suppkey", "l_quantity",
+                 "l_returnflag", "l_linestatus", "price", "disc", "tax", "upload_timestamp"]
+
+
+@register("merge_latest")
+def q_merge_latest(spark, sf):
+    master, incoming = tv.merge_inputs(spark, sf)
+    return present(MG.merge_latest(master, incoming).select(*MERGE_PAYLOAD))
+
+
+@register("duplicate_keys")
+def q_duplicate_keys(spark, sf):
+    _, incoming = tv.merge_inputs(spark, sf)
+    return present(MG.duplicate_keys(incoming).select(
+        "order_release_id", "order_line_id", "l_partkey", "upload_timestamp", "message"))
+
+
+@register("merge_stats")
+def q_merge_stats(spark, sf):
+    master, incoming = tv.merge_inputs(spark, sf)
+    return MG.merge_stats(master, incoming)
+
+
+@register("remove_duplicates")
+def q_remove_duplicates(spark, sf):
+    master, incoming = tv.merge_inputs(spark, sf)
+    return present(MG.remove_duplicates(incoming, master, "order_release_id").select(*MERGE_PAYLOAD))
+
+
+# --- data quality (J6, J7, A23-A28, A31) ---------------------------------------------------
+# --- fixed values: month checked by the registered month summary ----------------------
+EXISTING_YEAR, EXISTING_MONTH = 1996, 3
+# --- end fixed values ---------------------------------------------------------------------
+
+
+def _tables(spark, sf):
+    o, r, s = tv.inputs(spark, sf)
+    return {"orders": o, "returns": r, "settlements": s}
+
+
+def _raw_tables(spark, sf):
+    return {"orders": tv.raw_orders_v(spark, sf).select(F.col("final amount").alias("final_amount")),
+            "returns": tv.raw_returns_v(spark, sf), "settlements": tv.raw_settlement_v(spark, sf)}
+
+
+RAW_NUMERIC_FIELDS = ["final_amount", "customer_paid_amount", "total_actual_settlement"]
+
+
+def _quality_parts(spark, sf):
+    tables = _tables(spark, sf)
+    comp = QA.completeness(tables)
+    errors = QA.validation_errors(tables, _raw_tables(spark, sf), RAW_NUMERIC_FIELDS)
+    o_prev = tv.orders_v(spark, sf, tv.CUT_DATE)
+    return comp, errors, QA.orphans(tables["returns"], o_prev), QA.orphans(tables["settlements"], o_prev)
+
+
+@register("completeness")
+def q_completeness(spark, sf):
+    return QA.completeness(_tables(spark, sf))
+
+
+@register("orphan_returns")
+def q_orphan_returns(spark, sf):
+    o_prev = tv.orders_v(spark, sf, tv.CUT_DATE)
+    return present(QA.orphans(tv.returns_v(spark, sf), o_prev).drop("_ord"))
+
+
+@register("orphan_settlements")
+def q_orphan_settlements(spark, sf):
+    o_prev = tv.orders_v(spark, sf, tv.CUT_DATE)
+    return present(QA.orphans(tv.settlement_v(spark, sf), o_prev).drop("_ord"))
+
+
+@register("invalid_ids")
+def q_invalid_ids(spark, sf):
+    return QA.invalid_ids(_tables(spark, sf))
+
+
+@register("invalid_numerics")
+def q_invalid_numerics(spark, sf):
+    return QA.invalid_numerics(_raw_tables(spark, sf), RAW_NUMERIC_FIELDS)
+
+
+@register("validation_errors")
+def q_validation_errors(spark, sf):
+    return _quality_parts(spark, sf)[1]
+
+
+@register("quality_score")
+def q_quality_score(spark, sf):
+    return QA.quality_score(*_quality_parts(spark, sf))
+
+
+@register("quality_recommendations")
+def q_quality_recommendations(spark, sf):
+    return QA.quality_recommendations(*_quality_parts(spark, sf))
+
+
+@register("existing_month")
+def q_existing_month(spark, sf):
+    o, r, s = tv.inputs(spark, sf)
+    return QA.existing_month({"orders": (o, "created_on", "final_amount"),
+                              "returns": (r, "return_date", "total_actual_settlement"),
+                              "settlement": (s, "return_date", "total_actual_settlement")},
+                             EXISTING_YEAR, EXISTING_MONTH)
