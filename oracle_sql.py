@@ -885,3 +885,139 @@ ORACLE.update({
                              ("returns", "returns_v", "return_date", "total_actual_settlement"),
                              ("settlement", "settlement_v", "return_date", "total_actual_settlement")])),
 })
+
+
+# --- reports ----------------------------------------------------------------------------------
+def num2(x: str) -> str:
+    return f"format('{{:.2f}}', CAST(round(CAST({x} AS DECIMAL(38,10)), 2) AS DOUBLE))"
+
+
+def money2(x: str) -> str:
+    return f"'₹' || format('{{:,.2f}}', round(CAST({x} AS DECIMAL(38,10)), 2))"
+
+
+_GROUPS = {"cancelled": "Cancelled", "returned": "Returned", "settled": "Completed - Settled",
+           "pending": "Completed - Pending Settlement"}
+
+
+def report_numbers(src: str = "analysis", den: str = "all") -> str:
+    n = {k: f"count(*) FILTER (WHERE status_group = '{v}')" for k, v in _GROUPS.items()}
+    d = "count(*)" if den == "all" else f"(count(*) - {n['cancelled']})"
+    cols = ["count(*) AS total_orders"] + [f"{c} AS n_{k}" for k, c in n.items()]
+    cols += [f"{pct(c, 'count(*)')} AS p_{k}" for k, c in n.items()]
+    cols += [f"{msum('order_settlement')} AS order_total", f"{msum('return_settlement')} AS return_total",
+             f"{msum('profit_loss')} AS net",
+             f"{msum(chr(39).join(['CASE WHEN status_group = ', 'Completed - Pending Settlement', ' THEN final_amount END']))} AS pending_value",
+             "count(*) FILTER (WHERE status_changed_this_run) AS status_changes",
+             f"count(*) FILTER (WHERE status_changed_this_run AND status = {SETTLED}) AS settlement_changes",
+             f"count(*) FILTER (WHERE status_changed_this_run AND status = {PENDING}) AS pending_changes",
+             f"{pct(f'count(*) FILTER (WHERE status = {SETTLED})', d)} AS settlement_rate",
+             f"{pct(f'count(*) FILTER (WHERE {RET})', d)} AS return_rate"]
+    inner = f"SELECT {', '.join(cols)} FROM {src}"
+    return (f"SELECT *, CASE WHEN n_settled > 0 THEN CAST(order_total AS DOUBLE) / n_settled ELSE 0.0 END AS avg_profit, "
+            f"CASE WHEN n_returned > 0 THEN CAST(return_total AS DOUBLE) / n_returned ELSE 0.0 END AS avg_loss "
+            f"FROM ({inner})")
+
+
+def _lines_sql(src: str, block: int, items: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {block} AS block, '{i:03d}' AS item, {t} AS text FROM {src}"
+                              for i, t in enumerate(items))
+
+
+def _s(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+def _cnt(label: str, k: str) -> str:
+    return f"{_s(label + ': ')} || CAST(n_{k} AS VARCHAR) || ' (' || {num2('p_' + k)} || '%)'"
+
+
+def recon_report_sql(den: str) -> str:
+    from settlekit.plans.reports import RECOMMENDATIONS, TITLE
+    head = [_s(TITLE), "''", _s("=== Order Counts ==="), "'Total Orders: ' || CAST(total_orders AS VARCHAR)",
+            _cnt("Cancelled Orders", "cancelled"), _cnt("Returned Orders", "returned"),
+            _cnt("Completed and Settled Orders", "settled"),
+            _cnt("Completed but Pending Settlement Orders", "pending"), "''", _s("=== Financial Analysis ==="),
+            f"'Total Profit from Settled Orders: ' || {num2('order_total')}",
+            f"'Total Loss from Returned Orders: ' || {num2('abs(return_total)')}",
+            f"'Net Profit/Loss: ' || {num2('net')}", "''", _s("=== Settlement Information ==="),
+            f"'Total Return Settlement Amount: ' || {money2('abs(return_total)')}",
+            f"'Total Order Settlement Amount: ' || {money2('order_total')}",
+            f"'Potential Settlement Value (Pending): ' || {money2('pending_value')}",
+            "'Status Changes in This Run: ' || CAST(status_changes AS VARCHAR)",
+            "'Orders Newly Settled in This Run: ' || CAST(settlement_changes AS VARCHAR)",
+            "'Orders Newly Pending in This Run: ' || CAST(pending_changes AS VARCHAR)", "''",
+            _s("=== Key Metrics ==="), f"'Settlement Rate: ' || {num2('settlement_rate')} || '%'",
+            f"'Return Rate: ' || {num2('return_rate')} || '%'",
+            f"'Average Profit per Settled Order: ' || {num2('avg_profit')}",
+            f"'Average Loss per Returned Order: ' || {num2('abs(avg_loss)')}"]
+    track = ["''", _s("=== Settlement Tracking ==="), "'Current Month: 1998-07'", "''",
+             _s("New Pending Settlements:"), "'Count: ' || CAST(np_n AS VARCHAR)",
+             f"'Total Amount: ' || {money2('np_v')}", "''", _s("Resolved Settlements:"),
+             "'Count: ' || CAST(rs_n AS VARCHAR)", f"'Total Amount: ' || {money2('rs_v')}", "''",
+             _s("Settlement Resolution Rates by Month:")]
+    tail = ["''", _s("=== Recommendations ===")] + [_s(t) for t in RECOMMENDATIONS]
+    ctes = (TRACK + f", rn AS ({report_numbers('analysis', den)}), tr AS (SELECT (SELECT count(*) FROM np) AS np_n, "
+            f"(SELECT {msum('settlement_amount')} FROM np) AS np_v, (SELECT count(*) FROM rs) AS rs_n, "
+            f"(SELECT {msum('settlement_amount')} FROM rs) AS rs_v)")
+    body = " UNION ALL ".join([
+        _lines_sql("rn", 1, head), _lines_sql("tr", 2, track),
+        f"SELECT 4 AS block, month AS item, month || ': ' || {num2('resolution_rate')} || '%' AS text FROM rr",
+        _lines_sql("tr", 5, tail)])
+    return q(body, ctes)
+
+
+def _table_sql(src: str, rows: list[tuple[str, str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS ord, {_s(sec)} AS section, {_s(lbl)} AS label, {v} AS value FROM {src}"
+                              for i, (sec, lbl, v) in enumerate(rows))
+
+
+def _sections_rows() -> list[tuple[str, str, str]]:
+    def cnt(k):
+        return f"CAST(n_{k} AS VARCHAR) || ' (' || {num2('p_' + k)} || '%)'"
+    return [("Order Counts", "Total Orders", "CAST(total_orders AS VARCHAR)"),
+            ("Order Counts", "Cancelled Orders", cnt("cancelled")),
+            ("Order Counts", "Returned Orders", cnt("returned")),
+            ("Order Counts", "Completed and Settled", cnt("settled")),
+            ("Order Counts", "Pending Settlement", cnt("pending")),
+            ("Financial Analysis", "Total Profit from Settled Orders", money2("order_total")),
+            ("Financial Analysis", "Total Loss from Returned Orders", money2("abs(return_total)")),
+            ("Financial Analysis", "Net Profit/Loss", money2("net"))]
+
+
+def _fin_src(src: str) -> str:
+    return (f"SELECT {msum('order_settlement')} AS order_total, {msum('return_settlement')} AS return_total, "
+            f"{msum('profit_loss')} AS net, {msum('commission_cost')} AS commission, "
+            f"{msum('logistics_cost')} AS logistics FROM {src}")
+
+
+FIN_ROWS = [("Revenue Analysis", "Total Revenue", money2("order_total")),
+            ("Revenue Analysis", "Return Revenue", money2("abs(return_total)")),
+            ("Revenue Analysis", "Net Revenue", money2("net")),
+            ("Cost Analysis", "Commission Costs", money2("commission")),
+            ("Cost Analysis", "Logistics Costs", money2("logistics")),
+            ("Cost Analysis", "Total Costs", money2("commission + logistics"))]
+DQ_LABELS = [("order_release_id", "Order Release Id"), ("status", "Status"), ("profit_loss", "Profit Loss"),
+             ("created_on", "Created On")]
+
+
+def _dq_sql(src: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {i} AS ord, 'Data Completeness' AS section, '{lbl}' AS label, "
+        f"{num2(pct(f'count({c})', 'count(*)'))} || '%' AS value FROM {src}" for i, (c, lbl) in enumerate(DQ_LABELS))
+
+
+ORACLE.update({
+    "recon_report": recon_report_sql("all"),
+    "recon_report_active": recon_report_sql("active"),
+    "recon_sections": q(_table_sql("rn", _sections_rows()), f"rn AS ({report_numbers()})"),
+    "financial_report": q(_table_sql("fin", FIN_ROWS), f"fin AS ({_fin_src('analysis')})"),
+    "dq_report": q(_dq_sql("analysis") + " UNION ALL SELECT 100 AS ord, 'Validation Errors' AS section, "
+                   "field AS label, message AS value FROM errs", QUALITY),
+    "report_by_type": q(
+        f"SELECT *, 'reconciliation' AS report FROM ({_table_sql('rnf', _sections_rows())}) "
+        f"UNION ALL SELECT *, 'financial' AS report FROM ({_table_sql('finf', FIN_ROWS)}) "
+        f"UNION ALL SELECT *, 'data_quality' AS report FROM ({_dq_sql('af')})",
+        f"af AS (SELECT * FROM analysis WHERE {DATE_RANGE}), rnf AS ({report_numbers('af')}), "
+        f"finf AS ({_fin_src('af')})"),
+})

@@ -604,3 +604,44 @@ def q_existing_month(spark, sf):
                               "returns": (r, "return_date", "total_actual_settlement"),
                               "settlement": (s, "return_date", "total_actual_settlement")},
                              EXISTING_YEAR, EXISTING_MONTH)
+
+
+# --- reports (R1-R5) -----------------------------------------------------------------------
+from settlekit.plans import reports as RP  # noqa: E402
+
+
+@register("recon_report")
+def q_recon_report(spark, sf):
+    run, np_, rs = _tracking(spark, sf)
+    return RP.recon_report(run.analysis, np_, rs, run.run_month)
+
+
+@register("recon_report_active")
+def q_recon_report_active(spark, sf):
+    run, np_, rs = _tracking(spark, sf)
+    return RP.recon_report(run.analysis, np_, rs, run.run_month, denominator="active")
+
+
+@register("recon_sections")
+def q_recon_sections(spark, sf):
+    return RP.recon_sections(_a(spark, sf))
+
+
+@register("financial_report")
+def q_financial_report(spark, sf):
+    return RP.financial_report(_a(spark, sf))
+
+
+@register("dq_report")
+def q_dq_report(spark, sf):
+    return RP.dq_report(_a(spark, sf), _quality_parts(spark, sf)[1])
+
+
+@register("report_by_type")
+def q_report_by_type(spark, sf):
+    a = _a(spark, sf)
+    return (RP.report_by_type(a, "reconciliation", DATE_FROM, DATE_TO).withColumn("report", F.lit("reconciliation"))
+            .unionByName(RP.report_by_type(a, "financial", DATE_FROM, DATE_TO)
+                         .withColumn("report", F.lit("financial")))
+            .unionByName(RP.report_by_type(a, "data_quality", DATE_FROM, DATE_TO)
+                         .withColumn("report", F.lit("data_quality"))))
