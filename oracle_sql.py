@@ -1021,3 +1021,44 @@ ORACLE.update({
         f"af AS (SELECT * FROM analysis WHERE {DATE_RANGE}), rnf AS ({report_numbers('af')}), "
         f"finf AS ({_fin_src('af')})"),
 })
+
+
+# --- sources: the written extracts read back ---------------------------------------------------
+_RAW_COLS = ["order release id", "order line id", "order status", "is_ship_rel", " created on ", "final amount",
+             "brand", "seller sku code", "zipcode", "gst_number", "flag"]
+
+
+def _nz(c: str) -> str:
+    return f"NULLIF(\"{c}\", '')"
+
+
+MESSY = ("messy AS (SELECT *, CAST(\"order release id\" AS BIGINT) AS k, brand IS NOT NULL AND "
+         "CAST(\"order release id\" AS BIGINT) % 101 = 0 AS is_long, brand IS NOT NULL AND "
+         "CAST(\"order release id\" AS BIGINT) % 101 <> 0 AND CAST(\"order release id\" AS BIGINT) % 103 = 0 "
+         "AS is_split FROM raw_orders)")
+_OUT = [c.strip() for c in _RAW_COLS]
+_plain = ", ".join(f"{_nz(c)} AS \"{o}\"" for c, o in zip(_RAW_COLS, _OUT))
+_first = ", ".join([f"{_nz(c)} AS \"{o}\"" for c, o in zip(_RAW_COLS[:7], _OUT[:7])]
+                   + [f"CAST(NULL AS VARCHAR) AS \"{o}\"" for o in _OUT[7:]])
+_second = ", ".join(["'tail' AS \"order release id\""]
+                    + [f"{_nz(c)} AS \"{o}\"" for c, o in zip(_RAW_COLS[7:], _OUT[1:5])]
+                    + [f"CAST(NULL AS VARCHAR) AS \"{o}\"" for o in _OUT[5:]])
+SCANNED = (f"scanned AS (SELECT {_plain} FROM messy WHERE NOT is_long AND NOT is_split "
+           f"UNION ALL SELECT {_first} FROM messy WHERE is_split UNION ALL SELECT {_second} FROM messy WHERE is_split)")
+_line = " || chr(9) || ".join(
+    f"COALESCE({'brand || chr(9) || ' + repr('extra') if c == 'brand' else chr(34) + c + chr(34)}, '')"
+    for c in _RAW_COLS)
+SCAN_CTES = RAWQ + ", " + MESSY + ", " + SCANNED
+SCANNED_NAMES = {k: v.strip() for k, v in RAW_NAMES.items()}
+
+ORACLE.update({
+    "scan_tolerant": q("SELECT * FROM scanned", SCAN_CTES),
+    "bad_lines": q("SELECT \"order release id\" AS first_field, 'Skipping line: expected 11 fields, saw 12' "
+                   f"AS message, {_line} AS value FROM messy WHERE is_long", SCAN_CTES),
+    "load_stats": q(_valid_rows("orders", "default", SCANNED_NAMES, "scanned"), SCAN_CTES),
+    "csv_repair": q(
+        "SELECT " + ", ".join(
+            (f"CASE WHEN brand IS NOT NULL AND CAST(\"order release id\" AS BIGINT) % 107 = 0 THEN brand || ' line, two' "
+             f"ELSE brand END AS brand") if c == "brand" else f"{_nz(c)} AS \"{c.strip()}\"" for c in _RAW_COLS)
+        + " FROM raw_orders", RAWQ),
+})

@@ -645,3 +645,61 @@ def q_report_by_type(spark, sf):
                          .withColumn("report", F.lit("financial")))
             .unionByName(RP.report_by_type(a, "data_quality", DATE_FROM, DATE_TO)
                          .withColumn("report", F.lit("data_quality"))))
+
+
+# --- sources (S1-S4, S7, P17) ----------------------------------------------------------------
+from settlekit.sources import csv as CSV  # noqa: E402
+from settlekit.sources import extracts as EX  # noqa: E402
+
+
+def _scan_orders(spark, sf):
+    paths = EX.materialize(spark, sf)
+    return CSV.scan_tolerant(spark, paths["orders"], quote=None)
+
+
+@register("scan_tolerant")
+def q_scan_tolerant(spark, sf):
+    rows, _ = _scan_orders(spark, sf)
+    return rows.drop("_source_file", "_ord")
+
+
+@register("bad_lines")
+def q_bad_lines(spark, sf):
+    _, bad = _scan_orders(spark, sf)
+    return bad.select("first_field", "message", "value")
+
+
+@register("load_stats")
+def q_load_stats(spark, sf):
+    rows, _ = _scan_orders(spark, sf)
+    return CL.clean(rows, "orders", "default", tv.RUN_TS).stats
+
+
+@register("route_files")
+def q_route_files(spark, sf):
+    paths = EX.materialize(spark, sf)
+    return CSV.list_landing(spark, paths["landing"]).select("extract", "file_type", "period")
+
+
+@register("file_period")
+def q_file_period(spark, sf):
+    paths = EX.materialize(spark, sf)
+    listing = CSV.list_landing(spark, paths["landing"])
+    return listing.where(F.col("file_type").isNotNull()).select("extract", "period")
+
+
+@register("csv_repair")
+def q_csv_repair(spark, sf):
+    paths = EX.materialize(spark, sf)
+    return CSV.read_repaired(spark, paths["repair"])
+
+
+@register("repair_job")
+def q_repair_job(spark, sf):
+    """Repaired read -> repair coercion -> CSV written (K7) -> read back."""
+    from settlekit import sinks as SK
+    paths = EX.materialize(spark, sf)
+    fixed = CL.clean(CSV.read_repaired(spark, paths["repair"]), "orders", "repair", tv.RUN_TS).df
+    out = f"{paths['root']}/repaired/orders"
+    SK.write_repaired_csv(fixed, out)
+    return spark.read.option("header", True).option("escape", "\\").option("multiLine", True).csv(out)
