@@ -1062,3 +1062,18 @@ ORACLE.update({
              f"ELSE brand END AS brand") if c == "brand" else f"{_nz(c)} AS \"{c.strip()}\"" for c in _RAW_COLS)
         + " FROM raw_orders", RAWQ),
 })
+
+
+# --- streaming ingest: cleaned returns, latest per key ---------------------------------------------
+def _typed_clean(file_type: str, names: dict[str, str], src: str) -> str:
+    return "SELECT " + ", ".join(f"{e} AS {s.name}" for s, e in clean_exprs(file_type, "default", names)) + \
+        f" FROM {src}"
+
+
+_RET_PAYLOAD = [s.name for s in _S.RETURNS if s.name not in ("order_release_id", "order_line_id")]
+_RET_ORDER = ", ".join(["upload_timestamp DESC NULLS LAST"]
+                       + [f"{c} DESC NULLS LAST" for c in _RET_PAYLOAD if c != "upload_timestamp"])
+ORACLE["incremental_merge"] = q(
+    "SELECT " + ", ".join(f"{_present_expr(s.name, s)} AS {s.name}" for s in _S.RETURNS)
+    + f" FROM (SELECT *, row_number() OVER (PARTITION BY order_release_id, order_line_id ORDER BY {_RET_ORDER}) AS rn "
+    "FROM cr) WHERE rn = 1", RAWQ + f", cr AS ({_typed_clean('returns', RET_NAMES, 'raw_returns')})")

@@ -20,10 +20,14 @@ SRC = "_source"        # 0 = master, 1 = incoming
 ORD = "_ord"
 
 
-def _ordering(df: DataFrame, ts_col: str, order_col: str | None) -> F.Column:
+def _ordering(df: DataFrame, ts_col: str, order_col: str | None, payload: list[str]) -> F.Column:
+    """Later upload, then incoming over master, then the row order column;
+    without one, the remaining columns decide (a total order on distinct rows)."""
     parts = [F.col(ts_col), F.col(SRC)]
     if order_col and order_col in df.columns:
         parts.append(F.col(order_col))
+    else:
+        parts.append(F.struct(*[F.col(c) for c in payload if c != ts_col]))
     return F.struct(*parts)
 
 
@@ -39,7 +43,7 @@ def merge_latest(master: DataFrame, incoming: DataFrame, keys: list[str] | None
     keys = keys or KEY
     u = tag_sources(master, incoming)
     payload = [c for c in u.columns if c not in keys and c != SRC]
-    win = F.max_by(F.struct(*[F.col(c) for c in payload]), _ordering(u, ts_col, order_col))
+    win = F.max_by(F.struct(*[F.col(c) for c in payload]), _ordering(u, ts_col, order_col, payload))
     return (u.groupBy(*keys).agg(win.alias("_w"))
              .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in payload]))
 

@@ -703,3 +703,32 @@ def q_repair_job(spark, sf):
     out = f"{paths['root']}/repaired/orders"
     SK.write_repaired_csv(fixed, out)
     return spark.read.option("header", True).option("escape", "\\").option("multiLine", True).csv(out)
+
+
+# --- streaming (S8) ----------------------------------------------------------------------------
+from settlekit.streaming import incremental as INC  # noqa: E402
+
+_STREAMED: dict = {}
+
+
+def _streamed(spark, sf, files_per_batch):
+    key = (spark.sparkContext.applicationId, sf, files_per_batch)
+    if key not in _STREAMED:
+        p = EX.materialize_arrivals(spark, sf)
+        tag = f"f{files_per_batch or 0}"
+        _STREAMED[key] = INC.incremental_merge(spark, p["stream_glob"], "returns", f"{p['stream_master']}-{tag}",
+                                               f"{p['stream_ckpt']}-{tag}", tv.RUN_TS, p["stream_header"],
+                                               files_per_batch=files_per_batch)
+    return _STREAMED[key]
+
+
+@register("incremental_merge")
+def q_incremental_merge(spark, sf):
+    """Returns extract landed in two arrivals, ingested by one stream run."""
+    return present(_streamed(spark, sf, None))
+
+
+@register("incremental_merge_batches")
+def q_incremental_merge_batches(spark, sf):
+    """Same, four files per micro-batch: the master is upserted batch by batch."""
+    return present(_streamed(spark, sf, 4))

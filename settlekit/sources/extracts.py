@@ -90,3 +90,20 @@ def materialize(spark: SparkSession, sf_dir: str) -> dict[str, str]:
      .option("escape", '"').csv(paths["repair"]))
     _DONE[key] = paths
     return paths
+
+
+def materialize_arrivals(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Two arrivals of the returns extract (before / from the cut date),
+    landed as separate folders for the incremental (streaming) ingest."""
+    paths = materialize(spark, sf_dir)
+    if "stream" in paths:
+        return paths
+    raw = tv.raw_returns_v(spark, sf_dir)
+    stream = f"{paths['root']}/stream"
+    cut = F.col("upload_timestamp") < F.lit(tv.CUT_DATE)
+    raw.where(cut).write.option("header", True).csv(f"{stream}/returns-1998-06")
+    raw.where(~cut).write.option("header", True).csv(f"{stream}/returns-1998-07")
+    paths.update({"stream": stream, "stream_glob": f"{stream}/returns-*/*.csv",
+                  "stream_header": raw.columns, "stream_master": f"{paths['root']}/masters",
+                  "stream_ckpt": f"{paths['root']}/stream-checkpoint"})
+    return paths
