@@ -2,9 +2,9 @@
 
 Plan shape (all keyed by ``order_release_id``):
 
-    returns     --partial agg min_by(payload, _ord)--\\
-    settlements --partial agg min_by(payload, _ord)---+-- left joins with orders
-    previous    --partial agg max_by(status, order)--/
+    returns     --partial agg min(struct(order, payload))--\\
+    settlements --partial agg min(struct(order, payload))---+-- left joins with orders
+    previous    --partial agg max(struct(order, status))----/
 
 Each related table is reduced to one row per order *before* the shuffle
 (map-side combine), so a hot order key cannot blow up a join: every join
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from settlekit import schema as S
 from settlekit.functions import status as X
+from settlekit.functions.dates import ts_lit
 
 KEY = "order_release_id"
 ORD = "_ord"
@@ -46,21 +47,24 @@ def _ordering(df: DataFrame, order_col: str | None) -> F.Column:
 
 def first_per_order(df: DataFrame, payload: list[str], order_col: str | None = ORD,
                     alias: str = "first") -> DataFrame:
-    """First related record per order (W4): ``min_by(struct(payload), order)``.
+    """First related record per order.
 
-    Missing payload columns are NULL (optional settlement columns)."""
+    ``min(struct(order, payload))``: a partial aggregate (combined map-side);
+    when the order is not unique the payload breaks the tie, so the winner
+    never depends on partitioning. Missing payload columns are NULL
+    (optional settlement columns)."""
     fields = [(F.col(c) if c in df.columns else F.lit(None).cast(S.MONEY)).alias(c) for c in payload]
-    return (df.groupBy(KEY)
-              .agg(F.min_by(F.struct(*fields), _ordering(df, order_col)).alias(alias)))
+    best = F.min(F.struct(_ordering(df, order_col).alias("o"), F.struct(*fields).alias("p")))
+    return df.groupBy(KEY).agg(best.getField("p").alias(alias))
 
 
 def previous_status(prev: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
     """Status per order in the previous run; duplicates: the last row wins."""
     cols = [c for c in (order_cols or ["order_line_id", "status"]) if c in prev.columns]
+    last = F.max(F.struct(F.struct(*[F.col(c) for c in cols]).alias("o"), F.col("status").alias("s")))
     return (prev.where(F.col(KEY).isNotNull())
                 .groupBy(KEY)
-                .agg(F.max_by(F.col("status"), F.struct(*[F.col(c) for c in cols]))
-                      .alias("previous_status")))
+                .agg(last.getField("s").alias("previous_status")))
 
 
 def analyze(orders: DataFrame, returns: DataFrame, settlements: DataFrame,
@@ -97,7 +101,7 @@ def analyze(orders: DataFrame, returns: DataFrame, settlements: DataFrame,
             .withColumn("order_settlement", set_amt)
             .withColumn("status_changed_this_run", changed)
             .withColumn("settlement_update_run_timestamp",
-                        F.when(changed, F.lit(run_ts).cast("timestamp")))
+                        F.when(changed, ts_lit(run_ts)))
             .withColumn("net_revenue", F.col("s.total_actual_settlement"))
             .withColumn("commission_cost", F.col("s.total_commission"))
             .withColumn("logistics_cost", F.col("s.total_logistics_deduction"))

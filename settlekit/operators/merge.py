@@ -1,7 +1,7 @@
 """Keep-latest upsert of master tables.
 
 ``merge_latest`` is one aggregation over ``master ∪ incoming`` keyed by the
-record key: ``max_by(row, (upload_timestamp, source, order))``. Being an
+record key: ``max(struct((upload_timestamp, source, order), row))``. Being an
 aggregate, it is combined map-side first, so a key with millions of copies
 is reduced inside each input partition before anything is shuffled (a
 window ``row_number`` would instead sort every copy of a hot key in one
@@ -43,8 +43,9 @@ def merge_latest(master: DataFrame, incoming: DataFrame, keys: list[str] | None
     keys = keys or KEY
     u = tag_sources(master, incoming)
     payload = [c for c in u.columns if c not in keys and c != SRC]
-    win = F.max_by(F.struct(*[F.col(c) for c in payload]), _ordering(u, ts_col, order_col, payload))
-    return (u.groupBy(*keys).agg(win.alias("_w"))
+    win = F.max(F.struct(_ordering(u, ts_col, order_col, payload).alias("o"),
+                         F.struct(*[F.col(c) for c in payload]).alias("p")))
+    return (u.groupBy(*keys).agg(win.getField("p").alias("_w"))
              .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in payload]))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from settlekit import schema as S
 from settlekit.functions import status as X
+from settlekit.functions.dates import ts_lit
 
 
 def _d(c: Column) -> Column:
@@ -233,8 +234,8 @@ def report_ratios(a: DataFrame, denominator: str = "all") -> DataFrame:
 def filter_dates(a: DataFrame, date_from: _dt.date, date_to: _dt.date, col: str = "created_on") -> DataFrame:
     """Inclusive date range on the date part, written as a half-open
     timestamp range so Parquet min/max statistics can prune row groups."""
-    lo = F.lit(_dt.datetime.combine(date_from, _dt.time())).cast("timestamp")
-    hi = F.lit(_dt.datetime.combine(date_to + _dt.timedelta(days=1), _dt.time())).cast("timestamp")
+    lo = ts_lit(date_from)
+    hi = ts_lit(date_to + _dt.timedelta(days=1))
     return a.where((F.col(col) >= lo) & (F.col(col) < hi))
 
 

@@ -12,6 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from settlekit.functions.dates import ts_lit
 from settlekit.operators.metrics import _d, money_sum, pct
 
 ID_PATTERN = "^[A-Z0-9]+$"
@@ -147,7 +148,7 @@ def existing_month(tables: dict[str, tuple[DataFrame, str, str]], year: int, mon
     parts = []
     for name, (df, date_col, value_col) in tables.items():
         d = F.col(date_col)
-        parts.append(df.where(d.isNotNull() & (d >= F.lit(lo)) & (d < F.lit(hi)))
+        parts.append(df.where(d.isNotNull() & (d >= ts_lit(lo)) & (d < ts_lit(hi)))
                      .agg(F.count("*").alias("count"), _d(money_sum(F.col(value_col))).alias("total_value"),
                           F.max(d).alias("last_updated"))
                      .where(F.col("count") > 0)

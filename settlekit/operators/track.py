@@ -100,8 +100,8 @@ def resolution_patterns(resolved: DataFrame) -> DataFrame:
     d = F.col("d")
     return (t.agg(F.count(d).alias("n"),
                   F.avg(d.cast("double")).alias("average_resolution_time"),
-                  F.min(d).alias("min_resolution_time"),
-                  F.max(d).alias("max_resolution_time"),
+                  F.min(d).cast("long").alias("min_resolution_time"),
+                  F.max(d).cast("long").alias("max_resolution_time"),
                   F.count_if(d <= 30).alias("days_0_30"),
                   F.count_if((d > 30) & (d <= 60)).alias("days_31_60"),
                   F.count_if((d > 60) & (d <= 90)).alias("days_61_90"),
@@ -143,7 +143,7 @@ def status_history(snapshots: DataFrame) -> DataFrame:
     below sees at most one row per run for an order — its partitions are
     bounded by the number of runs, not by the data."""
     per_run = (snapshots.groupBy(KEY, "run_ts")
-               .agg(F.max_by("status", F.struct("order_line_id", "status")).alias("status")))
+               .agg(F.max(F.struct("order_line_id", "status")).getField("status").alias("status")))
     from pyspark.sql import Window
     w = Window.partitionBy(KEY).orderBy("run_ts")
     return (per_run.withColumn("from_status", F.lag("status").over(w))
@@ -165,8 +165,9 @@ def settlement_report(a: DataFrame, new_pend: DataFrame, resolved: DataFrame,
     rates = resolution_rates(a)
     # Per-order history summary: last status, first settlement amount.
     hist = (a.groupBy(KEY)
-             .agg(F.max_by("status", F.struct("order_line_id", "status")).alias("current_status"),
-                  F.min_by("order_settlement", F.struct("order_line_id", "status")).alias("amount")))
+             .agg(F.max(F.struct("order_line_id", "status")).getField("status").alias("current_status"),
+                  F.min(F.struct("order_line_id", "status", "order_settlement"))
+                  .getField("order_settlement").alias("amount")))
     summary = hist.agg(F.count_if(F.col("current_status") == S.DELIVERED_PENDING)
                        .alias("total_pending_settlements"),
                        _d(money_sum(F.col("amount"))).alias("total_settlement_value"))

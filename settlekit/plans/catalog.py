@@ -21,6 +21,7 @@ from settlekit.operators import metrics as M
 from settlekit.operators import track as T
 from settlekit.plans.present import present
 from settlekit.sources import testviews as tv
+from settlekit.functions import dates as DT
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -315,8 +316,8 @@ def q_settlement_report(spark, sf):
 @register("status_history")
 def q_status_history(spark, sf):
     run = _run(spark, sf)
-    snaps = (run.previous.withColumn("run_ts", F.lit(run.previous_run_ts).cast("timestamp"))
-             .unionByName(run.analysis.withColumn("run_ts", F.lit(run.run_ts).cast("timestamp"))))
+    snaps = (run.previous.withColumn("run_ts", DT.ts_lit(run.previous_run_ts))
+             .unionByName(run.analysis.withColumn("run_ts", DT.ts_lit(run.run_ts))))
     return present(T.status_history(snaps))
 
 

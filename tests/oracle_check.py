@@ -71,8 +71,8 @@ def compare(spark_pdf, duck_pdf):
         a, b = bad[0]
         diff = [(c, x, y) for c, x, y in zip(sc, a, b) if x != y]
         return f"{len(bad)} rows differ; first: {diff[:4]}"
-    kinds = [(c, spark_pdf[c].dtype.kind, duck_pdf[c].dtype.kind) for c in sc
-             if spark_pdf[c].dtype.kind != duck_pdf[c].dtype.kind]
+    kinds = [(c, str(spark_pdf[c].dtype), str(duck_pdf[c].dtype)) for c in sc
+             if str(spark_pdf[c].dtype) != str(duck_pdf[c].dtype)]
     return f"ok ({len(sr)} rows){' dtype ' + str(kinds) if kinds else ''}"
 
 
