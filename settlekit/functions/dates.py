@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,8 +48,28 @@ def _pivot_two_digit_year(t: Column) -> Column:
     return F.when(F.year(t) >= 2069, t - F.expr("INTERVAL 100 YEARS")).otherwise(t)
 
 
+def shape_of(fmt: str) -> str:
+    """A regex accepting every text the layout could parse (and more):
+    a two-letter field is two digits, any other field one or more digits,
+    other characters literal. Used to skip hopeless parse attempts, whose
+    failure is expensive; the layout itself still decides."""
+    out, i = [], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        if ch.isalpha():
+            j = i
+            while j < len(fmt) and fmt[j] == ch:
+                j += 1
+            out.append(r"\d{2}" if j - i == 2 else r"\d+")
+            i = j
+        else:
+            out.append(re.escape(ch))
+            i += 1
+    return "^" + "".join(out) + "$"
+
+
 def _try_format(v: Column, fmt: str) -> Column:
-    t = F.try_to_timestamp(v, F.lit(fmt))
+    t = F.when(v.rlike(shape_of(fmt)), F.try_to_timestamp(v, F.lit(fmt)))
     if TWO_DIGIT_YEAR in fmt and "yyyy" not in fmt:
         t = _pivot_two_digit_year(t)
     return t

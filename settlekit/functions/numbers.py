@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from settlekit.schema import INTEGER, MONEY
 
 # --- fixed values: characters removed before parsing a money text -------------
-MONEY_NOISE = "[₹,]"
+MONEY_NOISE = "₹,"
 # --- end fixed values ---------------------------------------------------------------
 
 
@@ -30,10 +30,9 @@ def parse_number_default(raw: Column, kind: str, min_value: float | None = None,
     """missing/'' -> 0; strip ₹ and ','; trailing % -> /100; clamp;
     failure -> 0."""
     s = raw.cast("string")
-    v = F.trim(F.regexp_replace(s, MONEY_NOISE, ""))
+    v = F.trim(F.translate(s, MONEY_NOISE, ""))
     pct = v.endswith("%")
-    body = F.when(pct, F.regexp_replace(v, "%$", "")).otherwise(v)
-    x = F.when(pct, body.try_cast("double") / 100).otherwise(body.try_cast("double"))
+    x = F.when(pct, v.substr(F.lit(1), F.length(v) - 1).try_cast("double") / 100).otherwise(v.try_cast("double"))
     if min_value is not None:
         x = F.when(x < min_value, F.lit(float(min_value))).otherwise(x)
     if max_value is not None:

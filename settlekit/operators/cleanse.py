@@ -46,6 +46,7 @@ class CleanResult:
     df: DataFrame
     issues: DataFrame
     stats: DataFrame
+    column_issues: list = None
 
 
 def _c(name: str) -> Column:
@@ -67,13 +68,6 @@ def drop_empty_rows(raw: DataFrame) -> DataFrame:
     return raw.na.drop(how="all")
 
 
-def add_upload_stamp(df: DataFrame, run_ts: Column) -> DataFrame:
-    """Stamp rows with the run time when the extract has no upload time."""
-    if "upload_timestamp" in df.columns:
-        return df
-    return df.withColumn("upload_timestamp", run_ts.cast("string"))
-
-
 def _default_fill(spec: S.ColumnSpec, policy: str, run_ts: Column) -> Column:
     if spec.name == "upload_timestamp":
         return run_ts
@@ -113,7 +107,6 @@ def coerce(raw: Column, spec: S.ColumnSpec, policy: str, run_ts: Column) -> Colu
 def clean(raw: DataFrame, file_type: str, policy: str = "default",
           run_ts: _dt.datetime | None = None) -> CleanResult:
     """Rename, fill, coerce and check one raw extract."""
-    spark = raw.sparkSession
     ts = D.ts_lit(run_ts or _dt.datetime.now())
     specs = S.SPECS[file_type]
     df = rename_columns(drop_empty_rows(raw), file_type)
@@ -139,8 +132,16 @@ def clean(raw: DataFrame, file_type: str, policy: str = "default",
         out.append(_default_fill(spec, policy, ts).alias(spec.name))
     lineage = [_c(c) for c in df.columns if c.startswith("_")]
     cleaned = df.select(*out, *lineage)
+    issues, stats = summarize(cleaned, file_type, column_issues)
+    return CleanResult(cleaned, issues, stats, column_issues)
+
 
-    required = [s.name for s in specs if s.required and s.name in cleaned.columns]
+def summarize(cleaned: DataFrame, file_type: str,
+              column_issues: list[tuple[str, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Issues and statistics of a cleansed (typed) frame: one aggregate gives
+    the row counts and the NULL count of every required column."""
+    spark = cleaned.sparkSession
+    required = [s.name for s in S.SPECS[file_type] if s.required and s.name in cleaned.columns]
     row_ok = F.lit(True)
     for r in required:
         row_ok = row_ok & _c(r).isNotNull()
@@ -149,7 +150,7 @@ def clean(raw: DataFrame, file_type: str, policy: str = "default",
     stats = one.select(F.lit(file_type).alias("file_type"), "total_rows", "valid_rows",
                        (F.col("total_rows") - F.col("valid_rows")).alias("invalid_rows"))
     issues = spark.createDataFrame(
-        [(file_type, sev, 0, col, msg, None) for sev, col, msg in column_issues], ISSUE_SCHEMA)
+        [(file_type, sev, 0, col, msg, None) for sev, col, msg in (column_issues or [])], ISSUE_SCHEMA)
     if required:
         nulls = one.select(F.explode(F.array(*[
             F.struct(F.lit(r).alias("column"), F.col(f"_n{i}").alias("n")) for i, r in enumerate(required)
@@ -160,7 +161,7 @@ def clean(raw: DataFrame, file_type: str, policy: str = "default",
                             F.col("kv.n")).alias("message"),
             F.lit(None).cast("string").alias("value"))
         issues = issues.unionByName(nulls)
-    return CleanResult(cleaned, issues, stats)
+    return issues, stats
 
 
 def required_nulls(result: CleanResult) -> DataFrame:
@@ -203,7 +204,3 @@ def fill_missing(df: DataFrame, file_type: str, policy: str, run_ts: _dt.datetim
 def essential_projection(df: DataFrame, file_type: str) -> DataFrame:
     """The schema columns present (missing ones are reported by clean)."""
     return df.select(*[_c(s.name) for s in S.SPECS[file_type] if s.name in df.columns])
-
-
-def emptyish(spark: SparkSession) -> DataFrame:  # pragma: no cover - helper for callers
-    return spark.createDataFrame([], ISSUE_SCHEMA)

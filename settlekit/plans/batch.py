@@ -54,10 +54,14 @@ def _typed_empty(spark: SparkSession, entity: str) -> DataFrame:
 def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.datetime) -> dict[str, DataFrame]:
     """Route the landed extracts, cleanse them and upsert each master once.
 
-    All extracts of an entity are unioned and merged in one job; the
-    extract's rank (name order, as the files were landed) leads the row
-    order, so a later extract wins a tie on upload time. Returns the issues
-    and statistics frames of this ingest."""
+    Each extract is parsed exactly once, into a raw staging table; the
+    cleansed rows go to a second staging table; the merge and the
+    statistics read the staged Parquet (no CSV is parsed twice, and a lost
+    executor recomputes from the staging tables, not from the landing files).
+    All extracts of an entity are merged in one job; the extract's rank (name
+    order, as landed) leads the row order, so a later extract wins a tie on
+    upload time. Returns the issues and statistics frames of this ingest."""
+    staging = f"{warehouse}/staging/{run_ts:%Y%m%d_%H%M%S}"
     listing = CSV.list_landing(spark, landing).where(F.col("file_type").isNotNull())
     # File metadata only (one row per landed extract), bounded by the number
     # of files, so it may come to the driver.
@@ -69,15 +73,23 @@ def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.dateti
             continue
         cleaned = []
         for rank, name in enumerate(names):
-            rows, bad = CSV.scan_tolerant(spark, f"{landing.rstrip('/')}/{name}")
+            raw, header = CSV.scan_raw(spark, f"{landing.rstrip('/')}/{name}")
+            raw_path = f"{staging}/raw/{entity}/{rank:05d}"
+            raw.write.parquet(raw_path)
+            rows, bad = CSV.split_raw(spark.read.parquet(raw_path), header)
             result = CL.clean(rows, entity, "default", run_ts)
-            cleaned.append(result.df.drop("_source_file")
-                           .withColumn("_ord", F.struct(F.lit(rank).alias("extract"), F.col("_ord").alias("row"))))
-            issues.append(result.issues.unionByName(
+            clean_path = f"{staging}/clean/{entity}/{rank:05d}"
+            (result.df.drop("_source_file")
+             .withColumn("_ord", F.struct(F.lit(rank).alias("extract"), F.col("_ord").alias("row")))
+             .write.parquet(clean_path))
+            staged = spark.read.parquet(clean_path)
+            cleaned.append(staged)
+            part_issues, part_stats = CL.summarize(staged.drop("_ord"), entity, result.column_issues)
+            issues.append(part_issues.unionByName(
                 bad.select(F.lit(entity).alias("file_type"), F.lit("warning").alias("severity"),
                            F.lit(None).cast("long").alias("row_index"), F.lit("line").alias("column"),
                            "message", "value")))
-            stats.append(result.stats)
+            stats.append(part_stats)
         master = _master(spark, warehouse, entity)
         base = master if master is not None else _typed_empty(spark, entity)
         merged = MG.merge_latest(base, _union(cleaned)).drop("_ord")

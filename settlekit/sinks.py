@@ -55,8 +55,12 @@ def current_master(spark: SparkSession, root: str, entity: str) -> str | None:
 
 
 def write_analysis(a: DataFrame, path: str) -> None:
-    """K2: analysis table partitioned by month (prunes month filters)."""
-    a.write.mode("overwrite").partitionBy("settlement_month").parquet(path)
+    """K2: analysis table partitioned by month (prunes month filters).
+
+    The ``rebalance`` hint lets AQE shuffle rows by month into partitions of
+    the advisory size, splitting a hot month over several tasks, so each
+    task writes few month folders (not one file per task and month)."""
+    a.hint("rebalance", "settlement_month").write.mode("overwrite").partitionBy("settlement_month").parquet(path)
 
 
 def write_anomalies(anoms: DataFrame, path: str) -> bool:

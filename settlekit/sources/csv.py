@@ -48,12 +48,10 @@ def lineage(df: DataFrame) -> DataFrame:
     })
 
 
-def scan_tolerant(spark: SparkSession, path: str, quote: str | None = '"',
-                  multiline: bool = False) -> tuple[DataFrame, DataFrame]:
-    """All-text scan; returns (rows, bad_lines).
-
-    ``rows`` keeps the raw header names (trimmed), drops all-NULL rows and
-    carries ``_source_file`` / ``_ord``; ``bad_lines`` lists skipped records."""
+def scan_raw(spark: SparkSession, path: str, quote: str | None = '"',
+             multiline: bool = False) -> tuple[DataFrame, list[str]]:
+    """The all-text scan with a ``_long`` flag and the record text of long
+    records (``_bad``), before they are split off. Returns (frame, header)."""
     sep, names = sniff(spark, path)
     # Whether a record is malformed must not depend on the columns a query
     # happens to read: with CSV column pruning the parser only tokenizes the
@@ -70,20 +68,36 @@ def scan_tolerant(spark: SparkSession, path: str, quote: str | None = '"',
     # test reads the corrupt text through coalesce with the first field.
     text = F.coalesce(F.col(CORRUPT), F.col(f"`{names[0]}`"))
     n_delims = _delimiters_outside_quotes(text, sep)
-    expected = len(names) - 1
-    long_row = F.col(CORRUPT).isNotNull() & (n_delims > expected)
-    raw = raw.withColumn("_long", F.coalesce(long_row, F.lit(False)))
+    long_row = F.col(CORRUPT).isNotNull() & (n_delims > len(names) - 1)
+    return (raw.select(*[F.col(f"`{c}`") for c in names], "_source_file", "_ord",
+                       F.coalesce(long_row, F.lit(False)).alias("_long"),
+                       F.when(long_row, text).alias("_bad"),
+                       F.when(long_row, n_delims + 1).alias("_fields")), names)
+
+
+def split_raw(raw: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad_lines) of a raw scan: long records are skipped and
+    reported; header names are trimmed; all-NULL rows are dropped."""
     bad = raw.where("_long").select(
         F.col("_source_file").alias("file"), F.col(f"`{names[0]}`").alias("first_field"),
-        F.format_string("Skipping line: expected %d fields, saw %d", F.lit(len(names)), n_delims + 1)
-        .alias("message"), text.alias("value"))
-    visible = [c for c in names]
+        F.format_string("Skipping line: expected %d fields, saw %d", F.lit(len(names)), F.col("_fields"))
+        .alias("message"), F.col("_bad").alias("value"))
     rows = (raw.where(~F.col("_long"))
-            .select(*[F.col(f"`{c}`").alias(c.strip()) for c in visible], "_source_file", "_ord")
-            .na.drop(how="all", subset=[c.strip() for c in visible]))
+            .select(*[F.col(f"`{c}`").alias(c.strip()) for c in names], "_source_file", "_ord")
+            .na.drop(how="all", subset=[c.strip() for c in names]))
     return rows, bad
 
 
+def scan_tolerant(spark: SparkSession, path: str, quote: str | None = '"',
+                  multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All-text scan; returns (rows, bad_lines).
+
+    ``rows`` keeps the raw header names (trimmed), drops all-NULL rows and
+    carries ``_source_file`` / ``_ord``; ``bad_lines`` lists skipped records."""
+    raw, names = scan_raw(spark, path, quote, multiline)
+    return split_raw(raw, names)
+
+
 def file_type_of(name: Column) -> Column:
     """S3: route a file by its name; NULL = unknown (warned and skipped)."""
     low = F.lower(name)
