@@ -78,8 +78,8 @@ def _try_format(v: Column, fmt: str) -> Column:
 def time_only(v: Column, run_ts: Column) -> Column:
     """``MM:SS.0`` -> the run day at hour = minutes / 60, minute = minutes % 60,
     second = seconds (seconds parsed as digits, not by stripping zeros)."""
-    minutes = F.regexp_extract(v, r"^(\d{2}):", 1).cast("int")
-    seconds = F.regexp_extract(v, r":(\d{2})\.0$", 1).cast("int")
+    minutes = F.regexp_extract(v, r"^(\d{2}):", 1).try_cast("int")
+    seconds = F.regexp_extract(v, r":(\d{2})\.0$", 1).try_cast("int")
     return F.when(v.rlike(TIME_ONLY) & (F.floor(minutes / 60) < 24) & (seconds < 60),
                   F.try_make_timestamp(F.year(run_ts), F.month(run_ts), F.dayofmonth(run_ts),
                                        F.floor(minutes / 60).cast("int"), minutes % 60, seconds))

@@ -90,7 +90,7 @@ def brand_trends(a: DataFrame) -> DataFrame:
 
 
 def _month_start(m: Column) -> Column:
-    return F.to_date(F.concat(m, F.lit("-01")))
+    return F.to_date(F.try_to_timestamp(F.concat(m, F.lit("-01")), F.lit("yyyy-MM-dd")))
 
 
 def resolution_patterns(resolved: DataFrame) -> DataFrame:

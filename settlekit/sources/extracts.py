@@ -34,7 +34,7 @@ PERIOD = "1996-03"
 
 def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = tv.raw_orders_v(spark, sf_dir)
-    k = F.col("order release id").cast("long")
+    k = F.col("order release id").try_cast("long")
     brand = (F.when(k % LONG_EVERY == 0, F.concat(F.col("brand"), F.lit("\textra")))
              .when(k % SHORT_EVERY == 0, F.concat(F.col("brand"), F.lit("\ntail")))
              .otherwise(F.col("brand")))
@@ -43,7 +43,7 @@ def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wrapped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = tv.raw_orders_v(spark, sf_dir)
-    k = F.col("order release id").cast("long")
+    k = F.col("order release id").try_cast("long")
     return raw.withColumn("brand", F.when(k % WRAP_EVERY == 0, F.concat(F.col("brand"), F.lit("\nline, two")))
                           .otherwise(F.col("brand")))
 

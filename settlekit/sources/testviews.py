@@ -262,6 +262,6 @@ def raw_orders_with_blanks_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw orders extract plus one all-NULL row for each order whose key
     ends in 0 (the blank lines of a spreadsheet export)."""
     raw = raw_orders_v(spark, sf_dir)
-    blanks = (raw.where(F.col("order release id").cast("long") % 10 == 0)
+    blanks = (raw.where(F.col("order release id").try_cast("long") % 10 == 0)
               .select(*[F.lit(None).cast("string").alias(c) for c in raw.columns]))
     return raw.unionByName(blanks)
