@@ -1077,3 +1077,14 @@ ORACLE["incremental_merge"] = q(
     "SELECT " + ", ".join(f"{_present_expr(s.name, s)} AS {s.name}" for s in _S.RETURNS)
     + f" FROM (SELECT *, row_number() OVER (PARTITION BY order_release_id, order_line_id ORDER BY {_RET_ORDER}) AS rn "
     "FROM cr) WHERE rn = 1", RAWQ + f", cr AS ({_typed_clean('returns', RET_NAMES, 'raw_returns')})")
+
+
+def _fill_sql(policy: str, required_only: bool) -> str:
+    cols = [f'"{RAW_NAMES[n]}" AS {n}' for n in _ESSENTIAL_PRESENT]
+    cols += [f"{_present_expr(sql_fill(s, policy), s)} AS {s.name}" for s in _S.ORDERS
+             if s.name not in RAW_NAMES and (s.required or not required_only)]
+    return _qr("SELECT " + ", ".join(cols) + " FROM raw_orders")
+
+
+ORACLE["fill_missing_read"] = _fill_sql("repair", True)
+ORACLE["fill_missing_repair"] = _fill_sql("repair", False)

@@ -378,6 +378,20 @@ def q_fill_missing(spark, sf):
     return present(CL.fill_missing(df, "orders", "validate", tv.RUN_TS))
 
 
+@register("fill_missing_read")
+def q_fill_missing_read(spark, sf):
+    """Reader fill: required columns only, dates get the run time."""
+    df = CL.essential_projection(CL.rename_columns(_raw(spark, sf), "orders"), "orders")
+    return present(CL.fill_missing(df, "orders", "read", tv.RUN_TS))
+
+
+@register("fill_missing_repair")
+def q_fill_missing_repair(spark, sf):
+    """Repair fill: every schema column, dates get the run time."""
+    df = CL.essential_projection(CL.rename_columns(_raw(spark, sf), "orders"), "orders")
+    return present(CL.fill_missing(df, "orders", "repair", tv.RUN_TS))
+
+
 @register("upload_stamp")
 def q_upload_stamp(spark, sf):
     df = CL.rename_columns(_raw(spark, sf), "orders")
