@@ -1,15 +1,19 @@
 """The analysis table: one row per order row with status, P/L and changes.
 
-Plan shape (all keyed by ``order_release_id``):
-
-    returns     --partial agg min(struct(order, payload))--\\
-    settlements --partial agg min(struct(order, payload))---+-- left joins with orders
-    previous    --partial agg max(struct(order, status))----/
-
-Each related table is reduced to one row per order *before* the shuffle
-(map-side combine), so a hot order key cannot blow up a join: every join
-side but ``orders`` has unique keys. The three aggregates and the joins
-share the same hash partitioning, so the joins add no extra exchange.
+Plan shape (all keyed by ``order_release_id``)::
+
+    returns     -> (key, r=struct(order, payload))  \
+    settlements -> (key, s=struct(order, payload))   +-> union -> one partial
+    previous    -> (key, v=struct(order, status))   /    aggregate: min(r), min(s), max(v)
+                                                         -> one row per order
+    orders  LEFT JOIN  that  (one sort-merge join)
+
+The three related tables are reduced to one row per order by a single
+aggregate (combined map-side, one shuffle), so a hot order key cannot blow
+up anything: the join partner of ``orders`` has unique keys. The join is
+the simple two-exchange pattern, so AQE's skew-join split applies when one
+order key holds a large share of the ``orders`` rows (a chain of joins in
+one stage would not qualify).
 """
 
 from __future__ import annotations
@@ -67,19 +71,44 @@ def previous_status(prev: DataFrame, order_cols: list[str] | None = None) -> Dat
                 .agg(last.getField("s").alias("previous_status")))
 
 
+def related_per_order(returns: DataFrame, settlements: DataFrame, previous: DataFrame | None = None,
+                      order_col: str | None = ORD, prev_order_cols: list[str] | None = None) -> DataFrame:
+    """First return, first settlement and previous status per order, from
+    one aggregate over the tagged union of the three tables."""
+    def value(df: DataFrame, payload: list[str], oc: str | None) -> F.Column:
+        fields = [(F.col(c) if c in df.columns else F.lit(None).cast(S.MONEY)).alias(c) for c in payload]
+        return F.struct(_ordering(df, oc).alias("o"), F.struct(*fields).alias("p"))
+
+    r_val = value(returns, RETURN_PAYLOAD, order_col)
+    s_val = value(settlements, SETTLEMENT_PAYLOAD, order_col)
+    r_type = returns.select(r_val).schema[0].dataType
+    s_type = settlements.select(s_val).schema[0].dataType
+    branches = [returns.select(KEY, r_val.alias("r"), F.lit(None).cast(s_type).alias("s")),
+                settlements.select(KEY, F.lit(None).cast(r_type).alias("r"), s_val.alias("s"))]
+    if previous is not None:
+        cols = [c for c in (prev_order_cols or ["order_line_id", "status"]) if c in previous.columns]
+        v_val = F.struct(F.struct(*[F.col(c) for c in cols]).alias("o"), F.col("status").alias("p"))
+        v_type = previous.select(v_val).schema[0].dataType
+        branches = [b.withColumn("v", F.lit(None).cast(v_type)) for b in branches]
+        branches.append(previous.where(F.col(KEY).isNotNull()).select(
+            KEY, F.lit(None).cast(r_type).alias("r"), F.lit(None).cast(s_type).alias("s"), v_val.alias("v")))
+    u = branches[0]
+    for b in branches[1:]:
+        u = u.unionByName(b)
+    aggs = [F.min("r").getField("p").alias("r"), F.min("s").getField("p").alias("s")]
+    if previous is not None:
+        aggs.append(F.max("v").getField("p").alias("previous_status"))
+    else:
+        aggs.append(F.lit(None).cast("string").alias("previous_status"))
+    return u.groupBy(KEY).agg(*aggs)
+
+
 def analyze(orders: DataFrame, returns: DataFrame, settlements: DataFrame,
             previous: DataFrame | None = None, run_ts: _dt.datetime | None = None,
             order_col: str | None = ORD) -> DataFrame:
     """Classify every order row (C6). ``run_ts`` stamps changed rows."""
     run_ts = run_ts or _dt.datetime.now()
-    r = first_per_order(returns, RETURN_PAYLOAD, order_col, "r")
-    s = first_per_order(settlements, SETTLEMENT_PAYLOAD, order_col, "s")
-
-    a = orders.join(r, KEY, "left").join(s, KEY, "left")
-    if previous is not None:
-        a = a.join(previous_status(previous), KEY, "left")
-    else:
-        a = a.withColumn("previous_status", F.lit(None).cast("string"))
+    a = orders.join(related_per_order(returns, settlements, previous, order_col), KEY, "left")
 
     has_r, has_s = F.col("r").isNotNull(), F.col("s").isNotNull()
     zero = F.lit(0).cast(S.MONEY)
@@ -100,8 +129,7 @@ def analyze(orders: DataFrame, returns: DataFrame, settlements: DataFrame,
             .withColumn("return_settlement", ret_amt)
             .withColumn("order_settlement", set_amt)
             .withColumn("status_changed_this_run", changed)
-            .withColumn("settlement_update_run_timestamp",
-                        F.when(changed, ts_lit(run_ts)))
+            .withColumn("settlement_update_run_timestamp", F.when(changed, ts_lit(run_ts)))
             .withColumn("net_revenue", F.col("s.total_actual_settlement"))
             .withColumn("commission_cost", F.col("s.total_commission"))
             .withColumn("logistics_cost", F.col("s.total_logistics_deduction"))

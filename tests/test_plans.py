@@ -23,8 +23,8 @@ def test_analysis_plan_has_no_pairs_and_combines_map_side(spark):
     o, r, s = tv.inputs(spark, SMALL)
     plan = _plan(analyze(o, r, s, None, tv.RUN_TS))
     assert not any(op in plan for op in BAD_OPERATORS)
-    # each related table is reduced per order before its exchange
-    assert plan.count("partial_min(") >= 2
+    # the related tables are reduced per order before the one exchange
+    assert "partial_min(" in plan and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") >= 1
 
 
 def test_filters_reach_the_parquet_scan(spark):
