@@ -6,14 +6,13 @@ Plan shape (all keyed by ``order_release_id``)::
     settlements -> (key, s=struct(order, payload))   +-> union -> one partial
     previous    -> (key, v=struct(order, status))   /    aggregate: min(r), min(s), max(v)
                                                          -> one row per order
-    orders  LEFT JOIN  that  (one sort-merge join)
+    orders  LEFT JOIN  that  (one join; hot order keys salted, operators.skew)
 
 The three related tables are reduced to one row per order by a single
-aggregate (combined map-side, one shuffle), so a hot order key cannot blow
-up anything: the join partner of ``orders`` has unique keys. The join is
-the simple two-exchange pattern, so AQE's skew-join split applies when one
-order key holds a large share of the ``orders`` rows (a chain of joins in
-one stage would not qualify).
+aggregate (combined map-side, one shuffle), so the join partner of
+``orders`` has unique keys. An order key holding a large share of the
+``orders`` rows is spread over several tasks by selective salting; without
+hot keys the join is a plain sort-merge (or AQE broadcast) join.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from settlekit import schema as S
 from settlekit.functions import status as X
 from settlekit.functions.dates import ts_lit
+from settlekit.operators.skew import HOT_KEY_ROWS, left_join_unique
 
 KEY = "order_release_id"
 ORD = "_ord"
@@ -105,10 +105,14 @@ def related_per_order(returns: DataFrame, settlements: DataFrame, previous: Data
 
 def analyze(orders: DataFrame, returns: DataFrame, settlements: DataFrame,
             previous: DataFrame | None = None, run_ts: _dt.datetime | None = None,
-            order_col: str | None = ORD) -> DataFrame:
-    """Classify every order row (C6). ``run_ts`` stamps changed rows."""
+            order_col: str | None = ORD, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Classify every order row (C6). ``run_ts`` stamps changed rows.
+
+    Order keys with at least ``hot_key_rows`` rows are salted in the join
+    (``operators.skew``); deciding whether any exists fetches one row."""
     run_ts = run_ts or _dt.datetime.now()
-    a = orders.join(related_per_order(returns, settlements, previous, order_col), KEY, "left")
+    rel = related_per_order(returns, settlements, previous, order_col)
+    a = left_join_unique(orders, rel, KEY, hot_key_rows)
 
     has_r, has_s = F.col("r").isNotNull(), F.col("s").isNotNull()
     zero = F.lit(0).cast(S.MONEY)

@@ -76,3 +76,34 @@ def test_streaming_replay_is_a_no_op(spark):
     assert sinks.current_master(spark, masters, "returns") == version
     keys = raw.select(*S.KEY).distinct().count()
     assert n == keys
+
+
+def _skewed_inputs(spark, n):
+    hot = F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string"))
+    orders = spark.range(n).select(
+        hot.alias("order_release_id"), F.col("id").cast("string").alias("order_line_id"),
+        F.lit("D").alias("order_status"), F.lit(1).cast("long").alias("is_ship_rel"),
+        F.lit("2025-01-01").cast("timestamp").alias("created_on"), F.lit(1).cast(S.MONEY).alias("final_amount"))
+    returns = spark.range(0, n, 7).select(
+        hot.alias("order_release_id"), F.lit("exchange").alias("return_type"),
+        F.lit(2).cast(S.MONEY).alias("total_actual_settlement"), F.col("id").alias("_ord"))
+    settlements = spark.createDataFrame([], "order_release_id string, total_actual_settlement decimal(18,4), _ord long")
+    return orders, returns, settlements
+
+
+def test_hot_order_key_is_salted_in_the_join(spark):
+    """A third of all order rows share one key: it is spread over several
+    salts, its partner row replicated per salt, results unchanged."""
+    n = 60000
+    orders, returns, settlements = _skewed_inputs(spark, n)
+    salted = analyze(orders, returns, settlements, None, dt.datetime(2025, 2, 1), hot_key_rows=5000)
+    plain = analyze(orders, returns, settlements, None, dt.datetime(2025, 2, 1), hot_key_rows=10 ** 9)
+    plan = _plan(salted)
+    assert "_salt" in plan and "_salt" not in _plan(plain)
+    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+    returned = n // 3 + len([i for i in range(0, n, 7) if i % 3 != 0])
+    got = {r.status: r.n for r in salted.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    assert got == {S.RETURNED_EXCHANGED: returned, S.DELIVERED_PENDING: n - returned}
+    # the hot key's rows land in ceil(20000 / 5000) = 4 different salts
+    from settlekit.operators.skew import hot_keys
+    assert hot_keys(orders, "order_release_id", 5000).first()._salts == 4
