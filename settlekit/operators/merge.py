@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from settlekit.operators.skew import join_unique
 from settlekit.schema import KEY
 
 SRC = "_source"        # 0 = master, 1 = incoming
@@ -52,15 +53,19 @@ def merge_latest(master: DataFrame, incoming: DataFrame, keys: list[str] | None
 def duplicate_keys(incoming: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every row of a key that occurs more than once in the new file.
 
-    Counting is a partial aggregate; the repeated keys are then matched back
-    with a semi join (AQE splits a skewed key on the streamed side)."""
+    Counting is a partial aggregate; the repeated keys (one row each) are
+    matched back with a semi join that salts a hot key."""
     keys = keys or KEY
     dup = (incoming.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(*keys))
     msg = F.concat(F.lit("Duplicate key found: "),
                    F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"),
                                                                             F.lit("nan")))
                                       for k in keys]))
-    return incoming.join(dup, keys, "left_semi").withColumn("message", msg)
+    # one (struct) key, so the skew-safe semi join applies to composite keys
+    packed = F.struct(*[F.col(k) for k in keys])
+    hits = join_unique(incoming.withColumn("_key", packed), dup.select(packed.alias("_key")),
+                       "_key", "left_semi")
+    return hits.drop("_key").withColumn("message", msg)
 
 
 def merge_stats(master: DataFrame, incoming: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -82,5 +87,4 @@ def merge_stats(master: DataFrame, incoming: DataFrame, keys: list[str] | None =
 
 def remove_duplicates(new: DataFrame, history: DataFrame, id_column: str) -> DataFrame:
     """Drop incoming rows whose id already exists in the history."""
-    h = history.select(F.col(id_column).alias("_hid"))
-    return new.join(h, new[id_column].eqNullSafe(h["_hid"]), "left_anti")
+    return join_unique(new, history.select(id_column).distinct(), id_column, "left_anti", null_safe=True)

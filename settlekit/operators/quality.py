@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from settlekit.functions.dates import ts_lit
 from settlekit.operators.metrics import _d, money_sum, pct
+from settlekit.operators.skew import join_unique
 
 ID_PATTERN = "^[A-Z0-9]+$"
 NUMERIC_FIELDS = ["profit_loss", "commission", "logistics_cost"]
@@ -47,9 +48,11 @@ def completeness(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def orphans(child: DataFrame, orders: DataFrame, key: str = "order_release_id") -> DataFrame:
-    """Child rows whose key has no order (NULL matches NULL)."""
-    o = orders.select(F.col(key).alias("_ok"))
-    return child.join(o, child[key].eqNullSafe(o["_ok"]), "left_anti")
+    """Child rows whose key has no order (NULL matches NULL).
+
+    The order keys are de-duplicated first (partial aggregate), so the anti
+    join's build side has one row per key; hot child keys are salted."""
+    return join_unique(child, orders.select(key).distinct(), key, "left_anti", null_safe=True)
 
 
 def invalid_ids(tables: dict[str, DataFrame], key: str = "order_release_id") -> DataFrame:

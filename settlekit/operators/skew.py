@@ -35,20 +35,41 @@ def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
               .select(key, F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias(SALTS)))
 
 
-def left_join_unique(big: DataFrame, small: DataFrame, key: str, min_rows: int = HOT_KEY_ROWS,
-                     detect: bool = True) -> DataFrame:
-    """``big LEFT JOIN small USING key`` where ``small`` has one row per key."""
-    hot = hot_keys(big, key, min_rows)
-    if detect and not hot.take(1):
-        return big.join(small, key, "left")
+def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "left",
+                min_rows: int | None = HOT_KEY_ROWS, null_safe: bool = False,
+                detect: bool = True) -> DataFrame:
+    """``big <how> JOIN small ON key`` where ``small`` has one row per key.
+
+    ``how``: ``left``, ``left_semi`` or ``left_anti``. ``null_safe`` makes a
+    NULL key match a NULL key. ``min_rows=None`` turns salting off."""
+    sk = "_k"
+    s = small.withColumnRenamed(key, sk)
+
+    def match(extra=None):
+        c = F.col(key).eqNullSafe(F.col(sk)) if null_safe else (F.col(key) == F.col(sk))
+        return c if extra is None else c & extra
+
+    def finish(df: DataFrame) -> DataFrame:
+        return df.drop(sk) if how == "left" else df
+
+    hot = hot_keys(big, key, min_rows) if min_rows else None
+    if hot is None or (detect and not hot.take(1)):
+        return finish(big.join(s, match(), how))
     hb = F.broadcast(hot)
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
     b = (big.join(hb, key, "left")
             .withColumn(SALT, F.when(F.col(SALTS).isNull(), F.lit(0))
                         .otherwise(F.pmod(row_hash, F.col(SALTS).cast("long")).cast("int")))
             .drop(SALTS))
-    s = (small.join(hb, key, "left")
-              .withColumn(SALT, F.explode(F.when(F.col(SALTS).isNull(), F.array(F.lit(0)))
-                                          .otherwise(F.sequence(F.lit(0), F.col(SALTS) - 1))))
-              .drop(SALTS))
-    return b.join(s, [key, SALT], "left").drop(SALT)
+    s2 = (s.join(hb.withColumnRenamed(key, sk), sk, "left")
+           .withColumn("_salt_s", F.explode(F.when(F.col(SALTS).isNull(), F.array(F.lit(0)))
+                                            .otherwise(F.sequence(F.lit(0), F.col(SALTS) - 1))))
+           .drop(SALTS))
+    out = b.join(s2, match(F.col(SALT) == F.col("_salt_s")), how)
+    return finish(out.drop(SALT, "_salt_s"))
+
+
+def left_join_unique(big: DataFrame, small: DataFrame, key: str, min_rows: int | None = HOT_KEY_ROWS,
+                     detect: bool = True) -> DataFrame:
+    """``big LEFT JOIN small USING key`` where ``small`` has one row per key."""
+    return join_unique(big, small, key, "left", min_rows, detect=detect)

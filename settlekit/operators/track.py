@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from settlekit import schema as S
 from settlekit.operators.metrics import _d, money_sum, pct
+from settlekit.operators.skew import join_unique
 
 KEY = "order_release_id"
 
@@ -28,7 +29,7 @@ def new_pending(current: DataFrame, previous: DataFrame | None, run_month: str)
     if previous is None:
         cur = cur.limit(0)
     else:
-        cur = cur.join(_pending(previous).select(KEY), KEY, "left_anti")
+        cur = join_unique(cur, _pending(previous).select(KEY).distinct(), KEY, "left_anti")
     return cur.select(F.col(KEY).alias("order_id"), F.lit(run_month).alias("pending_month"),
                       F.col("order_settlement").alias("settlement_amount"))
 
@@ -38,7 +39,7 @@ def newly_resolved(current: DataFrame, previous: DataFrame | None, run_month: st
     if previous is None:
         return new_pending(current, None, run_month).select(
             "order_id", "pending_month", F.lit(run_month).alias("resolution_month"), "settlement_amount")
-    prev = _pending(previous).join(_pending(current).select(KEY), KEY, "left_anti")
+    prev = join_unique(_pending(previous), _pending(current).select(KEY).distinct(), KEY, "left_anti")
     return prev.select(F.col(KEY).alias("order_id"), F.col("settlement_month").alias("pending_month"),
                        F.lit(run_month).alias("resolution_month"),
                        F.col("order_settlement").alias("settlement_amount"))

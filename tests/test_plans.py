@@ -107,3 +107,16 @@ def test_hot_order_key_is_salted_in_the_join(spark):
     # the hot key's rows land in ceil(20000 / 5000) = 4 different salts
     from settlekit.operators.skew import hot_keys
     assert hot_keys(orders, "order_release_id", 5000).first()._salts == 4
+
+
+def test_salted_semi_and_anti_joins_match_plain_ones(spark):
+    from settlekit.operators.skew import join_unique
+    big = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).when(F.col("id") % 101 == 0, F.lit(None))
+         .otherwise(F.col("id").cast("string")).alias("k"), F.col("id"))
+    small = spark.createDataFrame([("HOT",), (None,), ("5",), ("7",)], "k string")
+    for how in ("left_semi", "left_anti", "left"):
+        for null_safe in (False, True):
+            salted = join_unique(big, small, "k", how, min_rows=1000, null_safe=null_safe)
+            plain = join_unique(big, small, "k", how, min_rows=None, null_safe=null_safe)
+            assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0, (how, null_safe)
