@@ -133,15 +133,17 @@ def daily_returns(a: DataFrame) -> DataFrame:
 def profit_histogram(a: DataFrame, bins: int = 50) -> DataFrame:
     """Equal-width histogram of profit_loss; the top edge joins the last bin.
 
-    The range comes from scalar subqueries (two numbers, computed once and
-    handed to the tasks as literals), so no row is joined with anything."""
+    The range is one scalar subquery (min and max in one aggregate, computed
+    once and handed to the tasks as a literal), attached as a column before
+    it is used, so no row is joined with anything."""
     x = _d(F.col("profit_loss"))
-    lo = a.select(F.min(x)).scalar()
-    hi = a.select(F.max(x)).scalar()
+    bounds = a.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
     width = hi - lo
     b = F.when(width > 0, F.least(F.floor((x - lo) / width * bins) + 1, F.lit(bins))).otherwise(F.lit(1))
     return (a.where(x.isNotNull())
-             .groupBy(b.cast("long").alias("bin"))
+             .select(x.alias("profit_loss"), bounds.alias("_b"))
+             .groupBy(b.cast("long").alias("bin"), F.col("_b"))
              .agg(F.count("*").alias("count"))
              .select("bin",
                      (lo + width * (F.col("bin") - 1) / bins).alias("bin_lo"),

@@ -111,11 +111,17 @@ def resolution_patterns(resolved: DataFrame) -> DataFrame:
 
 
 def pending_vs_resolved(new_pend: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Months that have new pending, with the resolved count per month."""
-    p = new_pend.groupBy(F.col("pending_month").alias("month")).agg(F.count("*").alias("pending"))
-    r = resolved.groupBy(F.col("resolution_month").alias("month")).agg(F.count("*").alias("resolved"))
-    return (p.join(r, "month", "left")
-             .select("month", "pending", F.coalesce("resolved", F.lit(0)).cast("long").alias("resolved")))
+    """Months that have new pending, with the resolved count per month.
+
+    Union of the two count streams and one aggregate — no join (the month of
+    either side may be a constant, which would fold a join into a cross
+    product)."""
+    both = (new_pend.select(F.col("pending_month").alias("month"), F.lit(1).alias("p"), F.lit(0).alias("r"))
+            .unionByName(resolved.select(F.col("resolution_month").alias("month"),
+                                         F.lit(0).alias("p"), F.lit(1).alias("r"))))
+    return (both.groupBy("month")
+                .agg(F.sum("p").cast("long").alias("pending"), F.sum("r").cast("long").alias("resolved"))
+                .where(F.col("pending") > 0))
 
 
 def settlement_headline(new_pend: DataFrame, resolved: DataFrame, rates: DataFrame,

@@ -27,6 +27,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    got = E.queries()[name](spark, SMALL).toPandas()
+    from settlekit.plans.explain import facts
+    df = E.queries()[name](spark, SMALL)
+    f = facts(df._jdf.queryExecution().executedPlan())
+    assert f["pairs"] == 0 and f["python"] == 0, (name, f)
+    got = df.toPandas()
     want = con.sql(E.oracle_sql()[name]).df()
     assert compare(got, want).startswith("ok"), name
