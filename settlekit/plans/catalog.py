@@ -49,10 +49,23 @@ def _run(spark: SparkSession, sf: str):
     return tv.test_run(spark, sf)
 
 
+_MEMO: dict = {}
+
+
+def _memo(spark: SparkSession, sf: str, name: str, build):
+    """Frames shared by several queries of one run, built once per session
+    (building a key join checks for hot keys, which is a small job)."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 def _tracking(spark: SparkSession, sf: str):
     run = _run(spark, sf)
-    np_ = T.new_pending(run.analysis, run.previous, run.run_month)
-    rs = T.newly_resolved(run.analysis, run.previous, run.run_month)
+    np_, rs = _memo(spark, sf, "tracking", lambda: (
+        T.new_pending(run.analysis, run.previous, run.run_month),
+        T.newly_resolved(run.analysis, run.previous, run.run_month)))
     return run, np_, rs
 
 
@@ -563,6 +576,10 @@ RAW_NUMERIC_FIELDS = ["final_amount", "customer_paid_amount", "total_actual_sett
 
 
 def _quality_parts(spark, sf):
+    return _memo(spark, sf, "quality", lambda: _build_quality_parts(spark, sf))
+
+
+def _build_quality_parts(spark, sf):
     tables = _tables(spark, sf)
     comp = QA.completeness(tables)
     errors = QA.validation_errors(tables, _raw_tables(spark, sf), RAW_NUMERIC_FIELDS)
