@@ -7,6 +7,7 @@ versioned folders plus a small pointer file naming the current version.
 from __future__ import annotations
 
 import datetime as _dt
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,17 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def _write_text_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file via a temporary name and a rename, so a reader
+    never sees a half-written pointer (at worst none, see ``current_master``)."""
     fs, p = _hadoop_fs(spark, path)
-    out = fs.create(p, True)
+    jvm = spark.sparkContext._jvm
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    fs.rename(tmp, p)
 
 
 def _read_text_file(spark: SparkSession, path: str) -> str | None:
@@ -43,15 +51,33 @@ def _read_text_file(spark: SparkSession, path: str) -> str | None:
 def write_master(df: DataFrame, root: str, entity: str) -> str:
     """K1: write a new version of a master table and point to it."""
     spark = df.sparkSession
-    version = f"{root.rstrip('/')}/{entity}/v={_dt.datetime.now():%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    # nanosecond clock: versions sort by name in write order
+    version = f"{root.rstrip('/')}/{entity}/v={time.time_ns():020d}"
     df.write.mode("errorifexists").parquet(version)
     _write_text_file(spark, f"{root.rstrip('/')}/{entity}/{POINTER}", version)
     return version
 
 
 def current_master(spark: SparkSession, root: str, entity: str) -> str | None:
-    """Path of the current version of a master table (None if none yet)."""
-    return _read_text_file(spark, f"{root.rstrip('/')}/{entity}/{POINTER}")
+    """Path of the current version of a master table (None if none yet).
+
+    Without a readable pointer (a writer died between delete and rename), the
+    newest version folder that was written completely (``_SUCCESS``) is used."""
+    base = f"{root.rstrip('/')}/{entity}"
+    line = _read_text_file(spark, f"{base}/{POINTER}")
+    if line and line.strip():
+        return line.strip()
+    return _latest_complete_version(spark, base)
+
+
+def _latest_complete_version(spark: SparkSession, base: str) -> str | None:
+    fs, p = _hadoop_fs(spark, base)
+    if not fs.exists(p):
+        return None
+    jvm = spark.sparkContext._jvm
+    done = [st.getPath().toString() for st in fs.listStatus(p)
+            if st.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    return sorted(done)[-1] if done else None
 
 
 def write_analysis(a: DataFrame, path: str) -> None:

@@ -120,3 +120,14 @@ def test_salted_semi_and_anti_joins_match_plain_ones(spark):
             salted = join_unique(big, small, "k", how, min_rows=1000, null_safe=null_safe)
             plain = join_unique(big, small, "k", how, min_rows=None, null_safe=null_safe)
             assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0, (how, null_safe)
+
+
+def test_master_pointer_falls_back_to_newest_complete_version(spark):
+    from settlekit import sinks
+    root = tempfile.mkdtemp(prefix="masters-")
+    df = spark.createDataFrame([("a", "1")], "order_release_id string, order_line_id string")
+    v1 = sinks.write_master(df, root, "orders")
+    v2 = sinks.write_master(df.union(df), root, "orders")
+    assert sinks.current_master(spark, root, "orders") == v2 and v1 < v2
+    os.remove(os.path.join(root, "orders", sinks.POINTER))          # writer died before the rename
+    assert sinks.current_master(spark, root, "orders").endswith(v2.rsplit("/", 1)[1])
