@@ -16,6 +16,7 @@ Layout under ``warehouse``::
 from __future__ import annotations
 
 import datetime as _dt
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +62,7 @@ def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.dateti
     All extracts of an entity are merged in one job; the extract's rank (name
     order, as landed) leads the row order, so a later extract wins a tie on
     upload time. Returns the issues and statistics frames of this ingest."""
-    staging = f"{warehouse}/staging/{run_ts:%Y%m%d_%H%M%S}"
+    staging = f"{warehouse}/staging/{run_ts:%Y%m%d_%H%M%S}-{time.time_ns():020d}"   # per attempt
     listing = CSV.list_landing(spark, landing).where(F.col("file_type").isNotNull())
     # File metadata only (one row per landed extract), bounded by the number
     # of files, so it may come to the driver.
@@ -118,7 +119,8 @@ def analyse(spark: SparkSession, warehouse: str,
     prev_path = sinks.current_master(spark, warehouse, "analysis")
     previous = spark.read.parquet(prev_path) if prev_path else None
     a = analyze(orders, returns, settlements, previous, run_ts, order_col=None)
-    version = f"{warehouse}/analysis/v={run_ts:%Y%m%d%H%M%S}"
+    # a new folder per write (never the one read as the previous analysis)
+    version = f"{warehouse}/analysis/v={time.time_ns():020d}"
     sinks.write_analysis(a, version)
     sinks._write_text_file(spark, f"{warehouse}/analysis/{sinks.POINTER}", version)
     return spark.read.parquet(version), previous

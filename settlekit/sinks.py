@@ -86,7 +86,7 @@ def write_analysis(a: DataFrame, path: str) -> None:
     The ``rebalance`` hint lets AQE shuffle rows by month into partitions of
     the advisory size, splitting a hot month over several tasks, so each
     task writes few month folders (not one file per task and month)."""
-    a.hint("rebalance", "settlement_month").write.mode("overwrite").partitionBy("settlement_month").parquet(path)
+    a.hint("rebalance", "settlement_month").write.mode("errorifexists").partitionBy("settlement_month").parquet(path)
 
 
 def write_anomalies(anoms: DataFrame, path: str) -> bool:
@@ -113,8 +113,8 @@ def snapshot(tables: dict[str, DataFrame], root: str, ts: _dt.datetime | None =
     """K6: copy of all masters under one snapshot timestamp."""
     stamp = f"{(ts or _dt.datetime.now()):%Y%m%d_%H%M%S}"
     base = f"{root.rstrip('/')}/snapshot_ts={stamp}"
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{base}/{name}")
+    for name, df in tables.items():   # a rerun of the same run replaces its snapshot
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
     return base
 
 

@@ -61,3 +61,19 @@ def test_stored_report_arithmetic(spark):
     assert round(r.cancelled_pct, 2) == 3.35 and round(r.pending_pct, 2) == 49.66
     assert round(r.avg_profit_per_settled, 2) == 492.43
     assert RP.RECOMMENDATIONS[0].startswith("1. Monitor")
+
+
+def test_batch_run_twice_tracks_changes_against_the_first(spark):
+    """Second run over the same landing: masters re-upserted (idempotent),
+    previous analysis = the first run's, so nothing changes status."""
+    import tempfile
+    from settlekit.plans.batch import run_batch
+    from settlekit.sources import extracts as EX
+    p = EX.materialize(spark, SMALL)
+    wh = tempfile.mkdtemp(prefix="wh-")
+    first = run_batch(spark, p["landing"], wh, dt.datetime(1998, 7, 1))
+    n = first.analysis.count()
+    second = run_batch(spark, p["landing"], wh, dt.datetime(1998, 7, 1))
+    s = second.summary.first()
+    assert s.total_orders == n and s.status_changes == 0
+    assert second.analysis.where("previous_status is null").count() == 0
