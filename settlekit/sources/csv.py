@@ -38,20 +38,20 @@ def _delimiters_outside_quotes(text: Column, sep: str) -> Column:
     return F.length(bare) - F.length(F.regexp_replace(bare, "\t" if sep == "\t" else sep, ""))
 
 
-def lineage(df: DataFrame) -> DataFrame:
-    """File name and a row order that follows the file: (file, block, id)."""
-    return df.withColumns({
-        "_source_file": F.col("_metadata.file_name"),
-        "_ord": F.struct(F.col("_metadata.file_name").alias("f"),
-                         F.col("_metadata.file_block_start").alias("b"),
-                         F.monotonically_increasing_id().alias("i")),
-    })
+def lineage(df: DataFrame, row_id: bool = True) -> DataFrame:
+    """File name and a row order that follows the file: (file, block, id).
+    Streams have no row id (not supported there); they order by file/block."""
+    parts = [F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b")]
+    if row_id:
+        parts.append(F.monotonically_increasing_id().alias("i"))
+    return df.withColumns({"_source_file": F.col("_metadata.file_name"), "_ord": F.struct(*parts)})
 
 
 def scan_raw(spark: SparkSession, path: str, quote: str | None = '"',
-             multiline: bool = False) -> tuple[DataFrame, list[str]]:
+             multiline: bool = False, stream: bool = False) -> tuple[DataFrame, list[str]]:
     """The all-text scan with a ``_long`` flag and the record text of long
-    records (``_bad``), before they are split off. Returns (frame, header)."""
+    records (``_bad``), before they are split off. Returns (frame, header).
+    ``stream=True`` gives the same frame as a file stream (``readStream``)."""
     sep, names = sniff(spark, path)
     # Whether a record is malformed must not depend on the columns a query
     # happens to read: with CSV column pruning the parser only tokenizes the
@@ -59,11 +59,12 @@ def scan_raw(spark: SparkSession, path: str, quote: str | None = '"',
     spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(CORRUPT, T.StringType())])
-    reader = (spark.read.schema(schema).option("header", True).option("sep", sep)
+    reader = ((spark.readStream if stream else spark.read).schema(schema).option("header", True)
+              .option("sep", sep)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
               .option("multiLine", multiline).option("enforceSchema", True))
     reader = reader.option("quote", quote) if quote else reader.option("quote", "\u0000")
-    raw = lineage(reader.csv(path))
+    raw = lineage(reader.csv(path), row_id=not stream)
     # Spark parses a record only when a data column is referenced, so the
     # test reads the corrupt text through coalesce with the first field.
     text = F.coalesce(F.col(CORRUPT), F.col(f"`{names[0]}`"))
