@@ -40,13 +40,24 @@ ANALYSIS_COLUMNS = ["status", "profit_loss", "return_settlement", "order_settlem
                     "net_profit_loss", "settlement_month", "status_group", "previous_status"]
 
 
+def file_order(df: DataFrame) -> F.Column:
+    """Row order of a master table as the reference writes it: sorted by
+    upload time, newest first, missing times last; then line id and date.
+    ``min`` of this struct is the first row, ``max`` the last."""
+    parts = []
+    if "upload_timestamp" in df.columns:
+        newest_first = F.coalesce(-F.unix_micros(F.col("upload_timestamp")), F.lit(2 ** 63 - 1))
+        parts.append(newest_first.alias("t"))
+    parts += [F.col(c) for c in ("order_line_id", "return_date") if c in df.columns]
+    return F.struct(*parts)
+
+
 def _ordering(df: DataFrame, order_col: str | None) -> F.Column:
-    """Row order of a related table: the given column, else upload time then
-    all key columns (a total order for distinct rows is the caller's job)."""
+    """Row order of a related table: the given column (a file / row ordinal),
+    else the master file order."""
     if order_col and order_col in df.columns:
         return F.col(order_col)
-    parts = [c for c in ("upload_timestamp", "order_line_id", "return_date") if c in df.columns]
-    return F.struct(*[F.col(c) for c in parts])
+    return file_order(df)
 
 
 def first_per_order(df: DataFrame, payload: list[str], order_col: str | None = ORD,
@@ -63,9 +74,11 @@ def first_per_order(df: DataFrame, payload: list[str], order_col: str | None = O
 
 
 def previous_status(prev: DataFrame, order_cols: list[str] | None = None) -> DataFrame:
-    """Status per order in the previous run; duplicates: the last row wins."""
-    cols = [c for c in (order_cols or ["order_line_id", "status"]) if c in prev.columns]
-    last = F.max(F.struct(F.struct(*[F.col(c) for c in cols]).alias("o"), F.col("status").alias("s")))
+    """Status per order in the previous run; duplicates: the last row (in
+    the master file order) wins."""
+    order = (F.struct(*[F.col(c) for c in order_cols if c in prev.columns]) if order_cols
+             else F.struct(file_order(prev).alias("f"), F.col("status")))
+    last = F.max(F.struct(order.alias("o"), F.col("status").alias("s")))
     return (prev.where(F.col(KEY).isNotNull())
                 .groupBy(KEY)
                 .agg(last.getField("s").alias("previous_status")))
@@ -86,8 +99,9 @@ def related_per_order(returns: DataFrame, settlements: DataFrame, previous: Data
     branches = [returns.select(KEY, r_val.alias("r"), F.lit(None).cast(s_type).alias("s")),
                 settlements.select(KEY, F.lit(None).cast(r_type).alias("r"), s_val.alias("s"))]
     if previous is not None:
-        cols = [c for c in (prev_order_cols or ["order_line_id", "status"]) if c in previous.columns]
-        v_val = F.struct(F.struct(*[F.col(c) for c in cols]).alias("o"), F.col("status").alias("p"))
+        order = (F.struct(*[F.col(c) for c in prev_order_cols if c in previous.columns]) if prev_order_cols
+                 else F.struct(file_order(previous).alias("f"), F.col("status")))
+        v_val = F.struct(order.alias("o"), F.col("status").alias("p"))
         v_type = previous.select(v_val).schema[0].dataType
         branches = [b.withColumn("v", F.lit(None).cast(v_type)) for b in branches]
         branches.append(previous.where(F.col(KEY).isNotNull()).select(

@@ -70,3 +70,23 @@ def test_status_change_against_previous_run(spark):
 
 def test_empty_orders_give_empty_analysis(spark):
     assert _frames(spark, [], [], []).count() == 0
+
+
+def test_without_row_order_the_master_file_order_decides(spark):
+    """Masters are written newest upload first: the first return of an order
+    is the newest one; in the previous analysis the last row (oldest) wins."""
+    t1, t2 = dt.datetime(2025, 1, 1), dt.datetime(2025, 2, 1)
+    o = spark.createDataFrame([("a", "1", "D", 1, t1, D(1), "X")],
+                              "order_release_id string, order_line_id string, order_status string, "
+                              "is_ship_rel long, created_on timestamp, final_amount decimal(18,4), brand string")
+    r = spark.createDataFrame([("a", "1", "return_refund", D(5), t1), ("a", "2", "exchange", D(7), t2),
+                               ("a", "3", "return_refund", D(9), None)],
+                              "order_release_id string, order_line_id string, return_type string, "
+                              "total_actual_settlement decimal(18,4), upload_timestamp timestamp")
+    s = spark.createDataFrame([], "order_release_id string, total_actual_settlement decimal(18,4)")
+    prev = spark.createDataFrame([("a", "1", S.DELIVERED_SETTLED, t2), ("a", "2", S.DELIVERED_PENDING, t1)],
+                                 "order_release_id string, order_line_id string, status string, "
+                                 "upload_timestamp timestamp")
+    row = analyze(o, r, s, prev, RUN, order_col=None).first()
+    assert row.status == S.RETURNED_EXCHANGED and row.return_settlement == D(7)
+    assert row.previous_status == S.DELIVERED_PENDING
