@@ -784,13 +784,12 @@ def q_batch_run(spark, sf):
 
 @register("incremental_run")
 def q_incremental_run(spark, sf):
-    """S8 end to end: every landed extract streamed (availableNow, two files
-    per micro-batch) into the masters, then the analysis rebuilt; returns the
-    run summary."""
+    """S8 end to end: every landed extract streamed (availableNow, one
+    micro-batch per entity and run) into the masters, then the analysis
+    rebuilt; returns the run summary."""
     def build():
         p = EX.materialize(spark, sf)
         root = f"{p['root']}/incremental"
-        a, _prev = INC.incremental_run(spark, p["landing"], root, f"{root}/_checkpoints", tv.RUN_TS,
-                                       files_per_batch=2)
+        a, _prev = INC.incremental_run(spark, p["landing"], root, f"{root}/_checkpoints", tv.RUN_TS)
         return M.run_summary(a)
     return _memo(spark, sf, "incremental_run", build)
