@@ -600,7 +600,12 @@ def sql_bool(v: str, policy: str) -> str:
     return f"COALESCE({v} IN ('TRUE', 'True', '1'), false)"
 
 
+NA_LIST = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', "
+           "'<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+
+
 def sql_coerce(v: str, spec, policy: str) -> str:
+    v = f"(CASE WHEN {v} NOT IN ({NA_LIST}) THEN {v} END)"
     if spec.kind == "date":
         if policy == "default":
             return sql_date_default(v, spec.name)
@@ -614,9 +619,8 @@ def sql_coerce(v: str, spec, policy: str) -> str:
     if spec.kind == "boolean":
         return sql_bool(v, policy)
     if policy == "repair":
-        return f"CASE WHEN {v} = 'nan' THEN '' ELSE COALESCE({v}, '') END"
-    keep = f"trim({v})" if policy == "default" else v
-    return f"CASE WHEN trim({v}) = 'nan' THEN NULL ELSE {keep} END"
+        return f"COALESCE({v}, '')"
+    return v
 
 
 def sql_fill(spec, policy: str) -> str:

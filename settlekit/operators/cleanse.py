@@ -34,6 +34,11 @@ from settlekit.functions import dates as D
 from settlekit.functions import numbers as N
 from settlekit.functions import text as X
 
+# --- fixed values: texts a delimited read treats as missing --------------------
+NA_SPELLINGS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+# --- end fixed values ------------------------------------------------------------
+
 ISSUE_SCHEMA = T.StructType([
     T.StructField("file_type", T.StringType()), T.StructField("severity", T.StringType()),
     T.StructField("row_index", T.LongType()), T.StructField("column", T.StringType()),
@@ -82,8 +87,15 @@ def _default_fill(spec: S.ColumnSpec, policy: str, run_ts: Column) -> Column:
     return F.lit("")
 
 
+def missing_as_null(raw: Column) -> Column:
+    """Texts that mean "missing" in an extract become NULL."""
+    v = raw.cast("string")
+    return F.when(~v.isin(NA_SPELLINGS), v)
+
+
 def coerce(raw: Column, spec: S.ColumnSpec, policy: str, run_ts: Column) -> Column:
-    """One cell expression per (type, policy)."""
+    """One cell expression per (type, policy), after ``missing_as_null``."""
+    raw = missing_as_null(raw)
     if spec.kind == S.DATE:
         if policy == "default":
             return D.parse_date_default(raw, spec.name, run_ts)
@@ -98,10 +110,9 @@ def coerce(raw: Column, spec: S.ColumnSpec, policy: str, run_ts: Column) -> Colu
         return N.parse_number_coerce(raw, spec.kind)
     if spec.kind == S.BOOLEAN:
         return {"default": X.bool_default, "null": X.bool_utils}.get(policy, X.bool_repair)(raw)
-    v = raw.cast("string")
     if policy == "repair":
-        return F.when(v == "nan", F.lit("")).otherwise(X.string_repair(v))
-    return F.when(F.trim(v) == "nan", F.lit(None)).otherwise(F.trim(v) if policy == "default" else v)
+        return X.string_repair(raw)
+    return raw          # strings are kept as read (no trimming: P11 is a separate check)
 
 
 def clean(raw: DataFrame, file_type: str, policy: str = "default",

@@ -93,3 +93,16 @@ def test_money_and_percent_text(spark):
     rows = df.select(TX.currency_text(F.col("m")).alias("m"), TX.percent_text(F.col("p")).alias("p")).collect()
     assert [r.m for r in rows] == ["₹1,234.50", "₹-1.01"]
     assert [r.p for r in rows] == ["12.35%", "8.45%"]
+
+
+def test_clean_reads_missing_spellings_as_null_and_keeps_strings(spark):
+    from settlekit.operators.cleanse import clean
+    raw = spark.createDataFrame(
+        [("1", " Brand A ", "NULL", "n/a"), ("2", "nan", "100", "2025-03-31"), ("3", "NA", "", "None")],
+        "`order release id` string, brand string, `final amount` string, `created on` string")
+    rows = {r.order_release_id: r for r in clean(raw, "orders", "default", RUN).df.collect()}
+    assert rows["1"].brand == " Brand A "                  # kept as read
+    assert rows["2"].brand is None and rows["3"].brand is None
+    assert rows["1"].final_amount == 0 and rows["2"].final_amount == 100
+    assert rows["1"].created_on == RUN and rows["3"].created_on == RUN   # missing date -> run time
+    assert rows["2"].created_on == dt.datetime(2025, 3, 31)
