@@ -8,13 +8,16 @@ followed by one aggregate for the statistics and the required-null counts.
 Policies (one per reference code path):
 
 * ``default`` — validation path: dates P5, numbers P8, booleans P10
-  (validation spelling), strings trimmed with ``'nan'`` read as NULL; missing
-  columns filled with typed defaults.
+  (validation spelling), strings kept as read; missing columns filled with
+  typed defaults.
 * ``null``    — reader path: dates P6, numbers P9, booleans P10 (reader
   spelling); missing columns stay missing and are reported.
 * ``repair``  — repair path: every missing column filled (dates with the run
   time), dates / numbers coerced, booleans exact, NULL strings become ''.
 
+In every policy the usual "missing" spellings of a delimited read (empty,
+``NULL``, ``NA``, ``nan``, ``None``, ``n/a`` ...) are NULL before coercion.
+
 Issues are a DataFrame (file_type, severity, row_index, column, message,
 value); statistics another (file_type, total_rows, valid_rows,
 invalid_rows). A row is valid when none of its required columns is NULL.
