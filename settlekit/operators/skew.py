@@ -5,9 +5,10 @@ sort-merge join sends all of them to one task, and AQE's skew-join split
 does not apply when the other side is an aggregate (its rule needs two bare
 shuffle stages). So hot keys are salted explicitly and selectively:
 
-1. ``hot_keys``: a key-only count (column-pruned scan, partial aggregate)
-   keeps keys with at least ``min_rows`` rows. There are at most
-   ``rows / min_rows`` of them — a proven bound, so they may be broadcast.
+1. ``hot_keys``: keys with at least ``min_rows`` rows, found without
+   shuffling the key column (row count, frequent-items candidates, exact
+   count of the candidates). There are at most ``rows / min_rows`` of them —
+   a proven bound, so they may be broadcast.
 2. Rows of a hot key get a salt in ``[0, n)`` with ``n = ceil(count /
    min_rows)``, from a hash of the row (deterministic, so a recomputed task
    assigns the same salts); other rows get salt 0.
@@ -28,9 +29,30 @@ HOT_KEY_ROWS = 1_000_000
 SALT, SALTS = "_salt", "_salts"
 
 
+# Smallest support ``DataFrame.stat.freqItems`` accepts.
+MIN_SUPPORT = 1e-4
+
+
 def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
-    """(key, number of salts) for every key with at least ``min_rows`` rows."""
-    return (df.select(key).groupBy(key).agg(F.count("*").alias("_n"))
+    """(key, number of salts) for every key with at least ``min_rows`` rows.
+
+    No shuffle of the key column: the row count decides whether any key can
+    be hot at all; if so, the frequent-items summary (one pass, per-partition
+    counters merged up a tree, at most 1/support candidates) proposes
+    candidates — a superset of the keys above the support — and only those
+    are counted exactly, behind a broadcast filter. Keys holding less than
+    ``MIN_SUPPORT`` of all rows are never proposed; such keys stay unsalted."""
+    k = df.select(key)
+    empty = df.sparkSession.createDataFrame([], f"`{key}` {k.schema[0].dataType.simpleString()}, {SALTS} int")
+    total = k.count()
+    if total < min_rows:
+        return empty
+    support = max(min_rows / total, MIN_SUPPORT)
+    candidates = [c for c in k.stat.freqItems([key], support).first()[0] if c is not None]
+    if not candidates:
+        return empty
+    cand = df.sparkSession.createDataFrame([(c,) for c in candidates], k.schema)
+    return (k.join(F.broadcast(cand), key, "left_semi").groupBy(key).agg(F.count("*").alias("_n"))
               .where(F.col("_n") >= min_rows)
               .select(key, F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias(SALTS)))
 

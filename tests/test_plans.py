@@ -131,3 +131,14 @@ def test_master_pointer_falls_back_to_newest_complete_version(spark):
     assert sinks.current_master(spark, root, "orders") == v2 and v1 < v2
     os.remove(os.path.join(root, "orders", sinks.POINTER))          # writer died before the rename
     assert sinks.current_master(spark, root, "orders").endswith(v2.rsplit("/", 1)[1])
+
+
+def test_salting_works_with_packed_struct_keys(spark):
+    from settlekit.operators.skew import hot_keys, join_unique
+    big = spark.range(20000).select(
+        F.struct(F.when(F.col("id") % 2 == 0, F.lit("H")).otherwise(F.col("id").cast("string")).alias("a"),
+                 F.lit("1").alias("b")).alias("k"), F.col("id"))
+    small = big.groupBy("k").count().where("count > 1").select("k")
+    assert hot_keys(big, "k", 1000).count() == 1
+    salted = join_unique(big, small, "k", "left_semi", min_rows=1000)
+    assert salted.count() == 10000
