@@ -45,14 +45,15 @@ class BatchResult:
 
 def _master(spark: SparkSession, warehouse: str, entity: str) -> DataFrame | None:
     path = sinks.current_master(spark, f"{warehouse}/masters", entity)
-    return spark.read.parquet(path) if path else None
+    return sinks.read_version(spark, path) if path else None
 
 
 def _typed_empty(spark: SparkSession, entity: str) -> DataFrame:
     return spark.createDataFrame([], S.struct_type(entity))
 
 
-def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.datetime) -> dict[str, DataFrame]:
+def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.datetime,
+           buckets: int | None = None) -> dict[str, DataFrame]:
     """Route the landed extracts, cleanse them and upsert each master once.
 
     Each extract is parsed exactly once, into a raw staging table; the
@@ -94,7 +95,7 @@ def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.dateti
         master = _master(spark, warehouse, entity)
         base = master if master is not None else _typed_empty(spark, entity)
         merged = MG.merge_latest(base, _union(cleaned)).drop("_ord")
-        sinks.write_master(merged, f"{warehouse}/masters", entity)
+        sinks.write_master(merged, f"{warehouse}/masters", entity, buckets)
     if not issues:
         return {}
     return {"issues": _union(issues), "stats": _union(stats)}
@@ -127,11 +128,13 @@ def analyse(spark: SparkSession, warehouse: str,
 
 
 def run_batch(spark: SparkSession, landing: str, warehouse: str,
-              run_ts: _dt.datetime | None = None) -> BatchResult:
+              run_ts: _dt.datetime | None = None, buckets: int | None = None) -> BatchResult:
+    """The whole run. ``buckets``: write the masters bucketed by order key so
+    the analysis join reads the orders master without shuffling it."""
     run_ts = run_ts or _dt.datetime.now()
     stamp = f"{run_ts:%Y%m%d_%H%M%S}"
     run_dir = f"{warehouse}/runs/{stamp}"
-    ing = ingest(spark, landing, warehouse, run_ts)
+    ing = ingest(spark, landing, warehouse, run_ts, buckets)
     a, previous = analyse(spark, warehouse, run_ts)
     month = run_ts.strftime("%Y-%m")
     np_ = T.new_pending(a, previous, month)

@@ -7,6 +7,7 @@ versioned folders plus a small pointer file naming the current version.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import time
 import uuid
 
@@ -48,16 +49,47 @@ def _read_text_file(spark: SparkSession, path: str) -> str | None:
     return line
 
 
-def write_master(df: DataFrame, root: str, entity: str) -> str:
-    """K1: write a new version of a master table and point to it."""
+BUCKETS_MARKER = "_BUCKETS"
+
+
+def write_master(df: DataFrame, root: str, entity: str, buckets: int | None = None,
+                 bucket_key: str = "order_release_id") -> str:
+    """K1: write a new version of a master table and point to it.
+
+    With ``buckets`` the version is bucketed (and sorted) by ``bucket_key``:
+    joins and aggregations on the order key then read it without a shuffle.
+    The bucket spec is kept in a ``_BUCKETS`` file of the version folder
+    (Spark ignores ``_`` files) and re-registered by ``read_version``."""
     spark = df.sparkSession
     # nanosecond clock: versions sort by name in write order
     version = f"{root.rstrip('/')}/{entity}/v={time.time_ns():020d}"
-    df.write.mode("errorifexists").parquet(version)
+    if buckets:
+        tmp = f"settlekit_write_{uuid.uuid4().hex}"
+        (df.write.bucketBy(buckets, bucket_key).sortBy(bucket_key)
+           .option("path", version).saveAsTable(tmp))
+        spark.sql(f"DROP TABLE IF EXISTS {tmp}")          # external: the files stay
+        _write_text_file(spark, f"{version}/{BUCKETS_MARKER}", f"{buckets} {bucket_key}")
+    else:
+        df.write.mode("errorifexists").parquet(version)
     _write_text_file(spark, f"{root.rstrip('/')}/{entity}/{POINTER}", version)
     return version
 
 
+def read_version(spark: SparkSession, path: str) -> DataFrame:
+    """A written master version; a bucketed one is registered with its
+    bucket spec so the planner can use it."""
+    marker = _read_text_file(spark, f"{path}/{BUCKETS_MARKER}")
+    if not marker:
+        return spark.read.parquet(path)
+    buckets, key = marker.split()
+    name = "settlekit_" + hashlib.sha1(path.encode("utf-8")).hexdigest()[:20]
+    if not spark.catalog.tableExists(name):
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet CLUSTERED BY (`{key}`) "
+                  f"SORTED BY (`{key}`) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def current_master(spark: SparkSession, root: str, entity: str) -> str | None:
     """Path of the current version of a master table (None if none yet).
 

@@ -94,3 +94,21 @@ def test_incremental_run_matches_the_batch_run(spark):
     cols = ["order_release_id", "order_line_id", "status", "profit_loss", "order_settlement", "return_settlement"]
     assert batch.select(*cols).exceptAll(streamed.select(*cols)).count() == 0
     assert streamed.count() == batch.count()
+
+
+def test_bucketed_masters_skip_the_orders_shuffle(spark):
+    import tempfile
+    from settlekit.plans.batch import run_batch
+    from settlekit.plans.batch import _master
+    from settlekit.operators.analyze import analyze
+    from settlekit.sources import extracts as EX
+    p = EX.materialize(spark, SMALL)
+    wh = tempfile.mkdtemp(prefix="wh-bkt-")
+    res = run_batch(spark, p["landing"], wh, dt.datetime(1998, 7, 1), buckets=4)
+    plain = run_batch(spark, p["landing"], tempfile.mkdtemp(prefix="wh-pl-"), dt.datetime(1998, 7, 1))
+    assert res.analysis.drop("settlement_month").exceptAll(plain.analysis.drop("settlement_month")).count() == 0
+    orders = _master(spark, wh, "orders")
+    a = analyze(orders, _master(spark, wh, "returns"), _master(spark, wh, "settlement"), None,
+                dt.datetime(1998, 7, 1), order_col=None)
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
