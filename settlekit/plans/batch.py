@@ -143,7 +143,10 @@ def run_batch(spark: SparkSession, landing: str, warehouse: str,
     if sinks.write_anomalies(AN.anomalies(a), f"{run_dir}/anomalies"):
         paths["anomalies"] = f"{run_dir}/anomalies"
     sinks.write_report(RP.recon_report(a, np_, rs, month), f"{run_dir}/report")
+    # K4: the same report once more as "latest" (copied from the written text)
+    spark.read.text(f"{run_dir}/report").coalesce(1).write.mode("overwrite").text(f"{warehouse}/reports/latest")
     paths["report"] = f"{run_dir}/report"
+    paths["report_latest"] = f"{warehouse}/reports/latest"
     if "issues" in ing:
         sinks.write_issues_json(ing["issues"], f"{run_dir}/issues")
         ing["stats"].write.mode("overwrite").json(f"{run_dir}/stats")

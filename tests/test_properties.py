@@ -112,3 +112,14 @@ def test_bucketed_masters_skip_the_orders_shuffle(spark):
                 dt.datetime(1998, 7, 1), order_col=None)
     plan = a._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan
+
+
+def test_batch_run_writes_timestamped_and_latest_report(spark):
+    import tempfile
+    from settlekit.plans.batch import run_batch
+    from settlekit.sources import extracts as EX
+    p = EX.materialize(spark, SMALL)
+    res = run_batch(spark, p["landing"], tempfile.mkdtemp(prefix="wh-rep-"), dt.datetime(1998, 7, 1))
+    a = [r.value for r in spark.read.text(res.paths["report"]).collect()]
+    b = [r.value for r in spark.read.text(res.paths["report_latest"]).collect()]
+    assert a == b and a[0] == "=== Order Reconciliation Report ===" and a[-1].startswith("4. ")
