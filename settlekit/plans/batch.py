@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,34 @@ def _typed_empty(spark: SparkSession, entity: str) -> DataFrame:
     return spark.createDataFrame([], S.struct_type(entity))
 
 
+def _ingest_entity(spark: SparkSession, landing: str, warehouse: str, staging: str, entity: str,
+                   names: list[str], run_ts: _dt.datetime, buckets: int | None):
+    cleaned, issues, stats = [], [], []
+    for rank, name in enumerate(names):
+        raw, header = CSV.scan_raw(spark, f"{landing.rstrip('/')}/{name}")
+        raw_path = f"{staging}/raw/{entity}/{rank:05d}"
+        raw.write.parquet(raw_path)
+        rows, bad = CSV.split_raw(spark.read.parquet(raw_path), header)
+        result = CL.clean(rows, entity, "default", run_ts)
+        clean_path = f"{staging}/clean/{entity}/{rank:05d}"
+        (result.df.drop("_source_file")
+         .withColumn("_ord", F.struct(F.lit(rank).alias("extract"), F.col("_ord").alias("row")))
+         .write.parquet(clean_path))
+        staged = spark.read.parquet(clean_path)
+        cleaned.append(staged)
+        part_issues, part_stats = CL.summarize(staged.drop("_ord"), entity, result.column_issues)
+        issues.append(part_issues.unionByName(
+            bad.select(F.lit(entity).alias("file_type"), F.lit("warning").alias("severity"),
+                       F.lit(None).cast("long").alias("row_index"), F.lit("line").alias("column"),
+                       "message", "value")))
+        stats.append(part_stats)
+    master = _master(spark, warehouse, entity)
+    base = master if master is not None else _typed_empty(spark, entity)
+    merged = MG.merge_latest(base, _union(cleaned)).drop("_ord")
+    sinks.write_master(merged, f"{warehouse}/masters", entity, buckets)
+    return issues, stats
+
+
 def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.datetime,
            buckets: int | None = None) -> dict[str, DataFrame]:
     """Route the landed extracts, cleanse them and upsert each master once.
@@ -62,40 +91,21 @@ def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.dateti
     executor recomputes from the staging tables, not from the landing files).
     All extracts of an entity are merged in one job; the extract's rank (name
     order, as landed) leads the row order, so a later extract wins a tie on
-    upload time. Returns the issues and statistics frames of this ingest."""
+    upload time. The entities are independent (separate masters), so their
+    jobs are submitted concurrently. Returns the issues and statistics."""
     staging = f"{warehouse}/staging/{run_ts:%Y%m%d_%H%M%S}-{time.time_ns():020d}"   # per attempt
     listing = CSV.list_landing(spark, landing).where(F.col("file_type").isNotNull())
     # File metadata only (one row per landed extract), bounded by the number
     # of files, so it may come to the driver.
     extracts = sorted((r.file_type, r.extract) for r in listing.select("file_type", "extract").collect())
-    issues, stats = [], []
-    for entity in ENTITY_ORDER:
-        names = [name for t, name in extracts if t == entity]
-        if not names:
-            continue
-        cleaned = []
-        for rank, name in enumerate(names):
-            raw, header = CSV.scan_raw(spark, f"{landing.rstrip('/')}/{name}")
-            raw_path = f"{staging}/raw/{entity}/{rank:05d}"
-            raw.write.parquet(raw_path)
-            rows, bad = CSV.split_raw(spark.read.parquet(raw_path), header)
-            result = CL.clean(rows, entity, "default", run_ts)
-            clean_path = f"{staging}/clean/{entity}/{rank:05d}"
-            (result.df.drop("_source_file")
-             .withColumn("_ord", F.struct(F.lit(rank).alias("extract"), F.col("_ord").alias("row")))
-             .write.parquet(clean_path))
-            staged = spark.read.parquet(clean_path)
-            cleaned.append(staged)
-            part_issues, part_stats = CL.summarize(staged.drop("_ord"), entity, result.column_issues)
-            issues.append(part_issues.unionByName(
-                bad.select(F.lit(entity).alias("file_type"), F.lit("warning").alias("severity"),
-                           F.lit(None).cast("long").alias("row_index"), F.lit("line").alias("column"),
-                           "message", "value")))
-            stats.append(part_stats)
-        master = _master(spark, warehouse, entity)
-        base = master if master is not None else _typed_empty(spark, entity)
-        merged = MG.merge_latest(base, _union(cleaned)).drop("_ord")
-        sinks.write_master(merged, f"{warehouse}/masters", entity, buckets)
+    work = {e: [n for t, n in extracts if t == e] for e in ENTITY_ORDER}
+    work = {e: names for e, names in work.items() if names}
+    with ThreadPoolExecutor(max_workers=max(1, len(work))) as pool:
+        futures = [pool.submit(_ingest_entity, spark, landing, warehouse, staging, e, names, run_ts, buckets)
+                   for e, names in work.items()]
+        results = [f.result() for f in futures]
+    issues = [i for part, _ in results for i in part]
+    stats = [s for _, part in results for s in part]
     if not issues:
         return {}
     return {"issues": _union(issues), "stats": _union(stats)}
@@ -139,18 +149,30 @@ def run_batch(spark: SparkSession, landing: str, warehouse: str,
     month = run_ts.strftime("%Y-%m")
     np_ = T.new_pending(a, previous, month)
     rs = T.newly_resolved(a, previous, month)
-    paths = {"analysis": sinks.current_master(spark, warehouse, "analysis")}
-    if sinks.write_anomalies(AN.anomalies(a), f"{run_dir}/anomalies"):
-        paths["anomalies"] = f"{run_dir}/anomalies"
-    sinks.write_report(RP.recon_report(a, np_, rs, month), f"{run_dir}/report")
-    # K4: the same report once more as "latest" (copied from the written text)
-    spark.read.text(f"{run_dir}/report").coalesce(1).write.mode("overwrite").text(f"{warehouse}/reports/latest")
-    paths["report"] = f"{run_dir}/report"
-    paths["report_latest"] = f"{warehouse}/reports/latest"
-    if "issues" in ing:
-        sinks.write_issues_json(ing["issues"], f"{run_dir}/issues")
-        ing["stats"].write.mode("overwrite").json(f"{run_dir}/stats")
-        paths["issues"] = f"{run_dir}/issues"
-    masters = {e: df for e in ENTITY_ORDER if (df := _master(spark, warehouse, e)) is not None}
-    paths["snapshot"] = sinks.snapshot(masters, f"{warehouse}/snapshots", run_ts)
+    paths = {"analysis": sinks.current_master(spark, warehouse, "analysis"),
+             "report": f"{run_dir}/report", "report_latest": f"{warehouse}/reports/latest"}
+
+    def anomalies():
+        if sinks.write_anomalies(AN.anomalies(a), f"{run_dir}/anomalies"):
+            paths["anomalies"] = f"{run_dir}/anomalies"
+
+    def report():
+        sinks.write_report(RP.recon_report(a, np_, rs, month), paths["report"])
+        # K4: the same report once more as "latest" (copied from the written text)
+        spark.read.text(paths["report"]).coalesce(1).write.mode("overwrite").text(paths["report_latest"])
+
+    def issues():
+        if "issues" in ing:
+            sinks.write_issues_json(ing["issues"], f"{run_dir}/issues")
+            ing["stats"].write.mode("overwrite").json(f"{run_dir}/stats")
+            paths["issues"] = f"{run_dir}/issues"
+
+    def snapshot():
+        masters = {e: df for e in ENTITY_ORDER if (df := _master(spark, warehouse, e)) is not None}
+        paths["snapshot"] = sinks.snapshot(masters, f"{warehouse}/snapshots", run_ts)
+
+    # independent sinks of the written analysis: submitted as concurrent jobs
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        for f in [pool.submit(fn) for fn in (anomalies, report, issues, snapshot)]:
+            f.result()
     return BatchResult(a, M.run_summary(a), paths)
