@@ -88,3 +88,42 @@ def merge_stats(master: DataFrame, incoming: DataFrame, keys: list[str] | None =
 def remove_duplicates(new: DataFrame, history: DataFrame, id_column: str) -> DataFrame:
     """Drop incoming rows whose id already exists in the history."""
     return join_unique(new, history.select(id_column).distinct(), id_column, "left_anti", null_safe=True)
+
+
+def merge_latest_bucketed(master: DataFrame, incoming: DataFrame, buckets: int,
+                          bucket_key: str = "order_release_id", keys: list[str] | None = None,
+                          ts_col: str = "upload_timestamp", order_col: str | None = ORD) -> DataFrame:
+    """W1 for a master stored bucketed by ``bucket_key`` into ``buckets``.
+
+    Only the incoming rows are shuffled: they are hash partitioned exactly
+    like the master's buckets, reduced to their latest row per key there (no
+    further exchange), and combined with the master by a full outer join on
+    the key — one row per key on each side, so no pairs — whose master side
+    is read in place. Same winner as ``merge_latest``."""
+    spark = master.sparkSession
+    keys = keys or KEY
+    # a join on (order_release_id, order_line_id) may use a partitioning on
+    # order_release_id alone (the master's buckets)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    cols = [c for c in master.columns]
+    inc = incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).cast(master.schema[c].dataType).alias(c)
+                            for c in cols],
+                          *([F.col(order_col)] if order_col and order_col in incoming.columns else []))
+    payload = [c for c in cols if c not in keys]
+    inc = inc.withColumn(SRC, F.lit(1)).repartition(buckets, bucket_key)
+    inc_order = _ordering(inc, ts_col, order_col, payload)
+    latest = (inc.groupBy(*keys)
+                 .agg(F.max(F.struct(inc_order.alias("o"), F.struct(*[F.col(c) for c in payload]).alias("p")))
+                      .alias("_i")))
+    m = master.withColumn(SRC, F.lit(0))
+    m_order_parts = [F.col(ts_col), F.col(SRC)]
+    if order_col and order_col in inc.columns:
+        m_order_parts.append(F.lit(None).cast(inc.schema[order_col].dataType))
+    else:
+        m_order_parts.append(F.struct(*[F.col(c) for c in payload if c != ts_col]))
+    m = m.select(*keys, F.struct(F.struct(*m_order_parts).alias("o"),
+                                 F.struct(*[F.col(c) for c in payload]).alias("p")).alias("_m"))
+    j = m.join(latest, keys, "full_outer")
+    take_inc = F.col("_m").isNull() | (F.col("_i").isNotNull() & (F.col("_i.o") > F.col("_m.o")))
+    win = F.when(take_inc, F.col("_i.p")).otherwise(F.col("_m.p"))
+    return j.select(*keys, *[win.getField(c).alias(c) for c in payload])

@@ -75,8 +75,13 @@ def _ingest_entity(spark: SparkSession, landing: str, warehouse: str, staging: s
                        "message", "value")))
         stats.append(part_stats)
     master = _master(spark, warehouse, entity)
-    base = master if master is not None else _typed_empty(spark, entity)
-    merged = MG.merge_latest(base, _union(cleaned)).drop("_ord")
+    current = sinks.current_master(spark, f"{warehouse}/masters", entity)
+    if master is not None and buckets and sinks.bucket_spec(spark, current) == (buckets, "order_release_id"):
+        # the master is read in place; only the incoming rows are shuffled
+        merged = MG.merge_latest_bucketed(master, _union(cleaned), buckets)
+    else:
+        base = master if master is not None else _typed_empty(spark, entity)
+        merged = MG.merge_latest(base, _union(cleaned)).drop("_ord")
     sinks.write_master(merged, f"{warehouse}/masters", entity, buckets)
     return issues, stats
 

@@ -65,7 +65,8 @@ def write_master(df: DataFrame, root: str, entity: str, buckets: int | None = No
     version = f"{root.rstrip('/')}/{entity}/v={time.time_ns():020d}"
     if buckets:
         tmp = f"settlekit_write_{uuid.uuid4().hex}"
-        (df.write.bucketBy(buckets, bucket_key).sortBy(bucket_key)
+        # one file per bucket (no exchange when already partitioned this way)
+        (df.repartition(buckets, bucket_key).write.bucketBy(buckets, bucket_key).sortBy(bucket_key)
            .option("path", version).saveAsTable(tmp))
         spark.sql(f"DROP TABLE IF EXISTS {tmp}")          # external: the files stay
         _write_text_file(spark, f"{version}/{BUCKETS_MARKER}", f"{buckets} {bucket_key}")
@@ -75,6 +76,15 @@ def write_master(df: DataFrame, root: str, entity: str, buckets: int | None = No
     return version
 
 
+def bucket_spec(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    """(buckets, key) of a bucketed master version, else None."""
+    marker = _read_text_file(spark, f"{path}/{BUCKETS_MARKER}")
+    if not marker:
+        return None
+    n, key = marker.split()
+    return int(n), key
+
+
 def read_version(spark: SparkSession, path: str) -> DataFrame:
     """A written master version; a bucketed one is registered with its
     bucket spec so the planner can use it."""
