@@ -52,27 +52,32 @@ def _read_text_file(spark: SparkSession, path: str) -> str | None:
 BUCKETS_MARKER = "_BUCKETS"
 
 
-def write_master(df: DataFrame, root: str, entity: str, buckets: int | None = None,
-                 bucket_key: str = "order_release_id") -> str:
-    """K1: write a new version of a master table and point to it.
-
-    With ``buckets`` the version is bucketed (and sorted) by ``bucket_key``:
-    joins and aggregations on the order key then read it without a shuffle.
-    The bucket spec is kept in a ``_BUCKETS`` file of the version folder
-    (Spark ignores ``_`` files) and re-registered by ``read_version``."""
+def write_version(df: DataFrame, version: str, buckets: int | None = None,
+                  bucket_key: str = "order_release_id", overwrite: bool = False) -> None:
+    """Write one master version folder, optionally bucketed (and sorted) by
+    ``bucket_key``: joins and aggregations on the order key then read it
+    without a shuffle. The bucket spec is kept in a ``_BUCKETS`` file of the
+    folder (Spark ignores ``_`` files) and re-registered by ``read_version``."""
     spark = df.sparkSession
-    # nanosecond clock: versions sort by name in write order
-    version = f"{root.rstrip('/')}/{entity}/v={time.time_ns():020d}"
+    mode = "overwrite" if overwrite else "errorifexists"
     if buckets:
         tmp = f"settlekit_write_{uuid.uuid4().hex}"
         # one file per bucket (no exchange when already partitioned this way)
-        (df.repartition(buckets, bucket_key).write.bucketBy(buckets, bucket_key).sortBy(bucket_key)
-           .option("path", version).saveAsTable(tmp))
+        (df.repartition(buckets, bucket_key).write.mode(mode).bucketBy(buckets, bucket_key)
+           .sortBy(bucket_key).option("path", version).saveAsTable(tmp))
         spark.sql(f"DROP TABLE IF EXISTS {tmp}")          # external: the files stay
         _write_text_file(spark, f"{version}/{BUCKETS_MARKER}", f"{buckets} {bucket_key}")
     else:
-        df.write.mode("errorifexists").parquet(version)
-    _write_text_file(spark, f"{root.rstrip('/')}/{entity}/{POINTER}", version)
+        df.write.mode(mode).parquet(version)
+
+
+def write_master(df: DataFrame, root: str, entity: str, buckets: int | None = None,
+                 bucket_key: str = "order_release_id") -> str:
+    """K1: write a new version of a master table and point to it."""
+    # nanosecond clock: versions sort by name in write order
+    version = f"{root.rstrip('/')}/{entity}/v={time.time_ns():020d}"
+    write_version(df, version, buckets, bucket_key)
+    _write_text_file(df.sparkSession, f"{root.rstrip('/')}/{entity}/{POINTER}", version)
     return version
 
 
