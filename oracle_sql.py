@@ -1092,3 +1092,22 @@ def _fill_sql(policy: str, required_only: bool) -> str:
 
 ORACLE["fill_missing_read"] = _fill_sql("repair", True)
 ORACLE["fill_missing_repair"] = _fill_sql("repair", False)
+
+
+# --- P17 + K7: repaired extract, repair coercion, written as CSV, read back as text --------------
+def _csv_text(expr: str, spec) -> str:
+    if spec.kind == "date":
+        return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
+    if spec.kind == "string":
+        return f"NULLIF({expr}, '')"
+    return f"CAST({expr} AS VARCHAR)"
+
+
+REPAIRED = ("repaired AS (SELECT " + ", ".join(
+    (f"CASE WHEN brand IS NOT NULL AND CAST(\"order release id\" AS BIGINT) % 107 = 0 "
+     f"THEN brand || ' line, two' ELSE brand END AS brand") if c == "brand" else f"{_nz(c)} AS \"{c.strip()}\""
+    for c in _RAW_COLS) + " FROM raw_orders)")
+ORACLE["repair_job"] = q(
+    "SELECT " + ", ".join(f"{_csv_text(e, s_)} AS {s_.name}"
+                          for s_, e in clean_exprs("orders", "repair", SCANNED_NAMES)) + " FROM repaired",
+    RAWQ + ", " + REPAIRED)
