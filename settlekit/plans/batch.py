@@ -63,8 +63,11 @@ def _ingest_entity(spark: SparkSession, landing: str, warehouse: str, staging: s
         rows, bad = CSV.split_raw(spark.read.parquet(raw_path), header)
         result = CL.clean(rows, entity, "default", run_ts)
         clean_path = f"{staging}/clean/{entity}/{rank:05d}"
+        # Row order for ties on (key, upload time): the later extract wins;
+        # within one extract the content decides (not the file layout).
+        content = F.struct(*[F.col(s.name) for s in S.SPECS[entity] if s.name not in S.KEY])
         (result.df.drop("_source_file")
-         .withColumn("_ord", F.struct(F.lit(rank).alias("extract"), F.col("_ord").alias("row")))
+         .withColumn("_ord", F.struct(F.lit(rank).alias("extract"), content.alias("row")))
          .write.parquet(clean_path))
         staged = spark.read.parquet(clean_path)
         cleaned.append(staged)
@@ -96,7 +99,8 @@ def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.dateti
     executor recomputes from the staging tables, not from the landing files).
     All extracts of an entity are merged in one job; the extract's rank (name
     order, as landed) leads the row order, so a later extract wins a tie on
-    upload time. The entities are independent (separate masters), so their
+    upload time; within an extract the row content breaks the tie, so the
+    result does not depend on how the files were split. The entities are independent (separate masters), so their
     jobs are submitted concurrently. Returns the issues and statistics."""
     staging = f"{warehouse}/staging/{run_ts:%Y%m%d_%H%M%S}-{time.time_ns():020d}"   # per attempt
     listing = CSV.list_landing(spark, landing).where(F.col("file_type").isNotNull())
