@@ -32,6 +32,7 @@ from settlekit.operators import metrics as M
 from settlekit.operators import track as T
 from settlekit.operators.analyze import analyze
 from settlekit.plans import reports as RP
+from settlekit.session import input_bytes, size_shuffle_partitions
 from settlekit.sources import csv as CSV
 
 ENTITY_ORDER = ("orders", "returns", "settlement")
@@ -147,10 +148,15 @@ def analyse(spark: SparkSession, warehouse: str,
 
 
 def run_batch(spark: SparkSession, landing: str, warehouse: str,
-              run_ts: _dt.datetime | None = None, buckets: int | None = None) -> BatchResult:
+              run_ts: _dt.datetime | None = None, buckets: int | None = None,
+              size_partitions: bool = False) -> BatchResult:
     """The whole run. ``buckets``: write the masters bucketed by order key so
-    the analysis join reads the orders master without shuffling it."""
+    the analysis join reads the orders master without shuffling it.
+    ``size_partitions``: raise the shuffle partition count to the size of the
+    landed files plus the masters (file-system metadata) / 200 MB."""
     run_ts = run_ts or _dt.datetime.now()
+    if size_partitions:
+        size_shuffle_partitions(spark, input_bytes(spark, landing, f"{warehouse}/masters"))
     stamp = f"{run_ts:%Y%m%d_%H%M%S}"
     run_dir = f"{warehouse}/runs/{stamp}"
     ing = ingest(spark, landing, warehouse, run_ts, buckets)

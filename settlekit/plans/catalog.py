@@ -780,7 +780,7 @@ def q_batch_run(spark, sf):
     if key not in _BATCHES:
         p = EX.materialize(spark, sf)
         _BATCHES[key] = BT.run_batch(spark, p["landing"], f"{p['root']}/warehouse", tv.RUN_TS,
-                                     buckets=BATCH_BUCKETS)
+                                     buckets=BATCH_BUCKETS, size_partitions=True)
     return _BATCHES[key].summary
 
 

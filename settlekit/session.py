@@ -62,3 +62,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+# Target bytes per shuffle partition when sizing from the input.
+TARGET_PARTITION_BYTES = 200 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Total size of files under the given folders (file-system metadata, no scan)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            total += fs.getContentSummary(path).getLength()
+    return total
+
+
+def size_shuffle_partitions(spark: SparkSession, nbytes: int,
+                            target: int = TARGET_PARTITION_BYTES) -> int:
+    """Raise ``spark.sql.shuffle.partitions`` to about ``nbytes / target`` so a
+    shuffle partition fits an executor's memory (never lowers it; AQE then
+    coalesces the small ones). Returns the value in effect."""
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(current, -(-nbytes // target))
+    if wanted != current:
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted

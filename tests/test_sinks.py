@@ -39,3 +39,17 @@ def test_anomalies_written_only_when_present(spark):
     assert not sinks.write_anomalies(empty, f"{root}/none") and not os.path.exists(f"{root}/none")
     one = spark.createDataFrame([("Negative Profit", "1")], "type string, order_release_id string")
     assert sinks.write_anomalies(one, f"{root}/one") and spark.read.parquet(f"{root}/one").count() == 1
+
+
+def test_shuffle_partitions_sized_from_input_bytes(spark):
+    from settlekit.session import input_bytes, size_shuffle_partitions
+    root = tempfile.mkdtemp(prefix="size-")
+    spark.range(1000).write.parquet(f"{root}/t")
+    n = input_bytes(spark, f"{root}/t", f"{root}/missing")
+    assert n > 0
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffle_partitions(spark, n) == int(old)                  # small input: unchanged
+        assert size_shuffle_partitions(spark, 10 * 2 ** 40) == 52429            # 10 TiB / 200 MiB
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
