@@ -40,21 +40,27 @@ def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
     be hot at all; if so, the frequent-items summary (one pass, per-partition
     counters merged up a tree, at most 1/support candidates) proposes
     candidates — a superset of the keys above the support — and only those
-    are counted exactly, behind a broadcast filter. Keys holding less than
-    ``MIN_SUPPORT`` of all rows are never proposed; such keys stay unsalted."""
+    are counted exactly, behind a broadcast filter. NULL keys are counted in
+    the same pass as the rows. Keys holding less than ``MIN_SUPPORT`` of all
+    rows are never proposed; such keys stay unsalted."""
     k = df.select(key)
-    empty = df.sparkSession.createDataFrame([], f"`{key}` {k.schema[0].dataType.simpleString()}, {SALTS} int")
-    total = k.count()
+    spark = df.sparkSession
+    schema = f"`{key}` {k.schema[0].dataType.simpleString()}, {SALTS} int"
+    total, nulls = k.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
     if total < min_rows:
-        return empty
+        return spark.createDataFrame([], schema)
+    # NULL is a key too (a missing order id can be the hottest of all)
+    null_row = (spark.createDataFrame([(None, -(-nulls // min_rows))], schema)
+                if nulls >= min_rows else spark.createDataFrame([], schema))
     support = max(min_rows / total, MIN_SUPPORT)
     candidates = [c for c in k.stat.freqItems([key], support).first()[0] if c is not None]
     if not candidates:
-        return empty
-    cand = df.sparkSession.createDataFrame([(c,) for c in candidates], k.schema)
-    return (k.join(F.broadcast(cand), key, "left_semi").groupBy(key).agg(F.count("*").alias("_n"))
-              .where(F.col("_n") >= min_rows)
-              .select(key, F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias(SALTS)))
+        return null_row
+    cand = spark.createDataFrame([(c,) for c in candidates], k.schema)
+    counted = (k.join(F.broadcast(cand), key, "left_semi").groupBy(key).agg(F.count("*").alias("_n"))
+                 .where(F.col("_n") >= min_rows)
+                 .select(key, F.ceil(F.col("_n") / F.lit(min_rows)).cast("int").alias(SALTS)))
+    return counted.unionByName(null_row)
 
 
 def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "left",
@@ -77,16 +83,18 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "left",
     hot = hot_keys(big, key, min_rows) if min_rows else None
     if hot is None or (detect and not hot.take(1)):
         return finish(big.join(s, match(), how))
-    hb = F.broadcast(hot)
+    # the hot list is matched NULL-safely, so rows of a hot NULL key are
+    # spread too (whether NULL matches in the join itself is ``null_safe``)
+    hb = F.broadcast(hot.withColumnRenamed(key, "_hk"))
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
-    b = (big.join(hb, key, "left")
+    b = (big.join(hb, F.col(key).eqNullSafe(F.col("_hk")), "left")
             .withColumn(SALT, F.when(F.col(SALTS).isNull(), F.lit(0))
                         .otherwise(F.pmod(row_hash, F.col(SALTS).cast("long")).cast("int")))
-            .drop(SALTS))
-    s2 = (s.join(hb.withColumnRenamed(key, sk), sk, "left")
+            .drop(SALTS, "_hk"))
+    s2 = (s.join(hb, F.col(sk).eqNullSafe(F.col("_hk")), "left")
            .withColumn("_salt_s", F.explode(F.when(F.col(SALTS).isNull(), F.array(F.lit(0)))
                                             .otherwise(F.sequence(F.lit(0), F.col(SALTS) - 1))))
-           .drop(SALTS))
+           .drop(SALTS, "_hk"))
     out = b.join(s2, match(F.col(SALT) == F.col("_salt_s")), how)
     return finish(out.drop(SALT, "_salt_s"))
 

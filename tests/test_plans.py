@@ -142,3 +142,18 @@ def test_salting_works_with_packed_struct_keys(spark):
     assert hot_keys(big, "k", 1000).count() == 1
     salted = join_unique(big, small, "k", "left_semi", min_rows=1000)
     assert salted.count() == 10000
+
+
+def test_hot_null_key_is_salted_and_semantics_hold(spark):
+    from settlekit.operators.skew import hot_keys, join_unique
+    big = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"), F.col("id"))
+    hot = hot_keys(big, "k", 2000).collect()
+    assert [(r.k, r._salts) for r in hot] == [(None, 5)]
+    small = spark.createDataFrame([(None,), ("1",), ("2",)], "k string")
+    for how in ("left", "left_semi", "left_anti"):
+        for ns in (False, True):
+            salted = join_unique(big, small, "k", how, min_rows=2000, null_safe=ns)
+            plain = join_unique(big, small, "k", how, min_rows=None, null_safe=ns)
+            assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
+            assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0, (how, ns)
