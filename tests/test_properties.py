@@ -181,3 +181,32 @@ def test_bucketed_incremental_run_matches_the_batch_run(spark):
     cols = ["order_release_id", "order_line_id", "status", "profit_loss", "order_settlement", "return_settlement"]
     assert batch.select(*cols).exceptAll(streamed.select(*cols)).count() == 0
     assert streamed.count() == batch.count()
+
+
+def test_text_report_reproduces_the_stored_report_lines(spark):
+    """Stored report: 3995 orders = 134 + 326 + 1551 + 1984, profit 763,763.25 over
+    the settled, loss 66,386.99 over the returned; rates over non-cancelled."""
+    rows = ([(S.CANCELLED_NO_IMPACT, S.GROUP_CANCELLED, "0", "0")] * 134
+            + [(S.RETURNED_REFUNDED, S.GROUP_RETURNED, "0", "203.6410")] * 325
+            + [(S.RETURNED_REFUNDED, S.GROUP_RETURNED, "0", str(Decimal("66386.99") - Decimal("203.6410") * 325))]
+            + [(S.DELIVERED_SETTLED, S.GROUP_SETTLED, "492.4327", "0")] * 1550
+            + [(S.DELIVERED_SETTLED, S.GROUP_SETTLED, str(Decimal("763763.25") - Decimal("492.4327") * 1550), "0")]
+            + [(S.DELIVERED_PENDING, S.GROUP_PENDING, "0", "0")] * 1984)
+    a = (spark.createDataFrame(rows, "status string, status_group string, os string, rs string")
+         .select("status", "status_group",
+                 F.col("os").cast(S.MONEY).alias("order_settlement"),
+                 F.col("rs").cast(S.MONEY).alias("return_settlement"),
+                 (F.col("os").cast(S.MONEY) - F.col("rs").cast(S.MONEY)).cast(S.MONEY).alias("profit_loss"),
+                 F.lit(0).cast(S.MONEY).alias("final_amount"), F.lit(False).alias("status_changed_this_run"),
+                 F.lit("2025-03").alias("settlement_month")))
+    empty = spark.createDataFrame([], "order_id string, pending_month string, resolution_month string, "
+                                      "settlement_amount decimal(18,4)")
+    lines = [r.text for r in RP.recon_report(a, empty, empty, "2025-03", denominator="active")
+             .orderBy("block", "item").collect()]
+    for want in ["Total Orders: 3995", "Cancelled Orders: 134 (3.35%)", "Returned Orders: 326 (8.16%)",
+                 "Completed and Settled Orders: 1551 (38.82%)",
+                 "Completed but Pending Settlement Orders: 1984 (49.66%)",
+                 "Total Profit from Settled Orders: 763763.25", "Total Loss from Returned Orders: 66386.99",
+                 "Net Profit/Loss: 697376.26", "Settlement Rate: 40.17%", "Return Rate: 8.44%",
+                 "Average Profit per Settled Order: 492.43", "Average Loss per Returned Order: 203.64"]:
+        assert want in lines, (want, lines[:30])
