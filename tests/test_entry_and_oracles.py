@@ -34,3 +34,15 @@ def test_query_matches_oracle(spark, con, name):
     got = df.toPandas()
     want = con.sql(E.oracle_sql()[name]).df()
     assert compare(got, want).startswith("ok"), name
+
+
+def test_contract_is_importable_without_spark():
+    """The driver may read oracle_sql() before any session exists."""
+    import subprocess
+    import sys
+    code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
+            "from pyspark.sql import SparkSession; o = E.oracle_sql(); q = E.queries(); "
+            "assert set(o) <= set(q) and len(q) == 100 and SparkSession.getActiveSession() is None; "
+            "print(len(o))") % E._HERE
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and out.stdout.strip() == "98", out.stderr[-500:]
