@@ -585,8 +585,9 @@ def _quality_parts(spark, sf):
 
 def _build_quality_parts(spark, sf):
     tables = _tables(spark, sf)
-    comp = QA.completeness(tables)
-    errors = QA.validation_errors(tables, _raw_tables(spark, sf), RAW_NUMERIC_FIELDS)
+    # both are tiny (one row per column / per failing check): kept once per run
+    comp = QA.completeness(tables).persist()
+    errors = QA.validation_errors(tables, _raw_tables(spark, sf), RAW_NUMERIC_FIELDS).persist()
     o_prev = tv.orders_v(spark, sf, tv.CUT_DATE)
     return comp, errors, QA.orphans(tables["returns"], o_prev), QA.orphans(tables["settlements"], o_prev)
 
