@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import chat, line_dedup, minhash, pii
+from settlekit.llm import chat, decontaminate, line_dedup, minhash, pii
 from settlekit.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_leaks(docs.select("doc_id", "text"), items.select("item_id", "text")).drop("node")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]  # noqa: B023
@@ -49,6 +54,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash": op7_minhash,
+    "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
 }
 
