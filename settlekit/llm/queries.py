@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import chat, decontaminate, line_dedup, minhash, pii
+from settlekit.llm import chat, decontaminate, line_dedup, minhash, pieces, pii
 from settlekit.llm.common import table
 
 
@@ -28,6 +28,16 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars")))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text, as digests, and whether they decode to it."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.col("ids")
+    digest = encoded.select("doc_id", "n_chars", "n_chunks", F.size(ids).cast("long").alias("n_pieces"), "text_sha256",
+                            F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"), ids)
+    return pieces.decode(digest).select(
+        "doc_id", "n_chars", "n_chunks", "n_pieces", "ids_sha256", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.line_dedup(docs, min_docs=10)
@@ -52,6 +62,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_sentencepiece": op2_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
