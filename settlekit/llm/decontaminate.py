@@ -10,8 +10,8 @@ Scores are divided by that threshold, so each unit is found at 1. As in WAND,
 the terms with the smallest upper bounds, which together can't reach ``spare``,
 are set aside: only the postings of the others are walked. They are summed by
 block of units with the block's largest impact (block-max); only blocks that
-can reach 1 - spare are scored, by the exact sum over all terms. Nothing that
-reaches 1 is lost.
+can reach 1 - spare are opened, and only units in them whose sum reaches 1 - spare
+are scored over all terms. Nothing that reaches 1 is lost.
 
 A found unit is verified: at least ``overlap`` of the five-word runs of its
 first half (question) and of its second half (answer) occur near the passage.
@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from settlekit.llm.textvec import U, Words, batches, shingles
 
 K1, B = 1.2, 0.75
+CELLS = 1 << 21  # passages x units that are summed at a time
 SCHEMA = "doc_id long, node string, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -88,25 +89,36 @@ class Index:
         hit = self.vocabulary[term] == words[place]
         return place[hit], term[hit]
 
+    def _postings(self, first: np.ndarray, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, place) of all postings of the given terms."""
+        n = first[term + 1] - first[term]
+        skip = np.repeat(first[term] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        return np.repeat(passage, n), skip + np.arange(len(skip))
+
     def search(self, passage: np.ndarray, term: np.ndarray) -> list[tuple[int, int, float]]:
         """All (passage, unit, score) with a score of 1 or more; given the
         distinct (passage, term) pairs in ascending order."""
-        on = self.essential[term]
-        p, t = passage[on], term[on]
-        n = self.block_first[t + 1] - self.block_first[t]
-        at = np.repeat(self.block_first[t] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        key, inverse = np.unique(np.repeat(p, n) * self.n_blocks + self.block_id[at], return_inverse=True)
-        reached = key[np.bincount(inverse, self.block_max[at], len(key)) >= self.needed] if len(key) else key
-        found = []
-        for x in reached.tolist():
-            q, block = divmod(x, self.n_blocks)
-            terms = term[np.searchsorted(passage, q):np.searchsorted(passage, q + 1)]
-            low, high = block * self.block, (block + 1) * self.block
-            score = np.zeros(high - low)
-            for a, b in zip(self.first[terms], self.first[terms + 1]):
-                here = slice(a + np.searchsorted(self.unit[a:b], low), a + np.searchsorted(self.unit[a:b], high))
-                score[self.unit[here] - low] += self.value[here]
-            found += [(q, low + u, float(score[u])) for u in np.flatnonzero(score >= 1 - 1e-9)]
+        found, units = [], self.n_blocks * self.block
+        step = max(1, CELLS // units)
+        for low in range(0, int(passage[-1]) + 1 if len(passage) else 0, step):
+            here = slice(*np.searchsorted(passage, (low, low + step)))
+            q, t = passage[here] - low, term[here]
+            on = self.essential[t]
+            p, at = self._postings(self.block_first, q[on], t[on])
+            bound = np.bincount(p * self.n_blocks + self.block_id[at], self.block_max[at], step * self.n_blocks)
+            opened = bound >= self.needed
+            some = opened.reshape(step, self.n_blocks).any(axis=1)[q] & on
+            p, at = self._postings(self.first, q[some], t[some])
+            u = self.unit[at]
+            inside = opened[p * self.n_blocks + u // self.block]
+            score = np.bincount(p[inside] * units + u[inside], self.value[at[inside]], step * units)
+            for x in np.flatnonzero(score >= self.needed).tolist():
+                p0, u0 = divmod(x, units)
+                rest = t[np.searchsorted(q, p0):np.searchsorted(q, p0 + 1)]
+                rest = rest[~self.essential[rest]]
+                exact = score[x] + sum(self.value[a:b][self.unit[a:b] == u0].sum() for a, b in zip(self.first[rest], self.first[rest + 1]))
+                if exact >= 1 - 1e-9:
+                    found.append((low + p0, u0, float(exact)))
         return found
 
 
