@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import chat, decontaminate, line_dedup, minhash, pieces, pii
+from settlekit.llm import chat, decontaminate, langid, line_dedup, minhash, pieces, pii
 from settlekit.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "n_chunks", "n_pieces", "ids_sha256", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identified(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.line_dedup(docs, min_docs=10)
@@ -63,6 +68,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_language_id": op3_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
