@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import chat, decontaminate, langid, line_dedup, minhash, pieces, pii
+from settlekit.llm import chat, decontaminate, fingerprints, langid, line_dedup, minhash, pieces, pii
 from settlekit.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       pii.span_text(F.col("spans")).alias("spans"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
@@ -73,6 +77,7 @@ QUERIES = {
     "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES = {
