@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import chat, decontaminate, fingerprints, langid, line_dedup, minhash, pieces, pii
+from settlekit.llm import chat, decontaminate, fingerprints, langid, line_dedup, minhash, pieces, pii, suffixes
 from settlekit.llm.common import table
 
 
@@ -43,6 +43,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more shared across documents, by document."""
+    out = suffixes.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "repeated_words", spans.alias("spans"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.line_dedup(docs, min_docs=10)
@@ -73,6 +80,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash": op7_minhash,
     "op8_decontamination": op8_decontamination,
