@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import chat, decontaminate, fingerprints, langid, line_dedup, minhash, pieces, pii, suffixes
+from settlekit.llm import chat, decontaminate, fingerprints, langid, licenses, line_dedup, minhash, pieces, pii, suffixes
 from settlekit.llm.common import table
 
 
@@ -43,6 +43,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.as_files(table(spark, sf_dir, "documents"))
+    return licenses.scan(files).select("doc_id", "path", "license", "origin", F.round("score", 6).alias("score"), "license_dir")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more shared across documents, by document."""
     out = suffixes.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash": op7_minhash,
