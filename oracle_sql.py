@@ -444,13 +444,16 @@ ORACLE.update({
                                                  "newly_resolved_count", "newly_resolved_amount"]),
         ]), TRACK + "," + HIST),
     "status_history": q(
-        "SELECT order_release_id, strftime(run_ts, '%Y-%m-%d %H:%M:%S') AS change_ts, from_status, "
-        "status AS to_status FROM (SELECT *, lag(status) OVER (PARTITION BY order_release_id ORDER BY run_ts) "
-        "AS from_status FROM snaps) WHERE from_status IS NOT NULL AND from_status <> status",
-        f"snaps AS (SELECT order_release_id, {PREV_RUN_TS} AS run_ts, "
-        "arg_max(status, order_line_id || chr(1) || status) AS status FROM prev GROUP BY order_release_id "
-        f"UNION ALL SELECT order_release_id, {RUN_TS} AS run_ts, "
-        "arg_max(status, order_line_id || chr(1) || status) AS status FROM analysis GROUP BY order_release_id)"),
+        "SELECT order_release_id, brand, CAST(amount AS DOUBLE) AS amount, current_status, "
+        "strftime(run_ts, '%Y-%m-%d %H:%M:%S') AS change_ts, from_status, status AS to_status FROM (SELECT *, "
+        "lag(status) OVER w AS from_status, first_value(b) OVER w AS brand, first_value(a) OVER w AS amount, "
+        "last_value(status) OVER (PARTITION BY order_release_id ORDER BY run_ts ROWS BETWEEN UNBOUNDED PRECEDING "
+        "AND UNBOUNDED FOLLOWING) AS current_status FROM snaps WINDOW w AS (PARTITION BY order_release_id "
+        "ORDER BY run_ts)) WHERE from_status IS NOT NULL AND from_status <> status",
+        "snaps AS (" + " UNION ALL ".join(
+            f"SELECT order_release_id, {t} AS run_ts, arg_max(status, order_line_id || chr(1) || status) AS status, "
+            f"arg_min(brand, order_line_id) AS b, arg_min(order_settlement, order_line_id) AS a FROM {src} "
+            "GROUP BY order_release_id" for t, src in ((PREV_RUN_TS, "prev"), (RUN_TS, "analysis"))) + ")"),
     "anomalies": q(
         f"SELECT 'Negative Profit' AS type, order_release_id, 'Profit/Loss: ' || {money('profit_loss')} AS details, "
         "CAST(profit_loss AS DOUBLE) AS profit_loss FROM analysis WHERE profit_loss < 0 UNION ALL "
@@ -548,9 +551,20 @@ def _fmt(t: str, f: str) -> str:
 
 
 def _generic(t: str) -> str:
-    """Generic fallback parse: ISO date / date-time text only (Spark's cast)."""
-    return (f"CASE WHEN regexp_matches({t}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}([ T]\\d{{1,2}}:\\d{{1,2}}"
-            f"(:\\d{{1,2}}(\\.\\d+)?)?)?$') THEN TRY_CAST({t} AS TIMESTAMP) END")
+    """Generic fallback parse: ISO text, else month first (day first when the
+    first number is over 12), else eight digits."""
+    num = f"regexp_extract({t}, '^(\\d{{1,2}})[-/.](\\d{{1,2}})[-/.](\\d{{4}}|\\d{{2}})', "
+    a, b, y = (f"TRY_CAST({num}{i}) AS BIGINT)" for i in (1, 2, 3))
+    clock = f"regexp_extract({t}, ' (\\d{{1,2}}):(\\d{{1,2}})(:(\\d{{1,2}}))?$', "
+    h, m, sec = (f"coalesce(TRY_CAST({clock}{i}) AS BIGINT), 0)" for i in (1, 2, 4))
+    year = f"CASE WHEN {y} >= 100 THEN {y} WHEN {y} >= 69 THEN {y} + 1900 ELSE {y} + 2000 END"
+    iso = (f"CASE WHEN regexp_matches({t}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}([ T]\\d{{1,2}}:\\d{{1,2}}"
+           f"(:\\d{{1,2}}(\\.\\d+)?)?)?$') THEN TRY_CAST({t} AS TIMESTAMP) END")
+    numeric = (f"CASE WHEN regexp_matches({t}, '^\\d{{1,2}}[-/.]\\d{{1,2}}[-/.](\\d{{4}}|\\d{{2}})( \\d{{1,2}}:\\d{{1,2}}(:\\d{{1,2}})?)?$') "
+               f"THEN TRY_CAST(printf('%04d-%02d-%02d %02d:%02d:%02d', {year}, CASE WHEN {a} > 12 THEN {b} ELSE {a} END, "
+               f"CASE WHEN {a} > 12 THEN {a} ELSE {b} END, {h}, {m}, {sec}) AS TIMESTAMP) END")
+    eight = f"CASE WHEN regexp_matches({t}, '^\\d{{8}}$') THEN try_strptime({t}, '%Y%m%d') END"
+    return f"COALESCE({iso}, {numeric}, {eight})"
 
 
 def _time_only(t: str) -> str:
@@ -728,7 +742,7 @@ ORACLE.update({
         + [f"{_present_expr(sql_fill(s, 'default'), s)} AS {s.name}" for s in _S.ORDERS
            if s.name not in RAW_NAMES]) + " FROM raw_orders"),
     "upload_stamp": _qr(f'SELECT "order release id" AS order_release_id, {ts(RUN_TS)} AS upload_timestamp '
-                        "FROM raw_orders"),
+                        "FROM raw_orders UNION ALL SELECT order_release_id, upload_timestamp FROM raw_returns"),
     "drop_empty": _qr("SELECT * FROM raw_orders"),
     "date_default": _qr(f'SELECT "order release id" AS order_release_id, " created on " AS raw, '
                         f'{ts(sql_date_default(chr(34) + " created on " + chr(34), "created_on"))} AS created_on, '
@@ -837,17 +851,29 @@ RAW_NUM = [("orders", "raw_orders", '"final amount"', "final_amount"),
 INVALID_NUM = " UNION ALL ".join(
     f"SELECT '{t}' AS \"table\", '{f}' AS field, count(*) FILTER (WHERE {c} IS NOT NULL AND "
     f"TRY_CAST({c} AS DOUBLE) IS NULL) AS invalid FROM {src}" for t, src, c, f in RAW_NUM)
+_MISSPELT = ("(SELECT CASE WHEN CAST(order_release_id AS BIGINT) % 997 = 0 THEN 'no-' || order_release_id "
+             "ELSE order_release_id END AS order_release_id FROM orders_v)")
 INVALID_IDS = " UNION ALL ".join(
     f"SELECT '{t}' AS \"table\", 'order_release_id' AS field, count(*) FILTER (WHERE NOT COALESCE("
-    f"regexp_matches(order_release_id, '^[A-Z0-9]+$'), false)) AS invalid FROM {v}" for t, v, _ in Q_TABLES)
-ORPH = (f"orph_r AS (SELECT * FROM returns_v r WHERE NOT EXISTS (SELECT 1 FROM orders_p o "
-        f"WHERE o.order_release_id IS NOT DISTINCT FROM r.order_release_id)), "
-        f"orph_s AS (SELECT * FROM settlement_v s WHERE NOT EXISTS (SELECT 1 FROM orders_p o "
-        f"WHERE o.order_release_id IS NOT DISTINCT FROM s.order_release_id))")
+    f"regexp_matches(order_release_id, '^[A-Z0-9]+$'), false)) AS invalid FROM {_MISSPELT if t == 'orders' else v}"
+    for t, v, _ in Q_TABLES)
+
+
+def _orph(missing: str) -> str:
+    """Orphans when the orders for which ``missing`` holds are not in the extract."""
+    part = f"(SELECT order_release_id FROM orders_v WHERE NOT ({missing}))"
+    return (f"orph_r AS (SELECT * FROM returns_v r WHERE NOT EXISTS (SELECT 1 FROM {part} o "
+            f"WHERE o.order_release_id IS NOT DISTINCT FROM r.order_release_id)), "
+            f"orph_s AS (SELECT * FROM settlement_v s WHERE NOT EXISTS (SELECT 1 FROM {part} o "
+            f"WHERE o.order_release_id IS NOT DISTINCT FROM s.order_release_id))")
+
+
+ORPH = _orph("CAST(order_release_id AS BIGINT) % 10 = 0")
 QUALITY = (RAWQ + ", comp AS (" + COMPLETENESS + "), errs AS (SELECT \"table\" AS file, field, "
            "'Found ' || CAST(invalid AS VARCHAR) || ' invalid order IDs' AS message FROM (" + INVALID_IDS
            + ") WHERE invalid > 0 UNION ALL SELECT \"table\" AS file, field, 'Found ' || CAST(invalid AS VARCHAR) "
-           "|| ' invalid numeric values' AS message FROM (" + INVALID_NUM + ") WHERE invalid > 0), " + ORPH)
+           "|| ' invalid numeric values' AS message FROM (" + INVALID_NUM + ") WHERE invalid > 0), "
+           + _orph("CAST(order_release_id AS BIGINT) <= 3"))
 
 
 def _orph_cols(v: str) -> str:
@@ -1024,8 +1050,9 @@ ORACLE.update({
     "report_by_type": q(
         f"SELECT *, 'reconciliation' AS report FROM ({_table_sql('rnf', _sections_rows())}) "
         f"UNION ALL SELECT *, 'financial' AS report FROM ({_table_sql('finf', FIN_ROWS)}) "
-        f"UNION ALL SELECT *, 'data_quality' AS report FROM ({_dq_sql('af')})",
-        f"af AS (SELECT * FROM analysis WHERE {DATE_RANGE}), rnf AS ({report_numbers('af')}), "
+        f"UNION ALL SELECT *, 'data_quality' AS report FROM ({_dq_sql('af')} UNION ALL SELECT 100 AS ord, "
+        "'Validation Errors' AS section, field AS label, message AS value FROM errs)",
+        QUALITY + f", af AS (SELECT * FROM analysis WHERE {DATE_RANGE}), rnf AS ({report_numbers('af')}), "
         f"finf AS ({_fin_src('af')})"),
 })
 
@@ -1121,6 +1148,63 @@ ORACLE["repair_job"] = q(
 ORACLE["incremental_merge_batches"] = ORACLE["incremental_merge"]
 
 
+# Other ways for the same rows to arrive: columns in other orders, two checkpoints.
+ORACLE["incremental_mixed_headers"] = ORACLE["incremental_merge"]
+ORACLE["incremental_two_checkpoints"] = ORACLE["incremental_merge"]
+
+ORACLE["scan_quoted"] = q(
+    "SELECT " + ", ".join(
+        "CASE CAST(\"order release id\" AS BIGINT) % 5 WHEN 0 THEN brand || chr(10) || 'say \"hi\", ok' "
+        "WHEN 1 THEN '\"' || brand || '\"' ELSE brand END AS brand" if c == "brand" else f"{_nz(c)} AS \"{c.strip()}\""
+        for c in _RAW_COLS) + " FROM raw_orders", RAWQ)
+
+# Names of landed files, derived from the orders table.
+_NAMES = ("names AS (SELECT ['orders', 'Returns', 'settlement', 'notes', 'my-ORDERS'][CAST(o_orderkey % 5 + 1 AS BIGINT)] || "
+          "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '-%m-%Y') END || '.csv' AS extract FROM orders), "
+          "routed AS (SELECT extract, CASE WHEN contains(lower(extract), 'orders') THEN 'orders' WHEN contains(lower(extract), "
+          "'returns') THEN 'returns' WHEN contains(lower(extract), 'settlement') THEN 'settlement' END AS file_type, "
+          "CASE WHEN len(string_split(extract, '-')) >= 3 THEN string_split(extract, '-')[2] || '-' || "
+          "string_split(string_split(extract, '-')[3], '.')[1] ELSE 'unknown' END AS period FROM names)")
+ORACLE["route_files"] = f"WITH {_NAMES} SELECT * FROM routed"
+ORACLE["file_period"] = f"WITH {_NAMES} SELECT period, count(*) AS files FROM routed WHERE file_type IS NOT NULL GROUP BY period"
+
+# Date spellings: what the listed layouts and then a month-first reading (day
+# first when the first field is over 12) must give. ``x``: the date itself,
+# ``y``: day and month exchanged, where both can be months.
+_SPELT = ["%-m/%-d/%Y", "%m/%d/%y", "%d-%b-%Y", "%b %-d, %Y", "%d-%m-%y", "%d-%m-%Y", "%Y/%m/%d", "%d/%m/%Y", "%-d %B %Y", "%-m/%-d/%Y %-H:%M:%S"]
+_P5_SWAPS, _P67_SWAPS = (0, 4, 9), (4, 5, 7)
+
+
+def _read(swaps: tuple, other: str) -> str:
+    return (f"CASE WHEN k = {len(_SPELT)} THEN {other} WHEN k IN {swaps} AND day(x) <= 12 THEN "
+            "make_timestamp(year(x), day(x), month(x), hour(x), minute(x), second(x)) ELSE x END")
+
+
+ORACLE["date_spellings"] = (
+    f"WITH d AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_release_id, o_orderkey % {len(_SPELT) + 1} AS k, "
+    "CAST(o_orderdate AS TIMESTAMP) AS x FROM orders) SELECT order_release_id, CASE k "
+    + " ".join(f"WHEN {i} THEN strftime(x, '{f}')" for i, f in enumerate(_SPELT)) + " ELSE 'not a date' END AS raw, "
+    f"{ts(_read(_P5_SWAPS, RUN_TS))} AS p5, {ts(_read(_P67_SWAPS, 'NULL'))} AS p6, {ts(_read(_P67_SWAPS, 'NULL'))} AS p7, "
+    f"k = {len(_SPELT)} AS unread FROM d")
+
+_AMOUNT = ("CASE k WHEN 1 THEN CAST((l_linenumber + 1) * 1000 AS DECIMAL(28,4)) WHEN 2 THEN CAST(raw AS DECIMAL(28,4)) "
+           "WHEN 4 THEN CAST(-p AS DECIMAL(28,4)) WHEN 5 THEN CAST(1000 AS DECIMAL(28,4)) END")
+ORACLE["numeric_spellings"] = (
+    "WITH l AS (SELECT l_orderkey, l_orderkey % 6 AS k, l_linenumber, l_partkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS p "
+    "FROM lineitem), r AS (SELECT *, CASE k WHEN 0 THEN CAST(CAST(floor(p) AS BIGINT) AS VARCHAR) || 'd' "
+    "WHEN 1 THEN CAST(l_linenumber + 1 AS VARCHAR) || 'e3' WHEN 2 THEN '12345678901' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || '.25' "
+    "WHEN 3 THEN CAST(l_linenumber AS VARCHAR) || 'F' WHEN 4 THEN '-' || CAST(p AS VARCHAR) ELSE '1_000' END AS raw FROM l), "
+    f"v AS (SELECT *, {_AMOUNT} AS x FROM r) SELECT CAST(l_orderkey AS VARCHAR) AS order_release_id, raw, "
+    "CAST(coalesce(x, CAST(0 AS DECIMAL(28,4))) AS VARCHAR) AS p8, CAST(x AS VARCHAR) AS p9, CAST(x AS VARCHAR) AS p7, "
+    "CAST(CAST(trunc(coalesce(x, 0)) AS BIGINT) AS VARCHAR) AS p8_int FROM v")
+
+# The bucketed merge, with missing line ids on both sides (missing equals missing).
+ORACLE["merge_latest_bucketed"] = q(
+    f"SELECT {MERGE_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY order_release_id, order_line_id "
+    f"ORDER BY {_MERGE_ORDER}) AS rn FROM mx) WHERE rn = 1",
+    MERGE_IN + ", mx AS (SELECT * REPLACE (CASE WHEN l_partkey % 7 <> 0 THEN order_line_id END AS order_line_id) FROM mi)")
+
+
 # --- end-to-end runs: landed extracts -> cleansed, de-duplicated masters -> analysis summary -------
 def _dedup(src: str, file_type: str) -> str:
     """Keep-latest per key: newest upload, then the row content (descending)."""

@@ -24,6 +24,8 @@ DEFAULT_FORMATS = [
 ]
 # Null policy (month-first).
 NULL_FORMATS = ["M/d/yy H:m", "M/d/yyyy H:m", "yyyy-M-d H:m:s"]
+# Month names of the generic fallback, three letters each.
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 # Date columns that get the run timestamp when the value is missing.
 DEFAULTED_DATE_COLUMNS = ("return_date", "created_on", "upload_timestamp")
 TIME_ONLY = r"^\d{2}:\d{2}\.0$"
@@ -75,6 +77,51 @@ def _try_format(v: Column, fmt: str) -> Column:
     return t
 
 
+_NAME = "(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
+_YEAR = r"(\d{4}|\d{2})"
+# (shape, where year, month and day stand); with two numbers in front the month
+# comes first, and the day only if the first is over 12
+_SHAPES = [(r"^(\d{1,2})[-/.](\d{1,2})[-/.]" + _YEAR + "$", (3, 1, 2)), (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", (1, 2, 3)),
+           (r"^(\d{1,2})[-/. ]" + _NAME + "[-/., ]+" + _YEAR + "$", (3, 2, 1)), ("^" + _NAME + r" (\d{1,2}),? " + _YEAR + "$", (3, 1, 2)),
+           (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3))]
+
+
+_CLOCK = r" (\d{1,2}:\d{1,2}(?::\d{1,2})?)$"
+
+
+def _fields(text: Column) -> Column:
+    """[year, month, day, clock, 'swap' if the day may stand first] as texts."""
+    day = F.regexp_replace(text, _CLOCK, "")
+    found = F.lit(None).cast("array<string>")
+    for i, (shape, (y, m, d)) in reversed(list(enumerate(_SHAPES))):
+        fields = [F.regexp_extract(day, shape, n) for n in (y, m, d)]
+        found = F.when(day.rlike(shape), F.array(*fields, F.regexp_extract(text, _CLOCK, 1), F.lit("swap" if i == 0 else ""))).otherwise(found)
+    return found
+
+
+def _from_fields(x: Column) -> Column:
+    y, m, d, clock, swap = (F.get(x, i) for i in range(5))
+    named = ((F.instr(F.lit(MONTHS), F.lower(m)) + 2) / 3).cast("int")
+    month, number, year = F.coalesce(m.try_cast("int"), named), d.try_cast("int"), y.try_cast("int")
+    full = F.when(F.length(y) == 4, year).when(year >= 69, year + 1900).otherwise(year + 2000)
+    first = (swap == "swap") & (month > 12)
+    text = F.concat_ws("-", full.cast("string"), F.when(first, number).otherwise(month).cast("string"),
+                       F.when(first, month).otherwise(number).cast("string"))
+    return F.try_to_timestamp(F.when(clock == "", text).otherwise(F.concat_ws(" ", text, clock)), F.lit("yyyy-M-d[ H:m[:s]]"))
+
+
+def fallback(v: Column) -> Column:
+    """Generic parse of the spellings that no listed layout covers; NULL when
+    none fits (see ``unread`` for counting those). Lambdas bind the text and
+    its fields once; inlined, a table's date columns would be too much code."""
+    return F.get(F.transform(F.array(v), lambda t: F.get(F.transform(F.filter(F.array(_fields(t)), lambda f: f.isNotNull()), _from_fields), F.lit(0))), F.lit(0))
+
+
+def unread(raw: Column, parsed: Column) -> Column:
+    """Does a date text fall through all layouts? (``parsed``: by P6)"""
+    return raw.isNotNull() & (F.trim(raw.cast("string")) != "") & parsed.isNull()
+
+
 def time_only(v: Column, run_ts: Column) -> Column:
     """``MM:SS.0`` -> the run day at hour = minutes / 60, minute = minutes % 60,
     second = seconds (seconds parsed as digits, not by stripping zeros)."""
@@ -87,12 +134,12 @@ def time_only(v: Column, run_ts: Column) -> Column:
 
 def parse_date_default(raw: Column, column: str, run_ts: Column) -> Column:
     """P5: missing -> run_ts for the defaulted columns else NULL; time-only;
-    16 layouts in order; generic cast; anything else -> run_ts."""
+    16 layouts in order; generic parse; anything else -> run_ts."""
     v = F.trim(raw.cast("string"))
     missing = raw.isNull() | (raw.cast("string") == "")
     on_missing = run_ts if column in DEFAULTED_DATE_COLUMNS else F.lit(None).cast("timestamp")
     parsed = F.coalesce(time_only(v, run_ts), *[_try_format(v, f) for f in DEFAULT_FORMATS],
-                        v.try_cast("timestamp"), run_ts)
+                        v.try_cast("timestamp"), fallback(v), run_ts)
     # A value of blanks is not "missing" but parses to nothing (NULL).
     return F.when(missing, on_missing).when(v == "", F.lit(None).cast("timestamp")).otherwise(parsed)
 
@@ -102,9 +149,10 @@ def parse_date_null(raw: Column, run_ts: Column) -> Column:
     failure -> NULL."""
     v = F.trim(F.regexp_replace(raw.cast("string"), r'^"+|"+$', ""))
     return F.coalesce(time_only(v, run_ts), *[_try_format(v, f) for f in NULL_FORMATS],
-                      v.try_cast("timestamp"))
+                      v.try_cast("timestamp"), fallback(v))
 
 
 def parse_date_coerce(raw: Column) -> Column:
     """Generic parse, failure -> NULL."""
-    return F.trim(raw.cast("string")).try_cast("timestamp")
+    v = F.trim(raw.cast("string"))
+    return F.coalesce(v.try_cast("timestamp"), fallback(v))

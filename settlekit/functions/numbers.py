@@ -1,9 +1,10 @@
 """Numeric coercion as native expressions.
 
-Values are parsed as double (Python ``float`` accepts the same texts) and
-then stored in the column's declared type: exact ``decimal(18,4)`` for
-money, ``long`` for integers (truncated toward zero, like ``int()``).
-``try_cast`` keeps ANSI mode from failing a whole job on one bad cell.
+A text is a number if Python's ``float`` would read it (no suffix letters, as
+a plain cast would accept); it is then parsed as an exact decimal, so no digit
+of a long amount is lost. Money is stored as ``schema.MONEY``, integers as
+``long`` (truncated toward zero, like ``int()``). ``try_cast`` keeps ANSI mode
+from failing a whole job on one bad cell.
 """
 
 from __future__ import annotations
@@ -18,10 +19,20 @@ MONEY_NOISE = "₹,"
 # --- end fixed values ---------------------------------------------------------------
 
 
+NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+EXACT = "decimal(38,10)"
+
+
+def number(v: Column) -> Column:
+    """Exact value of a number text, NULL for any other text. Values beyond
+    28 digits before the point are not amounts: NULL."""
+    return F.when(v.rlike(NUMBER), F.replace(v, F.lit("_"), F.lit("")).try_cast(EXACT))
+
+
 def to_kind(x: Column, kind: str) -> Column:
-    """Store a parsed double in the declared type (integer truncates)."""
+    """Store a parsed number in the declared type (integer truncates)."""
     if kind == INTEGER:
-        return x.try_cast("long")
+        return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).try_cast("long")
     return x.try_cast(MONEY)
 
 
@@ -32,11 +43,11 @@ def parse_number_default(raw: Column, kind: str, min_value: float | None = None,
     s = raw.cast("string")
     v = F.trim(F.translate(s, MONEY_NOISE, ""))
     pct = v.endswith("%")
-    x = F.when(pct, v.substr(F.lit(1), F.length(v) - 1).try_cast("double") / 100).otherwise(v.try_cast("double"))
+    x = F.when(pct, (number(F.trim(v.substr(F.lit(1), F.length(v) - 1))) / 100).try_cast(EXACT)).otherwise(number(v))
     if min_value is not None:
-        x = F.when(x < min_value, F.lit(float(min_value))).otherwise(x)
+        x = F.greatest(x, F.lit(str(min_value)).cast(EXACT))
     if max_value is not None:
-        x = F.when(x > max_value, F.lit(float(max_value))).otherwise(x)
+        x = F.least(x, F.lit(str(max_value)).cast(EXACT))
     zero = F.lit(0).cast("long" if kind == INTEGER else MONEY)
     return (F.when(raw.isNull() | (s == "") | (v == ""), zero)
             .otherwise(F.coalesce(to_kind(x, kind), zero)))
@@ -45,9 +56,9 @@ def parse_number_default(raw: Column, kind: str, min_value: float | None = None,
 def parse_number_null(raw: Column, kind: str) -> Column:
     """Strip quotes and blanks; '' or not a number -> NULL."""
     v = F.trim(F.regexp_replace(raw.cast("string"), r'^"+|"+$', ""))
-    return to_kind(F.when(v != "", v.try_cast("double")), kind)
+    return to_kind(number(v), kind)
 
 
 def parse_number_coerce(raw: Column, kind: str) -> Column:
     """Plain numeric parse, failure -> NULL."""
-    return to_kind(F.trim(raw.cast("string")).try_cast("double"), kind)
+    return to_kind(number(F.trim(raw.cast("string"))), kind)

@@ -95,35 +95,42 @@ def merge_latest_bucketed(master: DataFrame, incoming: DataFrame, buckets: int,
                           ts_col: str = "upload_timestamp", order_col: str | None = ORD) -> DataFrame:
     """W1 for a master stored bucketed by ``bucket_key`` into ``buckets``.
 
-    Only the incoming rows are shuffled: they are hash partitioned exactly
-    like the master's buckets, reduced to their latest row per key there (no
-    further exchange), and combined with the master by a full outer join on
-    the key — one row per key on each side, so no pairs — whose master side
-    is read in place. Same winner as ``merge_latest``."""
-    spark = master.sparkSession
+    The incoming rows are first reduced to their latest row per full key (a
+    partial aggregate, so copies of a hot key meet before the exchange), then
+    partitioned like the master's buckets and combined with the master by a
+    full outer join on the key — one row per key on each side — whose master
+    side is read in place. Rows with a missing key part, which an equi-join
+    would not match, are merged apart by ``merge_latest``. Same winner and
+    columns as ``merge_latest``."""
     keys = keys or KEY
-    # a join on (order_release_id, order_line_id) may use a partitioning on
-    # order_release_id alone (the master's buckets)
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    cols = [c for c in master.columns]
-    inc = incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).cast(master.schema[c].dataType).alias(c)
-                            for c in cols],
-                          *([F.col(order_col)] if order_col and order_col in incoming.columns else []))
+    has_order = bool(order_col) and order_col in incoming.columns
+    extra = [c for c in incoming.columns if c not in master.columns and c != order_col]
+    cols = [*(c for c in master.columns if not has_order or c != order_col), *extra]
+
+    def aligned(df: DataFrame, other: DataFrame) -> DataFrame:
+        kind = lambda c: (other if c not in df.columns else df).schema[c].dataType
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast(kind(c))).alias(c) for c in cols],
+                         *([F.col(order_col) if order_col in df.columns else
+                            F.lit(None).cast(incoming.schema[order_col].dataType).alias(order_col)] if has_order else []))
+
+    old, new = aligned(master, incoming), aligned(incoming, master)
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(k).isNull()
+    apart = merge_latest(old.where(missing), new.where(missing), keys, ts_col, order_col if has_order else None)
+
     payload = [c for c in cols if c not in keys]
-    inc = inc.withColumn(SRC, F.lit(1)).repartition(buckets, bucket_key)
-    inc_order = _ordering(inc, ts_col, order_col, payload)
-    latest = (inc.groupBy(*keys)
-                 .agg(F.max(F.struct(inc_order.alias("o"), F.struct(*[F.col(c) for c in payload]).alias("p")))
-                      .alias("_i")))
-    m = master.withColumn(SRC, F.lit(0))
-    m_order_parts = [F.col(ts_col), F.col(SRC)]
-    if order_col and order_col in inc.columns:
-        m_order_parts.append(F.lit(None).cast(inc.schema[order_col].dataType))
-    else:
-        m_order_parts.append(F.struct(*[F.col(c) for c in payload if c != ts_col]))
-    m = m.select(*keys, F.struct(F.struct(*m_order_parts).alias("o"),
-                                 F.struct(*[F.col(c) for c in payload]).alias("p")).alias("_m"))
+
+    def packed(df: DataFrame, source: int) -> DataFrame:
+        df = df.withColumn(SRC, F.lit(source))
+        return df.select(*keys, F.struct(_ordering(df, ts_col, order_col if has_order else None, payload).alias("o"),
+                                         F.struct(*[F.col(c) for c in payload]).alias("p")).alias("row"))
+
+    latest = (packed(new.where(~missing), 1).groupBy(*keys).agg(F.max("row").alias("_i"))
+              .repartition(buckets, bucket_key))
+    m = packed(old.where(~missing), 0).withColumnRenamed("row", "_m")
     j = m.join(latest, keys, "full_outer")
     take_inc = F.col("_m").isNull() | (F.col("_i").isNotNull() & (F.col("_i.o") > F.col("_m.o")))
     win = F.when(take_inc, F.col("_i.p")).otherwise(F.col("_m.p"))
-    return j.select(*keys, *[win.getField(c).alias(c) for c in payload])
+    merged = j.select(*keys, *[win.getField(c).alias(c) for c in payload])
+    return merged.unionByName(apart.select(*merged.columns))

@@ -29,8 +29,9 @@ HOT_KEY_ROWS = 1_000_000
 SALT, SALTS = "_salt", "_salts"
 
 
-# Smallest support ``DataFrame.stat.freqItems`` accepts.
-MIN_SUPPORT = 1e-4
+# Smallest support asked of ``DataFrame.stat.freqItems``: bounds the list of
+# candidate keys (1 / support of them reach the driver).
+MIN_SUPPORT = 1e-5
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
@@ -86,10 +87,11 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "left",
     # the hot list is matched NULL-safely, so rows of a hot NULL key are
     # spread too (whether NULL matches in the join itself is ``null_safe``)
     hb = F.broadcast(hot.withColumnRenamed(key, "_hk"))
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in big.columns])
+    # by place, not content: identical rows of a hot key must spread too
+    place = F.monotonically_increasing_id()
     b = (big.join(hb, F.col(key).eqNullSafe(F.col("_hk")), "left")
             .withColumn(SALT, F.when(F.col(SALTS).isNull(), F.lit(0))
-                        .otherwise(F.pmod(row_hash, F.col(SALTS).cast("long")).cast("int")))
+                        .otherwise(F.pmod(place, F.col(SALTS).cast("long")).cast("int")))
             .drop(SALTS, "_hk"))
     s2 = (s.join(hb, F.col(sk).eqNullSafe(F.col("_hk")), "left")
            .withColumn("_salt_s", F.explode(F.when(F.col(SALTS).isNull(), F.array(F.lit(0)))

@@ -150,13 +150,18 @@ def status_history(snapshots: DataFrame) -> DataFrame:
     below sees at most one row per run for an order — its partitions are
     bounded by the number of runs, not by the data."""
     per_run = (snapshots.groupBy(KEY, "run_ts")
-               .agg(F.max(F.struct("order_line_id", "status")).getField("status").alias("status")))
+               .agg(F.max(F.struct("order_line_id", "status")).getField("status").alias("status"),
+                    F.min(F.struct("order_line_id", "brand", "order_settlement")).alias("first")))
     from pyspark.sql import Window
     w = Window.partitionBy(KEY).orderBy("run_ts")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # the record an order opens with (brand, first amount) and its last status
     return (per_run.withColumn("from_status", F.lag("status").over(w))
+            .withColumn("opened", F.first("first").over(whole))
+            .withColumn("current_status", F.last("status").over(whole))
             .where(F.col("from_status").isNotNull() & (F.col("from_status") != F.col("status")))
-            .select(KEY, F.col("run_ts").alias("change_ts"), "from_status",
-                    F.col("status").alias("to_status")))
+            .select(KEY, F.col("opened.brand").alias("brand"), F.col("opened.order_settlement").alias("amount"), "current_status",
+                    F.col("run_ts").alias("change_ts"), "from_status", F.col("status").alias("to_status")))
 
 
 def settlement_report(a: DataFrame, new_pend: DataFrame, resolved: DataFrame,

@@ -32,7 +32,7 @@ from settlekit.operators import metrics as M
 from settlekit.operators import track as T
 from settlekit.operators.analyze import analyze
 from settlekit.plans import reports as RP
-from settlekit.session import input_bytes, size_shuffle_partitions
+from settlekit.session import input_bytes, sized_shuffle_partitions
 from settlekit.sources import csv as CSV
 
 ENTITY_ORDER = ("orders", "returns", "settlement")
@@ -54,71 +54,134 @@ def _typed_empty(spark: SparkSession, entity: str) -> DataFrame:
     return spark.createDataFrame([], S.struct_type(entity))
 
 
-def _ingest_entity(spark: SparkSession, landing: str, warehouse: str, staging: str, entity: str,
-                   names: list[str], run_ts: _dt.datetime, buckets: int | None):
+@dataclass
+class Extract:
+    """One landed extract: its rank among the entity's (name order, as landed;
+    a later one wins a tie on upload time) and the files to read."""
+    rank: int
+    name: str
+    path: str
+    files: list[str]
+
+
+def _problem(spark: SparkSession, entity: str, name: str, error: Exception) -> DataFrame:
+    """Issue row for an extract that could not be read: it fails alone."""
+    text = (str(error).strip().splitlines() or [type(error).__name__])[0][:500]
+    return spark.createDataFrame([(entity, "error", None, "file", f"Error processing file {name}: {text}", name)],
+                                 "file_type string, severity string, row_index long, column string, message string, value string")
+
+
+def _stage(spark: SparkSession, staging: str, entity: str, group: int, header: tuple[str, list[str]],
+           extracts: list[Extract], run_ts: _dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parse and cleanse all extracts of one header in one scan, through a raw
+    and a clean staging table; returns (rows, issues, stats)."""
+    raw, names = CSV.scan_raw(spark, [f for e in extracts for f in e.files], header=header)
+    raw_path = f"{staging}/raw/{entity}/{group:05d}"
+    raw.write.parquet(raw_path)
+    raw = spark.read.parquet(raw_path)
+    rows, bad = CSV.split_raw(raw, names)
+    result = CL.clean(rows, entity, "default", run_ts)
+    # Row order for ties on (key, upload time): the later extract wins;
+    # within one extract the content decides (not the file layout).
+    ranks = F.broadcast(spark.createDataFrame([(e.path, e.rank) for e in extracts], "_extract string, _rank int"))
+    content = F.struct(*[F.col(s.name) for s in S.SPECS[entity] if s.name not in S.KEY])
+    clean_path = f"{staging}/clean/{entity}/{group:05d}"
+    (result.df.withColumn("_extract", CSV.extract_path(F.col("_source_file"))).join(ranks, "_extract", "left")
+     .withColumn("_ord", F.struct(F.col("_rank").alias("extract"), content.alias("row")))
+     .drop("_source_file", "_extract", "_rank").write.parquet(clean_path))
+    staged = spark.read.parquet(clean_path)
+    issues, stats = CL.summarize(staged.drop("_ord"), entity, result.column_issues)
+    for lines in (bad, CSV.short_lines(raw, names)):
+        issues = issues.unionByName(lines.select(
+            F.lit(entity).alias("file_type"), F.lit("warning").alias("severity"),
+            F.lit(None).cast("long").alias("row_index"), F.lit("line").alias("column"), "message", "value"))
+    return staged, issues, stats
+
+
+def _ingest_entity(spark: SparkSession, warehouse: str, staging: str, entity: str, extracts: list[Extract],
+                   run_ts: _dt.datetime, buckets: int | None, commit: str | None = None):
+    headers: dict[tuple, list[Extract]] = {}
     cleaned, issues, stats = [], [], []
-    for rank, name in enumerate(names):
-        raw, header = CSV.scan_raw(spark, f"{landing.rstrip('/')}/{name}")
-        raw_path = f"{staging}/raw/{entity}/{rank:05d}"
-        raw.write.parquet(raw_path)
-        rows, bad = CSV.split_raw(spark.read.parquet(raw_path), header)
-        result = CL.clean(rows, entity, "default", run_ts)
-        clean_path = f"{staging}/clean/{entity}/{rank:05d}"
-        # Row order for ties on (key, upload time): the later extract wins;
-        # within one extract the content decides (not the file layout).
-        content = F.struct(*[F.col(s.name) for s in S.SPECS[entity] if s.name not in S.KEY])
-        (result.df.drop("_source_file")
-         .withColumn("_ord", F.struct(F.lit(rank).alias("extract"), content.alias("row")))
-         .write.parquet(clean_path))
-        staged = spark.read.parquet(clean_path)
-        cleaned.append(staged)
-        part_issues, part_stats = CL.summarize(staged.drop("_ord"), entity, result.column_issues)
-        issues.append(part_issues.unionByName(
-            bad.select(F.lit(entity).alias("file_type"), F.lit("warning").alias("severity"),
-                       F.lit(None).cast("long").alias("row_index"), F.lit("line").alias("column"),
-                       "message", "value")))
-        stats.append(part_stats)
-    master = _master(spark, warehouse, entity)
-    current = sinks.current_master(spark, f"{warehouse}/masters", entity)
-    if master is not None and buckets and sinks.bucket_spec(spark, current) == (buckets, "order_release_id"):
-        # the master is read in place; only the incoming rows are shuffled
-        merged = MG.merge_latest_bucketed(master, _union(cleaned), buckets)
-    else:
-        base = master if master is not None else _typed_empty(spark, entity)
-        merged = MG.merge_latest(base, _union(cleaned)).drop("_ord")
-    sinks.write_master(merged, f"{warehouse}/masters", entity, buckets)
+    for e in extracts:
+        try:
+            sep, names = CSV.sniff(spark, e.files[0])
+            if not names:
+                raise ValueError("the file is empty")
+            headers.setdefault((sep, tuple(names)), []).append(e)
+        except Exception as error:  # noqa: BLE001 - one bad file fails alone, and is reported
+            issues.append(_problem(spark, entity, e.name, error))
+    work = [((sep, list(names)), group) for (sep, names), group in headers.items()]
+    n = 0
+    while work:
+        header, group = work.pop(0)
+        try:
+            staged, part_issues, part_stats = _stage(spark, staging, entity, n, header, group, run_ts)
+            cleaned.append(staged)
+            issues.append(part_issues)
+            stats.append(part_stats)
+        except Exception as error:  # noqa: BLE001 - look for the bad file, go on with the others
+            if len(group) == 1:
+                issues.append(_problem(spark, entity, group[0].name, error))
+            else:
+                work += [(header, [e]) for e in group]
+        n += 1
+    if cleaned:
+        root = f"{warehouse}/masters"
+        current = sinks.current_master(spark, root, entity)
+        master = sinks.read_version(spark, current) if current else None
+        incoming = cleaned[0]
+        for part in cleaned[1:]:
+            incoming = incoming.unionByName(part, allowMissingColumns=True)
+        if master is not None and buckets and sinks.bucket_spec(spark, current) == (buckets, "order_release_id"):
+            # the master is read in place; only the incoming rows are shuffled
+            merged = MG.merge_latest_bucketed(master, incoming, buckets)
+        else:
+            base = master if master is not None else _typed_empty(spark, entity)
+            merged = MG.merge_latest(base, incoming).drop("_ord")
+        sinks.write_master(merged, root, entity, buckets, commit=commit)
     return issues, stats
 
 
+def ingest_extracts(spark: SparkSession, found: list[tuple[str, str, str, list[str]]], warehouse: str,
+                    run_ts: _dt.datetime, buckets: int | None = None, commit: str | None = None) -> dict[str, DataFrame]:
+    """Ingest (entity, name, path, files) extracts; the entities are
+    independent (separate masters), so their jobs run side by side. Returns
+    issues and statistics (empty when nothing was found)."""
+    # per attempt; a lost executor recomputes from these tables, no CSV is parsed twice
+    staging = f"{warehouse}/staging/{run_ts:%Y%m%d_%H%M%S}-{time.time_ns():020d}"
+    work: dict[str, list[Extract]] = {}
+    for entity, name, path, files in sorted(found, key=lambda x: (x[0], x[1], x[2])):
+        group = work.setdefault(entity, [])
+        group.append(Extract(len(group), name, path, files))
+    if commit:   # a replayed micro-batch: masters that have it already stay
+        work = {e: x for e, x in work.items() if not sinks.committed(spark, f"{warehouse}/masters", e, commit)}
+    if not work:
+        return {}
+    with ThreadPoolExecutor(max_workers=len(work)) as pool:
+        futures = [pool.submit(_ingest_entity, spark, warehouse, staging, e, work[e], run_ts, buckets, commit)
+                   for e in ENTITY_ORDER if e in work]
+        results = [f.result() for f in futures]
+    issues = [i for part, _ in results for i in part]
+    stats = [s for _, part in results for s in part]
+    out = {"staging": staging, "issues": _union(issues)}
+    if stats:
+        out["stats"] = _union(stats)
+    return out
+
+
 def ingest(spark: SparkSession, landing: str, warehouse: str, run_ts: _dt.datetime,
            buckets: int | None = None) -> dict[str, DataFrame]:
     """Route the landed extracts, cleanse them and upsert each master once.
 
-    Each extract is parsed exactly once, into a raw staging table; the
-    cleansed rows go to a second staging table; the merge and the
-    statistics read the staged Parquet (no CSV is parsed twice, and a lost
-    executor recomputes from the staging tables, not from the landing files).
-    All extracts of an entity are merged in one job; the extract's rank (name
-    order, as landed) leads the row order, so a later extract wins a tie on
-    upload time; within an extract the row content breaks the tie, so the
-    result does not depend on how the files were split. The entities are independent (separate masters), so their
-    jobs are submitted concurrently. Returns the issues and statistics."""
-    staging = f"{warehouse}/staging/{run_ts:%Y%m%d_%H%M%S}-{time.time_ns():020d}"   # per attempt
+    Extracts of one header are parsed in one distributed scan. The extract's
+    rank leads the row order; within an extract the row content breaks a tie,
+    so the result does not depend on how the files were split. An extract that
+    can't be read is reported as an issue and the others go on."""
     listing = CSV.list_landing(spark, landing).where(F.col("file_type").isNotNull())
     # File metadata only (one row per landed extract), bounded by the number
     # of files, so it may come to the driver.
-    extracts = sorted((r.file_type, r.extract) for r in listing.select("file_type", "extract").collect())
-    work = {e: [n for t, n in extracts if t == e] for e in ENTITY_ORDER}
-    work = {e: names for e, names in work.items() if names}
-    with ThreadPoolExecutor(max_workers=max(1, len(work))) as pool:
-        futures = [pool.submit(_ingest_entity, spark, landing, warehouse, staging, e, names, run_ts, buckets)
-                   for e, names in work.items()]
-        results = [f.result() for f in futures]
-    issues = [i for part, _ in results for i in part]
-    stats = [s for _, part in results for s in part]
-    if not issues:
-        return {}
-    return {"issues": _union(issues), "stats": _union(stats)}
+    found = [(r.file_type, r.extract, r.path, [r.path]) for r in listing.select("file_type", "extract", "path").collect()]
+    return ingest_extracts(spark, found, warehouse, run_ts, buckets)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -156,16 +219,19 @@ def run_batch(spark: SparkSession, landing: str, warehouse: str,
     landed files plus the masters (file-system metadata) / 200 MB."""
     run_ts = run_ts or _dt.datetime.now()
     if size_partitions:
-        size_shuffle_partitions(spark, input_bytes(spark, landing, f"{warehouse}/masters"))
+        with sized_shuffle_partitions(spark, input_bytes(spark, landing, f"{warehouse}/masters")):
+            return run_batch(spark, landing, warehouse, run_ts, buckets)
     stamp = f"{run_ts:%Y%m%d_%H%M%S}"
     run_dir = f"{warehouse}/runs/{stamp}"
+    # K6: the state before this run (versions are never changed, so naming them is a copy)
+    snapshot = sinks.snapshot_versions(spark, f"{warehouse}/masters", ENTITY_ORDER, f"{warehouse}/snapshots", run_ts)
     ing = ingest(spark, landing, warehouse, run_ts, buckets)
     a, previous = analyse(spark, warehouse, run_ts)
     month = run_ts.strftime("%Y-%m")
     np_ = T.new_pending(a, previous, month)
     rs = T.newly_resolved(a, previous, month)
     paths = {"analysis": sinks.current_master(spark, warehouse, "analysis"),
-             "report": f"{run_dir}/report", "report_latest": f"{warehouse}/reports/latest"}
+             "report": f"{run_dir}/report", "report_latest": f"{warehouse}/reports/latest", "snapshot": snapshot}
 
     def anomalies():
         if sinks.write_anomalies(AN.anomalies(a), f"{run_dir}/anomalies"):
@@ -179,15 +245,15 @@ def run_batch(spark: SparkSession, landing: str, warehouse: str,
     def issues():
         if "issues" in ing:
             sinks.write_issues_json(ing["issues"], f"{run_dir}/issues")
-            ing["stats"].write.mode("overwrite").json(f"{run_dir}/stats")
             paths["issues"] = f"{run_dir}/issues"
-
-    def snapshot():
-        masters = {e: df for e in ENTITY_ORDER if (df := _master(spark, warehouse, e)) is not None}
-        paths["snapshot"] = sinks.snapshot(masters, f"{warehouse}/snapshots", run_ts)
+        if "stats" in ing:
+            ing["stats"].write.mode("overwrite").json(f"{run_dir}/stats")
+            paths["stats"] = f"{run_dir}/stats"
 
     # independent sinks of the written analysis: submitted as concurrent jobs
     with ThreadPoolExecutor(max_workers=4) as pool:
-        for f in [pool.submit(fn) for fn in (anomalies, report, issues, snapshot)]:
+        for f in [pool.submit(fn) for fn in (anomalies, report, issues)]:
             f.result()
+    if "staging" in ing:   # everything that read it is written now
+        sinks.remove(spark, ing["staging"])
     return BatchResult(a, M.run_summary(a), paths)

@@ -413,8 +413,10 @@ def q_fill_missing_repair(spark, sf):
 
 @register("upload_stamp")
 def q_upload_stamp(spark, sf):
-    df = CL.rename_columns(_raw(spark, sf), "orders")
-    return present(df.withColumn("upload_timestamp", _run_ts()).select("order_release_id", "upload_timestamp"))
+    """Added where absent, kept where the extract has it."""
+    added = CL.clean(_raw(spark, sf), "orders", "default", tv.RUN_TS).df.select("order_release_id", "upload_timestamp")
+    kept = CL.clean(tv.raw_returns_v(spark, sf), "returns", "default", tv.RUN_TS).df.select("order_release_id", "upload_timestamp")
+    return present(added.unionByName(kept))
 
 
 @register("drop_empty")
@@ -441,6 +443,42 @@ def q_date_null(spark, sf):
                               DT.parse_date_null(F.col(" created on "), _run_ts()).alias("created_on")))
 
 
+# --- fixed values: spellings of a date that users type, by order key -------------------
+DATE_SPELLINGS = ["M/d/yyyy", "MM/dd/yy", "dd-MMM-yyyy", "MMM d, yyyy", "dd-MM-yy", "dd-MM-yyyy", "yyyy/MM/dd", "dd/MM/yyyy",
+                  "d MMMM yyyy", "M/d/yyyy H:mm:ss"]
+# --- end fixed values ---------------------------------------------------------------------
+
+
+@register("date_spellings")
+def q_date_spellings(spark, sf):
+    """P5-P7 on spellings that only the generic parse reads."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    created, n = F.col("o_orderdate").cast("timestamp"), len(DATE_SPELLINGS)
+    raw = F.lit("not a date")
+    for i, layout in enumerate(DATE_SPELLINGS):
+        raw = F.when(F.col("o_orderkey") % (n + 1) == i, F.date_format(created, layout)).otherwise(raw)
+    o = o.select(F.col("o_orderkey").cast("string").alias("order_release_id"), raw.alias("raw"))
+    null = DT.parse_date_null(F.col("raw"), _run_ts())
+    return present(o.select("order_release_id", "raw", DT.parse_date_default(F.col("raw"), "created_on", _run_ts()).alias("p5"),
+                            null.alias("p6"), DT.parse_date_coerce(F.col("raw")).alias("p7"), DT.unread(F.col("raw"), null).alias("unread")))
+
+
+@register("numeric_spellings")
+def q_numeric_spellings(spark, sf):
+    """P7-P9 on texts that a plain cast would misread, and on long amounts."""
+    ln = spark.read.parquet(f"{sf}/lineitem.parquet")
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    k = F.col("l_orderkey") % 6
+    raw = (F.when(k == 0, F.concat(F.floor(price).cast("string"), F.lit("d"))).when(k == 1, F.concat((F.col("l_linenumber") + 1).cast("string"), F.lit("e3")))
+           .when(k == 2, F.concat(F.lit("12345678901"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.lit(".25")))
+           .when(k == 3, F.concat(F.col("l_linenumber").cast("string"), F.lit("F"))).when(k == 4, F.concat(F.lit("-"), price.cast("string"))).otherwise(F.lit("1_000")))
+    ln = ln.select(F.col("l_orderkey").cast("string").alias("order_release_id"), raw.alias("raw"))
+    text = lambda c: c.cast("string")  # noqa: E731 - exact digits, not doubles
+    return ln.select("order_release_id", "raw", text(NU.parse_number_default(F.col("raw"), S.FLOAT)).alias("p8"),
+                     text(NU.parse_number_null(F.col("raw"), S.FLOAT)).alias("p9"), text(NU.parse_number_coerce(F.col("raw"), S.FLOAT)).alias("p7"),
+                     text(NU.parse_number_default(F.col("raw"), S.INTEGER)).alias("p8_int"))
+
+
 @register("numeric_default")
 def q_numeric_default(spark, sf):
     raw, v = _raw(spark, sf), F.col("final amount")
@@ -541,6 +579,28 @@ def q_merge_latest(spark, sf):
     return present(MG.merge_latest(master, incoming).select(*MERGE_PAYLOAD))
 
 
+def _without_some_lines(df):
+    """Every seventh part's rows lose their line id: a missing key part."""
+    return df.withColumn("order_line_id", F.when(F.col("l_partkey") % 7 != 0, F.col("order_line_id")))
+
+
+@register("merge_latest_bucketed")
+def q_merge_latest_bucketed(spark, sf):
+    """W1 into a bucketed master, with missing key parts on both sides."""
+    from settlekit import sinks as SK
+    from settlekit.session import checkpoint_dir
+    master, incoming = (_without_some_lines(df) for df in tv.merge_inputs(spark, sf))
+
+    def build():
+        import uuid
+        path = f"{checkpoint_dir(spark).rstrip('/')}/bucketed/{uuid.uuid4().hex}"
+        # the master holds one row per key, as a master does
+        SK.write_version(MG.merge_latest(master.limit(0), master), path, BATCH_BUCKETS)
+        return path
+    stored = SK.read_version(spark, _memo(spark, sf, "bucketed_master", build))
+    return present(MG.merge_latest_bucketed(stored, incoming, BATCH_BUCKETS).select(*MERGE_PAYLOAD))
+
+
 @register("duplicate_keys")
 def q_duplicate_keys(spark, sf):
     _, incoming = tv.merge_inputs(spark, sf)
@@ -568,7 +628,7 @@ EXISTING_YEAR, EXISTING_MONTH = 1996, 3
 
 def _tables(spark, sf):
     o, r, s = tv.inputs(spark, sf)
-    return {"orders": o, "returns": r, "settlements": s}
+    return {"orders": tv.misspelt_ids(o), "returns": r, "settlements": s}
 
 
 def _raw_tables(spark, sf):
@@ -588,8 +648,8 @@ def _build_quality_parts(spark, sf):
     # both are tiny (one row per column / per failing check): kept once per run
     comp = QA.completeness(tables).persist()
     errors = QA.validation_errors(tables, _raw_tables(spark, sf), RAW_NUMERIC_FIELDS).persist()
-    o_prev = tv.orders_v(spark, sf, tv.CUT_DATE)
-    return comp, errors, QA.orphans(tables["returns"], o_prev), QA.orphans(tables["settlements"], o_prev)
+    o_part = tv.orders_partial_v(spark, sf, tv.FEW_MISSING)
+    return comp, errors, QA.orphans(tables["returns"], o_part), QA.orphans(tables["settlements"], o_part)
 
 
 @register("completeness")
@@ -599,14 +659,12 @@ def q_completeness(spark, sf):
 
 @register("orphan_returns")
 def q_orphan_returns(spark, sf):
-    o_prev = tv.orders_v(spark, sf, tv.CUT_DATE)
-    return present(QA.orphans(tv.returns_v(spark, sf), o_prev).drop("_ord"))
+    return present(QA.orphans(tv.returns_v(spark, sf), tv.orders_partial_v(spark, sf, tv.TENTH_MISSING)).drop("_ord"))
 
 
 @register("orphan_settlements")
 def q_orphan_settlements(spark, sf):
-    o_prev = tv.orders_v(spark, sf, tv.CUT_DATE)
-    return present(QA.orphans(tv.settlement_v(spark, sf), o_prev).drop("_ord"))
+    return present(QA.orphans(tv.settlement_v(spark, sf), tv.orders_partial_v(spark, sf, tv.TENTH_MISSING)).drop("_ord"))
 
 
 @register("invalid_ids")
@@ -679,7 +737,7 @@ def q_report_by_type(spark, sf):
     return (RP.report_by_type(a, "reconciliation", DATE_FROM, DATE_TO).withColumn("report", F.lit("reconciliation"))
             .unionByName(RP.report_by_type(a, "financial", DATE_FROM, DATE_TO)
                          .withColumn("report", F.lit("financial")))
-            .unionByName(RP.report_by_type(a, "data_quality", DATE_FROM, DATE_TO)
+            .unionByName(RP.report_by_type(a, "data_quality", DATE_FROM, DATE_TO, _quality_parts(spark, sf)[1])
                          .withColumn("report", F.lit("data_quality"))))
 
 
@@ -703,23 +761,41 @@ def q_bad_lines(spark, sf):
     return bad.select("first_field", "message", "value")
 
 
+@register("scan_quoted")
+def q_scan_quoted(spark, sf):
+    """A plain nested file with quoted line breaks and doubled quotes, found by
+    the landing listing."""
+    listing = CSV.list_landing(spark, EX.materialize_quoted(spark, sf))
+    found = listing.where(F.col("file_type") == "orders").select("path").collect()
+    rows, _ = CSV.scan_tolerant(spark, [r.path for r in found][0])
+    return rows.drop("_source_file", "_ord")
+
+
 @register("load_stats")
 def q_load_stats(spark, sf):
     rows, _ = _scan_orders(spark, sf)
     return CL.clean(rows, "orders", "default", tv.RUN_TS).stats
 
 
+def _file_names(spark, sf):
+    """Names an upload could have, one per order: type, month, upper case,
+    without a period, of an unknown type."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("orders", "Returns", "settlement", "notes", "my-ORDERS")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    period = F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(F.date_format("o_orderdate", "-MM-yyyy"))
+    return o.select(F.concat(kind, period, F.lit(".csv")).alias("extract"))
+
+
 @register("route_files")
 def q_route_files(spark, sf):
-    paths = EX.materialize(spark, sf)
-    return CSV.list_landing(spark, paths["landing"]).select("extract", "file_type", "period")
+    names = _file_names(spark, sf)
+    return names.select("extract", CSV.file_type_of(F.col("extract")).alias("file_type"), CSV.file_period(F.col("extract")).alias("period"))
 
 
 @register("file_period")
 def q_file_period(spark, sf):
-    paths = EX.materialize(spark, sf)
-    listing = CSV.list_landing(spark, paths["landing"])
-    return listing.where(F.col("file_type").isNotNull()).select("extract", "period")
+    names = _file_names(spark, sf).where(CSV.file_type_of(F.col("extract")).isNotNull())
+    return names.groupBy(CSV.file_period(F.col("extract")).alias("period")).agg(F.count("*").alias("files"))
 
 
 @register("csv_repair")
@@ -744,27 +820,46 @@ def q_repair_job(spark, sf):
 _STREAMED: dict = {}
 
 
-def _streamed(spark, sf, files_per_batch):
-    key = (spark.sparkContext.applicationId, sf, files_per_batch)
+def _streamed(spark, sf, landing, files_per_batch=None):
+    key = (spark.sparkContext.applicationId, sf, landing, files_per_batch)
     if key not in _STREAMED:
         p = EX.materialize_arrivals(spark, sf)
-        tag = f"f{files_per_batch or 0}"
-        _STREAMED[key] = INC.incremental_merge(spark, p["stream_glob"], "returns", f"{p['stream_master']}-{tag}",
-                                               f"{p['stream_ckpt']}-{tag}", tv.RUN_TS, p["stream_header"],
-                                               files_per_batch=files_per_batch)
+        warehouse = f"{p['root']}/streamed-{landing}-{files_per_batch or 0}"
+        _STREAMED[key] = INC.incremental_merge(spark, p[landing], "returns", warehouse, f"{warehouse}/_checkpoint",
+                                               tv.RUN_TS, files_per_batch=files_per_batch)
     return _STREAMED[key]
 
 
 @register("incremental_merge")
 def q_incremental_merge(spark, sf):
     """Returns extract landed in two arrivals, ingested by one stream run."""
-    return present(_streamed(spark, sf, None))
+    return present(_streamed(spark, sf, "stream"))
 
 
 @register("incremental_merge_batches")
 def q_incremental_merge_batches(spark, sf):
     """Same, four files per micro-batch: the master is upserted batch by batch."""
-    return present(_streamed(spark, sf, 4))
+    return present(_streamed(spark, sf, "stream", 4))
+
+
+@register("incremental_mixed_headers")
+def q_incremental_mixed_headers(spark, sf):
+    """Plain files whose columns stand in different orders, one of them nested
+    and tab-separated: columns are matched by name."""
+    return present(_streamed(spark, sf, "mixed"))
+
+
+@register("incremental_two_checkpoints")
+def q_incremental_two_checkpoints(spark, sf):
+    """Two landing folders with a checkpoint each feed one warehouse: both
+    start with batch 0, and neither is taken for a replay of the other."""
+    def build():
+        p = EX.materialize_arrivals(spark, sf)
+        warehouse = f"{p['root']}/streamed-two"
+        for landing in ("first", "second"):
+            out = INC.incremental_merge(spark, p[landing], "returns", warehouse, f"{warehouse}/_checkpoint-{landing}", tv.RUN_TS)
+        return out
+    return present(_memo(spark, sf, "two_checkpoints", build))
 
 
 # --- the batch run (entry point of the reference's command line) ------------------------------------

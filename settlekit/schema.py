@@ -14,7 +14,7 @@ DATE, STRING, INTEGER, FLOAT, BOOLEAN = "date", "string", "integer", "float", "b
 
 # Money is kept exact; sums and differences stay exact decimals and are
 # turned into double only for presentation.
-MONEY = T.DecimalType(18, 4)
+MONEY = T.DecimalType(28, 4)   # beyond 1e14 too
 
 SPARK_TYPES = {
     DATE: T.TimestampType(),

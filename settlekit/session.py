@@ -6,6 +6,7 @@ options that are still unset, so cluster-level settings always win.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -58,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="settlekit-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -81,13 +84,21 @@ def input_bytes(spark: SparkSession, *paths: str) -> int:
     return total
 
 
-def size_shuffle_partitions(spark: SparkSession, nbytes: int,
-                            target: int = TARGET_PARTITION_BYTES) -> int:
-    """Raise ``spark.sql.shuffle.partitions`` to about ``nbytes / target`` so a
-    shuffle partition fits an executor's memory (never lowers it; AQE then
-    coalesces the small ones). Returns the value in effect."""
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(current, -(-nbytes // target))
-    if wanted != current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return wanted
+# The driver tracks every partition of every exchange: beyond this many, they
+# grow instead.
+MOST_PARTITIONS = 20_000
+
+
+@contextlib.contextmanager
+def sized_shuffle_partitions(spark: SparkSession, nbytes: int, target: int = TARGET_PARTITION_BYTES):
+    """Within the block ``spark.sql.shuffle.partitions`` is about ``nbytes /
+    target`` (never lower than before, ``MOST_PARTITIONS`` at most), so a
+    partition fits an executor's memory; AQE coalesces small ones. The setting
+    is restored afterwards."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    wanted = max(int(before), min(MOST_PARTITIONS, -(-nbytes // target)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    try:
+        yield wanted
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

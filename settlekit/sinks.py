@@ -71,16 +71,42 @@ def write_version(df: DataFrame, version: str, buckets: int | None = None,
         df.write.mode(mode).parquet(version)
 
 
+COMMITS = "_commits"
+
+
 def write_master(df: DataFrame, root: str, entity: str, buckets: int | None = None,
-                 bucket_key: str = "order_release_id") -> str:
-    """K1: write a new version of a master table and point to it."""
+                 bucket_key: str = "order_release_id", commit: str | None = None) -> str:
+    """K1: write a new version of a master table and point to it. ``commit``
+    names the micro-batch it comes from (see ``committed``)."""
     # nanosecond clock: versions sort by name in write order
-    version = f"{root.rstrip('/')}/{entity}/v={time.time_ns():020d}"
+    base = f"{root.rstrip('/')}/{entity}"
+    version = f"{base}/v={time.time_ns():020d}"
     write_version(df, version, buckets, bucket_key)
-    _write_text_file(df.sparkSession, f"{root.rstrip('/')}/{entity}/{POINTER}", version)
+    if commit:
+        _write_text_file(df.sparkSession, f"{base}/{COMMITS}/{commit}", version)
+    _write_text_file(df.sparkSession, f"{base}/{POINTER}", version)
     return version
 
 
+def committed(spark: SparkSession, root: str, entity: str, commit: str) -> bool:
+    """Is a micro-batch (named by checkpoint and batch number) in the master?
+    If its writer died just before moving the pointer, the pointer moves now."""
+    base = f"{root.rstrip('/')}/{entity}"
+    version = _read_text_file(spark, f"{base}/{COMMITS}/{commit}")
+    if not version:
+        return False
+    line = _read_text_file(spark, f"{base}/{POINTER}")
+    if not line or line.strip().rsplit("/", 1)[-1] < version.strip().rsplit("/", 1)[-1]:
+        _write_text_file(spark, f"{base}/{POINTER}", version.strip())
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staging folder of this run."""
+    fs, p = _hadoop_fs(spark, path)
+    fs.delete(p, True)
+
+
 def bucket_spec(spark: SparkSession, path: str) -> tuple[int, str] | None:
     """(buckets, key) of a bucketed master version, else None."""
     marker = _read_text_file(spark, f"{path}/{BUCKETS_MARKER}")
@@ -165,6 +191,21 @@ def snapshot(tables: dict[str, DataFrame], root: str, ts: _dt.datetime | None =
     return base
 
 
+def snapshot_versions(spark: SparkSession, root: str, entities, snapshots: str, ts: _dt.datetime) -> str:
+    """K6 for versioned masters: which version each master has now. Versions
+    are never rewritten, so the list is the snapshot and costs no copy."""
+    base = f"{snapshots.rstrip('/')}/snapshot_ts={ts:%Y%m%d_%H%M%S}"
+    rows = [(e, v) for e in entities if (v := current_master(spark, root, e))]
+    (spark.createDataFrame(rows, "entity string, version string").coalesce(1).write.mode("overwrite").json(f"{base}/versions"))
+    return base
+
+
+def read_snapshot(spark: SparkSession, base: str, entity: str) -> DataFrame | None:
+    """A master as it was when the snapshot was taken; None if there was none."""
+    rows = spark.read.schema("entity string, version string").json(f"{base}/versions").where(F.col("entity") == entity).collect()
+    return read_version(spark, rows[0]["version"]) if rows else None
+
+
 def write_repaired_csv(df: DataFrame, path: str) -> None:
     """K7: minimal quoting, backslash escape, whole-second timestamps."""
     (df.write.mode("overwrite").option("header", True).option("escape", "\\")

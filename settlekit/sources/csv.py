@@ -23,57 +23,98 @@ CORRUPT = "_corrupt_record"
 FILE_TYPES = ("orders", "returns", "settlement")
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """First line of a file, or of the first part file of a folder or glob
+    (read through Hadoop's file system: works wherever Spark reads)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(p) or []
+    files = [f.getPath() for st in found for f in (fs.listStatus(st.getPath()) if st.isDirectory() else [st])
+             if not f.getPath().getName().startswith(("_", "."))]
+    for f in sorted(files, key=lambda f: f.toString()):
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(f), "UTF-8"))
+        line = reader.readLine()
+        reader.close()
+        if line is not None:
+            return line.lstrip("\ufeff")
+    return ""
+
+
 def sniff(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     """Delimiter and header names from the first line of the input (D6:
     a tab-or-comma decision from the header, never 'first read that works')."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
+    line = first_line(spark, path)
     sep = "\t" if line.count("\t") >= max(1, line.count(",")) else ","
     names = next(_pycsv.reader(io.StringIO(line), delimiter=sep)) if line else []
     return sep, names
 
 
+def spans_lines(spark: SparkSession, paths: list[str]) -> bool:
+    """Does some quoted field hold a line break? Then a line has a quote at the
+    start of a field and an odd number of quotes. One distributed pass over the
+    text decides whether files can be split (they can't, if records may)."""
+    v = F.col("value")
+    odd = (F.length(v) - F.length(F.replace(v, F.lit('"'), F.lit("")))) % 2 == 1
+    return not spark.read.text(paths).where(odd & v.rlike('(^|[,\t])"')).isEmpty()
+
+
 def _delimiters_outside_quotes(text: Column, sep: str) -> Column:
     bare = F.regexp_replace(text, '"[^"]*"', "")
     return F.length(bare) - F.length(F.regexp_replace(bare, "\t" if sep == "\t" else sep, ""))
 
 
-def lineage(df: DataFrame, row_id: bool = True) -> DataFrame:
-    """File name and a row order that follows the file: (file, block, id).
-    Streams have no row id (not supported there); they order by file/block."""
-    parts = [F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b")]
-    if row_id:
-        parts.append(F.monotonically_increasing_id().alias("i"))
-    return df.withColumns({"_source_file": F.col("_metadata.file_name"), "_ord": F.struct(*parts)})
-
-
-def scan_raw(spark: SparkSession, path: str, quote: str | None = '"',
-             multiline: bool = False, stream: bool = False) -> tuple[DataFrame, list[str]]:
-    """The all-text scan with a ``_long`` flag and the record text of long
-    records (``_bad``), before they are split off. Returns (frame, header).
-    ``stream=True`` gives the same frame as a file stream (``readStream``)."""
-    sep, names = sniff(spark, path)
-    # Whether a record is malformed must not depend on the columns a query
-    # happens to read: with CSV column pruning the parser only tokenizes the
-    # selected fields and never sees an extra one.
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+def lineage(df: DataFrame) -> DataFrame:
+    """File path and a row order that follows the file: (file, block, id)."""
+    order = F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                     F.monotonically_increasing_id().alias("i"))
+    # the path as a listing shows it (not percent-encoded, file:/ with one slash)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return df.withColumns({"_source_file": F.regexp_replace(path, "^file:/+", "file:/"), "_ord": order})
+
+
+def extract_path(path: Column) -> Column:
+    """The extract a file belongs to: Spark writes an extract as a folder of
+    part files, so it is the folder of a ``part-`` file, else the file."""
+    parts = F.split(path, "/")
+    folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    return F.when(F.element_at(parts, -1).startswith("part-"), folder).otherwise(path)
+
+
+def scan_raw(spark: SparkSession, path: str | list[str], quote: str | None = '"',
+             multiline: bool | None = None, header: tuple[str, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
+    """The all-text scan with ``_long`` / ``_short`` flags and the record text
+    of malformed records (``_bad``), before long ones are split off. Returns
+    (frame, header). ``header`` is (delimiter, names) of all given files, else
+    taken from the first. ``multiline``: None looks whether it is needed."""
+    paths = [path] if isinstance(path, str) else list(path)
+    sep, names = header or sniff(spark, paths[0])
+    if multiline is None:
+        multiline = bool(quote) and spans_lines(spark, paths)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
                           + [T.StructField(CORRUPT, T.StringType())])
-    reader = ((spark.readStream if stream else spark.read).schema(schema).option("header", True)
-              .option("sep", sep)
+    # Whether a record is malformed must not depend on the columns a query
+    # happens to read: with column pruning the parser only tokenizes the
+    # selected fields and never sees an extra one.
+    reader = (spark.read.schema(schema).option("header", True).option("sep", sep)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-              .option("multiLine", multiline).option("enforceSchema", True))
-    reader = reader.option("quote", quote) if quote else reader.option("quote", "\u0000")
-    raw = lineage(reader.csv(path), row_id=not stream)
+              .option("columnPruning", False).option("multiLine", multiline).option("enforceSchema", True))
+    if quote:   # a quote inside a quoted field is doubled
+        reader = reader.option("quote", quote).option("escape", quote)
+    else:
+        reader = reader.option("quote", "\u0000")
+    raw = lineage(reader.csv(paths))
     # Spark parses a record only when a data column is referenced, so the
     # test reads the corrupt text through coalesce with the first field.
     text = F.coalesce(F.col(CORRUPT), F.col(f"`{names[0]}`"))
     n_delims = _delimiters_outside_quotes(text, sep)
-    long_row = F.col(CORRUPT).isNotNull() & (n_delims > len(names) - 1)
+    corrupt = F.col(CORRUPT).isNotNull()
+    long_row, short_row = corrupt & (n_delims > len(names) - 1), corrupt & (n_delims < len(names) - 1)
     return (raw.select(*[F.col(f"`{c}`") for c in names], "_source_file", "_ord",
                        F.coalesce(long_row, F.lit(False)).alias("_long"),
-                       F.when(long_row, text).alias("_bad"),
-                       F.when(long_row, n_delims + 1).alias("_fields")), names)
+                       F.coalesce(short_row, F.lit(False)).alias("_short"),
+                       F.when(long_row | short_row, text).alias("_bad"),
+                       F.when(long_row | short_row, n_delims + 1).alias("_fields")), names)
 
 
 def split_raw(raw: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +130,17 @@ def split_raw(raw: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     return rows, bad
 
 
+def short_lines(raw: DataFrame, names: list[str]) -> DataFrame:
+    """Records with fewer fields than the header: kept, the missing fields
+    NULL, and reported (same columns as ``bad_lines``)."""
+    return raw.where("_short").select(
+        F.col("_source_file").alias("file"), F.col(f"`{names[0]}`").alias("first_field"),
+        F.format_string("Short line: expected %d fields, saw %d", F.lit(len(names)), F.col("_fields")).alias("message"),
+        F.col("_bad").alias("value"))
+
+
 def scan_tolerant(spark: SparkSession, path: str, quote: str | None = '"',
-                  multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+                  multiline: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """All-text scan; returns (rows, bad_lines).
 
     ``rows`` keeps the raw header names (trimmed), drops all-NULL rows and
@@ -117,21 +167,16 @@ def file_period(name: Column) -> Column:
 
 
 def list_landing(spark: SparkSession, landing: str) -> DataFrame:
-    """S3: every extract in the landing folder with its route and period.
-
-    Spark writes an extract as a folder of part files, so the extract name is
-    the folder of a ``part-`` file, else the file name. The binary-file
-    source lists files; with only path / length selected no content is read.
-    """
+    """S3: every extract in the landing folder (nested ones too) with its full
+    path, route and period. The binary-file source lists files; with only
+    path / length selected no content is read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .load(landing).select("path", "length"))
-    parts = F.split("path", "/")
-    fname, parent = F.element_at(parts, -1), F.element_at(parts, -2)
-    extract = F.when(fname.startswith("part-"), parent).otherwise(fname)
-    return (files.groupBy(extract.alias("extract"))
+    name = F.element_at(F.split("extract_path", "/"), -1)
+    return (files.groupBy(extract_path(F.col("path")).alias("extract_path"))
             .agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
-            .select("extract", file_type_of(F.col("extract")).alias("file_type"),
-                    file_period(F.col("extract")).alias("period"), "files", "bytes"))
+            .select(name.alias("extract"), file_type_of(name).alias("file_type"), file_period(name).alias("period"),
+                    "files", "bytes", F.col("extract_path").alias("path")))
 
 
 def read_repaired(spark: SparkSession, path: str) -> DataFrame:

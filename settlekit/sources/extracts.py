@@ -92,18 +92,53 @@ def materialize(spark: SparkSession, sf_dir: str) -> dict[str, str]:
     return paths
 
 
+def land_file(df: DataFrame, path: str, **options) -> None:
+    """One plain file, as an upload lands it (not a folder of part files)."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    tmp = f"{path}.writing"
+    df.coalesce(1).write.options(header=True, quote='"', escape='"', **options).csv(tmp)
+    source = jvm.org.apache.hadoop.fs.Path(tmp)
+    fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(source) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, jvm.org.apache.hadoop.fs.Path(path))
+    fs.delete(source, True)
+
+
 def materialize_arrivals(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Two arrivals of the returns extract (before / from the cut date),
-    landed as separate folders for the incremental (streaming) ingest."""
+    """Arrivals of the returns extract for the incremental (streaming) ingest:
+    ``stream`` two folders of part files (before / from the cut date);
+    ``mixed`` plain files, one nested, whose columns stand in other orders;
+    ``first`` and ``second`` one plain file each, for two checkpoints."""
     paths = materialize(spark, sf_dir)
     if "stream" in paths:
         return paths
     raw = tv.raw_returns_v(spark, sf_dir)
-    stream = f"{paths['root']}/stream"
+    root = paths["root"]
     cut = F.col("upload_timestamp") < F.lit(tv.CUT_DATE)
-    raw.where(cut).write.option("header", True).csv(f"{stream}/returns-1998-06")
-    raw.where(~cut).write.option("header", True).csv(f"{stream}/returns-1998-07")
-    paths.update({"stream": stream, "stream_glob": f"{stream}/returns-*/*.csv",
-                  "stream_header": raw.columns, "stream_master": f"{paths['root']}/masters",
-                  "stream_ckpt": f"{paths['root']}/stream-checkpoint"})
+    before, after = raw.where(cut), raw.where(~cut)
+    before.write.option("header", True).csv(f"{root}/stream/returns-1998-06")
+    after.write.option("header", True).csv(f"{root}/stream/returns-1998-07")
+    land_file(before, f"{root}/mixed/returns-06-1998.csv")
+    land_file(after.select(*reversed(raw.columns)), f"{root}/mixed/late/returns-07-1998.csv", sep="\t")
+    land_file(before, f"{root}/first/returns-06-1998.csv")
+    land_file(after, f"{root}/second/returns-07-1998.csv")
+    paths.update({k: f"{root}/{k}" for k in ("stream", "mixed", "first", "second")})
     return paths
+
+
+def quoted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders extract with line breaks, commas and quotes inside brands."""
+    raw = tv.raw_orders_v(spark, sf_dir)
+    k = F.col("order release id").try_cast("long")
+    return raw.withColumn("brand", F.when(k % 5 == 0, F.concat(F.col("brand"), F.lit('\nsay "hi", ok')))
+                          .when(k % 5 == 1, F.concat(F.lit('"'), F.col("brand"), F.lit('"'))).otherwise(F.col("brand")))
+
+
+def materialize_quoted(spark: SparkSession, sf_dir: str) -> str:
+    """``quoted_orders`` as a plain file in a nested landing folder."""
+    paths = materialize(spark, sf_dir)
+    if "quoted" not in paths:
+        land_file(quoted_orders(spark, sf_dir), f"{paths['root']}/quoted/2025/orders-01-2025.csv")
+        paths["quoted"] = f"{paths['root']}/quoted"
+    return paths["quoted"]

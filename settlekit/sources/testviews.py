@@ -149,6 +149,24 @@ def orders_v(spark: SparkSession, sf_dir: str, before: str | None = None) -> Dat
     )
 
 
+# Orders missing from the orders extract, so that returns and settlements are
+# orphaned: every tenth key, or the three smallest (at any scale, so that the
+# quality score stays inside its bounds).
+TENTH_MISSING, FEW_MISSING = "o_orderkey % 10 = 0", "o_orderkey <= 3"
+
+
+def orders_partial_v(spark: SparkSession, sf_dir: str, missing: str) -> DataFrame:
+    """orders_v without the orders for which ``missing`` holds."""
+    key = F.expr(missing.replace("o_orderkey", "CAST(order_release_id AS BIGINT)"))
+    return orders_v(spark, sf_dir).where(~key)
+
+
+def misspelt_ids(orders: DataFrame) -> DataFrame:
+    """Every 997th order id in a format that the id check refuses."""
+    i = F.col("order_release_id")
+    return orders.withColumn("order_release_id", F.when(i.try_cast("long") % 997 == 0, F.concat(F.lit("no-"), i)).otherwise(i))
+
+
 # --- raw text extracts for the cleansing operators ------------------------------
 # Each row gets one of several spellings, chosen by its key, so that every
 # branch of the coercion rules is exercised on every run over whole tables.

@@ -1,6 +1,8 @@
 """Driver contract: entry() runs; every query with an oracle matches DuckDB
 at sf0.001 (the driver checks sf0.01)."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -14,10 +16,13 @@ def test_entry_smoke(spark):
     assert {"status", "profit_loss", "status_group"} <= set(df.columns)
 
 
-def test_every_query_has_an_oracle_or_is_declared_rows_only():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only <= {"route_files", "file_period", "repair_job", "incremental_merge_batches", "batch_run", "incremental_run"}
-    assert set(E.oracle_sql()) <= set(E.queries())
+def own(names):
+    """Queries of this part of the library (optional packages have their own tests)."""
+    return sorted(n for n in names if not re.match(r"op\d+_|pipeline$", n))
+
+
+def test_every_query_has_an_oracle():
+    assert own(E.queries()) == own(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +30,7 @@ def con():
     return duck(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", own(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     from settlekit.plans.explain import facts
     df = E.queries()[name](spark, SMALL)
@@ -42,7 +47,6 @@ def test_contract_is_importable_without_spark():
     import sys
     code = ("import sys; sys.path.insert(0, %r); import __spark_entry__ as E; "
             "from pyspark.sql import SparkSession; o = E.oracle_sql(); q = E.queries(); "
-            "assert set(o) <= set(q) and len(q) == 100 and SparkSession.getActiveSession() is None; "
-            "print(len(o))") % E._HERE
+            "assert set(o) <= set(q) and SparkSession.getActiveSession() is None; print(len(o))") % E._HERE
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
-    assert out.returncode == 0 and out.stdout.strip() == "98", out.stderr[-500:]
+    assert out.returncode == 0 and int(out.stdout) >= 100, out.stderr[-500:]

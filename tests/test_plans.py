@@ -58,26 +58,32 @@ def test_streaming_replay_is_a_no_op(spark):
     from settlekit import sinks
     from settlekit.streaming import incremental as INC
     root = tempfile.mkdtemp(prefix="stream-")
-    land = os.path.join(root, "land", "returns-2025-03")
+    land = os.path.join(root, "land")
     raw = tv.raw_returns_v(spark, SMALL)
-    raw.write.option("header", True).csv(land)
-    masters, ckpt = os.path.join(root, "masters"), os.path.join(root, "ckpt")
+    raw.write.option("header", True).csv(os.path.join(land, "returns-2025-03"))
+    wh, ckpt = os.path.join(root, "wh"), os.path.join(root, "ckpt")
     run_ts = dt.datetime(2025, 4, 1)
-    glob = os.path.join(root, "land", "returns-*", "*.csv")
-    first = INC.incremental_merge(spark, glob, "returns", masters, ckpt, run_ts, raw.columns)
+    first = INC.incremental_merge(spark, land, "returns", wh, ckpt, run_ts)
     n = first.count()
-    version = sinks.current_master(spark, masters, "returns")
+    version = sinks.current_master(spark, f"{wh}/masters", "returns")
     # same checkpoint: nothing new to process, the master does not move
-    again = INC.incremental_merge(spark, glob, "returns", masters, ckpt, run_ts, raw.columns)
-    assert again.count() == n and sinks.current_master(spark, masters, "returns") == version
-    # a replayed batch (same id) finds the pointer at its own version: no-op
-    batch_id = int(version.rsplit("=", 1)[1])
-    INC.upsert_batch(spark.read.option("header", True).csv(land), batch_id, "returns", masters, run_ts)
-    assert sinks.current_master(spark, masters, "returns") == version
+    again = INC.incremental_merge(spark, land, "returns", wh, ckpt, run_ts)
+    assert again.count() == n and sinks.current_master(spark, f"{wh}/masters", "returns") == version
+    # a replayed batch (same checkpoint and number) is found committed: no-op;
+    # had its writer died before moving the pointer, the pointer moves now
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(land).select("path")
+    pointer = f"{wh}/masters/returns/{sinks.POINTER}"
+    sinks._write_text_file(spark, pointer, f"{wh}/masters/returns/v=0")
+    INC.ingest_files(files, wh, run_ts, commit=INC.commit_name(ckpt, 0))
+    assert sinks.current_master(spark, f"{wh}/masters", "returns") == version
+    # the same number under another checkpoint is new data
+    INC.ingest_files(files, wh, run_ts, commit=INC.commit_name(ckpt + "-other", 0))
+    assert sinks.current_master(spark, f"{wh}/masters", "returns") != version
     keys = raw.select(*S.KEY).distinct().count()
     assert n == keys
 
 
+
 def _skewed_inputs(spark, n):
     hot = F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string"))
     orders = spark.range(n).select(

@@ -42,14 +42,17 @@ def test_anomalies_written_only_when_present(spark):
 
 
 def test_shuffle_partitions_sized_from_input_bytes(spark):
-    from settlekit.session import input_bytes, size_shuffle_partitions
+    from settlekit.session import MOST_PARTITIONS, input_bytes, sized_shuffle_partitions
     root = tempfile.mkdtemp(prefix="size-")
     spark.range(1000).write.parquet(f"{root}/t")
     n = input_bytes(spark, f"{root}/t", f"{root}/missing")
     assert n > 0
     old = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        assert size_shuffle_partitions(spark, n) == int(old)                  # small input: unchanged
-        assert size_shuffle_partitions(spark, 10 * 2 ** 40) == 52429            # 10 TiB / 200 MiB
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+    with sized_shuffle_partitions(spark, n) as small:
+        assert small == int(old)                                     # small input: unchanged
+    with sized_shuffle_partitions(spark, 2 ** 40) as large:
+        assert large == 5243                                         # 1 TiB / 200 MiB
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "5243"
+    with sized_shuffle_partitions(spark, 100 * 2 ** 40) as most:
+        assert most == MOST_PARTITIONS                               # beyond it partitions grow
+    assert spark.conf.get("spark.sql.shuffle.partitions") == old     # restored
