@@ -27,6 +27,7 @@ back as often as they were given; an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ SPACE, OWN_SPACE = "▁", "\ud800"  # a lone surrogate stands for U+2581 in the
 FAR = -(1 << 60)  # in matrices: no path
 NEVER = float("-inf")
 BORDER = (mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(48)).astype(int).tolist()  # 16 bits by distance
-CHUNK, FAN_IN, CACHED = 32_768, 64, 300_000
+CHUNK, FAN_IN, CACHED = 32_768, 64, 250_000
 
 
 def default_model() -> str:
@@ -50,6 +51,54 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+_ALL = r"(?s:.+)"
+
+
+def _word_pattern(pieces) -> str:
+    """Pattern of the stretches between borders that no piece crosses.
+
+    Where no piece holds two characters next to each other, a piece border
+    stands between them. That is so before a space that follows anything else,
+    and before most punctuation that follows a letter or digit: these marks cut
+    the text finely, and the pieces tell which they are."""
+    before: dict[str, set] = {"\n": set()}  # what comes before a character within a piece
+    for t in pieces:
+        before.setdefault(t[0], set())
+        for a, b in zip(t, t[1:]):
+            before.setdefault(b, set()).add(a)
+    if before.get(SPACE, set()) - {SPACE}:
+        return _ALL
+    marks = {c for c in before if not c.isalnum() and c != SPACE and not any(x.isalpha() for x in before[c])}
+    joints = {x for c in marks for x in before[c]} - marks - {SPACE}  # marks may go on after these
+    group = lambda cs: "[" + "".join(map(re.escape, sorted(cs))) + "]"
+    rest = "[^" + group(marks | joints | {SPACE})[1:]
+    tail = f"(?:{rest}+|{group(joints)}+{group(marks)}*)" if joints else f"{rest}+"
+    return f"{SPACE}+{group(marks)}*{tail}*|{group(marks)}+{tail}*|{tail}+"
+
+
+class _Words(dict):
+    """Segmentations of words, as they come: the recent ones stay. When full,
+    the younger half becomes the older one and the older half is let go."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(word) <= 64:
+            self.trim()
+            self[word] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+
+
 class Vocabulary:
     """Pieces and scores of a model: a fixed-size table sent to every task."""
 
@@ -79,13 +128,20 @@ class Vocabulary:
         self.ids = normal
         self.unknown = min(self.weight.values()) - (10 << 32)
         self.longest = max(map(len, normal))
-        self.prefixes = {t[:n] for t in normal for n in range(1, len(t) + 1)}
-        # pieces hold spaces in front only, and no line breaks: then the text falls into words
-        lead = not any(SPACE in t.lstrip(SPACE) for t in normal)
-        lines = not any("\n" in t for t in normal)
-        self.word = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if lead and lines else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if lead else r"(?s).+")
+        self.trie: dict = {}  # by character; the empty text leads to the weight
+        for t, w in self.weight.items():
+            node = self.trie
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = w
+        self.word = re.compile(_word_pattern(normal))
+        # the same at spaces and line breaks only: a quicker pattern for what is looked up
+        plain = self.word.pattern != _ALL and not any("\n" in t[1:] or t[:1] == "\n" != t for t in normal)
+        self.spaced = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if plain else _ALL)
+        # letters stay together, full stops and commas come off: quicker than the pattern
+        self.by_letters = self.word.findall(f"{SPACE}ab.{SPACE}é,") == [f"{SPACE}ab", ".", f"{SPACE}é", ","] and self.word.findall("(ab") == ["(ab"]
         self.bytes_of = [bytes([int(t[3:-1], 16)]) if kind == "byte" else t.replace(SPACE, " ").encode() if kind == "normal" else b"" for t, _, kind in self.pieces]
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Words(self._spelt)
         self._ready = True
         return self
 
@@ -106,7 +162,7 @@ class Vocabulary:
     def best(self, x: str, begin: int, last_start: int, distance) -> tuple[list, list[int]]:
         """Best score to every position from ``begin``, over pieces that start
         before ``last_start``, and where the last piece starts."""
-        weight, prefixes, n = self.weight, self.prefixes, len(x)
+        trie, unknown, n = self.trie, self.unknown, len(x)
         score, back = [NEVER] * (n + 1), [0] * (n + 1)
         score[begin] = 0
         for i in range(begin, min(last_start, n)):
@@ -114,46 +170,193 @@ class Vocabulary:
             if here == NEVER:
                 continue
             here += BORDER[distance[i] & 65535]
+            node = trie.get(x[i])
             j = i + 1
-            s = x[i:j]
-            if s not in weight and here + self.unknown > score[j]:
-                score[j], back[j] = here + self.unknown, i
-            while s in prefixes:
-                w = weight.get(s)
+            if node is None or "" not in node:
+                if here + unknown > score[j]:
+                    score[j], back[j] = here + unknown, i
+            while node is not None:
+                w = node.get("")
                 if w is not None and here + w > score[j]:
                     score[j], back[j] = here + w, i
                 if j == n:
                     break
+                node = node.get(x[j])
                 j += 1
-                s = x[i:j]
         return score, back
 
     def ids_back(self, x: str, back: list[int], begin: int, end: int) -> bytes:
-        out = []
+        out, ids = [], self.ids
         while end > begin:
             i = back[end]
             s = x[i:end]
-            got = self.ids.get(s)
+            got = ids.get(s)
             if got is not None:
                 out.append(got)
             else:
                 raw = (SPACE if s == OWN_SPACE else s).encode("utf-8", "surrogatepass")
                 out += [self.byte_ids[b] for b in reversed(raw)]
             end = i
-        return np.array(out[::-1], np.int32).tobytes()
-
-    def word_ids(self, word: str) -> bytes:
-        got = self.cache.get(word)
-        if got is None:
-            _, back = self.best(word, 0, len(word), range(len(word) + 1))
-            got = self.ids_back(word, back, 0, len(word))
-            if len(self.cache) < CACHED and len(word) <= 64:
-                self.cache[word] = got
-        return got
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def _segment(self, word: str) -> bytes:
+        if word in self.ids and len(word) == 1:
+            return array("i", [self.ids[word]]).tobytes()
+        _, back = self.best(word, 0, len(word), range(len(word) + 1))
+        return self.ids_back(word, back, 0, len(word))
+
+    def stretches(self, spaced: str) -> list[str]:
+        """The parts of a spaced word between sure borders (as ``word`` cuts them)."""
+        if self.by_letters:
+            if spaced[1:].isalpha():
+                return [spaced]
+            if spaced[-1] in ".," and spaced[1:-1].isalpha():
+                return [spaced[:-1], spaced[-1]]
+        return self.word.findall(spaced)
+
+    def _spelt(self, spaced: str) -> bytes:
+        return b"".join(map(self._segment, self.stretches(spaced)))
 
     def encode(self, x: str) -> bytes:
         """Piece ids (int32) of a written text that starts and ends at piece borders."""
-        return b"".join(map(self.word_ids, self.word.findall(x)))
+        return b"".join(map(self.cache.__getitem__, self.spaced.findall(x)))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of a batch of written texts; their new words are segmented together."""
+        words = [self.spaced.findall(x) for x in texts]
+        cache, older = self.cache, self.cache.older
+        table, new = {}, []
+        for w in set().union(*words):
+            got = cache.get(w) or older.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                table[w] = got
+        stretches = [self.stretches(w) for w in new]
+        known: dict[str, bytes] = {}
+        todo = list(set().union(*stretches))
+        for a in range(0, len(todo), 1 << 15):
+            part = todo[a:a + (1 << 15)]
+            known.update(zip(part, self.segment_many(part)))
+        fresh = {w: b"".join(map(known.__getitem__, s)) for w, s in zip(new, stretches)}
+        table.update(fresh)
+        cache.trim()
+        cache.update((w, got) for w, got in fresh.items() if len(w) <= 64)
+        return [b"".join(map(table.__getitem__, x)) for x in words]
+
+    def _prepare_many(self) -> None:
+        """The trie as a hash table of (node, character) -> node, for numpy."""
+        nodes, texts, weights, edges, todo = [self.trie], [""], [0], [], [0]
+        for at in todo:
+            for c, child in nodes[at].items():
+                if c:
+                    edges.append((at, ord(c), len(nodes)))
+                    todo.append(len(nodes))
+                    nodes.append(child)
+                    texts.append(texts[at] + c)
+                    weights.append(child.get("", FAR))
+        self.node_piece = np.array([self.ids.get(t, -1) for t in texts], np.int32)
+        self.node_weight = np.array(weights, np.int64)
+        key = np.array([n << 21 | c for n, c, _ in edges], np.uint64)
+        child = np.array([x for _, _, x in edges], np.int32)
+        bits = max(4, int(len(edges) * 4).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.children = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        slot, left, self.probes = self._slot(key), np.arange(len(key)), 0
+        while len(left):  # open addressing: who finds a slot taken tries the next
+            at = slot[left]
+            free = self.keys[at] == 0
+            first = np.zeros(len(left), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = free & first
+            self.keys[at[put]], self.children[at[put]] = key[left[put]] + np.uint64(1), child[left[put]]
+            left = left[~put]
+            slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
+            self.probes += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _next(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Child nodes, 0 where there is none."""
+        key = node.astype(np.uint64) << np.uint64(21) | code
+        slot, out, want = self._slot(key), np.zeros(len(key), np.int32), key + np.uint64(1)
+        look = np.arange(len(key))
+        for _ in range(self.probes):
+            there = self.keys[slot[look]]
+            hit = there == want[look]
+            out[look[hit]] = self.children[slot[look[hit]]]
+            look = look[~hit & (there != 0)]
+            if not len(look):
+                break
+            slot[look] = (slot[look] + 1) & (len(self.keys) - 1)
+        return out
+
+    def segment_many(self, words: list[str]) -> list[bytes]:
+        """``_segment`` of many words at once; the same paths."""
+        if not hasattr(self, "node_weight"):
+            self._prepare_many()
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate(([0], np.cumsum(size)))
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(code)
+        end = np.repeat(first[1:], size)          # of the word, by character
+        local = np.arange(n) - np.repeat(first[:-1], size)
+        border = np.array(BORDER, np.int64)[local & 65535]
+        # edges: start, length, weight
+        at, node = np.arange(n), np.zeros(n, np.int32)
+        starts, lengths, weights, pieces = [], [], [], []
+        for length in range(1, self.longest + 1):
+            node = self._next(node, code[at + length - 1])
+            live = node > 0
+            if length == 1:
+                w = np.where(live, self.node_weight[node], FAR)
+                w = np.where(w == FAR, self.unknown, w)  # a character without a piece
+                starts.append(at), lengths.append(np.ones(n, np.int64)), weights.append(w), pieces.append(self.node_piece[node])
+            else:
+                w = self.node_weight[node]
+                good = live & (w > FAR)
+                starts.append(at[good]), lengths.append(np.full(good.sum(), length)), weights.append(w[good]), pieces.append(self.node_piece[node[good]])
+            live &= at + length < end[at]
+            at, node = at[live], node[live]
+            if not len(at):
+                break
+        start, length, weight, piece = map(np.concatenate, (starts, lengths, weights, pieces))
+        weight = weight + border[start]
+        stop = start + length                      # border after the last character, in the flat text
+        order = np.lexsort((start, stop, local[start] + length))
+        start, stop, weight, piece = start[order], stop[order], weight[order], piece[order]
+        step = local[start] + (stop - start)
+        cut = np.searchsorted(step, np.arange(1, step[-1] + 2))
+        # score and back at a border are kept at its last character
+        score, back, last = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+        for a, b in zip(cut[:-1], cut[1:]):
+            s, e = start[a:b], stop[a:b]
+            total = weight[a:b] + np.where(local[s] > 0, score[s - 1], 0)
+            group = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
+            best = np.maximum.reduceat(total, group)
+            # the first edge of each group that reaches the best
+            hit = np.flatnonzero(total == np.repeat(best, np.diff(np.append(group, len(e)))))
+            chosen = hit[np.searchsorted(hit, group)]
+            score[e[chosen] - 1], back[e[chosen] - 1], last[e[chosen] - 1] = total[chosen], s[chosen], piece[a:b][chosen]
+        # all words walk back together, one piece a round
+        word, place, found = np.arange(len(words)), first[1:].copy(), []
+        while len(word):
+            found.append((word, last[place - 1]))
+            place = back[place - 1]
+            on = place > first[:-1][word]
+            word, place = word[on], place[on]
+        turn = np.repeat(np.arange(len(found)), [len(w) for w, _ in found])
+        word, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-turn, word))
+        word, ids = word[order], ids[order]
+        edge = (np.searchsorted(word, np.arange(len(words) + 1)) * 4).tolist()
+        flat = ids.astype(np.int32).tobytes()
+        out = [flat[a:b] for a, b in zip(edge, edge[1:])]
+        for i in np.unique(word[ids < 0]).tolist():  # characters without a piece become bytes
+            out[i] = self._segment(words[i])
+        return out
 
     # chunks --------------------------------------------------------------
 
@@ -246,7 +449,8 @@ def _encode_short(vocabulary):
         for f in frames:
             for at in range(0, f.num_rows, 1024):  # bounded output batches
                 part = f.slice(at, 1024)
-                ids = [v.encode(SPACE + write_out(t)) if t else b"" for t in part.column("text").to_pylist()]
+                written_texts = [SPACE + write_out(t) if t else "" for t in part.column("text").to_pylist()]
+                ids = v.encode_many(written_texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), part.column("n"), pa.array([1] * part.num_rows, pa.int64()), _lists(ids)],
                                                  names=["doc_id", "text_sha256", "n_chars", "n_chunks", "ids"])
     return run
