@@ -99,7 +99,9 @@ def merge_latest_bucketed(master: DataFrame, incoming: DataFrame, buckets: int,
     partial aggregate, so copies of a hot key meet before the exchange), then
     partitioned like the master's buckets and combined with the master by a
     full outer join on the key — one row per key on each side — whose master
-    side is read in place. Rows with a missing key part, which an equi-join
+    side is read in place (with spark.sql.requireAllClusterKeysForCoPartition
+    off, as the ingest sets it, so that the buckets may serve a join on more
+    columns). Rows with a missing key part, which an equi-join
     would not match, are merged apart by ``merge_latest``. Same winner and
     columns as ``merge_latest``."""
     keys = keys or KEY

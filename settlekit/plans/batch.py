@@ -32,7 +32,7 @@ from settlekit.operators import metrics as M
 from settlekit.operators import track as T
 from settlekit.operators.analyze import analyze
 from settlekit.plans import reports as RP
-from settlekit.session import input_bytes, sized_shuffle_partitions
+from settlekit.session import input_bytes, settings, sized_shuffle_partitions
 from settlekit.sources import csv as CSV
 
 ENTITY_ORDER = ("orders", "returns", "settlement")
@@ -157,7 +157,10 @@ def ingest_extracts(spark: SparkSession, found: list[tuple[str, str, str, list[s
         work = {e: x for e, x in work.items() if not sinks.committed(spark, f"{warehouse}/masters", e, commit)}
     if not work:
         return {}
-    with ThreadPoolExecutor(max_workers=len(work)) as pool:
+    # a join on (order_release_id, order_line_id) may use a master's buckets on
+    # order_release_id alone; all joins of this block run before it ends
+    with (settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}),
+          ThreadPoolExecutor(max_workers=len(work)) as pool):
         futures = [pool.submit(_ingest_entity, spark, warehouse, staging, e, work[e], run_ts, buckets, commit)
                    for e in ENTITY_ORDER if e in work]
         results = [f.result() for f in futures]

@@ -84,6 +84,22 @@ def input_bytes(spark: SparkSession, *paths: str) -> int:
     return total
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the jobs started within the block, restored after."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 # The driver tracks every partition of every exchange: beyond this many, they
 # grow instead.
 MOST_PARTITIONS = 20_000
@@ -95,10 +111,7 @@ def sized_shuffle_partitions(spark: SparkSession, nbytes: int, target: int = TAR
     target`` (never lower than before, ``MOST_PARTITIONS`` at most), so a
     partition fits an executor's memory; AQE coalesces small ones. The setting
     is restored afterwards."""
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    wanted = max(int(before), min(MOST_PARTITIONS, -(-nbytes // target)))
-    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    try:
+    before = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(before, min(MOST_PARTITIONS, -(-nbytes // target)))
+    with settings(spark, {"spark.sql.shuffle.partitions": str(wanted)}):
         yield wanted
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
