@@ -35,6 +35,7 @@ from settlekit.llm.common import row_key, written
 from settlekit.llm.textvec import Words, batches, shingles
 
 LENGTH, RUN = 50, 10
+HOT_RUNS = 1000
 
 
 def minimisers(words: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,9 +215,10 @@ def _digest(length: int):
                 text = r.text
                 w = Words([text])
                 places = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))  # code points before each byte
-                marks = [] if r.marks is None else [(m["first"], m["last"], m["later"]) for m in r.marks]
+                marks = np.zeros(0, np.int64) if r.marks is None else np.asarray(r.marks, np.int64)
+                ends = lambda m: list(zip((m >> 32).tolist(), ((m & 0xFFFFFFFF) >> 1).tolist()))
                 whole = [(0, len(w.start))] if r.copies > 1 and len(w.start) >= length else []
-                spans, later = merged([m[:2] for m in marks] + whole), merged([m[:2] for m in marks if m[2]])
+                spans, later = merged(ends(marks) + whole), merged(ends(marks[(marks & 1) == 1]))
                 shown = [(int(places[w.start[a]]), int(places[w.end[b - 1]])) for a, b in spans]
                 own, copy = _cut(text, places, w, later), _cut(text, places, w, merged(later + whole))
                 out.append((r.r1, r.r2, shown, sum(b - a for a, b in spans), own, copy))
@@ -236,8 +238,14 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     nodes = written(nodes, "suffix-nodes")
 
     kept = written(given.select("text", "r1", "r2").mapInPandas(_kept(k, w), "run long, r1 long, r2 long, place long"), "suffix-kept")
-    shared = kept.groupBy("run").agg(F.min("r1").alias("a"), F.max("r1").alias("b")).where("a <> b").select("run")
-    places = (kept.join(shared, "run", "left_semi").distinct().groupBy("r1", "r2")
+    shared = written(kept.groupBy("run").agg(F.min("r1").alias("a"), F.max("r1").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("run", "n"), "suffix-runs")
+    # very frequent runs are looked up where the rows are: with a share of 1 / HOT_RUNS
+    # or more of all rows there are HOT_RUNS of them at most
+    share = (shared.agg(F.sum("n")).first()[0] or 0) / HOT_RUNS
+    hot = F.broadcast(shared.where(F.col("n") >= share).select("run"))
+    cold = shared.where(F.col("n") < share).select("run")
+    repeated = kept.join(hot, "run", "left_semi").unionByName(kept.join(hot, "run", "left_anti").join(cold, "run", "left_semi"))
+    places = (repeated.distinct().groupBy("r1", "r2")
               .agg(F.collect_list(F.struct("place", "run")).alias("x")).select("r1", "r2", F.col("x.place").alias("places"), F.col("x.run").alias("runs")))
     wanted = written(nodes.join(places, ["r1", "r2"], "left").where("copies > 1 or places is not null"), "suffix-places")
     texts = given.join(wanted.select("r1", "r2"), ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.first("text").alias("text"))
@@ -246,7 +254,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     around = (wanted.where("places is not null").join(texts, ["r1", "r2"]).select("r1", "r2", "id", "text", "places", "runs").mapInPandas(_contexts(length), _ROW))
     around = written(around, "suffix-contexts")
     marks = _neighbour_marks(around, ["run", "after", "before"], length).unionByName(_neighbour_marks(around, ["run", "before", "after"], length))
-    by_text = marks.distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("first", "last", "later")).alias("marks"))
+    # a mark as one number (32 bits first, 31 last, 1 later): many of them stay small in a task
+    packed = F.shiftleft("first", 32).bitwiseOR(F.shiftleft("last", 1)).bitwiseOR(F.col("later").cast("long"))
+    by_text = marks.groupBy("r1", "r2").agg(F.collect_set(packed).alias("marks"))
     info = wanted.select("r1", "r2", "copies").join(texts, ["r1", "r2"]).join(by_text, ["r1", "r2"], "left")
     found = written(info.where("copies > 1 or marks is not null").select("r1", "r2", "copies", "text", "marks").mapInPandas(
         _digest(length), "r1 long, r2 long, spans array<struct<start:long,end:long>>, words long, own string, copy string"), "suffix-found")
