@@ -30,12 +30,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share. A document
-    that loses all its text goes; n_chars follows the text."""
+    """Documents without the lines that ten or more of them share. All
+    documents stay, also one that has no line left; n_chars follows the text."""
     cleaned = line_dedup.line_dedup(docs, min_docs=10)
-    gone = (F.col("n_dropped") > 0) & (F.btrim(F.col("text"), F.lit(line_dedup.STRIP)) == "")
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.where(~gone).withColumn("n_chars", n_chars).select(docs.columns)
+    return cleaned.withColumn("n_chars", n_chars).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this library. Where PYTHONPATH names its
+    folder they can; else its modules are added to the session as a zip file,
+    which Spark hands to every executor."""
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    if sc.applicationId in _SHIPPED:
+        return spark
+    _SHIPPED.add(sc.applicationId)
+    if root in (os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p):
+        return spark
+    path = os.path.join(tempfile.mkdtemp(prefix="settlekit-zip-"), "settlekit.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    z.write(file, os.path.relpath(file, root))
+    sc.addPyFile(path)
+    return spark
+
+
 def row_key(*columns: Column) -> list[Column]:
     """Two independent 64-bit hashes of a row's values, null-safe.
 

@@ -37,6 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from settlekit.llm.common import shipped
 from settlekit.llm.textvec import U, Words, batches, shingles
 
 K1, B = 1.2, 0.75
@@ -158,7 +159,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, node, item_id, score, question_overlap, answer_overlap): test
     items found in documents, the best unit of each; ``node`` is the MD5 of
     the document's text."""
-    spark = docs.sparkSession
+    spark = shipped(docs.sparkSession)
     col = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.md5(col(text)).alias("node"), col(text).alias("text"))
     asked = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), col(question).alias("q"), (col(answer) if answer else F.lit("")).alias("a"))

@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from settlekit.llm.common import shipped
 from settlekit.llm.textvec import BLOCK, U, Words, mix, span_hashes
 
 CELLS = 24
@@ -209,7 +210,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucke
     """
     if cells % 3:
         raise ValueError("cells must be a multiple of 3")
-    spark = docs.sparkSession
+    spark = shipped(docs.sparkSession)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), t.alias("text")).withColumn("h", F.xxhash64("text"))
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))

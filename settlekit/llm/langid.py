@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from settlekit.llm.common import fresh_columns, plain_columns, row_key, written
+from settlekit.llm.common import fresh_columns, plain_columns, row_key, shipped, written
 
 BITS = 15
 BLOCK = 1 << 20
@@ -150,6 +150,7 @@ def _fit(idf: np.ndarray, labels: list[str], seed: int = 7):
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1500, languages: int = 200) -> Model:
     """A model from the rows of ``docs`` with a language and a letter in the text."""
+    shipped(docs.sparkSession)
     # drawn by the whole row, so that copies of a text are drawn one by one
     draw = F.pmod(row_key(*plain_columns(docs))[0], F.lit(1 << 40))
     known = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), draw.alias("draw")).where(
@@ -176,7 +177,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
     docs = fresh_columns(docs, "lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def out(texts: pd.Series) -> pd.DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from settlekit.llm.common import written
+from settlekit.llm.common import shipped, written
 from settlekit.llm.components import components
 from settlekit.llm.textvec import U, Words, batches, mix, shingles_of
 
@@ -117,6 +117,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Per row of ``docs``: doc_id, class_id (smallest doc id of its class),
     class_size (rows), n_links (verified links of its text to different texts),
     kept (whether it is the class's first row by id, then text hash)."""
+    shipped(docs.sparkSession)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.md5(t).alias("node"), t.alias("__text"))
     signed = given.mapInPandas(_bands(k, m, rows), "id long, node string, bands array<long>")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm.common import row_key, written
+from settlekit.llm.common import row_key, shipped, written
 from settlekit.llm.textvec import mix
 
 SPACE, OWN_SPACE = "▁", "\ud800"  # a lone surrogate stands for U+2581 in the text itself
@@ -542,7 +542,7 @@ def border_states(matrices: DataFrame, states: int, fan_in: int = FAN_IN) -> Dat
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: Vocabulary | None = None,
            chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, text_sha256, n_chars, n_chunks long, ids array<int> for every row."""
-    spark: SparkSession = docs.sparkSession
+    spark: SparkSession = shipped(docs.sparkSession)
     v = vocabulary or Vocabulary.load(default_model())
     longest = v.prepare().longest
     if chunk < 1:
@@ -586,7 +586,7 @@ def _decode(vocabulary, at: int):
 def decode(encoded: DataFrame, ids: str = "ids", vocabulary: Vocabulary | None = None) -> DataFrame:
     """``encoded`` with the column ``decoded`` in place of the ids; null ids give null."""
     v = vocabulary or Vocabulary.load(default_model())
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(v.pieces))
+    shared = shipped(encoded.sparkSession).sparkContext.broadcast(Vocabulary(v.pieces))
     rest = encoded.select(*[c for c in encoded.columns if c.lower() != "decoded"])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields if f.name != ids] + ["decoded string"])
     return rest.mapInArrow(_decode(shared, rest.columns.index(ids)), schema)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from settlekit.llm.common import row_key, written
+from settlekit.llm.common import row_key, shipped, written
 from settlekit.llm.textvec import Words, batches, shingles
 
 LENGTH, RUN = 50, 10
@@ -232,6 +232,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     w = length - k + 1
     if k < 1 or w < 1:
         raise ValueError("a run must not be longer than a passage")
+    shipped(docs.sparkSession)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), t.alias("text")).withColumns(dict(zip(("r1", "r2"), row_key(F.col("text")))))
     nodes = given.groupBy("r1", "r2").agg(F.min(F.struct(F.col("id").isNotNull().alias("z"), "id")).alias("m"), F.count(F.lit(1)).alias("copies")).select("r1", "r2", F.col("m.id").alias("id"), "copies")

@@ -20,7 +20,6 @@ def test_stages_against_brute_force(spark, sf_dir):
         for k in {key(x) for x in (t or "").split("\n")}:
             seen[k] = seen.get(k, 0) + 1
     kept = [(i, "\n".join(x for x in (t or "").split("\n") if not key(x) or seen[key(x)] < 10)) for i, t in rows]
-    kept = [(i, t) for (i, t), (_, old) in zip(kept, rows) if t.strip(" \t\n\x0b\x0c\r") or t == (old or "")]
 
     least = dict(test_minhash.brute(kept)[0])
     kept = [(i, t) for i, t in kept if least[i] == i]
