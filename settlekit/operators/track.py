@@ -129,15 +129,15 @@ def settlement_headline(new_pend: DataFrame, resolved: DataFrame, rates: DataFra
     """Count / amount of new pending and resolved, current month rate."""
     np_ = new_pend.agg(F.count("*").alias("new_pending_count"),
                        _d(money_sum(F.col("settlement_amount"))).alias("new_pending_amount"))
-    rs = resolved.agg(F.count("*").alias("resolved_count"),
-                      _d(money_sum(F.col("settlement_amount"))).alias("resolved_amount"))
+    # one scalar subquery for both numbers: the anti join is planned once
+    rs = resolved.agg(F.struct(F.count("*").alias("n"), _d(money_sum(F.col("settlement_amount"))).alias("amount")).alias("x")).scalar()
     rate = rates.where(F.col("month") == run_month).agg(
         F.coalesce(F.max("resolution_rate"), F.lit(0.0)).alias("current_month_resolution_rate"))
     # Three one-row aggregates side by side: each is a scalar subquery.
     return np_.select(
         "new_pending_count", "new_pending_amount",
-        rs.select("resolved_count").scalar().alias("resolved_count"),
-        rs.select("resolved_amount").scalar().alias("resolved_amount"),
+        rs.getField("n").alias("resolved_count"),
+        rs.getField("amount").alias("resolved_amount"),
         rate.select("current_month_resolution_rate").scalar().alias("current_month_resolution_rate"),
     )
 
@@ -188,12 +188,12 @@ def settlement_report(a: DataFrame, new_pend: DataFrame, resolved: DataFrame,
     summary = summary.select("*", cur_rate.select("current_resolution_rate").scalar()
                              .alias("current_resolution_rate"))
     pattern = resolution_patterns(resolved)
+    gone = resolved.agg(F.struct(F.count("*").alias("n"), _d(money_sum(F.col("settlement_amount"))).alias("amount")).alias("x")).scalar()
     changes = (new_pend.agg(F.count("*").alias("new_pending_count"),
                             _d(money_sum(F.col("settlement_amount"))).alias("new_pending_amount"))
                .select("*",
-                       resolved.select(F.count("*")).scalar().alias("newly_resolved_count"),
-                       resolved.select(_d(money_sum(F.col("settlement_amount")))).scalar()
-                       .alias("newly_resolved_amount")))
+                       gone.getField("n").alias("newly_resolved_count"),
+                       gone.getField("amount").alias("newly_resolved_amount")))
     return (rows(summary, "summary", F.lit(run_month),
                  ["total_pending_settlements", "total_settlement_value", "current_resolution_rate"])
             .unionByName(rows(monthly_trends(a), "monthly", F.col("month"),
