@@ -12,9 +12,11 @@ Equal texts are one node. Nodes that share a band (``rows`` registers) become
 candidates, but never all pairs of a bucket: each member is compared with the
 bucket's most connected member, at three resolutions (1, 2 and 4 neighbouring
 bands), so that a group of n copies makes about n candidates. Candidates are
-verified by the exact Jaccard of their shingle sets. Where a bucket then still
-holds several components, one member of each is compared with the bucket's
-leading component; this repeats until it finds no further link.
+verified by the exact Jaccard of their shingle sets. Where the members of a
+bucket other than its leader then still belong to several components, all pairs
+of them across components are verified too, by pairs of blocks of ``BLOCK``
+members, each pair of texts in one of its buckets only. So any two texts that
+share a band are in one class, or have been compared.
 
 Defined results: words are runs without ASCII white space, A-Z as a-z; a text
 of fewer than ``k`` words is one shingle; null text counts as empty; a text
@@ -38,6 +40,8 @@ from settlekit.llm.components import components
 from settlekit.llm.textvec import U, Words, batches, mix, shingles_of
 
 REGISTERS, ROWS, SHINGLE, THRESHOLD = 64, 4, 5, 0.8
+#: members and characters of a block, about
+BLOCK, BLOCK_CHARS = 128, 1 << 22
 
 
 def weighted(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,10 +116,102 @@ def _pairs(members: DataFrame, keys: list[str]) -> DataFrame:
             .select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct())
 
 
+def similar(texts: list[str], k: int, threshold: float) -> np.ndarray:
+    """Which texts have a Jaccard of ``threshold`` or more, as a matrix."""
+    sets = [np.unique(shingles_of(Words([t]), k)[0]) for t in texts]
+    size = np.array([len(x) for x in sets])
+    value, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = (np.cumsum(n > 1) - 1)[at]  # shingles of one text only are in no intersection
+    owner = np.repeat(np.arange(len(texts)), size)
+    owner, column = owner[n[at] > 1], column[n[at] > 1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both, width = np.zeros((len(texts), len(texts)), np.int64), 1 << 14
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (a, a + width))
+        block = np.zeros((len(texts), width), np.float32)
+        block[owner[i:j], column[i:j] - a] = 1
+        both += (block @ block.T).astype(np.int64)  # whole numbers up to 2^14: exact
+    np.fill_diagonal(both, size)
+    every = size[:, None] + size[None, :] - both
+    return both / np.maximum(every, 1) >= threshold
+
+
+def _block_links(k: int, threshold: float):
+    """Links across the components of a pair of blocks, as far as they join them."""
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("node", ignore_index=True)
+        n, key = len(f), f["key"].iloc[0]
+        # a pair is compared in the smallest of its common keys
+        having: dict[int, list[int]] = {}
+        for i, keys in enumerate(f["bands"]):
+            for x in set(keys):
+                if x < key:
+                    having.setdefault(x, []).append(i)
+        _, root = np.unique(f["root"].to_numpy(str), return_inverse=True)
+        side = f["side"].to_numpy()
+        todo = np.triu(root[:, None] != root[None, :])
+        if (side == 1).any():
+            todo &= side[:, None] != side[None, :]
+        for rows in having.values():
+            if len(rows) > 1:
+                todo[np.ix_(rows, rows)] = False
+        out: list[tuple[str, str]] = []
+        if todo.any():
+            node, parent = f["node"].tolist(), list(range(n))
+
+            def find(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            used = np.flatnonzero(todo.any(axis=0) | todo.any(axis=1))
+            hit = todo[np.ix_(used, used)] & similar([f["text"].iloc[i] for i in used], k, threshold)
+            for i, j in zip(*(used[x] for x in np.nonzero(hit))):
+                x, y = find(int(root[i])), find(int(root[j]))
+                if x != y:
+                    parent[x] = y
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+    return run
+
+
+def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b): links between the components of each bucket's members. The leader
+    has been compared with all of them and is left out. A component of more than
+    a block has blocks of its own, which are not paired with each other; the
+    smaller ones of a bucket share blocks."""
+    members = (shared.join(roots, "node", "left").join(texts.select("node", "chars"), "node")
+               .select("node", "rank", F.coalesce("root", "node").alias("root"), "chars", F.explode(F.array_distinct("bands")).alias("key")))
+    lead = members.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 2")
+    rest = members.join(lead, "key").where(F.col("node") != F.col("m.node")).select("key", "node", "root", "chars")
+    pieces = F.ceil(F.greatest(F.sum("n") / BLOCK, F.sum("chars") / BLOCK_CHARS))
+    sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    several = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
+    own = F.when((F.col("n") > BLOCK) | (F.col("chars") > BLOCK_CHARS), F.col("root")).otherwise("")
+    sizes = written(sizes.join(several, "key").withColumn("own", own), "minhash-sizes")
+    blocks = sizes.groupBy("key", "own").agg(F.greatest(pieces, F.lit(1)).cast("long").alias("pieces"))
+    cells = blocks.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    cell = F.struct("own", "piece")
+    pairs = (cells.select("key", cell.alias("p")).join(cells.select("key", cell.alias("q")), "key")
+             .where((F.col("p") < F.col("q")) & ((F.col("p.own") != F.col("q.own")) | (F.col("p.own") == ""))
+                    | (F.col("p") == F.col("q")) & (F.col("p.own") == "")))
+    pairs = written(pairs, "minhash-blocks")
+    placed = (rest.join(sizes.select("key", "root", "own"), ["key", "root"]).join(blocks, ["key", "own"])
+              .select("key", "node", "root", F.struct("own", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece")).alias("c")))
+    placed = written(placed, "minhash-placed")
+    sent = (placed.withColumnRenamed("c", "p").join(pairs, ["key", "p"]).withColumn("side", F.lit(0))
+            .unionByName(placed.withColumnRenamed("c", "q").join(pairs.where(F.col("p") != F.col("q")), ["key", "q"]).withColumn("side", F.lit(1))))
+    full = sent.join(shared.select("node", "bands"), "node").join(texts.select("node", "text"), "node")
+    return full.groupBy("key", "p", "q").applyInPandas(_block_links(k, threshold), "a string, b string").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
                     threshold: float = THRESHOLD, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id (smallest doc id of its class),
-    class_size (rows), n_links (verified links of its text to different texts),
+    class_size (rows), n_links (verified links of its text to different texts;
+    texts of one class are not all compared, so at most its near-duplicates),
     kept (whether it is the class's first row by id, then text hash)."""
     shipped(docs.sparkSession)
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -135,29 +231,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     finer = [F.array(*[F.xxhash64(*[F.get("bands", (i + j) % n_bands) for j in range(width)], F.lit(width)) for i in range(n_bands)])
              for width in (2, 4)]
     members = shared.select("node", "rank", F.explode(F.concat("bands", *finer)).alias("key"))
-    texts = written(given.join(shared.select("node"), "node", "left_semi").groupBy("node").agg(F.first("__text").alias("text")), "minhash-texts")
+    texts = written(given.join(shared.select("node"), "node", "left_semi").groupBy("node").agg(F.first("__text").alias("text")).withColumn("chars", F.char_length("text")), "minhash-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
         return written(both.mapInPandas(_verify(k, threshold), "a string, b string"), "minhash-links")
 
-    tested = [written(_pairs(members, ["key"]), "minhash-pairs")]
-    links = [verified(tested[0])]
-    while True:
-        roots = components(reduce(DataFrame.unionByName, links), "minhash-components")
-        placed = (members.join(roots, "node", "left")
-                  .select("key", "node", "rank", F.coalesce("root", "node").alias("root")))
-        one = placed.groupBy("key", "root").agg(F.max(F.struct("rank", "node")).alias("m")).select("key", "m.rank", "m.node")
-        more = _pairs(one, ["key"]).join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
-        more = written(more, "minhash-pairs")
-        if more.isEmpty():
-            break
-        found = verified(more)
-        tested.append(more)
-        if found.isEmpty():
-            break
+    links = [verified(written(_pairs(members, ["key"]), "minhash-pairs"))]
+    roots = components(links[0], "minhash-components")
+    found = written(_across(shared, roots, texts, k, threshold), "minhash-links")
+    if not found.isEmpty():
         links.append(found)
+        roots = components(reduce(DataFrame.unionByName, links), "minhash-components")
 
     every = reduce(DataFrame.unionByName, links).distinct()
     degree = (every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node")))

@@ -69,6 +69,45 @@ def test_one_group_of_a_third_of_the_rows(spark):
     assert sum(r.n_links for r in out) <= 2 * len(links)
 
 
+def family(rng, texts, pairs):
+    """Texts on one template, at about 0.65 to each other, of which ``pairs`` come with a copy at about 0.82."""
+    template = words(rng, 240)
+
+    def filled():
+        text = list(template)
+        for i in range(0, 240, 24):  # each new word changes five shingles
+            text[i] = f"own{rng.randrange(10 ** 9)}"
+        return text
+
+    rows = []
+    for i in range(texts):
+        text = filled()
+        rows.append((i, " ".join(text)))
+        if i < pairs:
+            copy = list(text)
+            for j in range(0, 240, 60):
+                copy[j + 30] = f"new{rng.randrange(10 ** 9)}"
+            rows.append((texts + i, " ".join(copy)))
+    return rows
+
+
+def test_pairs_within_a_family_that_no_leader_is_close_to(spark):
+    rows = family(random.Random(8), 800, 200)
+    want, links = brute(rows)
+    assert len(links) >= 200
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.doc_id, r.class_id) for r in out} == want
+
+
+def test_similar_is_the_exact_jaccard():
+    rng = random.Random(9)
+    base = words(rng, 100)
+    texts = [" ".join(base[:n] + words(rng, 100 - n)) for n in (100, 96, 94, 92, 90, 88, 86, 50)] + ["", "one two", "one  TWO"]
+    sets = [shingle_set(t) for t in texts]
+    want = [[bool(a and b) and len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    assert minhash.similar(texts, 5, 0.8).tolist() == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one  TWO"), (5, "one  TWO"), (None, "one two"), (6, "x " * 50000), (7, "x " * 49999), (8, "ünïcode é")]
     out = {(r.doc_id, r.class_id, r.class_size) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
