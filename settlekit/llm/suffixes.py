@@ -12,6 +12,13 @@ done in the order of the preceding words, which brings those together that
 agree furthest to the left. Kept suffixes follow each other closely, so the
 marks of a long passage join to all of it.
 
+Where a run is kept more than twice, a partner that agrees on both sides can
+stand between others that agree on one side only. There every window of
+``length`` words is also looked up by its hash: a window belongs to the kept
+suffix of the smallest run in it, two texts that share a window choose the same
+one, and a window that two texts hold marks both. Windows inside of later marks
+are counted, but need no mark of their own.
+
 Of equal texts one is searched; all of a repeated text of ``length`` words or
 more is a passage. A mark is *later* in the document with the larger id: cutting
 later marks leaves one copy of every passage.
@@ -32,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from settlekit.llm.common import row_key, shipped, written
-from settlekit.llm.textvec import Words, batches, shingles
+from settlekit.llm.textvec import U, Words, batches, shingles
 
 LENGTH, RUN = 50, 10
 HOT_RUNS = 1000
@@ -83,6 +90,49 @@ def _contexts(length: int):
     return run
 
 
+def _windows(length: int, k: int):
+    """The windows of a text whose smallest kept run is kept more than twice, as
+    lists of hashes and first words."""
+    w = length - k + 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                words = Words([r.text]).hash
+                hashes = shingles(words, length)
+                if not len(hashes):
+                    continue
+                at, n = np.asarray(r.places, np.int64), len(words) - k + 1
+                least, often = np.full(n, np.iinfo(U).max, U), np.zeros(n, bool)
+                least[at], often[at] = np.asarray(r.runs, np.int64).view(U), np.asarray(r.often, bool)
+                for a in range(0, len(hashes), 1 << 16):
+                    block = least[a:a + (1 << 16) + w - 1]
+                    chosen = np.lib.stride_tricks.sliding_window_view(block, w).argmin(axis=1) + np.arange(a, a + len(block) - w + 1)
+                    first = np.flatnonzero(often[chosen]) + a
+                    if len(first):
+                        yield pd.DataFrame({"r1": [r.r1], "r2": [r.r2], "ord": [r.ord], "keys": [hashes[first].view(np.int64)], "firsts": [first]})
+    return run
+
+
+def _unsettled(length: int):
+    """The windows that do not lie inside of the text's later marks."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples(index=False):
+                keys, first = np.asarray(r.keys, np.int64), np.asarray(r.firsts, np.int64)
+                marks = np.zeros(0, np.int64) if r.marks is None else np.asarray(r.marks, np.int64)
+                marks = marks[(marks & 1) == 1]
+                spans = merged(list(zip((marks >> 32).tolist(), ((marks & 0xFFFFFFFF) >> 1).tolist())))
+                if spans:
+                    begin, end = np.array(spans, np.int64).T
+                    i = np.searchsorted(begin, first, side="right") - 1
+                    left = (i < 0) | (end[i] < first + length)
+                    keys, first = keys[left], first[left]
+                if len(first):
+                    yield pd.DataFrame({"r1": r.r1, "r2": r.r2, "ord": r.ord, "key": keys, "first": first})
+    return run
+
+
 _ROW = "run long, r1 long, r2 long, id long, place long, after binary, before binary"
 _MARK = "r1 long, r2 long, first long, last long, later boolean"
 
@@ -236,6 +286,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), t.alias("text")).withColumns(dict(zip(("r1", "r2"), row_key(F.col("text")))))
     nodes = given.groupBy("r1", "r2").agg(F.min(F.struct(F.col("id").isNotNull().alias("z"), "id")).alias("m"), F.count(F.lit(1)).alias("copies")).select("r1", "r2", F.col("m.id").alias("id"), "copies")
+    # ord: the order of the texts by id, of equal ids by hash
+    nodes = nodes.repartitionByRange("id", "r1", "r2").sortWithinPartitions("id", "r1", "r2").withColumn("ord", F.monotonically_increasing_id())
     nodes = written(nodes, "suffix-nodes")
 
     kept = written(given.select("text", "r1", "r2").mapInPandas(_kept(k, w), "run long, r1 long, r2 long, place long"), "suffix-kept")
@@ -243,11 +295,13 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # very frequent runs are looked up where the rows are: with a share of 1 / HOT_RUNS
     # or more of all rows there are HOT_RUNS of them at most
     share = (shared.agg(F.sum("n")).first()[0] or 0) / HOT_RUNS
-    hot = F.broadcast(shared.where(F.col("n") >= share).select("run"))
-    cold = shared.where(F.col("n") < share).select("run")
-    repeated = kept.join(hot, "run", "left_semi").unionByName(kept.join(hot, "run", "left_anti").join(cold, "run", "left_semi"))
+    often = (F.col("n") > 2).alias("often")
+    hot = F.broadcast(shared.where(F.col("n") >= share).select("run", often))
+    cold = shared.where(F.col("n") < share).select("run", often)
+    repeated = kept.join(hot, "run").unionByName(kept.join(hot, "run", "left_anti").join(cold, "run"))
     places = (repeated.distinct().groupBy("r1", "r2")
-              .agg(F.collect_list(F.struct("place", "run")).alias("x")).select("r1", "r2", F.col("x.place").alias("places"), F.col("x.run").alias("runs")))
+              .agg(F.collect_list(F.struct("place", "run", "often")).alias("x"))
+              .select("r1", "r2", F.col("x.place").alias("places"), F.col("x.run").alias("runs"), F.col("x.often").alias("often")))
     wanted = written(nodes.join(places, ["r1", "r2"], "left").where("copies > 1 or places is not null"), "suffix-places")
     texts = given.join(wanted.select("r1", "r2"), ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.first("text").alias("text"))
     texts = written(texts, "suffix-texts")
@@ -257,7 +311,18 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     marks = _neighbour_marks(around, ["run", "after", "before"], length).unionByName(_neighbour_marks(around, ["run", "before", "after"], length))
     # a mark as one number (32 bits first, 31 last, 1 later): many of them stay small in a task
     packed = F.shiftleft("first", 32).bitwiseOR(F.shiftleft("last", 1)).bitwiseOR(F.col("later").cast("long"))
-    by_text = marks.groupBy("r1", "r2").agg(F.collect_set(packed).alias("marks"))
+    by_text = written(marks.groupBy("r1", "r2").agg(F.collect_set(packed).alias("marks")), "suffix-marked")
+
+    windows = (wanted.where(F.exists("often", lambda x: x)).join(texts, ["r1", "r2"]).select("r1", "r2", "ord", "text", "places", "runs", "often")
+               .mapInPandas(_windows(length, k), "r1 long, r2 long, ord long, keys array<long>, firsts array<long>"))
+    windows = written(windows, "suffix-windows")
+    held = (windows.select("ord", F.explode("keys").alias("key")).groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
+            .where("least <> most").select("key", "least"))
+    open_windows = windows.join(by_text, ["r1", "r2"], "left").select("r1", "r2", "ord", "keys", "firsts", "marks").mapInPandas(
+        _unsettled(length), "r1 long, r2 long, ord long, key long, first long")
+    more = (open_windows.join(held, "key").select("r1", "r2", "first", (F.col("first") + length).alias("last"), (F.col("ord") > F.col("least")).alias("later"))
+            .groupBy("r1", "r2").agg(F.collect_set(packed).alias("marks")))
+    by_text = by_text.unionByName(more).groupBy("r1", "r2").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     info = wanted.select("r1", "r2", "copies").join(texts, ["r1", "r2"]).join(by_text, ["r1", "r2"], "left")
     found = written(info.where("copies > 1 or marks is not null").select("r1", "r2", "copies", "text", "marks").mapInPandas(
         _digest(length), "r1 long, r2 long, spans array<struct<start:long,end:long>>, words long, own string, copy string"), "suffix-found")

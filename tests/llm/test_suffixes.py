@@ -72,6 +72,27 @@ def test_groups_of_copies_and_near_copies(spark):
     assert text[100] == " ".join(base) and all(text[100 + i] == "" for i in range(1, 30))
 
 
+def test_partners_hidden_by_others_that_agree_on_one_side(spark):
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"z{rng.randrange(10 ** 9)}" for _ in range(n))
+    rows = []
+    for family in range(3):
+        begins, ends, middle = [own(6) for _ in range(10)], [own(6) for _ in range(10)], own(40)
+        rows += [(1000 * family + i, " ".join((own(20), rng.choice(begins), middle, rng.choice(ends), own(20)))) for i in range(300)]
+    rng.shuffle(rows)
+    want = brute(rows)
+    got, text = found(spark, rows)
+    assert got == want
+    # one copy of each passage stays
+    firsts, seen = set(), set()
+    for i, t in sorted(rows):
+        passage = " ".join(t.split(" ")[20:72])
+        if want[i] and passage not in seen:
+            seen.add(passage)
+            firsts.add(i)
+    assert {i for i, t in rows if want[i] and text[i] == t} == firsts
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{i}" for i in range(60))
     rows = [(1, None), (2, ""), (3, "a " * 70000), (4, long), (None, long), (5, "é🙂 " + long + "\n"), (6, long + " " + long)]
