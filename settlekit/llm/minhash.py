@@ -6,7 +6,8 @@ Poisson process of rate weight, seeded by the shingle: its arrivals fall into
 random registers, and each register keeps the shingle of the earliest arrival.
 A shingle stops as soon as its next arrival comes later than the latest
 register (early termination). Two texts agree in a register with probability
-equal to their probability Jaccard.
+equal to their probability Jaccard. A text that repeats a shingle has the bands of its
+registers at weight 1 as well, which agree with the Jaccard of distinct shingles.
 
 Equal texts are one node. Nodes that share a band (``rows`` registers) become
 candidates, but never all pairs of a bucket: each member is compared with the
@@ -71,6 +72,14 @@ def signatures(element: np.ndarray, owner: np.ndarray, weight: np.ndarray, texts
     return kept.reshape(texts, m)
 
 
+def _band_hashes(sig: np.ndarray, rows: int) -> list[list[int]]:
+    sig = sig.reshape(len(sig), -1, rows)
+    hashes = np.tile(np.arange(1, sig.shape[1] + 1, dtype=U), (len(sig), 1))
+    for r in range(rows):
+        hashes = mix(hashes * U(0x9E3779B97F4A7C15) + sig[:, :, r])
+    return hashes.view(np.int64).tolist()
+
+
 def _bands(k: int, m: int, rows: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -79,11 +88,12 @@ def _bands(k: int, m: int, rows: int):
             for a, b in batches(texts):
                 w = Words(texts[a:b])
                 element, owner, weight = weighted(w, k)
-                sig = signatures(element, owner, weight, b - a, m).reshape(b - a, m // rows, rows)
-                hashes = np.tile(np.arange(1, m // rows + 1, dtype=U), (b - a, 1))
-                for r in range(rows):
-                    hashes = mix(hashes * U(0x9E3779B97F4A7C15) + sig[:, :, r])
-                out += [h if n else None for h, n in zip(hashes.view(np.int64).tolist(), w.n)]
+                by_weight = _band_hashes(signatures(element, owner, weight, b - a, m), rows)
+                uneven = np.isin(owner, np.unique(owner[weight > 1]))  # the others' bands are the same
+                by_set = _band_hashes(signatures(element[uneven], owner[uneven], np.ones(int(uneven.sum())), b - a, m), rows)
+                again = set(owner[uneven].tolist())
+                out += [None if not n else h + [x for x in g if x not in h] if i in again else h
+                        for i, (h, g, n) in enumerate(zip(by_weight, by_set, w.n))]
             yield pd.DataFrame({"id": f["id"].astype("object"), "node": f["node"], "bands": pd.Series(out, index=f.index, dtype=object)})
     return run
 

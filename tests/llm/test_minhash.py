@@ -99,6 +99,18 @@ def test_pairs_within_a_family_that_no_leader_is_close_to(spark):
     assert {(r.doc_id, r.class_id) for r in out} == want
 
 
+def test_copies_with_one_line_repeated_very_often(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(20):
+        base, line = words(rng, 114), words(rng, 9)
+        rows += [(i, " ".join(base)), (100 + i, " ".join(base + line * 400))]
+    want, links = brute(rows)
+    assert len(links) == 20
+    out = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.doc_id, r.class_id) for r in out} == want
+
+
 def test_similar_is_the_exact_jaccard():
     rng = random.Random(9)
     base = words(rng, 100)
