@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import chat, decontaminate, fingerprints, langid, licenses, line_dedup, minhash, pieces, pii, suffixes
+from settlekit.llm import chat, decontaminate, filter_audit, fingerprints, langid, licenses, line_dedup, minhash, pieces, pii, suffixes
 from settlekit.llm.common import table
 
 
@@ -81,6 +81,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
@@ -92,6 +96,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_fingerprints": op10_fingerprints,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLES = {
@@ -121,4 +126,36 @@ hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid
 SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(hot.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (hot.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN hot USING (key) GROUP BY rid""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+m AS (SELECT part, doc_id,
+       CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END
+       + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+       + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+       + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+       + CASE WHEN first_id < doc_id THEN 16 ELSE 0 END AS mask FROM w),
+j AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+      FROM m LEFT JOIN j USING (doc_id) GROUP BY ALL),
+o(filter_order, step, bit, seen) AS (
+  SELECT chr(65 + x), 1, 1 << x, 0 FROM (SELECT unnest(range(5))::INTEGER AS x)
+  UNION ALL SELECT filter_order || chr(65 + x), step + 1, 1 << x, seen | bit
+  FROM o, (SELECT unnest(range(5))::INTEGER AS x) WHERE (seen | bit) & (1 << x) = 0 AND step < 5),
+full_orders AS (SELECT filter_order FROM o WHERE step = 5),
+s AS (SELECT f.filter_order, o.step, o.bit, o.seen FROM full_orders f JOIN o ON left(f.filter_order, o.step) = o.filter_order),
+r AS (SELECT part, filter_order, step, bit,
+       sum(n) FILTER (mask & (seen | bit) = 0) AS kept,
+       sum(n) FILTER (mask & bit <> 0 AND mask & seen = 0) AS removed,
+       sum(n) FILTER (mask & bit <> 0 AND mask & seen <> 0) AS redundant,
+       sum(n) FILTER (mask = bit) AS unique_fails,
+       sum(n) FILTER (mask & bit <> 0 AND mask & seen = 0 AND good) AS good_lost,
+       sum(n) FILTER (mask & bit <> 0 AND mask & seen = 0 AND toxic) AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r""",
 }

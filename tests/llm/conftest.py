@@ -1,3 +1,5 @@
+import os
+
 import duckdb
 import pytest
 
@@ -15,8 +17,9 @@ def against_oracle(spark, name, folder):
     """Spark rows equal to the oracle's, as sorted text."""
     from settlekit.llm.queries import ORACLES, QUERIES
     con = duckdb.connect()
-    for t in ("documents", "conversations", "benchmark"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    for t in ("documents", "conversations", "benchmark", "labels"):
+        if os.path.exists(f"{folder}/{t}.parquet"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     got = QUERIES[name](spark, folder)
     want = con.execute(ORACLES[name])
     names = [d[0] for d in want.description]
@@ -30,7 +33,6 @@ def against_oracle(spark, name, folder):
 
 def save(spark, df, folder, name):
     """One Parquet file <folder>/<name>.parquet, readable by DuckDB too."""
-    import os
     import pyarrow as pa
     import pyarrow.parquet as pq
     os.makedirs(folder, exist_ok=True)
