@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import chat, decontaminate, filter_audit, fingerprints, langid, licenses, line_dedup, minhash, pieces, pii, suffixes
+from settlekit.llm import chat, decontaminate, filter_audit, fingerprints, langid, licenses, line_dedup, merkle, minhash, pieces, pii, suffixes
 from settlekit.llm.common import table
 
 
@@ -85,6 +85,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_sentencepiece": op2_sentencepiece,
@@ -97,6 +101,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_fingerprints": op10_fingerprints,
     "op11_filter_audit": op11_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -158,4 +163,44 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
        coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
        (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM r""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+f AS (SELECT row_number() OVER () AS rid, source, doc_id,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+          || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+        coalesce(strlen(text) || ':' || text, '-') AS whole,
+        coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-') AS cut,
+        doc_id IS NOT NULL AND list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+          lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])) & 1 = 1 AS tampered
+      FROM documents, t),
+l AS (SELECT rid, source, doc_id, sha256(head || whole) AS leaf, CASE WHEN tampered THEN sha256(head || cut) ELSE sha256(head || whole) END AS shown FROM f),
+r AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS g,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+nodes(g, lvl, i, n, d) AS (
+  SELECT g, 0, i, n, leaf FROM r
+  UNION ALL SELECT g, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, lvl, n, i // 3),
+subroots AS MATERIALIZED (SELECT g, d AS subroot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper(g, lvl, i, n, d) AS (
+  SELECT 0, 0, g - 1, n, subroot FROM subroots
+  UNION ALL SELECT g, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY g, lvl, n, i // 3),
+runs AS MATERIALIZED (SELECT g, lvl, i // 3 AS p, list(d ORDER BY i) AS ds
+  FROM (SELECT * FROM nodes WHERE n > 1 UNION ALL SELECT * FROM upper WHERE n > 1) GROUP BY ALL),
+walk(rid, g, lvl, i, cur, proof) AS (
+  SELECT rid, g, 0, i, shown, '' FROM r
+  UNION ALL SELECT rid, w.g, w.lvl + 1, w.i // 3,
+    sha256(array_to_string(ds[1:w.i % 3], '') || cur || array_to_string(ds[w.i % 3 + 2:], '')),
+    proof || array_to_string(ds[1:w.i % 3], '') || array_to_string(ds[w.i % 3 + 2:], '')
+  FROM walk w JOIN runs ON runs.g = w.g AND runs.lvl = w.lvl AND runs.p = w.i // 3),
+half AS MATERIALIZED (SELECT rid, arg_max(cur, lvl) AS cur, arg_max(proof, lvl) AS proof FROM walk GROUP BY rid),
+climb(rid, lvl, i, cur, proof) AS (
+  SELECT rid, 0, g - 1, cur, proof FROM half JOIN r USING (rid)
+  UNION ALL SELECT rid, w.lvl + 1, w.i // 3,
+    sha256(array_to_string(ds[1:w.i % 3], '') || cur || array_to_string(ds[w.i % 3 + 2:], '')),
+    proof || array_to_string(ds[1:w.i % 3], '') || array_to_string(ds[w.i % 3 + 2:], '')
+  FROM climb w JOIN runs ON runs.g = 0 AND runs.lvl = w.lvl AND runs.p = w.i // 3),
+done AS (SELECT rid, arg_max(cur, lvl) AS folded_root, arg_max(proof, lvl) AS proof FROM climb GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM r JOIN done USING (rid) JOIN subroots USING (g), (SELECT d AS root FROM upper WHERE n = 1)""",
 }
