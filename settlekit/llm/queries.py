@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from settlekit.llm import chat, decontaminate, filter_audit, fingerprints, langid, licenses, line_dedup, merkle, minhash, pieces, pii, suffixes
+from settlekit.llm import (
+    chat, decontaminate, filter_audit, fingerprints, hnsw, langid, licenses, line_dedup, merkle, minhash, pieces, pii, suffixes)
 from settlekit.llm.common import table
 
 
@@ -85,6 +86,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_fingerprints": op10_fingerprints,
     "op11_filter_audit": op11_filter_audit,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
