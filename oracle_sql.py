@@ -1158,6 +1158,26 @@ ORACLE["scan_quoted"] = q(
         "WHEN 1 THEN '\"' || brand || '\"' ELSE brand END AS brand" if c == "brand" else f"{_nz(c)} AS \"{c.strip()}\""
         for c in _RAW_COLS) + " FROM raw_orders", RAWQ)
 
+# Brands with a stray opening quote, which stays text; the others as written.
+def _unbalanced(sep: str, stray_only: bool = False) -> str:
+    k = 'CAST("order release id" AS BIGINT)'
+    brand = (f"CASE WHEN {k} % 97 = 3 THEN '\"5 inch ' || brand WHEN {k} % 5 = 0 THEN brand || chr(10) || 'say \"hi\"' || {sep} || ' ok' "
+             "ELSE brand END")
+    if stray_only:
+        field = lambda c: f"CASE WHEN contains(\"{c}\", {sep}) THEN '\"' || \"{c}\" || '\"' ELSE \"{c}\" END"
+        line = f" || {sep} || ".join(f"COALESCE({brand if c == 'brand' else field(c)}, '')" for c in _RAW_COLS)
+        return (f"SELECT \"order release id\" AS first_field, 'Unclosed quote: read as text' AS message, {line} AS value "
+                f"FROM raw_orders WHERE {k} % 97 = 3 AND brand IS NOT NULL")
+    return "SELECT " + ", ".join(f"{brand} AS brand" if c == "brand" else f"{_nz(c)} AS \"{c.strip()}\"" for c in _RAW_COLS) + " FROM raw_orders"
+
+
+ORACLE["scan_unbalanced_quote"] = q(_unbalanced("','"), RAWQ)
+ORACLE["scan_unbalanced_tab"] = q(_unbalanced("chr(9)"), RAWQ)
+ORACLE["stray_quotes"] = q(_unbalanced("','", True) + " UNION ALL " + _unbalanced("chr(9)", True), RAWQ)
+ORACLE["scan_mixed_quoting"] = q(
+    "SELECT \"order release id\", \"order line id\", brand, count(*) AS n FROM (SELECT \"order release id\", \"order line id\", brand "
+    f"FROM ({_unbalanced(chr(39) + ',' + chr(39))}) UNION ALL SELECT \"order release id\", \"order line id\", NULLIF(brand, '') FROM raw_orders) GROUP BY ALL", RAWQ)
+
 # Names of landed files, derived from the orders table.
 _NAMES = ("names AS (SELECT ['orders', 'Returns', 'settlement', 'notes', 'my-ORDERS'][CAST(o_orderkey % 5 + 1 AS BIGINT)] || "
           "CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '-%m-%Y') END || '.csv' AS extract FROM orders), "

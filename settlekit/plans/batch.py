@@ -75,7 +75,8 @@ def _stage(spark: SparkSession, staging: str, entity: str, group: int, header: t
            extracts: list[Extract], run_ts: _dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parse and cleanse all extracts of one header in one scan, through a raw
     and a clean staging table; returns (rows, issues, stats)."""
-    raw, names = CSV.scan_raw(spark, [f for e in extracts for f in e.files], header=header)
+    raw, names = CSV.scan_raw(spark, [f for e in extracts for f in e.files], header=header,
+                              staging=f"{staging}/records/{entity}/{group:05d}")
     raw_path = f"{staging}/raw/{entity}/{group:05d}"
     raw.write.parquet(raw_path)
     raw = spark.read.parquet(raw_path)
@@ -91,7 +92,7 @@ def _stage(spark: SparkSession, staging: str, entity: str, group: int, header: t
      .drop("_source_file", "_extract", "_rank").write.parquet(clean_path))
     staged = spark.read.parquet(clean_path)
     issues, stats = CL.summarize(staged.drop("_ord"), entity, result.column_issues)
-    for lines in (bad, CSV.short_lines(raw, names)):
+    for lines in (bad, CSV.short_lines(raw, names), CSV.stray_quotes(raw, names)):
         issues = issues.unionByName(lines.select(
             F.lit(entity).alias("file_type"), F.lit("warning").alias("severity"),
             F.lit(None).cast("long").alias("row_index"), F.lit("line").alias("column"), "message", "value"))

@@ -771,6 +771,37 @@ def q_scan_quoted(spark, sf):
     return rows.drop("_source_file", "_ord")
 
 
+@register("scan_unbalanced_quote")
+def q_scan_unbalanced_quote(spark, sf):
+    """Quoted fields over several lines, and brands whose opening quote never
+    closes: no other row is lost or joined."""
+    rows, _ = CSV.scan_tolerant(spark, EX.materialize_unbalanced(spark, sf)["comma"])
+    return rows.drop("_source_file", "_ord")
+
+
+@register("scan_unbalanced_tab")
+def q_scan_unbalanced_tab(spark, sf):
+    rows, _ = CSV.scan_tolerant(spark, EX.materialize_unbalanced(spark, sf)["tab"])
+    return rows.drop("_source_file", "_ord")
+
+
+@register("stray_quotes")
+def q_stray_quotes(spark, sf):
+    """The issue rows of both."""
+    paths = EX.materialize_unbalanced(spark, sf)
+    found = [CSV.stray_quotes(*CSV.scan_raw(spark, paths[k])).select("first_field", "message", "value") for k in ("comma", "tab")]
+    return found[0].unionByName(found[1])
+
+
+@register("scan_mixed_quoting")
+def q_scan_mixed_quoting(spark, sf):
+    """A group of files of one header, some healthy, some unbalanced: the
+    healthy ones are still read by the CSV source."""
+    paths = EX.materialize_unbalanced(spark, sf)
+    rows, _ = CSV.scan_tolerant(spark, [paths["plain"], paths["comma"]])
+    return rows.groupBy(F.col("order release id"), F.col("order line id"), F.col("brand")).agg(F.count("*").alias("n"))
+
+
 @register("load_stats")
 def q_load_stats(spark, sf):
     rows, _ = _scan_orders(spark, sf)

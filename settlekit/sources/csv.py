@@ -2,7 +2,8 @@
 
 One distributed ``spark.read.csv`` per entity replaces the reference's
 chunked, strategy-by-strategy pandas reads. Only the first line of one
-file (the header) is looked at on the driver, to pick the delimiter.
+file (the header) is looked at on the driver, to pick the delimiter. Files
+whose quoted fields hold line breaks go through ``records``, split as well.
 
 Bad lines: Spark's PERMISSIVE mode marks a record whose field count differs
 from the header as corrupt. As in the reference reader, a *long* record (more
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from settlekit.sources import records
+
 CORRUPT = "_corrupt_record"
 FILE_TYPES = ("orders", "returns", "settlement")
 
@@ -50,15 +53,6 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     return sep, names
 
 
-def spans_lines(spark: SparkSession, paths: list[str]) -> bool:
-    """Does some quoted field hold a line break? Then a line has a quote at the
-    start of a field and an odd number of quotes. One distributed pass over the
-    text decides whether files can be split (they can't, if records may)."""
-    v = F.col("value")
-    odd = (F.length(v) - F.length(F.replace(v, F.lit('"'), F.lit("")))) % 2 == 1
-    return not spark.read.text(paths).where(odd & v.rlike('(^|[,\t])"')).isEmpty()
-
-
 def _delimiters_outside_quotes(text: Column, sep: str) -> Column:
     bare = F.regexp_replace(text, '"[^"]*"', "")
     return F.length(bare) - F.length(F.regexp_replace(bare, "\t" if sep == "\t" else sep, ""))
@@ -68,9 +62,7 @@ def lineage(df: DataFrame) -> DataFrame:
     """File path and a row order that follows the file: (file, block, id)."""
     order = F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                      F.monotonically_increasing_id().alias("i"))
-    # the path as a listing shows it (not percent-encoded, file:/ with one slash)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return df.withColumns({"_source_file": F.regexp_replace(path, "^file:/+", "file:/"), "_ord": order})
+    return df.withColumns({"_source_file": records.listed_path(), "_ord": order})
 
 
 def extract_path(path: Column) -> Column:
@@ -81,29 +73,44 @@ def extract_path(path: Column) -> Column:
     return F.when(F.element_at(parts, -1).startswith("part-"), folder).otherwise(path)
 
 
-def scan_raw(spark: SparkSession, path: str | list[str], quote: str | None = '"',
-             multiline: bool | None = None, header: tuple[str, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
-    """The all-text scan with ``_long`` / ``_short`` flags and the record text
-    of malformed records (``_bad``), before long ones are split off. Returns
-    (frame, header). ``header`` is (delimiter, names) of all given files, else
-    taken from the first. ``multiline``: None looks whether it is needed."""
-    paths = [path] if isinstance(path, str) else list(path)
-    sep, names = header or sniff(spark, paths[0])
-    if multiline is None:
-        multiline = bool(quote) and spans_lines(spark, paths)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
-                          + [T.StructField(CORRUPT, T.StringType())])
+def _plain_scan(spark: SparkSession, paths: list[str], sep: str, names: list[str], quote: str | None) -> DataFrame:
+    """Every line a record, read by Spark's CSV source (files can be split)."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     # Whether a record is malformed must not depend on the columns a query
     # happens to read: with column pruning the parser only tokenizes the
     # selected fields and never sees an extra one.
     reader = (spark.read.schema(schema).option("header", True).option("sep", sep)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-              .option("columnPruning", False).option("multiLine", multiline).option("enforceSchema", True))
+              .option("columnPruning", False).option("enforceSchema", True))
     if quote:   # a quote inside a quoted field is doubled
         reader = reader.option("quote", quote).option("escape", quote)
     else:
         reader = reader.option("quote", "\u0000")
-    raw = lineage(reader.csv(paths))
+    return lineage(reader.csv(paths)).withColumn("_stray", F.lit(None).cast("string"))
+
+
+def scan_raw(spark: SparkSession, path: str | list[str], quote: str | None = '"',
+             header: tuple[str, list[str]] | None = None, staging: str | None = None) -> tuple[DataFrame, list[str]]:
+    """The all-text scan with ``_long`` / ``_short`` flags and the record text
+    of malformed records (``_bad``), before long ones are split off; ``_stray``
+    is the line of a record whose opening quote never closes. Returns (frame,
+    header). ``header`` is (delimiter, names) of all given files, else taken
+    from the first.
+
+    Files are read by Spark's CSV source, but those (and only those) in which a
+    quoted field leaves a line open: their records are found by ``records``,
+    through a table below ``staging``. Both ways split files."""
+    paths = [path] if isinstance(path, str) else list(path)
+    sep, names = header or sniff(spark, paths[0])
+    mixed = records.files_by_quoting(spark, paths, sep) if quote == records.QUOTE else None
+    if mixed is None:
+        raw = _plain_scan(spark, paths, sep, names, quote)
+    else:
+        plain, spanning = mixed
+        found = records.read_records(spark, spanning, sep, len(names), staging)
+        raw = records.parsed(found, sep, names, CORRUPT)
+        if plain:
+            raw = raw.unionByName(_plain_scan(spark, plain, sep, names, quote))
     # Spark parses a record only when a data column is referenced, so the
     # test reads the corrupt text through coalesce with the first field.
     text = F.coalesce(F.col(CORRUPT), F.col(f"`{names[0]}`"))
@@ -114,7 +121,7 @@ def scan_raw(spark: SparkSession, path: str | list[str], quote: str | None = '"'
                        F.coalesce(long_row, F.lit(False)).alias("_long"),
                        F.coalesce(short_row, F.lit(False)).alias("_short"),
                        F.when(long_row | short_row, text).alias("_bad"),
-                       F.when(long_row | short_row, n_delims + 1).alias("_fields")), names)
+                       F.when(long_row | short_row, n_delims + 1).alias("_fields"), "_stray"), names)
 
 
 def split_raw(raw: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -139,13 +146,20 @@ def short_lines(raw: DataFrame, names: list[str]) -> DataFrame:
         F.col("_bad").alias("value"))
 
 
-def scan_tolerant(spark: SparkSession, path: str, quote: str | None = '"',
-                  multiline: bool | None = None) -> tuple[DataFrame, DataFrame]:
+def stray_quotes(raw: DataFrame, names: list[str]) -> DataFrame:
+    """Records kept with an opening quote that never closes read as text, and
+    reported (same columns as ``bad_lines``)."""
+    return raw.where(F.col("_stray").isNotNull()).select(
+        F.col("_source_file").alias("file"), F.col(f"`{names[0]}`").alias("first_field"),
+        F.lit("Unclosed quote: read as text").alias("message"), F.col("_stray").alias("value"))
+
+
+def scan_tolerant(spark: SparkSession, path: str | list[str], quote: str | None = '"') -> tuple[DataFrame, DataFrame]:
     """All-text scan; returns (rows, bad_lines).
 
     ``rows`` keeps the raw header names (trimmed), drops all-NULL rows and
     carries ``_source_file`` / ``_ord``; ``bad_lines`` lists skipped records."""
-    raw, names = scan_raw(spark, path, quote, multiline)
+    raw, names = scan_raw(spark, path, quote)
     return split_raw(raw, names)
 
 
@@ -180,9 +194,8 @@ def list_landing(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def read_repaired(spark: SparkSession, path: str) -> DataFrame:
-    """Quoted fields may span lines; inner line breaks become one space."""
-    sep, names = sniff(spark, path)
-    df = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
-          .option("header", True).option("sep", sep).option("multiLine", True)
-          .option("quote", '"').option("escape", '"').csv(path))
-    return df.select(*[F.regexp_replace(F.col(f"`{n}`"), r"\r?\n", " ").alias(n.strip()) for n in names])
+    """Quoted fields may span lines; inner line breaks become one space.
+    Rows whatever their number of fields: a long one loses the rest, a short
+    one has NULLs."""
+    raw, names = scan_raw(spark, path)
+    return raw.select(*[F.regexp_replace(F.col(f"`{n}`"), r"\r?\n", " ").alias(n.strip()) for n in names])

@@ -49,8 +49,8 @@ def wrapped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_unquoted(df: DataFrame, path: str, sep: str) -> None:
-    """Delimited text without any quoting (Spark's CSV writer always quotes a
-    value holding the delimiter). Each part file starts with the header."""
+    """Delimited text as it stands, without any quoting (Spark's CSV writer
+    quotes a value holding the delimiter). Each part file starts with the header."""
     header = sep.join(df.columns)
     line = F.concat_ws(sep, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
 
@@ -142,3 +142,36 @@ def materialize_quoted(spark: SparkSession, sf_dir: str) -> str:
         land_file(quoted_orders(spark, sf_dir), f"{paths['root']}/quoted/2025/orders-01-2025.csv")
         paths["quoted"] = f"{paths['root']}/quoted"
     return paths["quoted"]
+
+
+# --- fixed values: which orders get a brand with an opening quote that never closes ------------
+STRAY_EVERY, STRAY_AT = 97, 3
+# --- end fixed values -------------------------------------------------------------------------------
+
+
+def unbalanced_orders(spark: SparkSession, sf_dir: str, sep: str) -> DataFrame:
+    """The orders extract as text fields of a file: brands with line breaks,
+    delimiters and quotes are quoted, and some begin with a stray quote."""
+    raw = tv.raw_orders_v(spark, sf_dir)
+    k = F.col("order release id").try_cast("long")
+    wrapped = F.concat(F.lit('"'), F.col("brand"), F.lit(f'\nsay ""hi""{sep} ok"'))
+    brand = (F.when(k % STRAY_EVERY == STRAY_AT, F.concat(F.lit('"5 inch '), F.col("brand")))
+             .when(k % 5 == 0, wrapped).when(k % 5 == 1, F.concat(F.lit('"'), F.col("brand"), F.lit('"'))).otherwise(F.col("brand")))
+    def field(c: str):
+        v = F.col(f"`{c}`")
+        return F.when(F.contains(v, F.lit(sep)), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v).alias(c)
+
+    return raw.select(*[brand.alias(c) if c == "brand" else field(c) for c in raw.columns])
+
+
+def materialize_unbalanced(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """``comma`` and ``tab``: ``unbalanced_orders`` with each delimiter;
+    ``plain``: the same orders, a healthy file of one line a record."""
+    paths = materialize(spark, sf_dir)
+    if "unbalanced" not in paths:
+        root = f"{paths['root']}/unbalanced"
+        write_unquoted(unbalanced_orders(spark, sf_dir, ","), f"{root}/orders-comma", ",")
+        write_unquoted(unbalanced_orders(spark, sf_dir, "\t"), f"{root}/orders-tab", "\t")
+        tv.raw_orders_v(spark, sf_dir).write.option("header", True).csv(f"{root}/orders-plain")
+        paths["unbalanced"] = root
+    return {k: f"{paths['unbalanced']}/orders-{k}" for k in ("comma", "tab", "plain")}
