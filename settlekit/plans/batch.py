@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from settlekit import masters
 from settlekit import schema as S
 from settlekit import sinks
 from settlekit.operators import anomaly as AN
@@ -129,10 +130,14 @@ def _ingest_entity(spark: SparkSession, warehouse: str, staging: str, entity: st
     if cleaned:
         root = f"{warehouse}/masters"
         current = sinks.current_master(spark, root, entity)
-        master = sinks.read_version(spark, current) if current else None
         incoming = cleaned[0]
         for part in cleaned[1:]:
             incoming = incoming.unionByName(part, allowMissingColumns=True)
+        if commit and not buckets or masters.read_manifest(spark, current):
+            # a micro-batch, or a master kept so: only the buckets that it touches are written
+            masters.upsert(incoming, root, entity, commit=commit, empty=_typed_empty(spark, entity))
+            return issues, stats
+        master = sinks.read_version(spark, current) if current else None
         if master is not None and buckets and sinks.bucket_spec(spark, current) == (buckets, "order_release_id"):
             # the master is read in place; only the incoming rows are shuffled
             merged = MG.merge_latest_bucketed(master, incoming, buckets)

@@ -82,12 +82,17 @@ def write_master(df: DataFrame, root: str, entity: str, buckets: int | None = No
     base = f"{root.rstrip('/')}/{entity}"
     version = f"{base}/v={time.time_ns():020d}"
     write_version(df, version, buckets, bucket_key)
-    if commit:
-        _write_text_file(df.sparkSession, f"{base}/{COMMITS}/{commit}", version)
-    _write_text_file(df.sparkSession, f"{base}/{POINTER}", version)
+    point_to(df.sparkSession, base, version, commit)
     return version
 
 
+def point_to(spark: SparkSession, base: str, version: str, commit: str | None = None) -> None:
+    """Make a written version the current one, under the name of its micro-batch."""
+    if commit:
+        _write_text_file(spark, f"{base}/{COMMITS}/{commit}", version)
+    _write_text_file(spark, f"{base}/{POINTER}", version)
+
+
 def committed(spark: SparkSession, root: str, entity: str, commit: str) -> bool:
     """Is a micro-batch (named by checkpoint and batch number) in the master?
     If its writer died just before moving the pointer, the pointer moves now."""
@@ -118,7 +123,11 @@ def bucket_spec(spark: SparkSession, path: str) -> tuple[int, str] | None:
 
 def read_version(spark: SparkSession, path: str) -> DataFrame:
     """A written master version; a bucketed one is registered with its
-    bucket spec so the planner can use it."""
+    bucket spec so the planner can use it, one of a manifest names its folders."""
+    from settlekit import masters
+    listed = masters.read_version(spark, path)
+    if listed is not None:
+        return listed
     marker = _read_text_file(spark, f"{path}/{BUCKETS_MARKER}")
     if not marker:
         return spark.read.parquet(path)
@@ -200,6 +209,14 @@ def snapshot_versions(spark: SparkSession, root: str, entities, snapshots: str,
     return base
 
 
+def snapshot_list(spark: SparkSession, snapshots: str) -> DataFrame:
+    """(entity, version) of every snapshot taken so far."""
+    fs, p = _hadoop_fs(spark, snapshots)
+    schema = "entity string, version string"
+    taken = [st.getPath().toString() + "/versions" for st in fs.listStatus(p) if st.isDirectory()] if fs.exists(p) else []
+    return spark.read.schema(schema).json(taken) if taken else spark.createDataFrame([], schema)
+
+
 def read_snapshot(spark: SparkSession, base: str, entity: str) -> DataFrame | None:
     """A master as it was when the snapshot was taken; None if there was none."""
     rows = spark.read.schema("entity string, version string").json(f"{base}/versions").where(F.col("entity") == entity).collect()
