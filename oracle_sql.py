@@ -1255,3 +1255,26 @@ RUN_SUMMARY = ("SELECT total_orders, net_profit_loss, settlement_rate, return_ra
 ORACLE["batch_run"] = q(RUN_SUMMARY, RUN_CTES)
 # The streamed run upserts the same cleansed rows by the same rule.
 ORACLE["incremental_run"] = ORACLE["batch_run"]
+
+# --- what the sinks of the batch run wrote, read back ------------------------------------------------
+ORACLE["master_upserts"] = ORACLE["merge_latest_bucketed"]
+ORACLE["snapshot_restore"] = ORACLE["merge_latest_bucketed"].replace("FROM mx)", "FROM mx WHERE src = 0)")
+ORACLE["sink_master"] = q("SELECT " + ", ".join(f"{_present_expr(s.name, s)} AS {s.name}" for s in _S.ORDERS) + " FROM om", RUN_CTES)
+ORACLE["sink_anomalies"] = q(ORACLE["anomalies"][len(BASE):].replace("FROM analysis", "FROM ba"), RUN_CTES)
+
+
+def _line_issue(message: str, value: str, where: str) -> str:
+    return (f"SELECT 'orders' AS file_type, 'warning' AS severity, CAST(-1 AS BIGINT) AS row_index, 'line' AS \"column\", "
+            f"'{message}' AS message, {value} AS value FROM messy WHERE {where}")
+
+
+def _joined(cols: list[str]) -> str:
+    return " || chr(9) || ".join(f"COALESCE(\"{c}\", '')" for c in cols)
+
+
+ORACLE["sink_issues"] = q(" UNION ALL ".join([
+    _issues("orders", "default", SCANNED_NAMES, "scanned"), _issues("returns", "default", RET_NAMES, "raw_returns"),
+    _issues("settlement", "default", SET_NAMES, "raw_settlement"),
+    _line_issue("Skipping line: expected 11 fields, saw 12", _line, "is_long"),
+    _line_issue("Short line: expected 11 fields, saw 7", _joined(_RAW_COLS[:7]), "is_split"),
+    _line_issue("Short line: expected 11 fields, saw 5", "'tail' || chr(9) || " + _joined(_RAW_COLS[7:]), "is_split")]), SCAN_CTES)

@@ -119,14 +119,16 @@ def related_per_order(returns: DataFrame, settlements: DataFrame, previous: Data
 
 def analyze(orders: DataFrame, returns: DataFrame, settlements: DataFrame,
             previous: DataFrame | None = None, run_ts: _dt.datetime | None = None,
-            order_col: str | None = ORD, hot_key_rows: int = HOT_KEY_ROWS) -> DataFrame:
+            order_col: str | None = ORD, hot_key_rows: int = HOT_KEY_ROWS,
+            order_counts: dict | None = None) -> DataFrame:
     """Classify every order row (C6). ``run_ts`` stamps changed rows.
 
     Order keys with at least ``hot_key_rows`` rows are salted in the join
-    (``operators.skew``); deciding whether any exists fetches one row."""
+    (``operators.skew``); deciding whether any exists fetches one row, or
+    nothing where ``order_counts`` (a master's stored heavy keys) tells."""
     run_ts = run_ts or _dt.datetime.now()
     rel = related_per_order(returns, settlements, previous, order_col)
-    a = left_join_unique(orders, rel, KEY, hot_key_rows)
+    a = left_join_unique(orders, rel, KEY, hot_key_rows, counts=order_counts)
 
     has_r, has_s = F.col("r").isNotNull(), F.col("s").isNotNull()
     zero = F.lit(0).cast(S.MONEY)

@@ -64,13 +64,22 @@ def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
     return counted.unionByName(null_row)
 
 
+def hot_of_counts(df: DataFrame, key: str, counts: dict, min_rows: int) -> DataFrame | None:
+    """``hot_keys`` from stored row counts of heavy keys: no job, no scan. None
+    when no key is hot."""
+    hot = [(k, -(-n // min_rows)) for k, n in counts.items() if n >= min_rows]
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, {SALTS} int"
+    return df.sparkSession.createDataFrame(hot, schema) if hot else None
+
+
 def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "left",
                 min_rows: int | None = HOT_KEY_ROWS, null_safe: bool = False,
-                detect: bool = True) -> DataFrame:
+                detect: bool = True, counts: dict | None = None) -> DataFrame:
     """``big <how> JOIN small ON key`` where ``small`` has one row per key.
 
     ``how``: ``left``, ``left_semi`` or ``left_anti``. ``null_safe`` makes a
-    NULL key match a NULL key. ``min_rows=None`` turns salting off."""
+    NULL key match a NULL key. ``min_rows=None`` turns salting off. ``counts``:
+    rows of every key of ``big`` that may be hot, where these are stored."""
     sk = "_k"
     s = small.withColumnRenamed(key, sk)
 
@@ -81,7 +90,11 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "left",
     def finish(df: DataFrame) -> DataFrame:
         return df.drop(sk) if how == "left" else df
 
-    hot = hot_keys(big, key, min_rows) if min_rows else None
+    if counts is not None and min_rows:
+        hot = hot_of_counts(big, key, counts, min_rows)
+        detect = False
+    else:
+        hot = hot_keys(big, key, min_rows) if min_rows else None
     if hot is None or (detect and not hot.take(1)):
         return finish(big.join(s, match(), how))
     # the hot list is matched NULL-safely, so rows of a hot NULL key are
@@ -102,6 +115,6 @@ def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "left",
 
 
 def left_join_unique(big: DataFrame, small: DataFrame, key: str, min_rows: int | None = HOT_KEY_ROWS,
-                     detect: bool = True) -> DataFrame:
+                     detect: bool = True, counts: dict | None = None) -> DataFrame:
     """``big LEFT JOIN small USING key`` where ``small`` has one row per key."""
-    return join_unique(big, small, key, "left", min_rows, detect=detect)
+    return join_unique(big, small, key, "left", min_rows, detect=detect, counts=counts)

@@ -211,7 +211,8 @@ def analyse(spark: SparkSession, warehouse: str,
     settlements = _master(spark, warehouse, "settlement") or _typed_empty(spark, "settlement")
     prev_path = sinks.current_master(spark, warehouse, "analysis")
     previous = spark.read.parquet(prev_path) if prev_path else None
-    a = analyze(orders, returns, settlements, previous, run_ts, order_col=None)
+    counts = masters.heavy_orders(spark, sinks.current_master(spark, f"{warehouse}/masters", "orders"))
+    a = analyze(orders, returns, settlements, previous, run_ts, order_col=None, order_counts=counts)
     # a new folder per write (never the one read as the previous analysis)
     version = f"{warehouse}/analysis/v={time.time_ns():020d}"
     sinks.write_analysis(a, version)

@@ -893,6 +893,36 @@ def q_incremental_two_checkpoints(spark, sf):
     return present(_memo(spark, sf, "two_checkpoints", build))
 
 
+def _upserted(spark, sf):
+    """Two upserts into a master copied on write, and a snapshot between them."""
+    def build():
+        import uuid
+
+        from settlekit import masters as MS
+        from settlekit import sinks as SK
+        from settlekit.session import checkpoint_dir
+        root = f"{checkpoint_dir(spark).rstrip('/')}/upserted/{uuid.uuid4().hex}"
+        master, incoming = (_without_some_lines(df) for df in tv.merge_inputs(spark, sf))
+        MS.upsert(master, root, "lines", buckets=BATCH_BUCKETS)
+        taken = SK.snapshot_versions(spark, root, ["lines"], f"{root}/snapshots", tv.RUN_TS)
+        return MS.upsert(incoming, root, "lines"), taken
+    return _memo(spark, sf, "upserted", build)
+
+
+@register("master_upserts")
+def q_master_upserts(spark, sf):
+    """The master after a second batch rewrote the buckets it touched."""
+    from settlekit import sinks as SK
+    return present(SK.read_version(spark, _upserted(spark, sf)[0]).select(*MERGE_PAYLOAD))
+
+
+@register("snapshot_restore")
+def q_snapshot_restore(spark, sf):
+    """K6: the same master as of the snapshot between the two batches."""
+    from settlekit import sinks as SK
+    return present(SK.read_snapshot(spark, _upserted(spark, sf)[1], "lines").select(*MERGE_PAYLOAD))
+
+
 # --- the batch run (entry point of the reference's command line) ------------------------------------
 
 _BATCHES: dict = {}
@@ -903,12 +933,37 @@ BATCH_BUCKETS = 8   # masters bucketed by order key (the analysis join skips the
 def q_batch_run(spark, sf):
     """Landing extracts -> cleansing -> master upserts -> analysis -> report,
     all written to a fresh warehouse folder; returns the run summary."""
+    return _batch(spark, sf)[0].summary
+
+
+def _batch(spark, sf):
+    """(result, warehouse folder) of the session's batch run."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _BATCHES:
         p = EX.materialize(spark, sf)
-        _BATCHES[key] = BT.run_batch(spark, p["landing"], f"{p['root']}/warehouse", tv.RUN_TS,
-                                     buckets=BATCH_BUCKETS, size_partitions=True)
-    return _BATCHES[key].summary
+        warehouse = f"{p['root']}/warehouse"
+        _BATCHES[key] = BT.run_batch(spark, p["landing"], warehouse, tv.RUN_TS, buckets=BATCH_BUCKETS, size_partitions=True), warehouse
+    return _BATCHES[key]
+
+
+@register("sink_master")
+def q_sink_master(spark, sf):
+    """K1 read back: the orders master that the batch run wrote."""
+    orders = BT._master(spark, _batch(spark, sf)[1], "orders")
+    return present(orders.select(*[s.name for s in S.SPECS["orders"]]))
+
+
+@register("sink_anomalies")
+def q_sink_anomalies(spark, sf):
+    """K3 read back."""
+    return present(spark.read.parquet(_batch(spark, sf)[0].paths["anomalies"]))
+
+
+@register("sink_issues")
+def q_sink_issues(spark, sf):
+    """K5 read back: the JSON issues of the batch run, all entities."""
+    schema = "file_type string, severity string, row_index long, column string, message string, value string"
+    return spark.read.schema(schema).json(_batch(spark, sf)[0].paths["issues"]).withColumn("row_index", F.coalesce("row_index", F.lit(-1).cast("long")))
 
 
 @register("incremental_run")

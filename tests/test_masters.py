@@ -66,7 +66,7 @@ def test_an_order_with_a_third_of_the_rows_fills_no_bucket(spark, root, monkeypa
     assert sum(sizes) == 12000 and max(sizes) <= 2 * 12000 / 16
     assert [r.order_release_id for r in masters.salt_map(spark, version).collect()] == ["hot"]
     # the map is honoured: records of the order are found again where they are
-    batch = df.where("id % 300 = 0" if "id" in df.columns else "order_line_id % 300 = 0").withColumns({"v": F.lit(2), "upload_timestamp": F.lit(NEW)})
+    batch = df.where("order_line_id % 300 = 0").withColumns({"v": F.lit(2), "upload_timestamp": F.lit(NEW)})
     second = masters.upsert(batch, root, "orders")
     got = sinks.read_version(spark, second)
     assert got.count() == 12000 and got.where("v = 2").count() == 40
@@ -112,3 +112,29 @@ def test_retention_keeps_what_a_snapshot_names(spark, root):
 def test_a_replayed_batch_is_known(spark, root):
     masters.upsert(many(spark, 5), root, "orders", commit="c-1")
     assert sinks.committed(spark, root, "orders", "c-1") and not sinks.committed(spark, root, "orders", "c-2")
+
+
+def test_joins_read_stored_counts_of_heavy_orders(spark, root, monkeypatch):
+    from settlekit.operators.skew import SALT, hot_of_counts, join_unique
+    monkeypatch.setattr(masters, "LEAST_ROWS", 100)
+    monkeypatch.setattr(masters, "HEAVY_ROWS", 200)
+    order = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 10 == 1, F.lit("warm")).otherwise(F.concat(F.lit("o"), "id"))
+    df = spark.range(6000).select(order.alias("order_release_id"), F.col("id").cast("string").alias("order_line_id"), F.lit(1).alias("v"),
+                                  F.lit(OLD).alias("upload_timestamp"))
+    version = masters.upsert(df, root, "orders", buckets=8)
+    sc = spark.sparkContext
+    sc.setJobGroup("no-jobs", "stored counts")
+    counts = masters.heavy_orders(spark, version)
+    stored = sinks.read_version(spark, version)
+    small = spark.createDataFrame([("hot", 1), ("warm", 2)], "order_release_id string, w int")
+    joined = join_unique(stored, small, "order_release_id", min_rows=500, counts=counts)
+    assert len(sc.statusTracker().getJobIdsForGroup("no-jobs")) == 0
+    sc.setJobGroup("others", "")
+    assert counts == {"hot": 2000, "warm": df.where("order_release_id = 'warm'").count()}
+    assert SALT in joined._jdf.queryExecution().toString()
+    assert joined.where("w = 1").count() == 2000 and joined.count() == 6000
+    assert hot_of_counts(stored, "order_release_id", counts, 10_000) is None
+    # counts follow an upsert
+    more = df.where("order_release_id = 'hot'").limit(300).withColumn("order_line_id", F.concat(F.lit("n"), "order_line_id"))
+    assert masters.heavy_orders(spark, masters.upsert(more, root, "orders"))["hot"] == 2300
+    assert masters.heavy_orders(spark, None) is None
