@@ -1278,3 +1278,33 @@ ORACLE["sink_issues"] = q(" UNION ALL ".join([
     _line_issue("Skipping line: expected 11 fields, saw 12", _line, "is_long"),
     _line_issue("Short line: expected 11 fields, saw 7", _joined(_RAW_COLS[:7]), "is_split"),
     _line_issue("Short line: expected 11 fields, saw 5", "'tail' || chr(9) || " + _joined(_RAW_COLS[7:]), "is_split")]), SCAN_CTES)
+
+
+def _cell_issues(file_type: str, names: dict[str, str], src: str, key: str) -> str:
+    """Cells of present columns whose text can't be read as their type."""
+    out = []
+    for spec in _S.SPECS[file_type]:
+        if spec.name not in names or spec.kind == "string":
+            continue
+        raw = f'"{names[spec.name]}"'
+        v = f"(CASE WHEN {raw} NOT IN ({NA_LIST}) THEN {raw} END)"
+        if spec.kind == "date":
+            t = f"trim({v})"
+            wrong = f"{t} <> '' AND COALESCE({_time_only(t)}, {', '.join(_fmt(t, f) for f in PY_DEFAULT_FORMATS)}, {_generic(t)}) IS NULL"
+            instead = "the run time"
+        elif spec.kind == "boolean":
+            wrong, instead = f"trim({v}) <> '' AND lower(trim({v})) NOT IN ('true', '1', 'yes', 'y', 'false', '0', 'no', 'n')", "false"
+        else:
+            b = f"trim(regexp_replace({v}, '[₹,]', '', 'g'))"
+            x = f"(CASE WHEN ends_with({b}, '%') THEN TRY_CAST(regexp_replace({b}, '%$', '') AS DOUBLE) / 100 ELSE TRY_CAST({b} AS DOUBLE) END)"
+            wrong, instead = f"{b} <> '' AND {_to_kind(x, spec.kind)} IS NULL", "0"
+        out.append(f"SELECT '{file_type}' AS file_type, 'warning' AS severity, {key} AS at_row, '{spec.name}' AS \"column\", "
+                   f"'Invalid {spec.kind} value: read as {instead}' AS message, {v} AS value FROM {src} WHERE {wrong}")
+    return " UNION ALL ".join(out)
+
+
+ORACLE["cell_issues"] = q(_cell_issues("orders", SCANNED_NAMES, "scanned", '"order release id"'), SCAN_CTES)
+_CELL = 'SELECT file_type, severity, CAST(-2 AS BIGINT) AS row_index, "column", message, value FROM '
+ORACLE["sink_issues"] += " UNION ALL " + " UNION ALL ".join(
+    f"{_CELL} ({_cell_issues(t, n, src, 'NULL')})" for t, n, src in
+    (("orders", SCANNED_NAMES, "scanned"), ("returns", RET_NAMES, "raw_returns"), ("settlement", SET_NAMES, "raw_settlement")))

@@ -156,3 +156,14 @@ def parse_date_coerce(raw: Column) -> Column:
     """Generic parse, failure -> NULL."""
     v = F.trim(raw.cast("string"))
     return F.coalesce(v.try_cast("timestamp"), fallback(v))
+
+
+def unread_date(raw: Column, column: str, policy: str, run_ts: Column) -> Column:
+    """Is there a text that the policy's parse can't read as a date?"""
+    v = F.trim(raw.cast("string"))
+    if policy == "default":
+        never = F.lit(None).cast("timestamp")
+        parsed = F.coalesce(time_only(v, run_ts), parse_date_default(raw, column, never))
+    else:
+        parsed = parse_date_null(raw, run_ts) if policy == "null" else parse_date_coerce(raw)
+    return unread(raw, parsed)

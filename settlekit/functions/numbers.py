@@ -36,14 +36,29 @@ def to_kind(x: Column, kind: str) -> Column:
     return x.try_cast(MONEY)
 
 
+def _amount(s: Column) -> tuple[Column, Column]:
+    """(text without currency signs and grouping, its value); % divides by 100."""
+    v = F.trim(F.translate(s, MONEY_NOISE, ""))
+    pct = v.endswith("%")
+    return v, F.when(pct, (number(F.trim(v.substr(F.lit(1), F.length(v) - 1))) / 100).try_cast(EXACT)).otherwise(number(v))
+
+
+def unread_number(raw: Column, kind: str, policy: str) -> Column:
+    """Is there a text that the policy's parse can't read as this kind of number?"""
+    s = raw.cast("string")
+    if policy == "default":
+        v, x = _amount(s)
+        return F.coalesce((v != "") & to_kind(x, kind).isNull(), F.lit(False))
+    parsed = parse_number_null(raw, kind) if policy == "null" else parse_number_coerce(raw, kind)
+    return F.coalesce((F.trim(F.regexp_replace(s, r'^"+|"+$', "")) != "") & parsed.isNull(), F.lit(False))
+
+
 def parse_number_default(raw: Column, kind: str, min_value: float | None = None,
                          max_value: float | None = None) -> Column:
     """missing/'' -> 0; strip ₹ and ','; trailing % -> /100; clamp;
     failure -> 0."""
     s = raw.cast("string")
-    v = F.trim(F.translate(s, MONEY_NOISE, ""))
-    pct = v.endswith("%")
-    x = F.when(pct, (number(F.trim(v.substr(F.lit(1), F.length(v) - 1))) / 100).try_cast(EXACT)).otherwise(number(v))
+    v, x = _amount(s)
     if min_value is not None:
         x = F.greatest(x, F.lit(str(min_value)).cast(EXACT))
     if max_value is not None:

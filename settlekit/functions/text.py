@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # --- fixed values: accepted boolean spellings and code layouts ------------------
 TRUE_DEFAULT = ["true", "1", "yes", "y"]          # compared lower-cased
 TRUE_UTILS = ["TRUE", "1", "YES", "Y"]            # compared upper-cased
+FALSE_SPELLINGS = ["false", "0", "no", "n"]       # a no that is no mistake
 TRUE_REPAIR = ["TRUE", "True", "1"]               # exact
 GST_PATTERN = "^[0-9]{2}[A-Za-z0-9]{10}[0-9]{3}$"
 PIN_PATTERN = "^[0-9]{6}$"
@@ -29,6 +30,12 @@ def bool_repair(raw: Column) -> Column:
     return F.coalesce(raw.cast("string").isin(TRUE_REPAIR), F.lit(False))
 
 
+def unread_bool(raw: Column) -> Column:
+    """Is there a text that is neither a usual yes nor a usual no?"""
+    v = F.lower(F.trim(raw.cast("string")))
+    return F.coalesce((v != "") & ~v.isin([*TRUE_DEFAULT, *FALSE_SPELLINGS]), F.lit(False))
+
+
 def string_clean(raw: Column, max_length: int | None = None, pattern: str | None = None) -> Column:
     """Trim; truncate; a value not matching ``pattern`` at its start -> ''."""
     v = F.trim(raw.cast("string"))

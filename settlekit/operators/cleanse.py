@@ -28,7 +28,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,6 +178,55 @@ def summarize(cleaned: DataFrame, file_type: str,
     return issues, stats
 
 
+def replaced_cell(raw: Column, spec: S.ColumnSpec, policy: str, run_ts: Column) -> Column:
+    """(column, message, value) of a cell whose text can't be read as its type,
+    so that ``coerce`` puts something else in its place; else NULL."""
+    v = missing_as_null(raw)
+    if spec.kind == S.DATE:
+        wrong, instead = D.unread_date(v, spec.name, policy, run_ts), "the run time" if policy == "default" else "NULL"
+    elif spec.kind in (S.INTEGER, S.FLOAT):
+        wrong, instead = N.unread_number(v, spec.kind, policy), "0" if policy == "default" else "NULL"
+    elif spec.kind == S.BOOLEAN:
+        wrong, instead = X.unread_bool(v), "false"
+    else:
+        wrong, instead = F.lit(False), ""
+    return F.when(wrong, F.struct(F.lit(spec.name).alias("column"), F.lit(f"Invalid {spec.kind} value: read as {instead}").alias("message"),
+                                  v.alias("value")))
+
+
+def row_numbers(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``_source_file`` and ``_ord``) with ``row_index``, their
+    dense number from 0 within the file.
+
+    A split numbers its own rows; the rows of the splits before are added, from
+    counts of one row a split. No task sees more than one split's rows."""
+    split = [F.col("_source_file").alias("_f"), F.col("_ord.b").alias("_b"), F.shiftright(F.col("_ord.i"), 33).alias("_s")]
+    placed = rows.select("*", *split)
+    per_split = placed.groupBy("_f", "_b", "_s").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_f").orderBy("_b", "_s")) - F.col("_n")
+    offsets = per_split.select(F.col("_f").alias("_f2"), F.col("_b").alias("_b2"), F.col("_s").alias("_s2"), before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_f", "_b", "_s").orderBy("_ord.i")) - 1
+    joined = placed.withColumn("_own", own).join(offsets, F.col("_f").eqNullSafe(F.col("_f2")) & (F.col("_b") == F.col("_b2")) & (F.col("_s") == F.col("_s2")))
+    return joined.withColumn("row_index", (F.col("_own") + F.col("_before")).cast("long")).select(*rows.columns, "row_index")
+
+
+def cell_issues(rows: DataFrame, file_type: str, policy: str, run_ts: _dt.datetime, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every value that cleansing replaced, with its row in the file: the issue
+    columns, ``_source_file`` and the cleansed columns named in ``carry``.
+
+    ``rows`` are the rows of a scan. One narrow projection finds the issues of a
+    row as an array; only rows' places and arrays go on to be numbered."""
+    ts = D.ts_lit(run_ts)
+    df = rename_columns(rows, file_type)
+    specs = [s for s in S.SPECS[file_type] if s.name in df.columns]
+    found = F.array_compact(F.array(*[replaced_cell(_c(s.name), s, policy, ts) for s in specs]))
+    narrow = df.select("_source_file", "_ord", found.alias("_cells"), *[_c(c).cast("string").alias(c) for c in carry])
+    return (row_numbers(narrow).where(F.size("_cells") > 0)
+            .select("_source_file", F.lit(file_type).alias("file_type"), F.lit("warning").alias("severity"), "row_index",
+                    F.explode("_cells").alias("c"), *carry)
+            .select("file_type", "severity", "row_index", "c.column", "c.message", "c.value", "_source_file", *carry))
+
+
 def required_nulls(result: CleanResult) -> DataFrame:
     """The required-null messages of a cleansing run."""
     return result.issues.where(F.col("message").contains("null values but is required"))

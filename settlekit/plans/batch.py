@@ -93,6 +93,7 @@ def _stage(spark: SparkSession, staging: str, entity: str, group: int, header: t
      .drop("_source_file", "_extract", "_rank").write.parquet(clean_path))
     staged = spark.read.parquet(clean_path)
     issues, stats = CL.summarize(staged.drop("_ord"), entity, result.column_issues)
+    issues = issues.unionByName(CL.cell_issues(rows, entity, "default", run_ts).drop("_source_file"))
     for lines in (bad, CSV.short_lines(raw, names), CSV.stray_quotes(raw, names)):
         issues = issues.unionByName(lines.select(
             F.lit(entity).alias("file_type"), F.lit("warning").alias("severity"),

@@ -808,6 +808,18 @@ def q_load_stats(spark, sf):
     return CL.clean(rows, "orders", "default", tv.RUN_TS).stats
 
 
+@register("cell_issues")
+def q_cell_issues(spark, sf):
+    """Every value of the orders extract that cleansing replaced, by
+    order, with the number of its row in the file checked against the rows."""
+    rows, _ = _scan_orders(spark, sf)
+    found = CL.cell_issues(rows, "orders", "default", tv.RUN_TS, ("order_release_id",))
+    numbered = CL.row_numbers(CL.rename_columns(rows, "orders")).select(
+        F.col("_source_file").alias("f"), F.col("row_index").alias("i"), F.col("order_release_id").alias("at_row"))
+    joined = found.join(numbered, (F.col("_source_file") == F.col("f")) & (F.col("row_index") == F.col("i")))
+    return joined.select("file_type", "severity", "at_row", "column", "message", "value")
+
+
 def _file_names(spark, sf):
     """Names an upload could have, one per order: type, month, upper case,
     without a period, of an unknown type."""
@@ -961,9 +973,12 @@ def q_sink_anomalies(spark, sf):
 
 @register("sink_issues")
 def q_sink_issues(spark, sf):
-    """K5 read back: the JSON issues of the batch run, all entities."""
+    """K5 read back: the JSON issues of the batch run, all entities. Row numbers
+    of cells follow the files as Spark wrote them, so they stand as -2 here
+    (``cell_issues`` checks them), those of whole lines as -1."""
     schema = "file_type string, severity string, row_index long, column string, message string, value string"
-    return spark.read.schema(schema).json(_batch(spark, sf)[0].paths["issues"]).withColumn("row_index", F.coalesce("row_index", F.lit(-1).cast("long")))
+    return spark.read.schema(schema).json(_batch(spark, sf)[0].paths["issues"]).withColumn("row_index", F.when(
+        F.startswith("message", F.lit("Invalid ")), -2).otherwise(F.coalesce("row_index", F.lit(-1))).cast("long"))
 
 
 @register("incremental_run")
