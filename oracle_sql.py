@@ -1308,3 +1308,8 @@ _CELL = 'SELECT file_type, severity, CAST(-2 AS BIGINT) AS row_index, "column",
 ORACLE["sink_issues"] += " UNION ALL " + " UNION ALL ".join(
     f"{_CELL} ({_cell_issues(t, n, src, 'NULL')})" for t, n, src in
     (("orders", SCANNED_NAMES, "scanned"), ("returns", RET_NAMES, "raw_returns"), ("settlement", SET_NAMES, "raw_settlement")))
+
+# --- KPIs from partial aggregates: the same answers as from the analysis -------------------------------
+ORACLE["incremental_kpis"] = ORACLE["core_metrics"]
+ORACLE["incremental_months"] = q(f"SELECT settlement_month, count(*) AS orders, CAST({msum('profit_loss')} AS DOUBLE) AS profit_loss "
+                                 "FROM analysis GROUP BY settlement_month")

@@ -23,6 +23,7 @@ from settlekit.operators import anomaly as AN
 from settlekit.operators import cleanse as CL
 from settlekit.operators import merge as MG
 from settlekit.operators import metrics as M
+from settlekit.operators import partials as PA
 from settlekit.operators import quality as QA
 from settlekit.operators import track as T
 from settlekit.plans import batch as BT
@@ -172,6 +173,36 @@ def q_run_summary(spark, sf):
     return M.run_summary(_a(spark, sf))
 
 
+def _kpis(spark, sf):
+    """Partials of an analysis without its last two months, brought up to the
+    whole one by those two months alone."""
+    def build():
+        import uuid
+
+        from settlekit import sinks as SK
+        from settlekit.session import checkpoint_dir
+        root = f"{checkpoint_dir(spark).rstrip('/')}/kpis/{uuid.uuid4().hex}"
+        SK.write_analysis(_a(spark, sf), f"{root}/analysis")
+        whole = spark.read.parquet(f"{root}/analysis")
+        last = [r[0] for r in whole.select("settlement_month").distinct().orderBy(F.col("settlement_month").desc_nulls_last()).limit(2).collect()]
+        PA.refresh(whole.where(~F.col("settlement_month").isin(last) | F.col("settlement_month").isNull()), root)
+        return PA.refresh(whole, root, last)
+    return _memo(spark, sf, "kpis", build)
+
+
+@register("incremental_kpis")
+def q_incremental_kpis(spark, sf):
+    """A2 from partial aggregates after a batch of two months."""
+    return PA.summary_row(_kpis(spark, sf)).select("aov", "return_rate", "settlement_rate", "net_profit_loss", "commission_rate",
+                                                   "logistics_cost_ratio", "tax_rate")
+
+
+@register("incremental_months")
+def q_incremental_months(spark, sf):
+    """A4 / A5 by settlement month from the same partials."""
+    return PA.by_month(_kpis(spark, sf))
+
+
 @register("monthly_orders")
 def q_monthly_orders(spark, sf):
     return M.monthly_orders(_a(spark, sf))
