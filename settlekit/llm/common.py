@@ -32,12 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: A batch of rows handed to a Python worker holds about this many bytes, so ten
+#: thousand long texts never stand in a worker at once.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shipped(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this library. Where PYTHONPATH names its
     folder they can; else its modules are added to the session as a zip file,
-    which Spark hands to every executor."""
+    which Spark hands to every executor. Batches are bounded in bytes, unless
+    the session sets a bound of its own."""
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     sc = spark.sparkContext
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     root = os.path.dirname(package)

@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,10 @@ SPACE, OWN_SPACE = "▁", "\ud800"  # a lone surrogate stands for U+2581 in the
 FAR = -(1 << 60)  # in matrices: no path
 NEVER = float("-inf")
 BORDER = (mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(48)).astype(int).tolist()  # 16 bits by distance
-CHUNK, FAN_IN, CACHED = 32_768, 64, 250_000
+CHUNK, FAN_IN, CACHED = 32_768, 64, 100_000
+#: Bytes of texts (or ids) encoded or decoded at once, characters of new words
+#: segmented at once (about 200 bytes of lattice each).
+PART, TOGETHER = 1 << 20, 1 << 17
 
 
 def default_model() -> str:
@@ -120,6 +124,7 @@ class Vocabulary:
     def prepare(self) -> Vocabulary:
         if self._ready:
             return self
+        self.prepare_decoding()
         normal = {t: i for i, (t, _, kind) in enumerate(self.pieces) if kind == "normal"}
         self.byte_ids = {int(t[3:-1], 16): i for i, (t, _, kind) in enumerate(self.pieces) if kind == "byte"}
         # prohibitive scores (-1e9) still lose against any other way over one piece's length
@@ -140,11 +145,16 @@ class Vocabulary:
         self.spaced = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if plain else _ALL)
         # letters stay together, full stops and commas come off: quicker than the pattern
         self.by_letters = self.word.findall(f"{SPACE}ab.{SPACE}é,") == [f"{SPACE}ab", ".", f"{SPACE}é", ","] and self.word.findall("(ab") == ["(ab"]
-        self.bytes_of = [bytes([int(t[3:-1], 16)]) if kind == "byte" else t.replace(SPACE, " ").encode() if kind == "normal" else b"" for t, _, kind in self.pieces]
         self.cache = _Words(self._spelt)
         self._ready = True
         return self
 
+    def prepare_decoding(self) -> Vocabulary:
+        """The bytes of each piece: all that decoding needs."""
+        spell = lambda t, kind: bytes([int(t[3:-1], 16)]) if kind == "byte" else t.replace(SPACE, " ").encode() if kind == "normal" else b""
+        self.spelt = pa.array([spell(t, kind) for t, _, kind in self.pieces], pa.large_binary())
+        return self
+
     # one word or stretch of text -----------------------------------------
 
     def distances(self, x: str, back: int = 0) -> list[int]:
@@ -222,28 +232,43 @@ class Vocabulary:
         """Piece ids (int32) of a written text that starts and ends at piece borders."""
         return b"".join(map(self.cache.__getitem__, self.spaced.findall(x)))
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """``encode`` of a batch of written texts; their new words are segmented together."""
+    def encode_many(self, texts: list[str]) -> pa.ListArray:
+        """Piece ids of a batch of written texts: each distinct word is looked up
+        once, new ones are segmented together, and Arrow lays the ids out."""
         words = [self.spaced.findall(x) for x in texts]
+        ends = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        flat = list(chain.from_iterable(words))
+        del words
+        try:
+            coded = pa.array(flat, pa.string()).dictionary_encode()
+            distinct, codes = coded.dictionary.to_pylist(), coded.indices
+        except UnicodeEncodeError:   # a text holds U+2581 itself
+            seen: dict[str, int] = {}
+            codes = pa.array([seen.setdefault(w, len(seen)) for w in flat], pa.int32())
+            distinct = list(seen)
+        del flat
         cache, older = self.cache, self.cache.older
-        table, new = {}, []
-        for w in set().union(*words):
-            got = cache.get(w) or older.get(w)
-            if got is None:
-                new.append(w)
-            else:
-                table[w] = got
-        stretches = [self.stretches(w) for w in new]
+        table = [cache.get(w) for w in distinct]
+        if older:
+            table = [older.get(w) if got is None else got for w, got in zip(distinct, table)]
+        new = [i for i, got in enumerate(table) if got is None]
+        stretches = [self.stretches(distinct[i]) for i in new]
         known: dict[str, bytes] = {}
-        todo = list(set().union(*stretches))
-        for a in range(0, len(todo), 1 << 15):
-            part = todo[a:a + (1 << 15)]
+        part, size = [], 0
+        for x in set().union(*stretches):
+            part.append(x)
+            size += len(x)
+            if size >= TOGETHER:
+                known.update(zip(part, self.segment_many(part)))
+                part, size = [], 0
+        if part:
             known.update(zip(part, self.segment_many(part)))
-        fresh = {w: b"".join(map(known.__getitem__, s)) for w, s in zip(new, stretches)}
-        table.update(fresh)
+        for i, s in zip(new, stretches):
+            table[i] = known[s[0]] if len(s) == 1 else b"".join(map(known.__getitem__, s))
         cache.trim()
-        cache.update((w, got) for w, got in fresh.items() if len(w) <= 64)
-        return [b"".join(map(table.__getitem__, x)) for x in words]
+        cache.update((distinct[i], table[i]) for i in new if len(distinct[i]) <= 64)
+        laid = _lists(table).take(codes)
+        return pa.ListArray.from_arrays(laid.offsets.take(pa.array(ends)), laid.values)
 
     def _prepare_many(self) -> None:
         """The trie as a hash table of (node, character) -> node, for numpy."""
@@ -414,8 +439,20 @@ class Vocabulary:
         return out + self.ids_back(rest, came, 0, len(rest))
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids))
-        return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
+        return self.decode_many(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_many(self, lists: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids (null: null)."""
+        ids, null = lists.flatten(), lists.is_null().to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(np.where(null, 0, np.diff(lists.offsets.to_numpy())))))
+        laid = self.spelt.take(ids)   # their bytes stand in a row
+        at = np.frombuffer(laid.buffers()[1], np.int64)[ends].tolist() if len(ids) else [0] * len(ends)
+        data = memoryview(laid.buffers()[2] or b"")
+        out = []
+        for a, b, none in zip(at, at[1:], null.tolist()):
+            raw = bytes(data[a:b])
+            out.append(None if none else (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace"))
+        return out
 
 
 def write_out(text: str) -> str:
@@ -443,15 +480,30 @@ def _lists(ids: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
+def _parts(f: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes in one column."""
+    if not f.num_rows:
+        return
+    a = f.column(column)
+    if pa.types.is_list(a.type):
+        size = np.cumsum(np.diff(a.offsets.to_numpy()).astype(np.int64) * 4)
+    else:
+        width = np.int64 if pa.types.is_large_string(a.type) else np.int32
+        size = np.cumsum(np.diff(np.frombuffer(a.buffers()[1], width)[a.offset:a.offset + len(a) + 1]).astype(np.int64))
+    at = 0
+    while at < f.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield f.slice(at, end - at)
+        at = end
+
+
 def _encode_short(vocabulary):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value.prepare()
         for f in frames:
-            for at in range(0, f.num_rows, 1024):  # bounded output batches
-                part = f.slice(at, 1024)
-                written_texts = [SPACE + write_out(t) if t else "" for t in part.column("text").to_pylist()]
-                ids = v.encode_many(written_texts)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), part.column("n"), pa.array([1] * part.num_rows, pa.int64()), _lists(ids)],
+            for part in _parts(f, f.schema.get_field_index("text"), PART):
+                ids = v.encode_many([SPACE + write_out(t) if t else "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), part.column("n"), pa.array([1] * part.num_rows, pa.int64()), ids],
                                                  names=["doc_id", "text_sha256", "n_chars", "n_chunks", "ids"])
     return run
 
@@ -572,13 +624,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
 
 def _decode(vocabulary, at: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value.prepare()
+        v = vocabulary.value.prepare_decoding()
         for f in frames:
-            for a in range(0, f.num_rows, 1024):
-                part = f.slice(a, 1024)
-                lists = part.column(at)
-                texts = [None if ids is None else v.decode(ids) for ids in lists.to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns) if i != at] + [pa.array(texts, pa.string())],
+            for part in _parts(f, at, PART):
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns) if i != at] + [pa.array(v.decode_many(part.column(at)), pa.string())],
                                                  names=[n for i, n in enumerate(f.schema.names) if i != at] + ["decoded"])
     return run
 
