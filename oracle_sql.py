@@ -1313,3 +1313,13 @@ ORACLE["sink_issues"] += " UNION ALL " + " UNION ALL ".join(
 ORACLE["incremental_kpis"] = ORACLE["core_metrics"]
 ORACLE["incremental_months"] = q(f"SELECT settlement_month, count(*) AS orders, CAST({msum('profit_loss')} AS DOUBLE) AS profit_loss "
                                  "FROM analysis GROUP BY settlement_month")
+
+# --- free-form dates: the texts are written from a known instant, which the parse must give back ------
+_FREE_FORM = ["%a, %d %b %Y %H:%M:%S GMT", "%A, %B %-d, %Y %-I:%M:%S %p", "%-d %B %Y, %H:%M:%S", "%b %-d %Y %I:%M:%S.000 %p", "%Y %b %-d %H:%M:%SZ",
+              "%a %-d-%b-%Y %-H:%-M:%-S", "%B %-d, %Y %H:%M:%S +0000", "%m/%d/%Y %I:%M:%S %p"]
+ORACLE["date_grammar"] = (
+    f"WITH d AS (SELECT o_orderkey, o_orderkey % {len(_FREE_FORM) + 1} AS k, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey * 37 % 86400) AS x "
+    "FROM orders) SELECT CAST(o_orderkey AS VARCHAR) AS order_release_id, CASE k "
+    + " ".join(f"WHEN {i} THEN strftime(x, '{f}')" for i, f in enumerate(_FREE_FORM))
+    + f" ELSE 'week ' || o_orderkey END AS raw, {ts(f'CASE WHEN k = {len(_FREE_FORM)} THEN {RUN_TS} ELSE x END')} AS p5, "
+    + ", ".join(f"{ts(f'CASE WHEN k < {len(_FREE_FORM)} THEN x END')} AS {p}" for p in ("p6", "p7")) + " FROM d")

@@ -77,44 +77,80 @@ def _try_format(v: Column, fmt: str) -> Column:
     return t
 
 
-_NAME = "(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)"
-_YEAR = r"(\d{4}|\d{2})"
-# (shape, where year, month and day stand); with two numbers in front the month
-# comes first, and the day only if the first is over 12
-_SHAPES = [(r"^(\d{1,2})[-/.](\d{1,2})[-/.]" + _YEAR + "$", (3, 1, 2)), (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", (1, 2, 3)),
-           (r"^(\d{1,2})[-/. ]" + _NAME + "[-/., ]+" + _YEAR + "$", (3, 2, 1)), ("^" + _NAME + r" (\d{1,2}),? " + _YEAR + "$", (3, 1, 2)),
-           (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3))]
-
-
-_CLOCK = r" (\d{1,2}:\d{1,2}(?::\d{1,2})?)$"
-
-
-def _fields(text: Column) -> Column:
-    """[year, month, day, clock, 'swap' if the day may stand first] as texts."""
-    day = F.regexp_replace(text, _CLOCK, "")
-    found = F.lit(None).cast("array<string>")
-    for i, (shape, (y, m, d)) in reversed(list(enumerate(_SHAPES))):
-        fields = [F.regexp_extract(day, shape, n) for n in (y, m, d)]
-        found = F.when(day.rlike(shape), F.array(*fields, F.regexp_extract(text, _CLOCK, 1), F.lit("swap" if i == 0 else ""))).otherwise(found)
-    return found
-
-
-def _from_fields(x: Column) -> Column:
-    y, m, d, clock, swap = (F.get(x, i) for i in range(5))
-    named = ((F.instr(F.lit(MONTHS), F.lower(m)) + 2) / 3).cast("int")
-    month, number, year = F.coalesce(m.try_cast("int"), named), d.try_cast("int"), y.try_cast("int")
-    full = F.when(F.length(y) == 4, year).when(year >= 69, year + 1900).otherwise(year + 2000)
-    first = (swap == "swap") & (month > 12)
-    text = F.concat_ws("-", full.cast("string"), F.when(first, number).otherwise(month).cast("string"),
-                       F.when(first, month).otherwise(number).cast("string"))
-    return F.try_to_timestamp(F.when(clock == "", text).otherwise(F.concat_ws(" ", text, clock)), F.lit("yyyy-M-d[ H:m[:s]]"))
+# --- the grammar of free-form dates -------------------------------------------------
+# A text is a date with, at its end, an optional clock: h:m, seconds, a fraction,
+# am or pm, a zone. The date is what words and numbers are left without weekday
+# names and ordinal endings: three numbers, or a month's name with one or two.
+_MONTH_NAME = ("jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|"
+               "oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
+_WEEKDAY = r"\b(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\b[.,]?"
+_BARE_HOUR = r"(^|[ t,])(\d{1,2}) ?([ap]\.?m\.?)(?= |$|[z+-])"
+_CLOCK = (r"(?:^|[ t,]) ?(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:[.,](\d{1,9}))?)?"
+          r"(?: ?([ap])\.?m\.?)?(?: ?(z|utc|gmt|[+-]\d{2}:?\d{2}))?$")
+_DATE_TEXT = r"^[a-z0-9 ,./-]*$"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value bound once. Inlined, a table's date columns
+    would be too much code."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _split_clock(text: Column) -> Column:
+    """(date, clock fields, parts): ``parts`` are the words and numbers of the date."""
+    t = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _BARE_HOUR, "$1$2:00 $3")
+
+    def cut(t: Column) -> Column:
+        date = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _CLOCK, ""), _WEEKDAY, " "), r"(\d)(?:st|nd|rd|th)\b", "$1")
+        clock = F.array(*[F.regexp_extract(t, _CLOCK, i) for i in range(1, 7)])
+        return F.struct(date.alias("date"), clock.alias("clock"), F.regexp_extract_all(date, F.lit(r"([a-z]+|\d+)"), F.lit(1)).alias("parts"))
+    return _let(t, cut)
+
+
+def _year_month_day(names: Column, numbers: Column) -> Column:
+    """[year, month, day] as texts, by what kind of part stands where; with
+    three numbers the month comes first, the day if the first is over 12."""
+    n = lambda i: F.get(numbers, F.lit(i))
+    size = lambda i: F.length(n(i))
+    name = F.get(names, F.lit(0))
+    month = ((F.instr(F.lit(MONTHS), F.left(name, F.lit(3))) + 2) / 3).cast("int").cast("string")
+    count = F.size(numbers)
+    named = (F.when((count == 2) & (size(0) == 4) & (size(1) <= 2), F.array(n(0), month, n(1)))
+             .when((count == 2) & (size(0) <= 2) & size(1).isin(2, 4), F.array(n(1), month, n(0)))
+             .when((count == 1) & (size(0) == 4), F.array(n(0), month, F.lit("1"))))
+    day_first = n(0).cast("int") > 12
+    plain = (F.when((count == 3) & (size(0) == 4) & (size(1) <= 2) & (size(2) <= 2), F.array(n(0), n(1), n(2)))
+             .when((count == 3) & (size(0) <= 2) & (size(1) <= 2) & size(2).isin(2, 4),
+                   F.array(n(2), F.when(day_first, n(1)).otherwise(n(0)), F.when(day_first, n(0)).otherwise(n(1))))
+             .when((count == 1) & (size(0) == 8), F.array(n(0).substr(1, 4), n(0).substr(5, 2), n(0).substr(7, 2))))
+    return F.when(F.size(names) == 0, plain).when((F.size(names) == 1) & name.rlike(f"^(?:{_MONTH_NAME})$"), named)
+
+
+def _resolved(x: Column) -> Column:
+    """The instant that date and clock fields name; NULL where there is none."""
+    is_name = lambda p: p.rlike("^[a-z]")
+    ymd = F.when(x["date"].rlike(_DATE_TEXT), _year_month_day(F.filter(x["parts"], is_name), F.filter(x["parts"], lambda p: ~is_name(p))))
+    h, mi, s, fraction, half, zone = (F.get(x["clock"], F.lit(i)) for i in range(6))
+
+    def made(f: Column) -> Column:
+        y = F.get(f, F.lit(0))
+        number = y.cast("int")
+        year = F.when(F.length(y) == 4, number).when(number >= 69, number + 1900).otherwise(number + 2000)
+        hour = F.when(h == "", 0).when(half == "", h.cast("int")).when(
+            h.cast("int").between(1, 12), h.cast("int") % 12 + F.when(half == "p", 12).otherwise(0))
+        seconds = F.concat(F.when(s == "", "0").otherwise(s), F.lit("."), F.rpad(F.left(fraction, F.lit(6)), 6, "0")).cast("decimal(8,6)")
+        fields = [year, F.get(f, F.lit(1)).cast("int"), F.get(f, F.lit(2)).cast("int"), hour, F.when(mi == "", 0).otherwise(mi.cast("int")), seconds]
+        offset = F.when(zone.isin("z", "utc", "gmt"), F.lit("+00:00")).otherwise(F.concat(zone.substr(1, 3), F.lit(":"), F.right(zone, F.lit(2))))
+        # a leap second, or hour 24, names no instant
+        sound = (hour < 24) & (F.length(s) <= 2) & (seconds < 60)
+        return F.when(sound, F.when(zone == "", F.try_make_timestamp(*fields)).otherwise(F.try_make_timestamp(*fields, offset)))
+    return F.when(ymd.isNotNull(), _let(ymd, made))
 
 
 def fallback(v: Column) -> Column:
     """Generic parse of the spellings that no listed layout covers; NULL when
-    none fits (see ``unread`` for counting those). Lambdas bind the text and
-    its fields once; inlined, a table's date columns would be too much code."""
-    return F.get(F.transform(F.array(v), lambda t: F.get(F.transform(F.filter(F.array(_fields(t)), lambda f: f.isNotNull()), _from_fields), F.lit(0))), F.lit(0))
+    none fits (see ``unread`` for counting those)."""
+    return _let(_let(F.lower(F.trim(v)), _split_clock), _resolved)
 
 
 def unread(raw: Column, parsed: Column) -> Column:

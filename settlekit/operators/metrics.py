@@ -256,16 +256,22 @@ def filter_returned(a: DataFrame) -> DataFrame:
 
 def filter_domain(a: DataFrame) -> DataFrame:
     """Widget domains: date range, distinct statuses, distinct brands (tidy)."""
-    rng = a.agg(F.min("created_on").alias("lo"), F.max("created_on").alias("hi")).select(
-        F.explode(F.array(
-            F.struct(F.lit("min_date").alias("kind"), F.date_format("lo", "yyyy-MM-dd").alias("value")),
-            F.struct(F.lit("max_date").alias("kind"), F.date_format("hi", "yyyy-MM-dd").alias("value")),
-        )).alias("kv")).select("kv.*")
-    statuses = (a.where(F.col("status").isNotNull()).select(F.lit("status").alias("kind"),
-                                                            F.col("status").alias("value")).distinct())
-    brands = (a.where(F.col("brand").isNotNull()).select(F.lit("brand").alias("kind"),
-                                                         F.col("brand").alias("value")).distinct())
-    return rng.unionByName(statuses).unionByName(brands)
+    # one scan: rows are reduced to distinct (status, brand) with their range first
+    small = a.groupBy("status", "brand").agg(F.min("created_on").alias("lo"), F.max("created_on").alias("hi"))
+
+    def value(kind: str, c: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), c.alias("value"), F.col("lo").alias("lo"), F.col("hi").alias("hi"))
+
+    domains = (small.select(F.explode(F.array(value("status", F.col("status")), value("brand", F.col("brand")),
+                                              value("range", F.lit("")))).alias("x")).select("x.*")
+               .where(F.col("value").isNotNull()).groupBy("kind", "value").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    ends = F.array(*[F.struct(F.lit(kind).alias("kind"), F.date_format(c, "yyyy-MM-dd").alias("value")) for kind, c in (("min_date", "lo"), ("max_date", "hi"))])
+    itself = F.array(F.struct(F.col("kind"), F.col("value")))
+    found = domains.select(F.explode(F.when(F.col("kind") == "range", ends).otherwise(itself)).alias("kv")).select("kv.*")
+    # a table without rows still has its two (missing) dates
+    none = a.agg(F.count("*").alias("n")).where("n = 0").select(F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("value")) for kind in ("min_date", "max_date")])).alias("kv")).select("kv.*")
+    return found.unionByName(none)
 
 
 ORDER_DETAIL_COLUMNS = ["order_release_id", "brand", "status", "created_on", "profit_loss",

@@ -126,7 +126,8 @@ def _ingest_entity(spark: SparkSession, warehouse: str, staging: str, entity: st
             if len(group) == 1:
                 issues.append(_problem(spark, entity, group[0].name, error))
             else:
-                work += [(header, [e]) for e in group]
+                half = len(group) // 2   # so one bad file of n costs log n jobs, not n
+                work += [(header, group[:half]), (header, group[half:])]
         n += 1
     if cleaned:
         root = f"{warehouse}/masters"

@@ -494,6 +494,26 @@ def q_date_spellings(spark, sf):
                             null.alias("p6"), DT.parse_date_coerce(F.col("raw")).alias("p7"), DT.unread(F.col("raw"), null).alias("unread")))
 
 
+# --- fixed values: layouts of the free-form date query (the oracle writes the same texts) ----
+FREE_FORM = ["EEE, dd MMM yyyy HH:mm:ss 'GMT'", "EEEE, MMMM d, yyyy h:mm:ss a", "d MMMM yyyy, HH:mm:ss", "MMM d yyyy hh:mm:ss.000 a", "yyyy MMM d HH:mm:ss'Z'",
+             "EEE d-MMM-yyyy H:m:s", "MMMM d, yyyy HH:mm:ss '+0000'", "MM/dd/yyyy hh:mm:ss a"]
+# --- end fixed values ------------------------------------------------------------------------
+
+
+@register("date_grammar")
+def q_date_grammar(spark, sf):
+    """P5-P7 on free-form dates: weekdays, month names, halves of the day,
+    zones, fractions; every ninth text is no date."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    at = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") * 37 % 86400)
+    n, raw = len(FREE_FORM), F.concat(F.lit("week "), F.col("o_orderkey").cast("string"))
+    for i, layout in enumerate(FREE_FORM):
+        raw = F.when(F.col("o_orderkey") % (n + 1) == i, F.date_format(at, layout)).otherwise(raw)
+    texts = o.select(F.col("o_orderkey").cast("string").alias("order_release_id"), raw.alias("raw"))
+    return present(texts.select("order_release_id", "raw", DT.parse_date_default(F.col("raw"), "created_on", _run_ts()).alias("p5"),
+                                DT.parse_date_null(F.col("raw"), _run_ts()).alias("p6"), DT.parse_date_coerce(F.col("raw")).alias("p7")))
+
+
 @register("numeric_spellings")
 def q_numeric_spellings(spark, sf):
     """P7-P9 on texts that a plain cast would misread, and on long amounts."""
