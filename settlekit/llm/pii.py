@@ -44,6 +44,8 @@ PATTERNS = {
 }
 #: a text without a match of this has none of the kind
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
+#: matches placed together (see ``located``)
+RUN = 256
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 
 
@@ -84,7 +86,7 @@ def located(text: Column, pattern: str, left: int = 0) -> Column:
     gaps = F.split(text, pattern, -1)
     both = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
     kind = "struct<start:int,end:int,m:string" + (",before:string>" if left else ">")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    none = F.array().cast(f"array<{kind}>")
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["g"])
@@ -94,8 +96,21 @@ def located(text: Column, pattern: str, left: int = 0) -> Column:
             fields.append(F.right(x["g"], F.lit(left)).alias("before"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(*fields))).alias("out"))
 
+    # Growing an array copies it, so matches are placed in runs of RUN: a run's
+    # length moves the next one, and no array grows with the text but these.
+    def placed(real: Column) -> Column:
+        runs = F.when(F.size(real) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(real) - 1) / RUN).cast("int")),
+                                                    lambda i: F.slice(real, i * RUN + 1, RUN)))
+
+        def laid(parts: Column) -> Column:
+            length = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.char_length(x["g"]) + F.char_length(x["m"])))
+            starts = F.aggregate(length, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+            return F.flatten(F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda p, at: F.aggregate(
+                p, F.struct(at.alias("at"), none.alias("out")), add, lambda acc: acc["out"])))
+        return F.get(F.transform(F.array(runs), laid), F.lit(0))
+
     real = F.filter(both, lambda x: x["m"].isNotNull())
-    return F.aggregate(real, start, add, lambda acc: acc["out"])
+    return F.coalesce(F.get(F.transform(F.array(real), placed), F.lit(0)), none)
 
 
 def base_spans(text: Column) -> Column:

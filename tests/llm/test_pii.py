@@ -61,3 +61,19 @@ def test_empty_table_and_clashing_columns(spark):
     assert pii.find_pii(spark.createDataFrame([], DOCS)).count() == 0
     r = pii.find_pii(spark.createDataFrame([(1, "a@b.cd", "z", "q")], "doc_id long, text string, spans string, tokens string")).first()
     assert r.tokens == "q" and len(r.spans) == 1
+
+
+def test_a_long_text_with_many_matches_takes_linear_time(spark):
+    import re
+    import time
+    n = 100_000
+    text = " ".join(f"a {i}" if i % 50 else f"u{i}@ex.org 10.0.{i % 256}.1" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1).cache()
+    df.count()
+    began = time.time()
+    got = df.select(F.size(pii.located(F.col("text"), pii.TOKEN, 64)).alias("t"), pii.base_spans(F.col("text")).alias("b")).first()
+    assert time.time() - began < 60
+    assert got.t == n + n // 50
+    emails = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    ips = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)]
+    assert [(x["start"], x["end"]) for x in got.b if x["k"] == 0] == emails and [(x["start"], x["end"]) for x in got.b if x["k"] == 1] == ips
