@@ -44,10 +44,10 @@ SPACE, OWN_SPACE = "▁", "\ud800"  # a lone surrogate stands for U+2581 in the
 FAR = -(1 << 60)  # in matrices: no path
 NEVER = float("-inf")
 BORDER = (mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(48)).astype(int).tolist()  # 16 bits by distance
-CHUNK, FAN_IN, CACHED = 32_768, 64, 100_000
+CHUNK, FAN_IN, CACHED = 32_768, 64, 150_000
 #: Bytes of texts (or ids) encoded or decoded at once, characters of new words
 #: segmented at once (about 200 bytes of lattice each).
-PART, TOGETHER = 1 << 20, 1 << 17
+PART, TOGETHER = 1 << 21, 1 << 17
 
 
 def default_model() -> str:
@@ -241,7 +241,7 @@ class Vocabulary:
         del words
         try:
             coded = pa.array(flat, pa.string()).dictionary_encode()
-            distinct, codes = coded.dictionary.to_pylist(), coded.indices
+            distinct, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices
         except UnicodeEncodeError:   # a text holds U+2581 itself
             seen: dict[str, int] = {}
             codes = pa.array([seen.setdefault(w, len(seen)) for w in flat], pa.int32())
