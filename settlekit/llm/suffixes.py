@@ -4,12 +4,15 @@ Of every text the suffixes that start at minimisers are kept: of each ``w``
 neighbouring ``k``-word runs the one with the smallest hash (the first of
 equals). The choice depends on the words only, and w + k - 1 <= ``length``, so
 a passage of ``length`` words that two texts share has a kept suffix at the
-same place in both. Suffixes whose run occurs in one text only go at once. The
-others are sorted by run and following words, in ranges over all executors,
-and neighbours are compared: how far they agree to the right, and to the left
-of their start. A match of ``length`` words or more marks both. The same is
-done in the order of the preceding words, which brings those together that
-agree furthest to the left. Kept suffixes follow each other closely, so the
+same place in both. Suffixes whose run occurs in one text only go at once.
+Suffixes that agree in their run and in the ``length - k`` words on both sides
+of it have the same matches: they are one row from there on, with the first and
+the last of their texts. These rows are sorted by run and following words, in
+ranges over all executors, and neighbours are compared: how far they agree to
+the right, and to the left of their start. A match of ``length`` words or more
+marks both. The same is done in the order of the preceding words, which brings
+those together that agree furthest to the left. A row's matches then go back to
+all suffixes that it stands for. Kept suffixes follow each other closely, so the
 marks of a long passage join to all of it.
 
 Where a run is kept more than twice, a partner that agrees on both sides can
@@ -39,10 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from settlekit.llm.common import row_key, shipped, written
-from settlekit.llm.textvec import U, Words, batches, shingles
+from settlekit.llm.textvec import U, Words, batches, mix, shingles
 
 LENGTH, RUN = 50, 10
-HOT_RUNS = 1000
+HOT_RUNS, HOT_ROWS = 1000, 200
 
 
 def minimisers(words: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +62,27 @@ def minimisers(words: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarra
     return at, runs[at]
 
 
-def _kept(k: int, w: int):
+def _reach(length: int, k: int) -> int:
+    """How many words beyond its run a kept suffix is compared over, each way:
+    a passage of ``length`` words lies within them."""
+    return max(1, length - k)
+
+
+def _padded(words: np.ndarray, reach: int) -> np.ndarray:
+    """The words of a text with 0 beyond its ends."""
+    return np.concatenate((np.zeros(reach, words.dtype), np.maximum(words, 1), np.zeros(reach, words.dtype)))
+
+
+def surroundings(words: np.ndarray, at: np.ndarray, k: int, reach: int) -> np.ndarray:
+    """One hash of the words on both sides of each kept run."""
+    padded = _padded(words, reach)
+    steps = np.concatenate((np.arange(reach), np.arange(reach) + reach + k))
+    weights = mix(np.arange(1, 2 * reach + 1, dtype=U)) | U(1)
+    blocks = [mix((padded[at[a:a + 4096, None] + steps] * weights).sum(axis=1, dtype=U)) for a in range(0, len(at), 4096)]
+    return np.concatenate(blocks) if blocks else np.empty(0, U)
+
+
+def _kept(k: int, w: int, reach: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts, r1, r2 = f["text"].tolist(), f["r1"].to_numpy(), f["r2"].to_numpy()
@@ -67,26 +90,26 @@ def _kept(k: int, w: int):
                 words = Words(texts[a:b])
                 found = [minimisers(words.hash[words.offset[i]:words.offset[i + 1]], k, w) for i in range(b - a)]
                 n = [len(p) for p, _ in found]
-                yield pd.DataFrame({"run": np.concatenate([h for _, h in found]).view(np.int64), "r1": np.repeat(r1[a:b], n),
+                sides = [surroundings(words.hash[words.offset[i]:words.offset[i + 1]], p, k, reach) for i, (p, _) in enumerate(found)]
+                yield pd.DataFrame({"run": np.concatenate([h for _, h in found]).view(np.int64), "sides": np.concatenate(sides).view(np.int64), "r1": np.repeat(r1[a:b], n),
                                     "r2": np.repeat(r2[a:b], n), "place": np.concatenate([p for p, _ in found])})
     return run
 
 
-def _contexts(length: int):
-    """The words around each suffix, as 32-bit hashes: ``after`` from its start
-    on, ``before`` backwards from it; 0 beyond the text's ends."""
+def _contexts(k: int, reach: int):
+    """The words around runs, as 32-bit hashes: ``after`` from the run's end on,
+    ``before`` backwards from its start; 0 beyond the text's ends."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        steps = np.arange(length)
+        steps = np.arange(reach)
         for f in frames:
             for r in f.itertuples(index=False):
-                h = (Words([r.text]).hash >> np.uint64(32)).astype(np.uint32)
-                padded = np.concatenate((np.zeros(length, np.uint32), np.maximum(h, 1), np.zeros(length, np.uint32)))
+                padded = _padded((Words([r.text]).hash >> np.uint64(32)).astype(np.uint32), reach)
                 for a in range(0, len(r.places), 2048):
-                    at = np.asarray(r.places[a:a + 2048], np.int64) + length
-                    after, before = padded[at[:, None] + steps], padded[at[:, None] - 1 - steps]
+                    at = np.asarray(r.places[a:a + 2048], np.int64) + reach
                     # big-endian bytes sort like the words they stand for
-                    yield pd.DataFrame({"run": r.runs[a:a + 2048], "r1": r.r1, "r2": r.r2, "id": r.id, "place": at - length,
-                                        "after": [x.tobytes() for x in after.astype(">u4")], "before": [x.tobytes() for x in before.astype(">u4")]}).astype({"id": "Int64"})
+                    after, before = padded[at[:, None] + k + steps].astype(">u4"), padded[at[:, None] - 1 - steps].astype(">u4")
+                    yield pd.DataFrame({"run": r.runs[a:a + 2048], "sides": r.sides[a:a + 2048], "least": r.least, "most": r.most[a:a + 2048],
+                                        "after": [x.tobytes() for x in after], "before": [x.tobytes() for x in before]})
     return run
 
 
@@ -133,8 +156,8 @@ def _unsettled(length: int):
     return run
 
 
-_ROW = "run long, r1 long, r2 long, id long, place long, after binary, before binary"
-_MARK = "r1 long, r2 long, first long, last long, later boolean"
+_ROW = "run long, sides long, least long, most long, after binary, before binary"
+_MATCH = "run long, sides long, left int, right int, first long, last long"
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,53 +166,55 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
 
 
-def _matches(f: pd.DataFrame, i: np.ndarray, j: np.ndarray, length: int) -> pd.DataFrame:
-    """Marks of both sides of the compared rows i and j."""
-    use = (f["run"].to_numpy()[i] == f["run"].to_numpy()[j]) & (
-        (f["r1"].to_numpy()[i] != f["r1"].to_numpy()[j]) | (f["r2"].to_numpy()[i] != f["r2"].to_numpy()[j]))
+def _matches(f: pd.DataFrame, i: np.ndarray, j: np.ndarray, length: int, k: int) -> pd.DataFrame:
+    """Matches of the compared rows i and j, for both sides: how far they reach
+    and the first and last text on the other side."""
+    run, sides, least, most = (f[c].to_numpy(np.int64) for c in ("run", "sides", "least", "most"))
+    use = (run[i] == run[j]) & ((least[i] != most[i]) | (least[j] != most[j]) | (least[i] != least[j]))
     i, j = i[use], j[use]
     after, before = (np.frombuffer(b"".join(f[c]), ">u4").reshape(len(f), -1) for c in ("after", "before"))
-    right, left = agreement(after[i], after[j]), agreement(before[i], before[j])
+    right, left = k + agreement(after[i], after[j]), agreement(before[i], before[j])
     long = right + left >= length
     i, j, right, left = i[long], j[long], right[long], left[long]
-    ids = f["id"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-    # of equal ids the texts' hashes decide
-    order = list(zip(ids.tolist(), f["r1"].tolist(), f["r2"].tolist()))
-    later = np.array([order[a] > order[b] for a, b in zip(i, j)], bool)
-    place = f["place"].to_numpy()
-    return pd.concat([pd.DataFrame({"r1": f["r1"].to_numpy()[x], "r2": f["r2"].to_numpy()[x], "first": place[x] - left, "last": place[x] + right, "later": y})
-                      for x, y in ((i, later), (j, ~later))])
+    return pd.concat([pd.DataFrame({"run": run[x], "sides": sides[x], "left": left, "right": right, "first": least[y], "last": most[y]})
+                      for x, y in ((i, j), (j, i))]).drop_duplicates()
 
 
 def _leaders(f: pd.DataFrame) -> np.ndarray:
-    """For each row the row of the smallest id so far with the same run."""
+    """For each row the row of the smallest text so far with the same run."""
     n = len(f)
-    ids = f["id"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-    by_id = np.lexsort((np.arange(n), f["r2"].to_numpy(), f["r1"].to_numpy(), ids))
+    by_text = np.lexsort((np.arange(n), f["least"].to_numpy(np.int64)))
     rank = np.empty(n, np.int64)
-    rank[by_id] = np.arange(n)
-    run = f["run"].to_numpy()
+    rank[by_text] = np.arange(n)
+    run = f["run"].to_numpy(np.int64)
     stretch = np.cumsum(np.concatenate(([False], run[1:] != run[:-1]))) * n
-    return by_id[np.minimum.accumulate(rank - stretch) + stretch]
+    return by_text[np.minimum.accumulate(rank - stretch) + stretch]
+
 
+def _others(f: pd.DataFrame) -> np.ndarray:
+    """For each row the last one before it that is not of the same text alone."""
+    row = np.arange(len(f))
+    least = f["least"].to_numpy(np.int64)
+    alone = np.where(least == f["most"].to_numpy(np.int64), least, -1 - row)
+    change = np.concatenate(([False], alone[1:] != alone[:-1]))
+    return np.maximum.accumulate(np.where(change, row, 0)) - 1
 
-def _neighbours(f: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Marks from comparing each row with the last one before it of another
-    text, and with the smallest ids before and after it: these two let later
-    marks reach all rows but one, however the ids are mixed."""
+
+def _neighbours(f: pd.DataFrame, length: int, k: int) -> pd.DataFrame:
+    """Matches of each row with itself (where it stands for several texts), with
+    the last one before it of another text, and with the smallest texts before
+    and after it: these two let later marks reach all rows but one, however the
+    texts are mixed."""
     n = len(f)
-    r1, r2 = f["r1"].to_numpy(), f["r2"].to_numpy()
-    change = np.concatenate(([False], (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1])))
     row = np.arange(n)
-    other = np.maximum.accumulate(np.where(change, row, 0)) - 1
     back = n - 1 - _leaders(f[::-1])[::-1]
-    i, j = np.concatenate((row, row, row)), np.concatenate((other, _leaders(f), back))
-    some = (j >= 0) & (i != j)
+    i, j = np.concatenate((row, row, row, row)), np.concatenate((row, _others(f), _leaders(f), back))
+    some = j >= 0
     pairs = np.unique(np.stack((i[some], j[some]), axis=1), axis=0)
-    return _matches(f, pairs[:, 0], pairs[:, 1], length)
+    return _matches(f, pairs[:, 0], pairs[:, 1], length, k)
 
 
-def _sorted_matches(length: int):
+def _sorted_matches(length: int, k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail, first = None, True
         for f in frames:
@@ -199,7 +224,7 @@ def _sorted_matches(length: int):
                 yield f.head(1).assign(kind=1)
                 first = False
             f = f if tail is None else pd.concat([tail, f], ignore_index=True)
-            yield _neighbours(f, length).assign(kind=0)
+            yield _neighbours(f, length, k).assign(kind=0)
             tail = _tail(f)
         if tail is not None:
             yield tail.assign(kind=2)
@@ -207,36 +232,61 @@ def _sorted_matches(length: int):
 
 
 def _tail(f: pd.DataFrame) -> pd.DataFrame:
-    """The last row, the last one of another text, and the smallest id of its run."""
-    last = f.iloc[-1]
-    other = np.flatnonzero(((f["r1"] != last["r1"]) | (f["r2"] != last["r2"])).to_numpy())[-1:].tolist()
-    return f.iloc[sorted({*other, int(_leaders(f)[-1]), len(f) - 1})].reset_index(drop=True)
+    """The last row, the last one of another text, and the smallest text of its run."""
+    return f.iloc[sorted({max(int(_others(f)[-1]), 0), int(_leaders(f)[-1]), len(f) - 1})].reset_index(drop=True)
 
 
-def _neighbour_marks(suffixes: DataFrame, by: list[str], length: int) -> DataFrame:
-    """Marks from comparing neighbours in one order over all suffixes."""
-    n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = suffixes.repartitionByRange(n, *by).sortWithinPartitions(*by, "id", "r1", "r2", "place")
+def _neighbour_matches(rows: DataFrame, by: list[str], length: int, k: int) -> DataFrame:
+    """Matches from comparing neighbours in one order over all rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["run", "r1", "r2", "id", "place", "after", "before", "first", "last", "later", "kind"]
-        for f in _sorted_matches(length)(frames):
-            yield f.reindex(columns=names).astype({"run": "Int64", "id": "Int64", "place": "Int64", "first": "Int64", "last": "Int64", "later": "boolean"})
+        names = ["run", "sides", "least", "most", "after", "before", "left", "right", "first", "last", "kind"]
+        for f in _sorted_matches(length, k)(frames):
+            yield f.reindex(columns=names).astype(dict.fromkeys(("least", "most", "left", "right", "first", "last"), "Int64"))
 
-    out = written(ranged.mapInPandas(run, f"{_ROW}, first long, last long, later boolean, kind int"), "suffix-marks")
+    out = written(ranged.mapInPandas(run, f"{_ROW}, left int, right int, first long, last long, kind int"), "suffix-matches")
     # four rows at most of each range meet in one small frame
-    edges = out.where("kind > 0").select("run", "r1", "r2", "id", "place", "after", "before", "kind")
+    edges = out.where("kind > 0").select("run", "sides", "least", "most", "after", "before")
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
-        if not parts:
-            return
-        f = pd.concat(parts, ignore_index=True)
-        order = f.assign(id=f["id"].astype("Int64").fillna(np.iinfo(np.int64).min)).sort_values([*by, "id", "r1", "r2", "place"], kind="stable").index
-        yield _neighbours(f.loc[order].drop(columns="kind").drop_duplicates(ignore_index=True), length)
+        if parts:
+            yield _neighbours(pd.concat(parts).drop_duplicates().sort_values(by, ignore_index=True), length, k)
+
+    joined = edges.repartition(1).mapInPandas(meet, _MATCH)
+    return out.where("kind = 0").select("run", "sides", "left", "right", "first", "last").unionByName(joined)
+
+
+def _marks(suffixes: DataFrame, groups: DataFrame, matches: DataFrame) -> DataFrame:
+    """For each text its marks, from the matches of the rows that stand for its
+    suffixes. All matches of a suffix hold its run, so those that count (later
+    ones apart) make one mark together."""
+    # at most one entry for each pair of reaches, however many rows one was compared with
+    found = (matches.groupBy("run", "sides", "left", "right").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+             .groupBy("run", "sides").agg(F.collect_list(F.struct("left", "right", "first", "last")).alias("found")))
+    found = written(found, "suffix-found-by-row")
+    # rows that stand for a share of 1 / HOT_ROWS or more of the suffixes (HOT_ROWS at most) are looked up where the suffixes are
+    share = (groups.agg(F.sum("n")).first()[0] or 0) / HOT_ROWS
+    key = ["run", "sides"]
+    top = F.broadcast(groups.where(F.col("n") >= share).select(*key))
+    both = suffixes.join(F.broadcast(found.join(top, key)), key).unionByName(
+        suffixes.join(top, key, "left_anti").join(found.join(top, key, "left_anti"), key))
+    others = F.filter("found", lambda x: (x["first"] != F.col("ord")) | (x["last"] != F.col("ord")))
+    both = both.withColumn("others", others).where(F.size("others") > 0)
+    both = both.withColumn("before", F.filter("others", lambda x: x["first"] < F.col("ord")))
+
+    def mark(c: str, later: bool):
+        return F.when(F.size(c) > 0, packed(F.col("place") - F.array_max(F.col(c)["left"]), F.col("place") + F.array_max(F.col(c)["right"]), F.lit(later)))
+
+    return both.select("r1", "r2", F.explode(F.array_compact(F.array(mark("others", False), mark("before", True)))).alias("mark")).groupBy("r1", "r2").agg(
+        F.collect_set("mark").alias("marks"))
+
 
-    joined = edges.repartition(1).mapInPandas(meet, _MARK)
-    return out.where("kind = 0").select("r1", "r2", "first", "last", "later").unionByName(joined)
+def packed(first, last, later):
+    """A mark as one number (32 bits first, 31 last, 1 later): many of them stay small in a task."""
+    return F.shiftleft(first.cast("long"), 32).bitwiseOR(F.shiftleft(last.cast("long"), 1)).bitwiseOR(later.cast("long"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -290,7 +340,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     nodes = nodes.repartitionByRange("id", "r1", "r2").sortWithinPartitions("id", "r1", "r2").withColumn("ord", F.monotonically_increasing_id())
     nodes = written(nodes, "suffix-nodes")
 
-    kept = written(given.select("text", "r1", "r2").mapInPandas(_kept(k, w), "run long, r1 long, r2 long, place long"), "suffix-kept")
+    reach = _reach(length, k)
+    kept = written(given.select("text", "r1", "r2").mapInPandas(_kept(k, w, reach), "run long, sides long, r1 long, r2 long, place long"), "suffix-kept")
     shared = written(kept.groupBy("run").agg(F.min("r1").alias("a"), F.max("r1").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("run", "n"), "suffix-runs")
     # very frequent runs are looked up where the rows are: with a share of 1 / HOT_RUNS
     # or more of all rows there are HOT_RUNS of them at most
@@ -300,18 +351,24 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     cold = shared.where(F.col("n") < share).select("run", often)
     repeated = kept.join(hot, "run").unionByName(kept.join(hot, "run", "left_anti").join(cold, "run"))
     places = (repeated.distinct().groupBy("r1", "r2")
-              .agg(F.collect_list(F.struct("place", "run", "often")).alias("x"))
-              .select("r1", "r2", F.col("x.place").alias("places"), F.col("x.run").alias("runs"), F.col("x.often").alias("often")))
+              .agg(F.collect_list(F.struct("place", "run", "sides", "often")).alias("x"))
+              .select("r1", "r2", F.col("x.place").alias("places"), F.col("x.run").alias("runs"), F.col("x.sides").alias("sides"), F.col("x.often").alias("often")))
     wanted = written(nodes.join(places, ["r1", "r2"], "left").where("copies > 1 or places is not null"), "suffix-places")
     texts = given.join(wanted.select("r1", "r2"), ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.first("text").alias("text"))
     texts = written(texts, "suffix-texts")
 
-    around = (wanted.where("places is not null").join(texts, ["r1", "r2"]).select("r1", "r2", "id", "text", "places", "runs").mapInPandas(_contexts(length), _ROW))
+    each = F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("runs").alias("run"), F.col("sides").alias("side")))
+    suffixes = wanted.where("places is not null").select("r1", "r2", "ord", each.alias("s")).select("r1", "r2", "ord", "s.place", "s.run", F.col("s.side").alias("sides"))
+    groups = written(suffixes.groupBy("run", "sides").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.min_by("place", "ord").alias("place"),
+                                                          F.count(F.lit(1)).alias("n")), "suffix-groups")
+    # the words of a row are taken from the first of its texts
+    shown = (groups.groupBy(F.col("least").alias("ord")).agg(F.collect_list(F.struct("place", "run", "sides", "most")).alias("x"))
+             .select("ord", F.col("x.place").alias("places"), F.col("x.run").alias("runs"), F.col("x.sides").alias("sides"), F.col("x.most").alias("most")))
+    around = (wanted.select("r1", "r2", "ord").join(shown, "ord").join(texts, ["r1", "r2"])
+              .select(F.col("ord").alias("least"), "text", "places", "runs", "sides", "most").mapInPandas(_contexts(k, reach), _ROW))
     around = written(around, "suffix-contexts")
-    marks = _neighbour_marks(around, ["run", "after", "before"], length).unionByName(_neighbour_marks(around, ["run", "before", "after"], length))
-    # a mark as one number (32 bits first, 31 last, 1 later): many of them stay small in a task
-    packed = F.shiftleft("first", 32).bitwiseOR(F.shiftleft("last", 1)).bitwiseOR(F.col("later").cast("long"))
-    by_text = written(marks.groupBy("r1", "r2").agg(F.collect_set(packed).alias("marks")), "suffix-marked")
+    matches = _neighbour_matches(around, ["run", "after", "before"], length, k).unionByName(_neighbour_matches(around, ["run", "before", "after"], length, k))
+    by_text = written(_marks(suffixes, groups, matches), "suffix-marked")
 
     windows = (wanted.where(F.exists("often", lambda x: x)).join(texts, ["r1", "r2"]).select("r1", "r2", "ord", "text", "places", "runs", "often")
                .mapInPandas(_windows(length, k), "r1 long, r2 long, ord long, keys array<long>, firsts array<long>"))
@@ -321,7 +378,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     open_windows = windows.join(by_text, ["r1", "r2"], "left").select("r1", "r2", "ord", "keys", "firsts", "marks").mapInPandas(
         _unsettled(length), "r1 long, r2 long, ord long, key long, first long")
     more = (open_windows.join(held, "key").select("r1", "r2", "first", (F.col("first") + length).alias("last"), (F.col("ord") > F.col("least")).alias("later"))
-            .groupBy("r1", "r2").agg(F.collect_set(packed).alias("marks")))
+            .groupBy("r1", "r2").agg(F.collect_set(packed(F.col("first"), F.col("last"), F.col("later"))).alias("marks")))
     by_text = by_text.unionByName(more).groupBy("r1", "r2").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     info = wanted.select("r1", "r2", "copies").join(texts, ["r1", "r2"]).join(by_text, ["r1", "r2"], "left")
     found = written(info.where("copies > 1 or marks is not null").select("r1", "r2", "copies", "text", "marks").mapInPandas(
