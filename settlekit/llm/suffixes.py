@@ -96,21 +96,41 @@ def _kept(k: int, w: int, reach: int):
     return run
 
 
+def _gathered(parts: Iterator[tuple], names: list[str], limit: int) -> Iterator[pd.DataFrame]:
+    """Frames of about ``limit`` values from the columns of many texts, each given
+    as (number of values, column, ...): a frame for each text costs more than its rows."""
+    held, size = [], 0
+    for n, *columns in parts:
+        held.append(columns)
+        size += n
+        if size >= limit:
+            yield pd.DataFrame(dict(zip(names, map(_joined, zip(*held)))))
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(dict(zip(names, map(_joined, zip(*held)))))
+
+
+def _joined(columns: tuple) -> np.ndarray | list:
+    return [x for c in columns for x in c] if isinstance(columns[0], list) else np.concatenate(columns)
+
+
 def _contexts(k: int, reach: int):
     """The words around runs, as 32-bit hashes: ``after`` from the run's end on,
     ``before`` backwards from its start; 0 beyond the text's ends."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        steps = np.arange(reach)
+    steps = np.arange(reach)
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for f in frames:
-            for r in f.itertuples(index=False):
-                padded = _padded((Words([r.text]).hash >> np.uint64(32)).astype(np.uint32), reach)
-                for a in range(0, len(r.places), 2048):
-                    at = np.asarray(r.places[a:a + 2048], np.int64) + reach
+            for text, places, runs, sides, least, most in zip(*(f[c] for c in ("text", "places", "runs", "sides", "least", "most"))):
+                padded = _padded((Words([text]).hash >> np.uint64(32)).astype(np.uint32), reach)
+                for a in range(0, len(places), 2048):
+                    at = np.asarray(places[a:a + 2048], np.int64) + reach
                     # big-endian bytes sort like the words they stand for
-                    after, before = padded[at[:, None] + k + steps].astype(">u4"), padded[at[:, None] - 1 - steps].astype(">u4")
-                    yield pd.DataFrame({"run": r.runs[a:a + 2048], "sides": r.sides[a:a + 2048], "least": r.least, "most": r.most[a:a + 2048],
-                                        "after": [x.tobytes() for x in after], "before": [x.tobytes() for x in before]})
-    return run
+                    around = [np.ascontiguousarray(padded[x].astype(">u4")).view(f"V{4 * reach}").ravel().tolist()
+                              for x in (at[:, None] + k + steps, at[:, None] - 1 - steps)]
+                    yield len(at), runs[a:a + 2048], sides[a:a + 2048], np.full(len(at), least), most[a:a + 2048], *around
+
+    return lambda frames: _gathered(parts(frames), ["run", "sides", "least", "most", "after", "before"], 4096)
 
 
 def _windows(length: int, k: int):
@@ -118,7 +138,7 @@ def _windows(length: int, k: int):
     lists of hashes and first words."""
     w = length - k + 1
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for f in frames:
             for r in f.itertuples(index=False):
                 words = Words([r.text]).hash
@@ -133,13 +153,14 @@ def _windows(length: int, k: int):
                     chosen = np.lib.stride_tricks.sliding_window_view(block, w).argmin(axis=1) + np.arange(a, a + len(block) - w + 1)
                     first = np.flatnonzero(often[chosen]) + a
                     if len(first):
-                        yield pd.DataFrame({"r1": [r.r1], "r2": [r.r2], "ord": [r.ord], "keys": [hashes[first].view(np.int64)], "firsts": [first]})
-    return run
+                        yield len(first), [r.r1], [r.r2], [r.ord], [hashes[first].view(np.int64)], [first]
+
+    return lambda frames: _gathered(parts(frames), ["r1", "r2", "ord", "keys", "firsts"], 1 << 16)
 
 
 def _unsettled(length: int):
     """The windows that do not lie inside of the text's later marks."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for f in frames:
             for r in f.itertuples(index=False):
                 keys, first = np.asarray(r.keys, np.int64), np.asarray(r.firsts, np.int64)
@@ -151,9 +172,10 @@ def _unsettled(length: int):
                     i = np.searchsorted(begin, first, side="right") - 1
                     left = (i < 0) | (end[i] < first + length)
                     keys, first = keys[left], first[left]
-                if len(first):
-                    yield pd.DataFrame({"r1": r.r1, "r2": r.r2, "ord": r.ord, "key": keys, "first": first})
-    return run
+                if n := len(first):
+                    yield n, np.full(n, r.r1), np.full(n, r.r2), np.full(n, r.ord), keys, first
+
+    return lambda frames: _gathered(parts(frames), ["r1", "r2", "ord", "key", "first"], 1 << 15)
 
 
 _ROW = "run long, sides long, least long, most long, after binary, before binary"
@@ -313,7 +335,7 @@ def _digest(length: int):
             out = []
             for r in f.itertuples(index=False):
                 text = r.text
-                w = Words([text])
+                w = Words([text], hashed=False)
                 places = np.concatenate(([0], np.cumsum((w.data & 0xC0) != 0x80)))  # code points before each byte
                 marks = np.zeros(0, np.int64) if r.marks is None else np.asarray(r.marks, np.int64)
                 ends = lambda m: list(zip((m >> 32).tolist(), ((m & 0xFFFFFFFF) >> 1).tolist()))

@@ -71,9 +71,9 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool
 class Words:
     """The words of a batch of texts: ``hash``, byte places ``start``/``end`` in
     the joined bytes ``data``, and ``offset`` (first word of each text, and the
-    number of words at last)."""
+    number of words at last). ``hash`` is left out where not asked for."""
 
-    def __init__(self, texts, fold: bool = True):
+    def __init__(self, texts, fold: bool = True, hashed: bool = True):
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         joined = b"\n".join(parts) + b"\n"
         self.data = np.frombuffer(joined, np.uint8)
@@ -84,7 +84,7 @@ class Words:
         if len(space) and not space[0]:
             edge = np.concatenate(([0], edge))
         self.start, self.end = edge[0::2], edge[1::2]
-        self.hash = span_hashes(self.data, self.start, self.end, fold)
+        self.hash = span_hashes(self.data, self.start, self.end, fold) if hashed else None
         self.offset = np.searchsorted(self.start, self.byte0)
         self.n = np.diff(self.offset)
 
