@@ -5,10 +5,12 @@ elastic net) and calibrated by a temperature.
 Features are the 1- to 3-grams of the lower-cased text, white space runs as one
 space, hashed into ``2 ** BITS`` bins; a bin weighs (1 + ln count) * idf, the
 vector has length 1. Document frequencies cover all learning documents. The
-classifier is fitted on a bounded sample of them: at most ``per_language``
-documents of each of the ``languages`` most frequent languages, drawn by hash;
-every tenth of the sample sets the temperature instead. The fit runs in one
-task, whose input that bound limits.
+classifier is fitted on a bounded sample of them, drawn by the hash of text and
+language: at most ``per_language`` different texts of each language, and fewer
+of each where the languages are so many that it would be over ``sample`` texts
+(one of each language at least); no language is left out. Every tenth text of
+a language sets the temperature instead. The fit runs in one task, whose input that
+bound limits; its weights take 2 ** BITS numbers a language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 and so is every text when there is nothing to learn from; ties between
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from settlekit.llm.common import fresh_columns, plain_columns, row_key, shipped, written
+from settlekit.llm.common import fresh_columns, row_key, shipped, written
 
 BITS = 15
 BLOCK = 1 << 20
@@ -138,40 +140,44 @@ def _fit(idf: np.ndarray, labels: list[str], seed: int = 7):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["draw", "text"])  # one order, however the rows came
         samples = [(labels.index(lang), *features(t, idf)) for lang, t in zip(rows["lang"], rows["text"])]
-        held = samples[::10] if len(samples) >= 50 else samples
-        learn = [s for i, s in enumerate(samples) if i % 10] if len(samples) >= 50 else samples
+        nth = rows.groupby("lang").cumcount().to_numpy() % 10
+        held = [s for s, i in zip(samples, nth) if i == 9] or samples
+        learn = [s for s, i in zip(samples, nth) if i < 9]
         np.random.default_rng(seed).shuffle(learn)
         w, bias = ftrl(learn, len(labels))
         logits = np.array([x @ w[bins] + bias for _, bins, x in held])
         t = calibrate(logits, np.array([y for y, _, _ in held]))
-        yield pd.DataFrame({"label": range(len(labels)), "bias": bias, "temperature": t, "weights": list(w.T)})
+        bins = [np.flatnonzero(x) for x in w.T]
+        yield pd.DataFrame({"label": range(len(labels)), "bias": bias, "temperature": t, "bins": bins, "weights": [x[b] for x, b in zip(w.T, bins)]})
     return run
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1500, languages: int = 200) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 1500, sample: int = 300_000) -> Model:
     """A model from the rows of ``docs`` with a language and a letter in the text."""
     shipped(docs.sparkSession)
-    # drawn by the whole row, so that copies of a text are drawn one by one
-    draw = F.pmod(row_key(*plain_columns(docs))[0], F.lit(1 << 40))
-    known = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), draw.alias("draw")).where(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where(
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("draw", F.pmod(row_key(F.col("text"), F.col("lang"))[0], F.lit(1 << 40)))
     stats = known.select("text").mapInPandas(_frequencies, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # 2^BITS rows at most
     total = int(stats.loc[stats["bin"] < 0, "n"].sum())
     df = np.zeros(1 << BITS)
     df[stats.loc[stats["bin"] >= 0, "bin"]] = stats.loc[stats["bin"] >= 0, "n"]
     idf = np.log((1 + total) / (1 + df)) + 1
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "lang").limit(languages)
-    labels = sorted(r["lang"] for r in sizes.collect())
+    # different texts by language; copies of a text have one draw
+    sizes = written(known.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("size")), "langid-sizes")
+    labels = sorted(r["lang"] for r in sizes.select("lang").collect())
     if not labels:
         return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
+    most = max(1, min(per_language, sample // len(labels)))
     # a share of each language by hash, somewhat too many, then exactly the bound
-    drawn = (known.join(F.broadcast(sizes), "lang")
-             .where(F.col("draw") < F.lit(1.5 * per_language * (1 << 40)) / F.col("size")))
+    drawn = (known.join(F.broadcast(sizes), "lang").where(F.col("draw") < F.lit((1.5 * most + 10) * (1 << 40)) / F.col("size"))
+             .groupBy("lang", "draw").agg(F.min("text").alias("text")))
     order = Window.partitionBy("lang").orderBy("draw", "text")
-    sample = drawn.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_language).select("lang", "text", "draw")
-    fitted = written(sample.repartition(1).mapInPandas(_fit(idf, labels), "label int, bias double, temperature double, weights array<double>"), "langid-fit")
-    rows = sorted(fitted.collect(), key=lambda r: r["label"])  # labels x 2^BITS numbers
-    return Model(labels, idf, np.array([r["weights"] for r in rows]).T, np.array([r["bias"] for r in rows]), rows[0]["temperature"])
+    chosen = drawn.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).select("lang", "text", "draw")
+    fitted = written(chosen.repartition(1).mapInPandas(_fit(idf, labels), "label int, bias double, temperature double, bins array<int>, weights array<double>"), "langid-fit")
+    weights, bias, temperature = np.zeros((1 << BITS, len(labels))), np.zeros(len(labels)), 1.0
+    for r in fitted.toLocalIterator():  # a row for each label, its weights that are not 0
+        weights[r["bins"], r["label"]], bias[r["label"]], temperature = r["weights"], r["bias"], r["temperature"]
+    return Model(labels, idf, weights, bias, temperature)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

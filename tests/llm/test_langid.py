@@ -58,3 +58,11 @@ def test_temperature_finds_the_scale():
     p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
     y = np.array([rng.choice(3, p=q) for q in p])
     assert abs(langid.calibrate(logits * 4, y) - 4) < 0.6
+
+
+def test_no_language_is_left_out(spark):
+    # more languages than the sample has room for at per_language texts each; copies are drawn once
+    rows = [(i, f"{chr(97 + n // 26) * 3}{chr(97 + n % 26) * 4} " * 6 + str(i % 3), f"l{n:03}") for n in range(230) for i in range(n * 4, n * 4 + 4)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=400)
+    assert model.labels == [f"l{n:03}" for n in range(230)]
+    assert sum(model.predict(t)[0] == lang for _, t, lang in rows) >= 0.9 * len(rows)
