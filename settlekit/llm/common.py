@@ -23,10 +23,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, and is
-    read again (not recomputed) when an executor is lost."""
-    path = work_dir(df.sparkSession, name)
+    read again (not recomputed) when an executor is lost. In a ``folder`` of the
+    caller's it can be removed once all that reads it is written too."""
+    path = f"{folder}/{name}" if folder else work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

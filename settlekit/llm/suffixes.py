@@ -41,8 +41,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from settlekit.llm.common import row_key, shipped, written
+from settlekit.llm.common import row_key, shipped, work_dir, written
 from settlekit.llm.textvec import U, Words, batches, mix, shingles
+from settlekit.sinks import remove
 
 LENGTH, RUN = 50, 10
 HOT_RUNS, HOT_ROWS = 1000, 200
@@ -258,7 +259,7 @@ def _tail(f: pd.DataFrame) -> pd.DataFrame:
     return f.iloc[sorted({max(int(_others(f)[-1]), 0), int(_leaders(f)[-1]), len(f) - 1})].reset_index(drop=True)
 
 
-def _neighbour_matches(rows: DataFrame, by: list[str], length: int, k: int) -> DataFrame:
+def _neighbour_matches(rows: DataFrame, by: list[str], length: int, k: int, folder: str) -> DataFrame:
     """Matches from comparing neighbours in one order over all rows."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
@@ -268,7 +269,7 @@ def _neighbour_matches(rows: DataFrame, by: list[str], length: int, k: int) -> D
         for f in _sorted_matches(length, k)(frames):
             yield f.reindex(columns=names).astype(dict.fromkeys(("least", "most", "left", "right", "first", "last"), "Int64"))
 
-    out = written(ranged.mapInPandas(run, f"{_ROW}, left int, right int, first long, last long, kind int"), "suffix-matches")
+    out = written(ranged.mapInPandas(run, f"{_ROW}, left int, right int, first long, last long, kind int"), f"by-{by[1]}", folder)
     # four rows at most of each range meet in one small frame
     edges = out.where("kind > 0").select("run", "sides", "least", "most", "after", "before")
 
@@ -281,14 +282,14 @@ def _neighbour_matches(rows: DataFrame, by: list[str], length: int, k: int) -> D
     return out.where("kind = 0").select("run", "sides", "left", "right", "first", "last").unionByName(joined)
 
 
-def _marks(suffixes: DataFrame, groups: DataFrame, matches: DataFrame) -> DataFrame:
+def _marks(suffixes: DataFrame, groups: DataFrame, matches: DataFrame, folder: str) -> DataFrame:
     """For each text its marks, from the matches of the rows that stand for its
     suffixes. All matches of a suffix hold its run, so those that count (later
     ones apart) make one mark together."""
     # at most one entry for each pair of reaches, however many rows one was compared with
     found = (matches.groupBy("run", "sides", "left", "right").agg(F.min("first").alias("first"), F.max("last").alias("last"))
              .groupBy("run", "sides").agg(F.collect_list(F.struct("left", "right", "first", "last")).alias("found")))
-    found = written(found, "suffix-found-by-row")
+    found = written(found, "matches", folder)
     # rows that stand for a share of 1 / HOT_ROWS or more of the suffixes (HOT_ROWS at most) are looked up where the suffixes are
     share = (groups.agg(F.sum("n")).first()[0] or 0) / HOT_ROWS
     key = ["run", "sides"]
@@ -354,17 +355,23 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     w = length - k + 1
     if k < 1 or w < 1:
         raise ValueError("a run must not be longer than a passage")
-    shipped(docs.sparkSession)
+    spark = shipped(docs.sparkSession)
+    folder = work_dir(spark, "suffix")  # tables go as soon as nothing reads them any more
+
+    def done(*names: str) -> None:
+        for name in names:
+            remove(spark, f"{folder}/{name}")
+
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), t.alias("text")).withColumns(dict(zip(("r1", "r2"), row_key(F.col("text")))))
     nodes = given.groupBy("r1", "r2").agg(F.min(F.struct(F.col("id").isNotNull().alias("z"), "id")).alias("m"), F.count(F.lit(1)).alias("copies")).select("r1", "r2", F.col("m.id").alias("id"), "copies")
     # ord: the order of the texts by id, of equal ids by hash
     nodes = nodes.repartitionByRange("id", "r1", "r2").sortWithinPartitions("id", "r1", "r2").withColumn("ord", F.monotonically_increasing_id())
-    nodes = written(nodes, "suffix-nodes")
+    nodes = written(nodes, "nodes", folder)
 
     reach = _reach(length, k)
-    kept = written(given.select("text", "r1", "r2").mapInPandas(_kept(k, w, reach), "run long, sides long, r1 long, r2 long, place long"), "suffix-kept")
-    shared = written(kept.groupBy("run").agg(F.min("r1").alias("a"), F.max("r1").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("run", "n"), "suffix-runs")
+    kept = written(given.select("text", "r1", "r2").mapInPandas(_kept(k, w, reach), "run long, sides long, r1 long, r2 long, place long"), "kept", folder)
+    shared = written(kept.groupBy("run").agg(F.min("r1").alias("a"), F.max("r1").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("run", "n"), "runs", folder)
     # very frequent runs are looked up where the rows are: with a share of 1 / HOT_RUNS
     # or more of all rows there are HOT_RUNS of them at most
     share = (shared.agg(F.sum("n")).first()[0] or 0) / HOT_RUNS
@@ -375,26 +382,29 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     places = (repeated.distinct().groupBy("r1", "r2")
               .agg(F.collect_list(F.struct("place", "run", "sides", "often")).alias("x"))
               .select("r1", "r2", F.col("x.place").alias("places"), F.col("x.run").alias("runs"), F.col("x.sides").alias("sides"), F.col("x.often").alias("often")))
-    wanted = written(nodes.join(places, ["r1", "r2"], "left").where("copies > 1 or places is not null"), "suffix-places")
+    wanted = written(nodes.join(places, ["r1", "r2"], "left").where("copies > 1 or places is not null"), "places", folder)
+    done("kept", "runs")
     texts = given.join(wanted.select("r1", "r2"), ["r1", "r2"], "left_semi").groupBy("r1", "r2").agg(F.first("text").alias("text"))
-    texts = written(texts, "suffix-texts")
+    texts = written(texts, "texts", folder)
 
     each = F.explode(F.arrays_zip(F.col("places").alias("place"), F.col("runs").alias("run"), F.col("sides").alias("side")))
     suffixes = wanted.where("places is not null").select("r1", "r2", "ord", each.alias("s")).select("r1", "r2", "ord", "s.place", "s.run", F.col("s.side").alias("sides"))
     groups = written(suffixes.groupBy("run", "sides").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.min_by("place", "ord").alias("place"),
-                                                          F.count(F.lit(1)).alias("n")), "suffix-groups")
+                                                          F.count(F.lit(1)).alias("n")), "groups", folder)
     # the words of a row are taken from the first of its texts
     shown = (groups.groupBy(F.col("least").alias("ord")).agg(F.collect_list(F.struct("place", "run", "sides", "most")).alias("x"))
              .select("ord", F.col("x.place").alias("places"), F.col("x.run").alias("runs"), F.col("x.sides").alias("sides"), F.col("x.most").alias("most")))
     around = (wanted.select("r1", "r2", "ord").join(shown, "ord").join(texts, ["r1", "r2"])
               .select(F.col("ord").alias("least"), "text", "places", "runs", "sides", "most").mapInPandas(_contexts(k, reach), _ROW))
-    around = written(around, "suffix-contexts")
-    matches = _neighbour_matches(around, ["run", "after", "before"], length, k).unionByName(_neighbour_matches(around, ["run", "before", "after"], length, k))
-    by_text = written(_marks(suffixes, groups, matches), "suffix-marked")
+    around = written(around, "contexts", folder)
+    matches = [_neighbour_matches(around, by, length, k, folder) for by in (["run", "after", "before"], ["run", "before", "after"])]
+    done("contexts")
+    by_text = written(_marks(suffixes, groups, matches[0].unionByName(matches[1]), folder), "marked", folder)
+    done("by-after", "by-before", "matches", "groups")
 
     windows = (wanted.where(F.exists("often", lambda x: x)).join(texts, ["r1", "r2"]).select("r1", "r2", "ord", "text", "places", "runs", "often")
                .mapInPandas(_windows(length, k), "r1 long, r2 long, ord long, keys array<long>, firsts array<long>"))
-    windows = written(windows, "suffix-windows")
+    windows = written(windows, "windows", folder)
     held = (windows.select("ord", F.explode("keys").alias("key")).groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most"))
             .where("least <> most").select("key", "least"))
     open_windows = windows.join(by_text, ["r1", "r2"], "left").select("r1", "r2", "ord", "keys", "firsts", "marks").mapInPandas(
@@ -404,15 +414,17 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     by_text = by_text.unionByName(more).groupBy("r1", "r2").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     info = wanted.select("r1", "r2", "copies").join(texts, ["r1", "r2"]).join(by_text, ["r1", "r2"], "left")
     found = written(info.where("copies > 1 or marks is not null").select("r1", "r2", "copies", "text", "marks").mapInPandas(
-        _digest(length), "r1 long, r2 long, spans array<struct<start:long,end:long>>, words long, own string, copy string"), "suffix-found")
+        _digest(length), "r1 long, r2 long, spans array<struct<start:long,end:long>>, words long, own string, copy string"), "found", folder)
+    done("places", "texts", "marked", "windows")
     # of equal texts the smallest id keeps the text, and of equal rows one
-    rows = given.join(nodes.select("r1", "r2", F.col("id").alias("least"), "copies"), ["r1", "r2"])
-    alone = rows.where("copies = 1").withColumn("keeps", F.lit(True))
-    many = (rows.where("copies > 1").groupBy("r1", "r2", "id", "least", "copies").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    rows = given.join(nodes.select("r1", "r2", F.col("id").alias("least"), "copies").join(found, ["r1", "r2"], "left"), ["r1", "r2"])
+    names = ["id", "text", "spans", "words", "own", "copy", "keeps"]
+    alone = rows.where("copies = 1").withColumn("keeps", F.lit(True)).select(*names)
+    many = (rows.where("copies > 1").groupBy("r1", "r2", "id", "least", "copies")
+            .agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("text", "spans", "words", "own", "copy")])
             .withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
             .withColumn("keeps", F.col("id").eqNullSafe(F.col("least")) & (F.col("i") == 1)))
-    every = alone.select("id", "r1", "r2", "text", "keeps").unionByName(many.select("id", "r1", "r2", "text", "keeps"))
-    out = every.join(found, ["r1", "r2"], "left")
+    out = alone.unionByName(many.select(*names))
     return out.select(F.col("id").alias("doc_id"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
                       F.coalesce("words", F.lit(0)).cast("long").alias("repeated_words"),
                       F.when(F.col("own").isNull(), F.col("text")).when(F.col("keeps"), F.col("own")).otherwise(F.col("copy")).alias("text"))
