@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from settlekit import masters
+from settlekit import session as SE
 from settlekit.operators import cleanse as CL
 from settlekit.operators import merge as MG
 from settlekit.operators import skew
@@ -14,6 +15,7 @@ from settlekit.plans import batch as BT
 from settlekit.session import settings
 from settlekit.sources import extracts as EX
 from settlekit.sources import testviews as tv
+from settlekit.streaming import incremental as INC
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -129,3 +131,22 @@ def test_a_bucket_is_written_by_several_tasks(spark):
         assert sum(x.endswith(".parquet") for x in os.listdir(bucket["path"].removeprefix("file:"))) > 2
     back = masters.read_version(spark, version)
     assert back.count() == back.distinct().count() == 20000 == masters.rows_held(spark, root, ["m", "none"])
+
+
+def test_a_micro_batch_is_cut_by_its_size(spark, monkeypatch):
+    land, wh = tempfile.mkdtemp(prefix="land-"), tempfile.mkdtemp(prefix="wh-")
+    with open(f"{land}/returns-06-1998.csv", "w") as f:
+        f.write("order_release_id,order_line_id,upload_timestamp\n" + "".join(f"{i},1,2025-01-02 00:00:00\n" for i in range(500)))
+    monkeypatch.setattr(SE, "LANDED_PARTITION_BYTES", 1000)
+    seen, ingest = [], INC.ingest_files
+
+    def watched(files, *args):
+        conf = files.sparkSession.conf
+        seen.append((int(conf.get("spark.sql.shuffle.partitions")), int(conf.get("spark.sql.files.maxPartitionBytes"))))
+        return ingest(files, *args)
+
+    monkeypatch.setattr(INC, "ingest_files", watched)
+    out = INC.incremental_merge(spark, land, "returns", wh, f"{wh}/_checkpoint", dt.datetime(2025, 4, 1))
+    assert out.count() == 500
+    assert seen == [(-(-os.path.getsize(f"{land}/returns-06-1998.csv") // 1000), SE.STAGED_SPLIT_BYTES)]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
