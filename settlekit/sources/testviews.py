@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from settlekit.schema import MONEY
+from settlekit.session import input_bytes, sized_shuffle_partitions
 
 # --- fixed values: adapter parameters ----------------------------------------
 CUT_DATE = "1998-07-01"          # previous-run / master cut and the test run_ts
@@ -97,6 +98,16 @@ def settlement_v(spark: SparkSession, sf_dir: str, before: str | None = None) ->
     )
 
 
+#: Bytes of the compressed tables for one shuffle partition: rows between
+#: stages are some six times as many.
+TABLE_PARTITION_BYTES = 8 * 1024 * 1024
+
+
+def table_partitions(spark: SparkSession, sf_dir: str):
+    """Within the block shuffles have partitions by the size of the order tables."""
+    return sized_shuffle_partitions(spark, input_bytes(spark, f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"), TABLE_PARTITION_BYTES)
+
+
 _BASES: dict = {}
 
 
@@ -120,9 +131,11 @@ def _orders_base(spark: SparkSession, sf_dir: str, before: str | None = None) ->
                       .select("order_release_id", F.col("fl.pk").alias("l_partkey")))
         part = _read(spark, sf_dir, "part").select("p_partkey", "p_brand")
         line_part = first_line.join(part, first_line.l_partkey == part.p_partkey, "left")
-        base = (o.withColumn("order_release_id", F.col("o_orderkey").cast("string"))
-                 .join(line_part, "order_release_id", "left")
-                 .persist(StorageLevel.MEMORY_AND_DISK))
+        # persist plans the frame, and with it the number of its partitions
+        with table_partitions(spark, sf_dir):
+            base = (o.withColumn("order_release_id", F.col("o_orderkey").cast("string"))
+                     .join(line_part, "order_release_id", "left")
+                     .persist(StorageLevel.MEMORY_AND_DISK))
         _BASES[key] = base
     if before:
         return base.where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
@@ -253,9 +266,11 @@ def test_run(spark: SparkSession, sf_dir: str):
         prev = ReconRun(*inputs(spark, sf_dir, CUT_DATE), run_ts=PREV_RUN_TS, persist=False)
         # only what the comparisons between runs read: it shares the executors'
         # memory with the sorts of the current run
-        previous = prev.analysis.select(*PREVIOUS_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
-        run = ReconRun(*inputs(spark, sf_dir), run_ts=RUN_TS, previous=previous,
-                       previous_run_ts=PREV_RUN_TS)
+        with table_partitions(spark, sf_dir):
+            previous = prev.analysis.select(*PREVIOUS_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+            run = ReconRun(*inputs(spark, sf_dir), run_ts=RUN_TS, previous=previous,
+                           previous_run_ts=PREV_RUN_TS)
+            run.analysis   # planned and persisted here, with these partitions
         _RUNS[key] = run
     return run
 

@@ -12,7 +12,7 @@ from settlekit.operators import cleanse as CL
 from settlekit.operators import merge as MG
 from settlekit.operators import skew
 from settlekit.plans import batch as BT
-from settlekit.session import settings
+from settlekit.session import input_bytes, settings
 from settlekit.sources import extracts as EX
 from settlekit.sources import testviews as tv
 from settlekit.streaming import incremental as INC
@@ -150,3 +150,17 @@ def test_a_micro_batch_is_cut_by_its_size(spark, monkeypatch):
     assert out.count() == 500
     assert seen == [(-(-os.path.getsize(f"{land}/returns-06-1998.csv") // 1000), SE.STAGED_SPLIT_BYTES)]
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
+def test_persisted_frames_have_partitions_by_the_size_of_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(tv, "TABLE_PARTITION_BYTES", 4096)
+    monkeypatch.setattr(tv, "_BASES", {})
+    d = tempfile.mkdtemp(prefix="sized-")
+    for t in ("orders", "lineitem", "part"):
+        os.symlink(f"{SMALL}/{t}.parquet", f"{d}/{t}.parquet")
+    wanted = -(-input_bytes(spark, f"{d}/lineitem.parquet", f"{d}/orders.parquet") // 4096)
+    assert wanted > 8
+    base = tv._orders_base(spark, d)
+    assert f", {wanted})" in base._jdf.queryExecution().withCachedData().toString() + _plan(base)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    base.unpersist()
