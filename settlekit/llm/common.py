@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
 _SHIPPED: set[str] = set()
 #: A batch of rows handed to a Python worker holds about this many bytes, so ten
 #: thousand long texts never stand in a worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -42,6 +42,7 @@ from settlekit.llm.textvec import U, Words, batches, shingles
 
 K1, B = 1.2, 0.75
 CELLS = 1 << 21  # passages x units that are summed at a time
+TOGETHER = 1 << 19  # characters of texts searched at once
 SCHEMA = "doc_id long, node string, item_id long, score double, question_overlap double, answer_overlap double"
 
 
@@ -129,7 +130,7 @@ def _search(index, passage: int, k: int, overlap: float):
         for f in frames:
             texts, out = f["text"].tolist(), []
             ids, nodes = f["doc_id"].astype("object").tolist(), f["node"].tolist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, TOGETHER):
                 w = Words(texts[a:b])
                 place, term = ix.terms_of(w.hash)
                 owner = w.text_of()[place]

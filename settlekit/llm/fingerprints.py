@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from settlekit.llm.common import shipped
-from settlekit.llm.textvec import BLOCK, U, Words, mix, span_hashes
+from settlekit.llm.textvec import U, Words, mix, span_hashes
 
 CELLS = 24
+#: characters of texts compared at once
+TOGETHER = 1 << 20
 _SALTS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 
 
@@ -192,7 +194,7 @@ def _in_order(cells: int):
                 if last is not None and last[0] == now[0] and not last[3]:
                     pending.append((last[1], last[2], now[2]))
                     size += len(last[2])
-                    if size > BLOCK // 2:
+                    if size > TOGETHER:
                         yield _compare(pending, cells)
                         pending, size = [], 0
                 last = now

@@ -139,7 +139,8 @@ def _frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _fit(idf: np.ndarray, labels: list[str], seed: int = 7):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["draw", "text"])  # one order, however the rows came
-        samples = [(labels.index(lang), *features(t, idf)) for lang, t in zip(rows["lang"], rows["text"])]
+        made = (features(t, idf) for t in rows["text"])
+        samples = [(labels.index(lang), bins.astype(np.int32), x) for lang, (bins, x) in zip(rows["lang"], made)]
         nth = rows.groupby("lang").cumcount().to_numpy() % 10
         held = [s for s, i in zip(samples, nth) if i == 9] or samples
         learn = [s for s, i in zip(samples, nth) if i < 9]

@@ -43,6 +43,8 @@ from settlekit.llm.textvec import U, Words, batches, mix, shingles_of
 REGISTERS, ROWS, SHINGLE, THRESHOLD = 64, 4, 5, 0.8
 #: members and characters of a block, about
 BLOCK, BLOCK_CHARS = 128, 1 << 22
+#: characters of texts signed at once (about 200 bytes of arrays each)
+TOGETHER = 1 << 19
 
 
 def weighted(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +87,7 @@ def _bands(k: int, m: int, rows: int):
         for f in frames:
             texts = f["__text"].tolist()
             out = []
-            for a, b in batches(texts):
+            for a, b in batches(texts, TOGETHER):
                 w = Words(texts[a:b])
                 element, owner, weight = weighted(w, k)
                 by_weight = _band_hashes(signatures(element, owner, weight, b - a, m), rows)

@@ -27,6 +27,7 @@ back as often as they were given; an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+import weakref
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -82,16 +83,18 @@ def _word_pattern(pieces) -> str:
 
 class _Words(dict):
     """Segmentations of words, as they come: the recent ones stay. When full,
-    the younger half becomes the older one and the older half is let go."""
+    the younger half becomes the older one and the older half is let go. ``make``
+    is a method of the vocabulary, which it does not keep alive: a vocabulary in
+    no cycle goes with its task, not with a later collection of a reused worker."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older = weakref.WeakMethod(make), {}
 
     def __missing__(self, word: str) -> bytes:
         got = self.older.get(word)
         if got is None:
-            got = self.make(word)
+            got = self.make()(word)
         if len(word) <= 64:
             self.trim()
             self[word] = got
@@ -505,6 +508,7 @@ def _encode_short(vocabulary):
                 ids = v.encode_many([SPACE + write_out(t) if t else "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), part.column("n"), pa.array([1] * part.num_rows, pa.int64()), ids],
                                                  names=["doc_id", "text_sha256", "n_chars", "n_chunks", "ids"])
+                pa.default_memory_pool().release_unused()  # else it grows with the parts, and stays with a reused worker
     return run
 
 

@@ -39,15 +39,18 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, _MULT, U), np.full(size, _INV, U)
-        up[0] = down[0] = U(1)
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
-
-
-BLOCK = 1 << 21
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, 1 << 16)
+    up, down = np.full(size, _MULT, U), np.full(size, _INV, U)
+    up[0] = down[0] = U(1)
+    tables = np.multiply.accumulate(up, out=up), np.multiply.accumulate(down, out=down)
+    if size <= BLOCK + 1:  # those of a longer word go with it
+        _powers[:] = tables
+    return tables
+
+
+BLOCK = 1 << 18
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:

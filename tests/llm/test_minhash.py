@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 from settlekit.llm import minhash
 from settlekit.llm.textvec import U, Words, mix, shingles_of
@@ -156,3 +158,29 @@ def test_word_hashes_equal_across_batches_and_blocks(monkeypatch):
     assert whole.hash[1] == whole.hash[3] == Words(["bc"]).hash[0]
     runs, owner = shingles_of(whole, 3)
     assert owner.tolist() == [0, 3, 4, 5, 6]
+
+
+def test_arrays_of_a_task_stay_small_however_many_texts_a_batch_has(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(words(rng, 600)) for _ in range(1600)]
+    frame = pd.DataFrame({"id": range(1600), "node": "x", "__text": texts})
+    size = sum(map(len, texts))
+    monkeypatch.setattr("settlekit.llm.textvec._powers", [])
+    tracemalloc.start()
+    try:
+        signed = next(minhash._bands(5, 64, 4)(iter([frame])))
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(signed) == 1600 and size > 3 << 20
+    assert most < 72 << 20 and kept < 16 << 20  # bytes: at the peak, and after
+    assert signed["bands"].tolist()[7] == next(minhash._bands(5, 64, 4)(iter([frame[7:8]])))["bands"].tolist()[0]
+
+
+def test_tables_of_a_very_long_word_are_not_kept(monkeypatch):
+    monkeypatch.setattr("settlekit.llm.textvec._powers", [])
+    monkeypatch.setattr("settlekit.llm.textvec.BLOCK", 1 << 16)
+    from settlekit.llm import textvec
+    long = Words(["y" * (1 << 18)]).hash
+    assert sum(len(x) for x in textvec._powers) <= 2 * ((1 << 16) + 1)
+    assert long[0] == Words(["a", "y" * (1 << 18)]).hash[1]

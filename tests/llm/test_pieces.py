@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 
 import duckdb
 import numpy as np
@@ -121,3 +123,16 @@ def test_query_round_trip(spark, sf_dir):
 
 def test_empty_table(spark):
     assert p.encode(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_vocabulary_goes_without_a_collection_of_cycles():
+    v = toy()
+    assert v.encode_many([p.SPACE + "abba ab"]).to_pylist() == [np.frombuffer(v.encode(p.SPACE + "abba ab"), np.int32).tolist()]
+    gc.collect()
+    gc.disable()
+    try:
+        gone = weakref.ref(v)
+        del v
+        assert gone() is None
+    finally:
+        gc.enable()
