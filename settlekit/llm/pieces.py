@@ -48,7 +48,7 @@ BORDER = (mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) >> np.uint64(48)).as
 CHUNK, FAN_IN, CACHED = 32_768, 64, 150_000
 #: Bytes of texts (or ids) encoded or decoded at once, characters of new words
 #: segmented at once (about 200 bytes of lattice each).
-PART, TOGETHER = 1 << 21, 1 << 17
+PART, TOGETHER = 3 << 19, 1 << 15
 
 
 def default_model() -> str:
